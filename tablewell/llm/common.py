@@ -31,16 +31,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def squeeze(*columns: np.ndarray) -> bytes:
-    """Columns of equal length as one compressed value, each stored contiguously."""
-    head = np.array([len(columns[0])], dtype=np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
+    """Columns of equal length as one compressed value; first bytes lie together, then second bytes, and so on."""
+    planes = [np.array([len(columns[0])], dtype=np.int64).tobytes()]
+    for c in columns:
+        planes.append(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
 def unsqueeze(blob: bytes, *dtypes: str) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
     for kind in map(np.dtype, dtypes):
-        out.append(np.frombuffer(raw, kind, n, at))
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
         at += n * kind.itemsize
     return out
 

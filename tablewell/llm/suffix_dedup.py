@@ -16,8 +16,8 @@ How it works, all of it as Spark shuffles of packed suffix arrays:
    enters a full suffix array of 50-byte strings, again through an index family, with byte comparison of equal runs.
 4. The matched windows go back to their batch, which cuts them out.
 
-Hash order stands for alphabetical order within the arrays; step 2 takes two neighbourhoods as equal if 96 bits of hash
-agree. Memory per task is a batch, or a share of the sampled suffixes.
+Hash order stands for alphabetical order within the arrays; step 2 takes two neighbourhoods as equal if 80 bits of hash,
+and the share of the prefixes, agree. Memory per task is a batch, or a share of the sampled suffixes.
 
 Defined results: null text counts as empty; a null doc_id is larger than any other; rows with equal doc_id never remove
 each other's bytes; texts under `WINDOW` bytes stay whole; an empty table gives an empty result; further columns pass.
@@ -205,7 +205,8 @@ def _arrays(parts: int, id_at: int, text_at: int) -> Callable:
             key, at, n = sample_suffixes(data, starts)
             check = (_window_hash(data, at, n + WINDOW - 1) >> np.uint64(32)).astype(np.uint32)
             doc = _ids(batch, id_at)[np.searchsorted(starts, at, "right") - 1]
-            part = (key >> np.uint64(17)) % np.uint64(parts)
+            part = key % np.uint64(parts)
+            key >>= np.uint64(16)
             order = np.lexsort((doc, check, key, part))
             key, check, doc, part, at, n = (x[order] for x in (key, check, doc, part, at, n))
             same = (key[1:] == key[:-1]) & (check[1:] == check[:-1])
@@ -219,7 +220,7 @@ def _arrays(parts: int, id_at: int, text_at: int) -> Callable:
                 a, b = int(cuts[p]), int(cuts[p + 1])
                 if a < b:
                     ids, which = np.unique(doc[a:b], return_inverse=True)
-                    body = squeeze(key[a:b], check[a:b], at[a:b].astype(np.uint32), which.astype(np.uint32), n[a:b].astype(np.uint8))
+                    body = squeeze(np.diff(key[a:b], prepend=np.uint64(0)), check[a:b], at[a:b].astype(np.uint32), which.astype(np.uint32), n[a:b].astype(np.uint8))
                     yield _emit([_row(p, "A", row["bid"], squeeze(np.diff(ids, prepend=0)), body)])
 
     return run
@@ -234,7 +235,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         key, check, at, which, n = unsqueeze(row["body"], "u8", "u4", "u4", "u4", "u1")
         (gaps,) = unsqueeze(row["doc"], "i8")
-        family.add([key, check, np.cumsum(gaps)[which], np.full(len(key), row["bid"], np.int64), at, n])
+        family.add([np.cumsum(key, dtype=np.uint64), check, np.cumsum(gaps)[which], np.full(len(key), row["bid"], np.int64), at, n])
     level = family.whole()
     if level is None:
         return
@@ -295,7 +296,7 @@ def _end_texts(parts: int, id_at: int, text_at: int) -> Callable:
             for lo in range(0, len(at), 20000):
                 grid = at[lo : lo + 20000, None] + np.arange(WINDOW - PREFIX + 1)
                 key[lo : lo + 20000] = _mix(_mix(words[grid]) + words[grid + 8]).min(1)
-            part = (key >> np.uint64(17)) % np.uint64(parts)
+            part = key % np.uint64(parts)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             for p in range(parts):
@@ -397,12 +398,13 @@ def _kept_text(batch: pa.RecordBatch, data: np.ndarray, starts: np.ndarray, gone
 def _run(docs: DataFrame, finish: Callable, schema: object) -> DataFrame:
     spark = docs.sparkSession
     parts = shuffle_width(spark)
+    fine = 4 * parts  # match ends have an entry for each byte, not for each sampled suffix
     id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
     texts = materialise(docs.mapInArrow(_pack, ROWS))
     arrays = texts.mapInArrow(_arrays(parts, id_at, text_at), ROWS).repartition(parts, "part")
     replies = materialise(arrays.mapInArrow(_scan, ROWS))
     together = lambda *kinds: texts.unionByName(replies.where(F.col("kind").isin(*kinds))).repartition(parts, "bid").sortWithinPartitions("bid", "kind")
-    ends = together("P").mapInArrow(_end_texts(parts, id_at, text_at), ROWS).repartition(parts, "part").mapInArrow(_scan_ends, ROWS)
+    ends = together("P").mapInArrow(_end_texts(fine, id_at, text_at), ROWS).repartition(fine, "part").mapInArrow(_scan_ends, ROWS)
     whole = texts.unionByName(replies.where("kind = 'F'")).unionByName(ends).repartition(parts, "bid").sortWithinPartitions("bid", "kind")
     return whole.mapInArrow(_cut(id_at, text_at, finish), schema)
 
