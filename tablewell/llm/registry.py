@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("suffix_dedup",)
+MODULES = ("packing", "pii", "exact", "toxicity", "secrets", "rules", "bpe", "suffix_dedup", "quality", "simhash")
 
 
 def _all(name: str) -> dict:
