@@ -28,10 +28,10 @@ from .common import free_name, read_table, slices, text_bytes
 CHUNK = 256
 TAPS = 6
 WIDTH = 8
-FILTERS = 24
-SAMPLE = 4000
-TRAIN_CHUNKS = 12
-EPOCHS = 14
+FILTERS = 16
+SAMPLE = 3000
+TRAIN_CHUNKS = 8
+EPOCHS = 10
 THRESHOLD = 0.3
 
 
@@ -54,21 +54,26 @@ def score_bytes(net: Network, data: np.ndarray, starts: np.ndarray) -> np.ndarra
     """Probabilities of the texts that lie end to end in `data`."""
     half, filters = CHUNK // 2, net.bias.size
     out = np.empty(len(starts) - 1)
+    room = np.empty((2, 16 * half, filters), np.float32)
     for k, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
         n_half = max(1, -(-(b - a) // half))
         top = np.full(filters, -np.inf, np.float32)
         total = np.zeros(filters)
         before = None
-        for lo in range(0, n_half, 64):
-            hi = min(n_half, lo + 64)
+        for lo in range(0, n_half, 16):
+            hi = min(n_half, lo + 16)
             piece = np.full((hi - lo) * half + TAPS - 1, 256, np.int64)
             own = data[a + lo * half : min(b, a + hi * half + TAPS - 1)]
             piece[: len(own)] = own
             size = (hi - lo) * half
-            act = net.table[0][piece[:size]]
+            act, more = room[0, :size], room[1, :size]
+            np.take(net.table[0], piece[:size], axis=0, out=act, mode="clip")
             for t in range(1, TAPS):
-                act += net.table[t][piece[t : t + size]]
-            peaks = act.reshape(hi - lo, half, filters).max(1)
+                act += np.take(net.table[t], piece[t : t + size], axis=0, out=more, mode="clip")
+            peaks = act.reshape(hi - lo, half, filters)
+            for fold in (64, 32, 16, 8, 4, 2, 1):
+                peaks = np.maximum(peaks[:, :fold], peaks[:, fold : 2 * fold])
+            peaks = peaks[:, 0]
             if before is not None:
                 peaks = np.concatenate([before, peaks])
             pooled = np.maximum(peaks[:-1], peaks[1:]) if len(peaks) > 1 else peaks if n_half == 1 else peaks[:0]
@@ -104,9 +109,10 @@ def train(chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray, seed: int =
             n = begins[texts + 1] - begins[texts]
             first = np.cumsum(n) - n
             x = chunks[rows]
-            e = p["e"][x]
-            grid = np.lib.stride_tricks.sliding_window_view(e, TAPS, axis=1).transpose(0, 1, 3, 2).reshape(len(rows), CHUNK, TAPS * WIDTH)
-            act = grid @ p["f"]
+            folded = [p["e"] @ p["f"][t * WIDTH : (t + 1) * WIDTH] for t in range(TAPS)]
+            act = folded[0][x[:, :CHUNK]]
+            for t in range(1, TAPS):
+                act += folded[t][x[:, t : t + CHUNK]]
             where = act.argmax(1)
             raw = np.take_along_axis(act, where[:, None], 1)[:, 0] + p["b"]
             pooled = np.maximum(raw, 0)
@@ -121,12 +127,12 @@ def train(chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray, seed: int =
             shared = np.add.reduceat(is_top.astype(np.float32), first)
             dp = (dv[:, :FILTERS] / shared)[text_of] * is_top + (dv[:, FILTERS:] / n[:, None])[text_of]
             dp = dp * (raw > 0)
-            patches = np.take_along_axis(grid, where[:, :, None], 1)
+            bytes_ = x[np.arange(len(rows))[:, None, None], where[:, :, None] + np.arange(TAPS)]
+            patches = p["e"][bytes_].reshape(len(rows), FILTERS, TAPS * WIDTH)
             grads = {"w": v.T @ slope + 1e-4 * p["w"], "o": np.array([slope.sum()]), "b": dp.sum(0), "f": np.einsum("cfk,cf->kf", patches, dp)}
             de = np.zeros_like(p["e"])
             back = (dp[:, :, None] * p["f"].T[None]).reshape(-1, TAPS, WIDTH)
-            bytes_ = x[np.arange(len(rows))[:, None, None], where[:, :, None] + np.arange(TAPS)].reshape(-1, TAPS)
-            np.add.at(de, bytes_, back)
+            np.add.at(de, bytes_.reshape(-1, TAPS), back)
             grads["e"] = de
             step += 1
             for k, g in grads.items():

@@ -1,7 +1,8 @@
 """Toxicity (operator 4): gradient-boosted trees over dense features, with isotonic calibration.
 
 Features of a text: densities of lexicon words, their nearness to second-person words, capitals, punctuation and
-obfuscation rates. The lexicon is a short fixed list and the words that tell best between the labels in the sample.
+obfuscation rates. The lexicon is a short fixed list and the words and word
+beginnings that tell best between the labels in the sample.
 
 Fitting takes at most `SAMPLE` labelled rows, those of least hash of doc_id. Word counts of the sample are made on the
 cluster; the driver gets at most `LEARNED` words and one feature row per sampled document. Three quarters of the sample
@@ -55,17 +56,39 @@ FEATURES = (
 )
 
 
-def features(text: str | None, learned: dict[str, float]) -> list[float]:
-    """The dense features of one text; `learned` gives words their weights."""
+STEMS = (4, 5, 6, 7)
+
+
+def stems(word: str) -> list[str]:
+    """What a word can be learned as: itself, or one of its beginnings (marked by a hyphen)."""
+    return [word, *(word[:k] + "-" for k in STEMS if k < len(word))]
+
+
+class Lexicon(dict):
+    """Weights of words, by the strongest of their learned stems (None: none is learned)."""
+
+    def __init__(self, learned: dict[str, float]) -> None:
+        super().__init__()
+        self.learned = learned
+
+    def __missing__(self, word: str) -> float | None:
+        if len(self) > 200_000:
+            self.clear()
+        got = self[word] = max((self.learned[s] for s in stems(word) if s in self.learned), default=None)
+        return got
+
+
+def features(text: str | None, lexicon: Lexicon) -> list[float]:
+    """The dense features of one text."""
     text = text or ""
     lower = text.lower()
     words = WORD.findall(lower)
     n = max(1, len(words))
     bad = [i for i, w in enumerate(words) if w in _INSULTS]
-    own = [i for i, w in enumerate(words) if w in learned]
+    own = [i for i, w in enumerate(words) if lexicon[w] is not None]
     you = [i for i, w in enumerate(words) if w in _YOU]
     near = lambda some: sum(any(abs(i - j) <= NEAR for j in you[max(0, k - 1) : k + 1]) for i, k in zip(some, np.searchsorted(you, some), strict=True)) if you and some else 0
-    weights = [learned[words[i]] for i in own]
+    weights = [lexicon[words[i]] for i in own]
     letters = max(1, sum(map(str.isalpha, text)))
     size = max(1, len(text))
     masked = MASKED.findall(lower) if any(c in lower for c in "0134578@$!*") else []
@@ -74,7 +97,7 @@ def features(text: str | None, learned: dict[str, float]) -> list[float]:
         len(bad) / n, len(bad) / logs, float(len({words[i] for i in bad})), len(own) / n, len(own) / logs,
         float(len({words[i] for i in own})), sum(weights) / logs, len(you) / n, near(bad) / logs, sum(map(str.isupper, text)) / letters,
         sum(map(str.isupper, text.split())) / n, text.count("!") / size, text.count("?") / size, sum(map(text.count, ".,;:-()\"'")) / size,
-        float(sum(w.translate(LOOKALIKES) in _INSULTS or w.translate(LOOKALIKES) in learned for w in masked)), len(masked) / n,
+        float(sum(w.translate(LOOKALIKES) in _INSULTS or lexicon[w.translate(LOOKALIKES)] is not None for w in masked)), len(masked) / n,
         len(STRETCHED.findall(lower)) / n, logs, max(weights, default=0.0), near(own) / logs,
     ]
 
@@ -168,7 +191,7 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in slices(batches, 4 << 20):
         counts: Counter = Counter()
         for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            counts.update((w, label) for w in set(WORD.findall((text or "").lower())))
+            counts.update((s, label) for s in {s for w in set(WORD.findall((text or "").lower())) for s in stems(w)})
         words = list(counts)
         columns = [pa.array([w for w, _ in words], pa.string()), pa.array([k for _, k in words], pa.int32()), pa.array([counts[w] for w in words], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, names=["word", "label", "n"])
@@ -176,8 +199,9 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _featured(learned: dict[str, float]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(learned)
         for batch in slices(batches, 4 << 20):
-            rows = [features(t, learned) for t in batch.column(1).to_pylist()]
+            rows = [features(t, lexicon) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
     return run
@@ -215,8 +239,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
 
 def _scored(model: Trees) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(model.learned)
         for batch in slices(batches, 4 << 20):
-            x = np.array([features(t, model.learned) for t in batch.column(1).to_pylist()]).reshape(-1, len(FEATURES))
+            x = np.array([features(t, lexicon) for t in batch.column(1).to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
 
     return run
