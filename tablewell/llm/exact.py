@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import materialise, read_table, shuffle_width
 
 SALTS = 16
+BROADCAST = 200_000
+"""Digests (of 16 bytes) that are sent to every task; more than that are joined by a shuffle."""
 
 
 def canonical(text: Column) -> Column:
@@ -34,7 +36,13 @@ def canonical(text: Column) -> Column:
 
 
 def _digest(canon: Column) -> Column:
-    return F.concat(*(F.lpad(F.lower(F.hex(h)), 16, "0") for h in (F.xxhash64(canon), F.xxhash64(F.lit("second"), canon))))
+    """16 bytes."""
+    return F.unhex(F.concat(*(F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(canon), F.xxhash64(F.lit("second"), canon)))))
+
+
+def _sha(text: Column) -> Column:
+    """SHA-256 as bytes, which take half the room of its digits."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
 def _ranges(ids: DataFrame, n: int) -> list:
@@ -73,7 +81,7 @@ def _differing(docs: DataFrame, shared: DataFrame) -> DataFrame:
     """Digests of `shared` under which the canonical texts of documents differ, by comparing bytes."""
     canon = docs.select(canonical(F.coalesce("text", F.lit(""))).alias("canon"), F.monotonically_increasing_id().alias("row"))
     own = canon.select(_digest(F.col("canon")).alias("digest"), "canon", F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"))
-    members = own.join(shared, "digest", "left_semi")
+    members = own.join(F.broadcast(shared) if shared.count() <= BROADCAST else shared, "digest", "left_semi")
     part = members.groupBy("digest", "salt").agg(F.min("canon").alias("low"), F.max("canon").alias("high"))
     return part.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("digest")
 
@@ -86,23 +94,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         canon.select(
             "doc_id",
             F.length("text").cast("long").alias("n_chars"),
-            F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+            _sha(F.col("edited")).alias("edited_sha256"),
             *(_digest(F.col(f"c{k}")).alias(f"d{k}") for k in range(3)),
-            *(F.sha2(F.col(f"c{k}").cast("binary"), 256).alias(f"s{k}") for k in range(3)),
+            *(_sha(F.col(f"c{k}")).alias(f"s{k}") for k in range(3)),
         )
     )
     every = rows.select(F.explode(F.array(*(F.struct(F.col(f"d{k}").alias("digest"), F.col(f"s{k}").alias("sha")) for k in range(2)))).alias("x")).select("x.*")
     buckets = every.groupBy("digest").agg(F.count("*").alias("n"), F.min("sha").alias("low"), F.max("sha").alias("high"))
-    shared = buckets.where("n > 1")
+    shared = materialise(buckets.where("n > 1"))
     apart = shared.where("low <> high").select("digest").unionByName(_differing(docs, shared.select("digest"))).distinct()
     numbered = every.join(apart, "digest", "left_semi").distinct().withColumn("number", F.row_number().over(Window.partitionBy("digest").orderBy("sha")))
     more = materialise(numbered)
     for k in range(3):
         named = more.select(F.col("digest").alias(f"d{k}"), F.col("sha").alias(f"s{k}"), F.concat(F.lit("-"), "number").alias(f"m{k}"))
-        rows = rows.join(named, [f"d{k}", f"s{k}"], "left").withColumn(f"f{k}", F.concat(f"d{k}", F.coalesce(f"m{k}", F.lit(""))))
+        rows = rows.join(named, [f"d{k}", f"s{k}"], "left").withColumn(f"f{k}", F.concat(F.lower(F.hex(f"d{k}")), F.coalesce(f"m{k}", F.lit(""))))
     like = lambda k: (F.col("f0") == F.col(f"f{k}")).cast("double")
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256",
+        "doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"),
         F.col("f0").alias("fingerprint"), F.col("f1").alias("edited_fingerprint"),
         like(1).alias("near_edited"), like(2).alias("near_next"),
     )
