@@ -53,12 +53,12 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _with_fingerprints(text_at: int, keep: list[int], words: int) -> Callable:
+def _with_fingerprints(text_at: int, keep: list[int], name: str, words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 8 << 20):
             marks = np.array([fingerprint(t, words) for t in batch.column(text_at).to_pylist()], np.uint64).view(np.int64)
             names = [batch.schema.names[k] for k in keep]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(marks)], names=[*names, "mark"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(marks)], names=[*names, name])
 
     return run
 
@@ -67,8 +67,8 @@ def with_fingerprints(docs: DataFrame, name: str, only_id: bool = False, words:
     """`docs` (or its doc_id) with the fingerprint of text, as a signed long, under `name`."""
     keep = [docs.columns.index("doc_id")] if only_id else list(range(len(docs.columns)))
     fields = [docs.schema.fields[k] for k in keep]
-    made = docs.mapInArrow(_with_fingerprints(docs.columns.index("text"), keep, words), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "mark long"]))
-    return made.toDF(*(f.name for f in fields), name)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{name}` long"])
+    return docs.mapInArrow(_with_fingerprints(docs.columns.index("text"), keep, name, words), schema)
 
 
 def segments(distance: int) -> list[int]:
