@@ -60,6 +60,8 @@ class Manifest:
     base_vectors: bool = False
     retired: tuple[tuple[int, float], ...] = ()
     """Replaced generations and when they were replaced."""
+    drained: tuple[tuple[str, float], ...] = ()
+    """Folders that were folded into a generation, and when; views that were made before still read them."""
     due_at: float | None = None
     dims: int = 0
     model: str = ""
@@ -114,4 +116,5 @@ class Manifest:
         d["columns"] = tuple(ColumnSpec(**c) for c in d["columns"])
         d["full_text"] = FullText(**{**d["full_text"], "columns": tuple(d["full_text"]["columns"])})
         d["retired"] = tuple((g, t) for g, t in d["retired"])
+        d["drained"] = tuple((n, t) for n, t in d["drained"])
         return Manifest(**{k: tuple(v) if isinstance(v, list) else v for k, v in d.items()})

@@ -221,11 +221,9 @@ class Store:
             tombstones=tuple(t for t in now.tombstones if t not in before.tombstones), vectors=tuple(v for v in now.vectors if v not in before.vectors),
             base_vectors=bool(vectors), retired=(*now.retired, (before.generation, self.now())) if before.generation else now.retired,
             due_at=self.now() + ROLL_UP_SECONDS if left else None,
+            drained=(*now.drained, *((f"{kind}/{name}", self.now()) for kind, names in (("pending", before.batches), ("tombstones", before.tombstones), ("vectors", before.vectors)) for name in names)),
         )
         self._save(now, after)
-        for kind in ("pending", "tombstones", "vectors"):
-            for name in {"pending": before.batches, "tombstones": before.tombstones, "vectors": before.vectors}[kind]:
-                self.folder.remove(f"{table}/{kind}/{name}")
         self.notify({"event": "table.rolled_up", "table": table, "rows": n, "tombstones": 0, "seq": before.next_seq - 1, "previous_generation": before.generation, "at": self.now()})
         return True
 
@@ -233,10 +231,15 @@ class Store:
         return [t for t in self.tables() if self.due(t) and self.roll_up(t)]
 
     def reap(self, grace: float = GRACE_SECONDS, most: int = 100) -> int:
-        """Remove replaced generations whose grace is over."""
+        """Remove replaced generations, and folders that were folded, whose grace is over; the number of generations."""
         removed = 0
         for table in self.tables():
             m = self.manifest(table)
+            done = [n for n, at in m.drained if at + grace < self.now()]
+            if done:
+                m = self._save(m, replace(m, drained=tuple((n, at) for n, at in m.drained if n not in done)))
+                for n in done:
+                    self.folder.remove(f"{table}/{n}")
             over = [g for g, at in m.retired if at + grace < self.now()][: most - removed]
             if over:
                 self._save(m, replace(m, retired=tuple((g, at) for g, at in m.retired if g not in over)))
