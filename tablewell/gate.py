@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .names import VECTOR_SUFFIX
+
 OPENERS = ("select", "with", "from", "values", "table", "describe", "summarize", "(")
 TABLE_FUNCTIONS = ("range", "explode", "posexplode", "inline", "explode_outer", "posexplode_outer", "generate_series")
 SIMILARITIES = ("array_cosine_similarity", "array_cosine_distance", "array_distance", "array_inner_product", "array_negative_inner_product", "array_dot_product", "array_negative_dot_product")
@@ -114,21 +116,50 @@ def check(spark: SparkSession, sql: str, tables: set[str], functions: set[str] =
             name = str(node.name().mkString(".")).lower()
             if name not in TABLE_FUNCTIONS:
                 raise Refused(f"table function {name[:80]} is not allowed")
+        if kind == "UnresolvedSubqueryColumnAliases" and VECTOR_SUFFIX in str(node.outputColumnNames().mkString(" ")).lower():
+            raise Refused(f"a name that ends in {VECTOR_SUFFIX} is kept for vectors")
     for e in _expressions(plan):
+        if _kind(e) == "Alias" and str(e.name()).lower().endswith(VECTOR_SUFFIX):
+            raise Refused(f"a name that ends in {VECTOR_SUFFIX} is kept for vectors")
         if _kind(e) == "UnresolvedFunction":
             name = str(e.nameParts().mkString(".")).lower()
+            if name in SIMILARITIES:
+                _check_arguments(name, e)
             if name in REFUSED or (name not in builtin and name not in allowed):
                 raise Refused(f"function {name[:80]} is not allowed")
 
 
+def _check_arguments(name: str, call) -> None:  # noqa: ANN001
+    """A similarity compares vector columns with each other or with the query's vector, not with numbers of one's choice."""
+    it = call.arguments().iterator()
+    while it.hasNext():
+        a = it.next()
+        inner = a.child() if _kind(a) == "Cast" else a
+        column = _kind(inner) == "UnresolvedAttribute" and str(inner.nameParts().last()).lower().endswith(VECTOR_SUFFIX)
+        if not column and not (_kind(inner) == "NamedParameter" and str(inner.name()) == "q"):
+            raise Refused(f"{name} compares vector columns and $q only")
+
+
 def _vector_ids(plan) -> set[int]:  # noqa: ANN001
-    ids = set()
+    """Ids of the columns that are vectors: those marked, and names for them, casts left aside."""
+    ids, names = set(), []
     for node in _nodes(plan):
         it = node.output().iterator()
         while it.hasNext():
             a = it.next()
             if a.metadata().contains("vector_dims"):
                 ids.add(int(a.exprId().id()))
+    for e in _expressions(plan):
+        if _kind(e) == "Alias":
+            child = e.child()
+            while _kind(child) == "Cast":
+                child = child.child()
+            if _kind(child) == "AttributeReference":
+                names.append((int(child.exprId().id()), int(e.exprId().id())))
+    before = -1
+    while before != len(ids):
+        before = len(ids)
+        ids |= {name for of, name in names if of in ids}
     return ids
 
 
@@ -138,6 +169,11 @@ def check_vectors(df: DataFrame) -> None:
     vectors = _vector_ids(plan)
     if not vectors:
         return
+    it = plan.output().iterator()
+    while it.hasNext():
+        a = it.next()
+        if int(a.exprId().id()) in vectors and not a.metadata().contains("vector_dims"):
+            raise Refused("a vector may not be cast")
     for node in _nodes(plan):
         if _kind(node) in ("Union", "Intersect", "Except", "Distinct", "Pivot", "Deduplicate"):
             it = node.output().iterator()
@@ -154,16 +190,16 @@ def _check_expression(e, vectors: set[int], top: bool) -> bool:  # noqa: ANN001
     kind = _kind(e)
     if kind == "AttributeReference":
         return int(e.exprId().id()) in vectors
+    if kind == "Alias" and top and int(e.exprId().id()) in vectors:
+        return True
+    if kind == "SQLScalarFunction" and str(e.toString()).split("(")[0].rpartition(".")[2] in SIMILARITIES:
+        return False
     held = []
     it = e.children().iterator()
     while it.hasNext():
         held.append(_check_expression(it.next(), vectors, False))
     if not any(held) or kind in ("IsNull", "IsNotNull"):
         return False
-    if kind == "Alias" and top:
-        return True
-    if kind in ("SQLScalarFunction", "SQLFunctionExpression", "ScalarSubquery") or (hasattr(e, "name") and str(e.toString()).split("(")[0] in SIMILARITIES):
-        return False
     raise Refused("a vector may only be compared with another one or be tested for NULL")
 
 

@@ -23,6 +23,7 @@ from .store import Store
 
 DEFAULT_ROWS, MOST_ROWS, MOST_OFFSET, SECONDS = 1000, 10_000, 100_000, 15
 MOST_SQL, MOST_TEXT = 20_000, 4_000
+QUERY_VECTOR = "CAST(:q AS ARRAY<FLOAT>)"
 _MATCH = re.compile(r"fts_main_(\w+)\.match_bm25\(\s*(?:\w+\.)?_row_id\s*,\s*('(?:[^']|'')*')\s*\)", re.I)
 CALLERS_FAULT = (AnalysisException, ParseException, ArithmeticException, NumberFormatException, gate.Refused, ValueError, LookupError)
 
@@ -54,7 +55,7 @@ def rewritten(sql: str) -> str:
     parts = re.split(r"('(?:[^']|'')*')", sql)
     for k in range(0, len(parts), 2):
         parts[k] = re.sub(r"\*\s+EXCLUDE\s*\(", "* EXCEPT (", parts[k], flags=re.I)
-        parts[k] = re.sub(r"\$q\b", ":q", parts[k])
+        parts[k] = re.sub(r"\$q\b", QUERY_VECTOR, parts[k])
     return "".join(parts)
 
 
@@ -128,7 +129,7 @@ class Tenant:
         if not sql:
             table, column = self.ranking(table, column)
             hidden = [c + VECTOR_SUFFIX for c in self.store.manifest(table).embedded()] + [RAW] * self.store.manifest(table).raw
-            sql = f"SELECT * EXCEPT ({', '.join(hidden)}), array_cosine_similarity({column}{VECTOR_SUFFIX}, :q) AS score FROM {table} WHERE {column}{VECTOR_SUFFIX} IS NOT NULL ORDER BY score DESC, {ROW_ID} LIMIT {int(limit)}"
+            sql = f"SELECT * EXCEPT ({', '.join(hidden)}), array_cosine_similarity({column}{VECTOR_SUFFIX}, {QUERY_VECTOR}) AS score FROM {table} WHERE {column}{VECTOR_SUFFIX} IS NOT NULL ORDER BY score DESC, {ROW_ID} LIMIT {int(limit)}"
             own = Store(spark, self.store.root, self.store.now)
             if not own.manifest(table).dims:
                 raise gate.Refused(f"table {table} has no vectors yet")
@@ -145,7 +146,7 @@ class Tenant:
             sql = self._matches(spark, sql)
         gate.check(spark, sql, {*self.store.tables(), "information_schema_columns"}, set(gate.SIMILARITIES) | {"stem", "jaro_winkler_similarity"})
         search.register(spark)
-        df = spark.sql(sql, args={"q": F.array(*(F.lit(float(x)).cast("float") for x in q))} if q is not None and ":q" in sql else None)
+        df = spark.sql(sql, args={"q": F.array(*(F.lit(float(x)) for x in q))} if q is not None and ":q" in sql else None)
         gate.check_vectors(df)
         shown = [f.name for f in df.schema if "vector_dims" not in f.metadata]
         if not shown:

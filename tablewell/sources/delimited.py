@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +26,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     header = spark.read.text(path).where("trim(value) <> ''").limit(1).first()
     if header is None:
         raise ValueError("a delimited file needs a header")
-    rows = spark.read.csv(path, header=True, sep=separator_of(header.value), quote='"', escape='"', multiLine=True, mode="PERMISSIVE")
-    if len(rows.columns) > MOST_FIELDS:
+    sep = separator_of(header.value)
+    names = next(csv.reader([header.value], delimiter=sep))
+    if len(names) > MOST_FIELDS:
         raise ValueError(f"more than {MOST_FIELDS} fields")
-    return rows
+    kinds = ", ".join(f"f{k} string" for k in range(len(names)))
+    rows = spark.read.csv(path, schema=kinds, header=True, enforceSchema=True, sep=sep, quote='"', escape='"', multiLine=True, mode="PERMISSIVE")
+    return rows.toDF(*names)
 
 
 def inferred(rows: DataFrame) -> DataFrame:

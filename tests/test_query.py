@@ -46,7 +46,7 @@ def test_attacks_are_refused(tenant, sql):
 ESCAPES = [
     "SELECT to_json(body_vec) FROM notes", "SELECT body_vec[0] FROM notes", "SELECT size(body_vec) FROM notes", "SELECT CAST(body_vec AS STRING) FROM notes", "SELECT explode(body_vec) FROM notes",
     "SELECT max(body_vec) FROM notes", "SELECT struct(body_vec) FROM notes", "SELECT x[1] FROM (SELECT body_vec AS x FROM notes)", "SELECT body_vec FROM notes UNION ALL SELECT body_vec FROM notes", "SELECT DISTINCT body_vec FROM notes",
-    "SELECT body_vec FROM notes",
+    "SELECT body_vec FROM notes", "SELECT CAST(body_vec AS ARRAY<DOUBLE>) AS x FROM notes", "SELECT array_inner_product(body_vec, array(1f, 0f)) FROM notes", "SELECT array_inner_product(a.body_vec, b.x_vec) FROM notes a CROSS JOIN (SELECT array(1f) AS x_vec) b",
 ]
 
 
