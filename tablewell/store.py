@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 import time
 import uuid
@@ -12,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import Folder
-from .manifest import ColumnSpec, Conflict, Manifest
-from .names import BATCH, INGESTED_AT, ROW_ID, SEQ
+from .functions import vectors
+from .manifest import ColumnSpec, Conflict, FullText, Manifest
+from .names import BATCH, INGESTED_AT, ROW_ID, SEQ, VECTOR_SUFFIX
 from .operators import two_tier
 from .operators.mapping import Field, rows_of
 
@@ -123,17 +126,49 @@ class Store:
         truncated = ids.limit(cap + 1).count() > cap
         return {"deleted": self.forget(table, ids.orderBy(ROW_ID).limit(cap) if truncated else ids), "truncated": truncated}
 
-    def put_vectors(self, table: str, vectors: DataFrame, model: str, dims: int) -> None:
+    def put_vectors(self, table: str, made: DataFrame, model: str, dims: int) -> None:
         """Append vectors (_row_id, column, vector); a table keeps the embedding space of its first ones."""
         manifest = self.manifest(table)
         if manifest.dims and (manifest.model, manifest.dims) != (model, dims):
             raise Conflict(f"table {table} holds vectors of {manifest.model} ({manifest.dims}), not {model} ({dims})")
         name = uuid.uuid4().hex
-        vectors.select(ROW_ID, "column", F.col("vector").cast("array<float>").alias("vector"), F.lit(self.now()).alias("at")).write.parquet(f"{self.root}/{table}/vectors/{name}")
+        made.select(ROW_ID, "column", F.col("vector").cast("array<float>").alias("vector"), F.lit(self.now()).alias("at")).write.parquet(f"{self.root}/{table}/vectors/{name}")
         self._save(manifest, replace(manifest, vectors=(*manifest.vectors, name), model=model, dims=dims))
 
+    def configure(self, table: str, full_text: FullText) -> None:
+        """Set how a table is searched by keywords."""
+        manifest = self.manifest(table)
+        self._save(manifest, replace(manifest, full_text=full_text))
+
+    def embed(self, table: str, model: str = "hash-bow-v1") -> int:
+        """Give every non-blank text of an embedded column that has no vector yet one, by the offline embedder."""
+        manifest = self.manifest(table)
+        if not manifest.embedded():
+            return 0
+        rows = self.view(table, vectors=bool(manifest.dims))
+        columns = manifest.embedded()
+        have = [c for c in columns if c + VECTOR_SUFFIX in rows.columns]
+        known = two_tier.unpivoted(rows, have) if have else self.spark.createDataFrame([], f"{ROW_ID} string, column string")
+        queue = vectors.missing_vectors(rows, known, ROW_ID, columns).select(ROW_ID, "column", vectors.hash_embedding("text").alias("vector"))
+        before = set(manifest.vectors)
+        self.put_vectors(table, queue, model, vectors.DIMS)
+        (fresh,) = set(self.manifest(table).vectors) - before
+        return self.spark.read.parquet(f"{self.root}/{table}/vectors/{fresh}").count()
+
     # reads
 
+    def snapshot(self, table: str, attempts: int = 3) -> dict:
+        """What a reader needs to build the table elsewhere (see `operators.two_tier.view`), all of one generation."""
+        for _ in range(attempts):
+            m = self.manifest(table)
+            out = {
+                "manifest": m, "base": self.generation(table, m.generation) if m.generation else None,
+                "fresh": self._read(table, "pending", m.batches), "tombstones": self._read(table, "tombstones", m.tombstones),
+            }
+            if self.manifest(table).generation == m.generation:
+                return out
+        raise Conflict(f"table {table} was compacted again and again while it was read")
+
     def _read(self, table: str, kind: str, names: tuple[str, ...]) -> DataFrame | None:
         return self.spark.read.option("mergeSchema", "true").parquet(*(f"{self.root}/{table}/{kind}/{n}" for n in names)) if names else None
 
@@ -203,11 +238,11 @@ class Store:
         at = f"{self.root}/{table}/gen-{number:06d}"
         try:
             folded = self.view(table, vectors=True, manifest=before)
-            vectors = [c for c in folded.columns if c.endswith("_vec") and c.removesuffix("_vec") in before.embedded()]
-            folded.drop(*vectors).write.mode("overwrite").option("compression", "zstd").parquet(f"{at}/rows")
-            if vectors:
-                some = F.coalesce(*(F.col(v).isNotNull() for v in vectors)) if len(vectors) == 1 else F.greatest(*(F.col(v).isNotNull() for v in vectors))
-                folded.where(some).select(ROW_ID, *vectors).write.mode("overwrite").option("compression", "zstd").parquet(f"{at}/vectors")
+            carried = [c for c in folded.columns if c.endswith("_vec") and c.removesuffix("_vec") in before.embedded()]
+            folded.drop(*carried).write.mode("overwrite").option("compression", "zstd").parquet(f"{at}/rows")
+            if carried:
+                some = functools.reduce(operator.or_, (F.col(v).isNotNull() for v in carried))
+                folded.where(some).select(ROW_ID, *carried).write.mode("overwrite").option("compression", "zstd").parquet(f"{at}/vectors")
             n = self.spark.read.parquet(f"{at}/rows").count()
             now = self.manifest(table)
             if now.generation != before.generation:
@@ -219,7 +254,7 @@ class Store:
         after = replace(
             now, generation=number, base_rows=n, batches=left, pending_rows=now.pending_rows - before.pending_rows,
             tombstones=tuple(t for t in now.tombstones if t not in before.tombstones), vectors=tuple(v for v in now.vectors if v not in before.vectors),
-            base_vectors=bool(vectors), retired=(*now.retired, (before.generation, self.now())) if before.generation else now.retired,
+            base_vectors=bool(carried), retired=(*now.retired, (before.generation, self.now())) if before.generation else now.retired,
             due_at=self.now() + ROLL_UP_SECONDS if left else None,
             drained=(*now.drained, *((f"{kind}/{name}", self.now()) for kind, names in (("pending", before.batches), ("tombstones", before.tombstones), ("vectors", before.vectors)) for name in names)),
         )

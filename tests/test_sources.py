@@ -98,3 +98,22 @@ def test_a_stream_fills_a_table(spark, tmp_path):
     assert sorted(r.n for r in store.view("t").collect()) == [0, 1, 2]
     store.roll_up("t")
     assert store.view("t").count() == 3
+
+
+def test_files_become_rows_and_chunks(spark, tmp_path):
+    from tablewell.operators import ingest_files, two_tier
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("# Title\n\none\n\n## Part\n\ntwo")
+    (tmp_path / "in" / "b.pdf").write_bytes(b"%PDF-1.7 x")
+    store = Store(spark, str(tmp_path / "store"))
+    ingest_files.add_files(store, spark.read.format("binaryFile").load(str(tmp_path / "in")))
+    got = {r.filename: r for r in store.view("well_files").collect()}
+    assert (got["a.md"].status, got["a.md"].chunk_count, got["a.md"].title) == ("ready", 2, "Title") and got["b.pdf"].status == "failed"
+    assert sorted(r.text for r in store.view("well_file_chunks").collect()) == ["Title\n\none", "Title > Part\n\ntwo"]
+    assert store.embed("well_file_chunks") == 2 and store.embed("well_file_chunks") == 0
+    batches = spark.createDataFrame([("b1", '{"service": "checkout", "count": 12, "count2": "checkout"}', 3)], "source_batch string, body string, row_count int")
+    ingest_files.add_receipts(store, "incidents", batches)
+    assert store.view("well_receipts").first().search_term == "incidents count count2 service checkout"
+    snap = store.snapshot("well_files")
+    assert two_tier.view(snap["manifest"], snap["base"], snap["fresh"], snap["tombstones"]).count() == 2
