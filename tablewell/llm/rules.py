@@ -10,6 +10,7 @@ doc_ids pass; repeated rows each get their row; an empty table gives an empty le
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Callable, Iterator
 
@@ -22,7 +23,7 @@ from .common import read_table, slices
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_word_kinds", "n_long_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_word_kinds", "n_long_words", "n_stutters")
 LEDGER = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
 
 # Name and failing condition of each rule; a rule's place is its bit.
@@ -37,6 +38,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("few_letters", "100 * n_letters < 50 * word_chars"),
     ("few_kinds", "n_words >= 50 and n_words <= 2000 and 100 * n_word_kinds < 10 * n_words"),
     ("unbroken_text", "100 * n_long_words > 20 * n_words"),
+    ("stutters", "n_words >= 20 and 100 * n_stutters > 30 * n_words"),
 )
 BASE = ("few_words", "repeated_words")
 # The rules that each version of the policy counts.
@@ -95,6 +97,7 @@ def measure(text: str | None) -> tuple[int, ...]:
         sum(map(str.isupper, text)),
         len(set(words)),
         sum(len(w) > 40 for w in words),
+        sum(map(operator.eq, words, words[1:])),
     )
 
 
