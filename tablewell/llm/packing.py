@@ -39,7 +39,6 @@ ISLANDS = 3
 POPULATION = 4
 GENERATIONS = 8
 WELL_FILLED = 0.99
-MEMO = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -56,7 +55,7 @@ def _byte_of() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str) -> tiktoken.Encoding:
-    """The vocabulary of a tokenizers file, run by tiktoken, which takes a quarter of the time for the same ids.
+    """The vocabulary of a tokenizers file, run by tiktoken, which takes a fraction of the time for the same ids.
 
     In such a file the merges are in the order of the ids, so the ids are ranks. Both encoders are compared when it loads.
     """
@@ -74,34 +73,13 @@ def _tokenizer(path: str) -> tiktoken.Encoding:
 
 
 class _Encoder:
-    """Ids of texts as little-endian 32-bit bytes.
-
-    The pattern of this tokenizer always begins a token at a single space between two characters that are no white space,
-    so the parts between such spaces are encoded each by itself, and equal ones once. Other texts are encoded whole.
-    """
+    """Ids of texts as little-endian 32-bit bytes."""
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.memo = _tokenizer(path), {}
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        encode = self.tokenizer.encode_ordinary
-        return [array("I", encode(p)).tobytes() for p in parts]
+        self.tokenizer = _tokenizer(path)
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = {p for parts in cut for p in parts[1:] if p not in memo}
-        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
-        new -= odd
-        memo.update(zip(new, self._encode([" " + p for p in new]), strict=True))
-        out: list[bytes | None] = []
-        for parts in cut:
-            plain = parts[0] and not parts[0][-1].isspace() or len(parts) == 1
-            out.append(None if not plain or odd and not odd.isdisjoint(parts[1:]) else b"".join([memo[p] for p in parts[1:]]))
-        heads = self._encode([t if o is None else parts[0] for t, parts, o in zip(texts, cut, out, strict=True)])
-        return [h if o is None else h + o for h, o in zip(heads, out, strict=True)]
+        return [array("I", self.tokenizer.encode_ordinary(t)).tobytes() for t in texts]
 
 
 def cut_points(n: int, room: int = ROOM) -> list[tuple[int, int]]:
