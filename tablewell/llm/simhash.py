@@ -14,6 +14,13 @@ Keys with more than `MOST` fingerprints are cut into blocks, and each pair of bl
 
 Defined results: null and blank texts have fingerprint zero and link like any other; a null doc_id is never a component's
 smallest unless all are null; repeated rows each get their row; empty tables give empty results.
+
+The pipeline's stage asks for more: texts whose sets of five-word shingles have a Jaccard similarity of `SIMILAR` or more.
+Their SimHashes differ in about 10 of 64 bits, where no key is selective, so `one_of_each_similar` finds candidates by
+min-wise hashes: `BANDS` keys of `ROWS` values each, of which a pair at 0.8 shares one with probability 0.9998. Groups of
+one key of up to `FEW` texts give all pairs, larger ones a spanning tree of greatest estimated similarity, and each link
+is verified by the shingle sets themselves before it counts. Where a larger group stays in several components, all texts
+outside its largest one are compared with the whole group by their shingle sets, so no link among its texts is missed.
 """
 
 from __future__ import annotations
@@ -34,19 +41,33 @@ SEED = 42
 DISTANCE = 4
 MOST = 16384
 PAIRS = "kind string, key long, a long, b long"
+SIMILAR_WORDS = 5
+SIMILAR = 0.8
+BANDS, ROWS = 16, 4
+FEW = 16
+BLOCK = 2048
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The unsigned 64-bit fingerprint of one text."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return 0
+def _tokens(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _hashes(parts: list[bytes], words: int) -> np.ndarray:
+    """XXH64 of each shingle of a text that has words."""
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     reach = min(words, len(parts)) - 1
     cuts = zip(starts[: len(parts) - reach].tolist(), ends[reach:].tolist(), strict=True)
-    hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in cuts], dtype="<u8")
+    return np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in cuts], dtype="<u8")
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """The unsigned 64-bit fingerprint of one text."""
+    parts = _tokens(text)
+    if not parts:
+        return 0
+    hashes = _hashes(parts, words)
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 65536):
         ones += np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -258,6 +279,238 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return kept.where(F.col("doc_id").eqNullSafe(F.col(least))).dropDuplicates([root]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+def _factors() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    return rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
+
+
+def _mark(parts: list[bytes]) -> int:
+    return xxh64_intdigest(b" ".join(parts), SEED)
+
+
+def _marks(text_at: int, name: str) -> Callable:
+    """All columns, and a hash of the words of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 8 << 20):
+            marks = np.array([_mark(_tokens(t)) for t in batch.column(text_at).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks)], names=[*batch.schema.names, name])
+
+    return run
+
+
+def _sketches(words: int) -> Callable:
+    """From (doc_id, text): doc_id, mark, the keys of the bands (none for blank texts) and a byte of each min-wise hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factor, shift = _factors()
+        band = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        for batch in slices(batches, 8 << 20):
+            marks, keys, sketches = [], [], []
+            for text in batch.column(1).to_pylist():
+                parts = _tokens(text)
+                marks.append(_mark(parts))
+                if not parts:
+                    keys.append([])
+                    sketches.append(b"")
+                    continue
+                hashes = _hashes(parts, words)
+                least = np.min([(hashes[k : k + 512, None] * factor + shift).min(0) for k in range(0, len(hashes), 512)], axis=0)
+                mixed = band.copy()
+                for column in least.reshape(BANDS, ROWS).T:
+                    mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
+                    mixed ^= mixed >> np.uint64(29)
+                keys.append(mixed.view(np.int64))
+                sketches.append(((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes())
+            columns = [batch.column(0), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "keys", "sketch"])
+
+    return run
+
+
+def _likely(similar: float) -> int:
+    """Bytes of a sketch that agree in all but about one of a million pairs of that similarity (five deviations less)."""
+    n = BANDS * ROWS
+    return int(n * similar - 5 * (n * similar * (1 - similar)) ** 0.5)
+
+
+def _candidates(sketch: np.ndarray, least: int, few: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs in one group whose sketches agree in `least` bytes: all in small groups, else a spanning forest of most agreement."""
+    n = len(sketch)
+    if n <= few:
+        a, b = np.triu_indices(n, 1)
+        good = (sketch[a] == sketch[b]).sum(1) >= least
+        return a[good], b[good]
+    rest, best, source, out = np.arange(1, n), np.full(n - 1, -1), np.zeros(n - 1, np.int64), []
+    at = 0
+    while len(rest):
+        agree = (sketch[rest] == sketch[at]).sum(1)
+        nearer = agree > best
+        best[nearer], source[nearer] = agree[nearer], at
+        k = int(best.argmax())
+        at = int(rest[k])
+        if best[k] >= least:
+            out.append((int(source[k]), at))
+        rest, best, source = (np.delete(x, k) for x in (rest, best, source))
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+NEAR = "key long, a long, b long, sketch binary"
+
+
+def _near(least: int, heads: int, few: int, most: int, keep: bool = True) -> Callable:
+    """Candidates from rows (group columns, mark, sketch) sorted by their first `heads` columns; of groups of over `few`, with
+    `keep`, the rows with the group's size too, and of those over `most` only these, with their sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close() -> Iterator[pa.RecordBatch]:
+            mark = np.concatenate([h[0] for h in held])
+            sketch = [s for h in held for s in h[1]]
+            if keep and len(mark) > few:
+                columns = [np.full(len(mark), name[0]), mark, np.full(len(mark), len(mark))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(sketch if len(mark) > most else [b""] * len(mark), pa.binary())], names=["key", "a", "b", "sketch"])
+            if 1 < len(mark) <= most:
+                a, b = _candidates(np.frombuffer(b"".join(sketch), np.uint8).reshape(len(mark), -1), least, few)
+                if len(a):
+                    columns = [np.full(len(a), name[0]), np.minimum(mark[a], mark[b]), np.maximum(mark[a], mark[b])]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(a), pa.binary())], names=["key", "a", "b", "sketch"])
+
+        held, name = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            head = np.stack([batch.column(k).to_numpy() for k in range(heads)], 1)
+            mark = batch.column(heads).to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero((head[1:] != head[:-1]).any(1)) + 1, [len(head)]]).tolist()
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if (here := tuple(head[lo].tolist())) != name:
+                    if name is not None:
+                        yield from close()
+                    held, name = [], here
+                held.append((mark[lo:hi], batch.column(heads + 1).slice(lo, hi - lo).to_pylist()))
+        if name is not None:
+            yield from close()
+
+    return run
+
+
+def _verified(similar: float) -> Callable:
+    """From (a, b, shingles of a, shingles of b): the links whose sets are as similar as asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                one, two = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                good.append(both >= similar * (len(one) + len(two) - both) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def _across(similar: float) -> Callable:
+    """From rows (key, straggler block, block, side, mark, root, shingles) sorted by the first four: a link from each
+    straggler (side 1) to each other root that has a text (side 0) as similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close() -> Iterator[pa.RecordBatch]:
+            side, mark, root = (np.concatenate([h[k] for h in held]) for k in range(3))
+            sets = [np.frombuffer(x, "<u8") for h in held for x in h[3]]
+            rows = np.flatnonzero(side == 0)
+            size = np.array([len(sets[k]) for k in rows], np.int64)
+            if not len(rows):
+                return
+            values = np.concatenate([sets[k] for k in rows])
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], np.repeat(np.arange(len(rows)), size)[order]
+            out = []
+            for k in np.flatnonzero(side == 1):
+                lo, hi = np.searchsorted(values, sets[k]), np.searchsorted(values, sets[k], "right")
+                n = hi - lo
+                both = np.bincount(owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], minlength=len(rows))
+                good = rows[(both >= similar * (size + len(sets[k]) - both) - 1e-9) & (root[rows] != root[k])]
+                out += [(mark[k], mark[good[j]]) for j in np.unique(root[good], return_index=True)[1]]
+            if out:
+                pairs = np.array(out, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        held, name = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy() for k in range(6)]
+            head = np.stack(columns[:3], 1)
+            cuts = np.concatenate([[0], np.flatnonzero((head[1:] != head[:-1]).any(1)) + 1, [len(head)]]).tolist()
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if (here := tuple(head[lo].tolist())) != name:
+                    if name is not None:
+                        yield from close()
+                    held, name = [], here
+                held.append((*(c[lo:hi] for c in columns[3:]), batch.column(6).slice(lo, hi - lo).to_pylist()))
+        if name is not None:
+            yield from close()
+
+    return run
+
+
+def _shingle_sets(words: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 8 << 20):
+            sets = [np.unique(_hashes(parts, words)).tobytes() if (parts := _tokens(t)) else b"" for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["mark", "shingles"])
+
+    return run
+
+
+def similar_links(docs: DataFrame, classes: DataFrame, words: int, similar: float, few: int = FEW, block: int = BLOCK) -> DataFrame:
+    """Verified links (a, b) that span the components of the marks of `classes` (mark, keys, sketch); `docs` (mark, text)
+    has their texts."""
+    width, least = shuffle_width(docs.sparkSession), _likely(similar)
+    keyed = classes.select(F.explode("keys").alias("key"), "mark", "sketch")
+    found = materialise(keyed.repartition(width, "key").sortWithinPartitions("key", "mark").mapInArrow(_near(least, 1, few, 2 * block), NEAR))
+    big = found.where(f"b > {2 * block} and length(sketch) > 0").select("key", F.pmod(F.xxhash64("a", "key"), F.ceil(F.col("b") / block)).alias("own"), "a", "sketch")
+    blocks = big.repartition(width, "key", "own").sortWithinPartitions("key", "own", "a").mapInArrow(_near(least, 2, few, 2**62, keep=False), NEAR)
+    tried = materialise(found.where("sketch is null").select("a", "b").unionByName(blocks.select("a", "b")).distinct())
+    large = found.where("sketch is not null").select("key", F.col("a").alias("mark"))
+    wanted = tried.select(F.col("a").alias("mark")).unionByName(tried.select(F.col("b").alias("mark"))).unionByName(large.select("mark")).distinct()
+    texts = docs.join(wanted, "mark", "left_semi").select("mark", "text").dropDuplicates(["mark"])
+    sets = materialise(texts.mapInArrow(_shingle_sets(words), "mark long, shingles binary"))
+    first, second = sets.toDF("a", "first"), sets.toDF("b", "second")
+    good = materialise(tried.join(first, "a").join(second, "b").select("a", "b", "first", "second").mapInArrow(_verified(similar), "a long, b long"))
+    if large.isEmpty():
+        return good
+    now = large.join(components(good).toDF("mark", "root"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+    now = materialise(now.select("key", "mark", "root"))
+    sizes = now.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    split = sizes.where("n > top.n").select("key", F.col("top.root").alias("most"), F.ceil(F.col("n") / block).alias("m"), F.ceil((F.col("n") - F.col("top.n")) / block).alias("s"))
+    rows = now.join(split, "key")
+    to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("mark"), F.col(c))
+    members = rows.select("key", to("s").alias("one"), own("m").alias("two"), F.lit(0).cast("long").alias("side"), "mark", "root")
+    stragglers = rows.where("root <> most").select("key", own("s").alias("one"), to("m").alias("two"), F.lit(1).cast("long").alias("side"), "mark", "root")
+    both = members.unionByName(stragglers).join(sets, "mark").select("key", "one", "two", "side", "mark", "root", "shingles")
+    more = both.repartition(width, "key", "one", "two").sortWithinPartitions("key", "one", "two", "side").mapInArrow(_across(similar), "a long, b long")
+    return good.unionByName(more)
+
+
+def one_of_each_similar(docs: DataFrame, words: int = SIMILAR_WORDS, similar: float = SIMILAR) -> DataFrame:
+    """`docs` with all columns, one row of each component of texts whose shingles are as similar: that with the smallest
+    doc_id (of equal ones any one). Blank texts are similar to each other only."""
+    mark, root = (free_name(docs.columns, n) for n in ("mark__", "root__"))
+    least = free_name(docs.columns, "least__")
+    sketched = docs.select("doc_id", "text").mapInArrow(_sketches(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, keys array<long>, sketch binary")
+    classes = materialise(sketched.groupBy("mark").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    marked = docs.mapInArrow(_marks(docs.columns.index("text"), mark), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{mark}` long"]))
+    links_ = similar_links(marked.select(F.col(mark).alias("mark"), "text"), classes, words, similar)
+    rooted = classes.join(components(links_).toDF("mark", "root"), "mark", "left").select("mark", "least", F.coalesce("root", "mark").alias("root"))
+    best = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    chosen = rooted.join(best, "root").where(rooted["least"].eqNullSafe(best["least"])).select(F.col("mark").alias(mark), F.col("root").alias(root), best["least"].alias(least))
+    kept = marked.join(chosen, mark)
+    return kept.where(F.col("doc_id").eqNullSafe(F.col(least))).dropDuplicates([root]).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(read_table(spark, sf_dir, "documents"))
 
