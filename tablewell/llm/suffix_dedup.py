@@ -14,6 +14,9 @@ How it works, all of it as Spark shuffles of packed suffix arrays:
    whole neighbourhood), and levels of equal size merge geometrically.
 3. Prefixes that occur with different neighbourhoods are the ends of matches. Only their text travels: every suffix there
    enters a full suffix array of 50-byte strings, again through an index family, with byte comparison of equal runs.
+   A prefix with over `HOT` entries in one batch, or `HOTTEST` in its share, is hot: each batch sends its entries' windows
+   one by one, dealt by the windows' own 128-bit hash and each with the least doc_id of its batch, so that a hot prefix
+   spreads over all tasks. A batch says so with a token, and its own entries of a prefix hot there skip step 2.
 4. The matched windows go back to their batch, which cuts them out.
 
 Hash order stands for alphabetical order within the arrays; step 2 takes two neighbourhoods as equal if 80 bits of hash,
@@ -43,6 +46,8 @@ PREFIX = 16
 BATCH_BYTES = 8 << 20
 BLOCK = 1 << 18
 LONGEST_RUN = 200
+HOT = 64
+HOTTEST = 4096
 ROWS = "part long, kind string, bid long, doc binary, body binary"
 _ROWS = pa.schema([("part", pa.int64()), ("kind", pa.string()), ("bid", pa.int64()), ("doc", pa.binary()), ("body", pa.binary())])
 
@@ -215,6 +220,15 @@ def _arrays(parts: int, id_at: int, text_at: int) -> Callable:
             if late.any():
                 yield _emit([_row(int(row["bid"] % parts), "F", row["bid"], None, squeeze(at[late].astype(np.uint32), n[late].astype(np.uint8)))])
             key, check, doc, part, at, n = (x[~late] for x in (key, check, doc, part, at, n))
+            lead = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])) if len(key) else np.zeros(0, np.int64)
+            size = np.diff(np.append(lead, len(key)))
+            hot = np.repeat(size > HOT, size)
+            if hot.any():
+                yield _emit([_row(int(row["bid"] % parts), "H", row["bid"], None, squeeze(at[hot].astype(np.uint32), n[hot].astype(np.uint8)))])
+                first = lead[size > HOT]
+                for p in np.unique(part[first]):
+                    yield _emit([_row(int(p), "K", row["bid"], None, squeeze(key[first[part[first] == p]]))])
+                key, check, doc, part, at, n = (x[~hot] for x in (key, check, doc, part, at, n))
             cuts = np.searchsorted(part, np.arange(parts + 1))
             for p in range(parts):
                 a, b = int(cuts[p]), int(cuts[p + 1])
@@ -229,10 +243,14 @@ def _arrays(parts: int, id_at: int, text_at: int) -> Callable:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 2: index families over shares of the prefixes; whole repeats and match ends go back to their batches."""
     family = IndexFamily()
+    tokens = np.zeros(0, np.uint64)
     for row in (r for b in batches for r in b.to_pylist()):
-        if row["kind"] == "F":
+        if row["kind"] in ("F", "H"):
             yield _emit([row | {"part": -1}])
             continue
+        if row["kind"] == "K":
+            tokens = np.union1d(tokens, unsqueeze(row["body"], "u8")[0])
+            continue
         key, check, at, which, n = unsqueeze(row["body"], "u8", "u4", "u4", "u4", "u1")
         (gaps,) = unsqueeze(row["doc"], "i8")
         family.add([np.cumsum(key, dtype=np.uint64), check, np.cumsum(gaps)[which], np.full(len(key), row["bid"], np.int64), at, n])
@@ -247,8 +265,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     mixed = (np.maximum.reduceat(doc, lead) != np.minimum.reduceat(doc, lead)) & (
         np.maximum.reduceat(check, lead) != np.minimum.reduceat(check, lead)
     )
-    ends = np.repeat(mixed, size)
-    yield from _replies("P", origin[ends], at[ends], n[ends])
+    told = np.isin(key[lead], tokens)
+    for kind, groups in (("P", mixed & ~told & (size <= HOTTEST)), ("H", told | (mixed & (size > HOTTEST)))):
+        ends = np.repeat(groups, size)
+        yield from _replies(kind, origin[ends], at[ends], n[ends])
 
 
 def _by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, dict[str, list[bytes]]]]:
@@ -279,16 +299,39 @@ def _spread(at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
+def _hot_windows(parts: int, bid: int, data: np.ndarray, place: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Windows at match ends of hot prefixes, dealt out by their own hash; of equal ones those of the least document."""
+    one = _window_hash(data, place, np.full(len(place), WINDOW))
+    two = _mix(_window_hash(data, place + 1, np.full(len(place), WINDOW - 1)) ^ (data[place].astype(np.uint64) + np.uint64(1)))
+    part = two % np.uint64(parts)
+    order = np.lexsort((doc, one, two, part))
+    one, two, doc, part, place = (x[order] for x in (one, two, doc, part, place))
+    lead = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+    late = doc > np.repeat(doc[lead], np.diff(np.append(lead, len(doc))))
+    if late.any():
+        yield _emit([_row(bid % parts, "F", bid, None, squeeze(place[late].astype(np.uint32), np.ones(int(late.sum()), np.uint8)))])
+    one, two, doc, part, place = (x[~late] for x in (one, two, doc, part, place))
+    cuts = np.searchsorted(part, np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cuts)):
+        a, b = int(cuts[p]), int(cuts[p + 1])
+        yield _emit([_row(p, "W", bid, None, squeeze(two[a:b], one[a:b], doc[a:b], place[a:b].astype(np.uint32)))])
+
+
 def _end_texts(parts: int, id_at: int, text_at: int) -> Callable:
     """Step 3a: the text around the ends of matches, dealt out by content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bid, blob, replies in _by_batch(batches):
-            if "P" not in replies:
+            if not replies.keys() & {"P", "H"}:
                 continue
-            at, n = _windows(replies["P"])
             batch = _unpack(blob)
             data, starts = text_bytes(batch.column(text_at))
+            if "H" in replies:
+                place = _spread(*_windows(replies["H"]))
+                yield from _hot_windows(parts, bid, data, place, _ids(batch, id_at)[np.searchsorted(starts, place, "right") - 1])
+            if "P" not in replies:
+                continue
+            at, n = _windows(replies["P"])
             doc = _ids(batch, id_at)[np.searchsorted(starts, at, "right") - 1]
             key = np.zeros(len(at), np.uint64)
             words = _words(np.concatenate([data, np.zeros(8, np.uint8)]))
@@ -315,7 +358,15 @@ def _scan_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     family = IndexFamily()
     texts: list[np.ndarray] = []
     base = 0
+    single = IndexFamily()
     for row in (r for b in batches for r in b.to_pylist()):
+        if row["kind"] == "F":
+            yield _emit([row | {"part": -1}])
+            continue
+        if row["kind"] == "W":
+            two, one, doc, place = unsqueeze(row["body"], "u8", "u8", "i8", "u4")
+            single.add([two, one, doc, np.full(len(two), row["bid"], np.int64), place, np.ones(len(two), np.uint8)])
+            continue
         doc, at, n = unsqueeze(row["doc"], "i8", "u4", "u1")
         n = n.astype(np.int64)
         data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"]), np.uint8)
@@ -328,6 +379,9 @@ def _scan_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family.add([words[start].byteswap(), hashed, doc[run], np.full(len(start), row["bid"], np.int64), place, start + base])
         texts.append(data)
         base += len(data)
+    single.whole()
+    for origin, place, windows, _ in single.repeats:
+        yield from _replies("F", origin, place, windows)
     if family.whole() is None:
         return
     text = np.concatenate(texts)
@@ -404,7 +458,7 @@ def _run(docs: DataFrame, finish: Callable, schema: object) -> DataFrame:
     arrays = texts.mapInArrow(_arrays(parts, id_at, text_at), ROWS).repartition(parts, "part")
     replies = materialise(arrays.mapInArrow(_scan, ROWS))
     together = lambda *kinds: texts.unionByName(replies.where(F.col("kind").isin(*kinds))).repartition(parts, "bid").sortWithinPartitions("bid", "kind")
-    ends = together("P").mapInArrow(_end_texts(fine, id_at, text_at), ROWS).repartition(fine, "part").mapInArrow(_scan_ends, ROWS)
+    ends = together("P", "H").mapInArrow(_end_texts(fine, id_at, text_at), ROWS).repartition(fine, "part").mapInArrow(_scan_ends, ROWS)
     whole = texts.unionByName(replies.where("kind = 'F'")).unionByName(ends).repartition(parts, "bid").sortWithinPartitions("bid", "kind")
     return whole.mapInArrow(_cut(id_at, text_at, finish), schema)
 

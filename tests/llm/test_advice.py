@@ -3,8 +3,13 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+import zstandard
+from test_text_operators import collected, key, removed
+
 import corpus_pipeline
-from tablewell.llm import simhash
+from tablewell.llm import simhash, suffix_dedup
 
 
 def shingle_set(text):
@@ -69,3 +74,41 @@ def test_large_groups_are_spanned_in_blocks(spark):
     classes = docs.mapInArrow(simhash._sketches(5), "doc_id long, mark long, keys array<long>, sketch binary").dropDuplicates(["mark"])
     whole, large, cut = ({tuple(r) for r in simhash.components(simhash.similar_links(marked, classes, 5, 0.8, few, block)).collect()} for few, block in ((1000, 1000), (16, 2048), (2, 8)))
     assert whole == large == cut and whole
+
+
+def hot_rows():
+    """One passage in each of many texts, each in a context of its own; some contexts repeat."""
+    rng = random.Random(4)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage, context = own(150), own(70)
+    rows = [(k, own(70) + passage + own(70)) for k in range(300)]
+    rows += [(k, context + passage + own(70)) for k in range(300, 340)]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_op8_hot_prefixes_spread():
+    """No task of step 3 gets more than a small share of the windows at the ends of a hot passage."""
+    parts, rows = 64, hot_rows()
+    batch = pa.record_batch({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as stream:
+        stream.write_batch(batch)
+    text = suffix_dedup._row(-1, "T", 0, None, zstandard.ZstdCompressor().compress(sink.getvalue()))
+    dealt = [r for b in suffix_dedup._arrays(4, 0, 1)(iter([suffix_dedup._emit([text])])) for r in b.to_pylist()]
+    found = [r for p in range(4) for b in suffix_dedup._scan(iter([suffix_dedup._emit([r for r in dealt if r["part"] == p])])) for r in b.to_pylist()]
+    ends = sorted([r for r in found if r["kind"] in ("P", "H")] + [text], key=lambda r: r["kind"])
+    load = np.zeros(parts)
+    for r in (r for b in suffix_dedup._end_texts(parts, 0, 1)(iter([suffix_dedup._emit(ends)])) for r in b.to_pylist()):
+        if r["kind"] == "E":
+            load[r["part"]] += suffix_dedup.unsqueeze(r["doc"], "i8", "u4", "u1")[2].sum()
+        elif r["kind"] == "W":
+            load[r["part"]] += len(suffix_dedup.unsqueeze(r["body"], "u8", "u8", "i8", "u4")[0])
+    assert load.sum() > 1000 and load.max() < 0.1 * load.sum()
+
+
+def test_op8_hot_passage_leaves_all_but_its_first_text(spark):
+    rows = hot_rows()
+    want = [(r[0], len(b), int(gone.sum())) for r, (b, gone) in zip(rows, removed(rows), strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert collected(suffix_dedup.removed_spans(docs).select("doc_id", "n_bytes", "n_removed")) == sorted(want, key=key)
