@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -26,27 +28,34 @@ class Folder:
         finally:
             stream.close()
 
-    def write(self, name: str, text: str, fresh: bool = False) -> None:
-        """Write a file; with `fresh`, FileExistsError if it's there already. Otherwise it is replaced by a rename."""
-        if fresh:
-            try:
-                stream = self._fs.create(self._path(name), False)
-            except Exception as e:
-                if self.exists(name):
-                    raise FileExistsError(name) from e
-                raise
-            self._put(stream, text)
-            return
-        self._put(self._fs.create(self._path(f"{name}.new"), True), text)
-        self._fs.delete(self._path(name), False)
-        if not self._fs.rename(self._path(f"{name}.new"), self._path(name)):
-            raise OSError(f"{name} can't be replaced")
-
-    def _put(self, stream, text: str) -> None:  # noqa: ANN001
+    def write_new(self, name: str, text: str) -> None:
+        """Write a file that isn't there yet; FileExistsError if it is.
+
+        The text is written under a hidden name and then gets its own in one step that fails if that is taken, so a reader
+        sees the whole file or none, and of two writers one wins.
+        """
+        folder, _, last = name.rpartition("/")
+        hidden = f"{folder}/.{last}.{uuid.uuid4().hex}"
+        stream = self._fs.create(self._path(hidden), True)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
+        try:
+            if str(self._fs.getUri().getScheme()) == "file":  # a rename replaces there, a link doesn't
+                place = lambda n: self._jvm.java.io.File(self._path(n).toUri().getPath()).toPath()
+                self._jvm.java.nio.file.Files.createLink(place(name), place(hidden))
+            else:
+                fs = self._jvm.org.apache.hadoop.fs
+                once = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+                fs.FileContext.getFileContext(self._path(name).toUri(), self._fs.getConf()).rename(self._path(hidden), self._path(name), once)
+        except Exception as e:
+            if self.exists(name):
+                raise FileExistsError(name) from e
+            raise
+        finally:
+            if self.exists(hidden):
+                self._fs.delete(self._path(hidden), False)
 
     def list(self, name: str = "") -> list[str]:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(name))) if self.exists(name) else []

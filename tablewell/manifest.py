@@ -1,4 +1,4 @@
-"""What a table is: columns, key, generations and pending batches, kept as one JSON document."""
+"""What a table is: columns, key, generations and pending batches, kept as numbered JSON documents."""
 
 from __future__ import annotations
 
@@ -43,6 +43,15 @@ class FullText:
         return replace(self, **{k: v for k, v in changes.items() if v is not None})
 
 
+@dataclass(frozen=True)
+class Part:
+    """An immutable folder of folded rows, and of their vectors if they have some."""
+
+    name: str
+    rows: int
+    vectors: bool = False
+
+
 @dataclass(frozen=True)
 class Manifest:
     name: str
@@ -50,23 +59,29 @@ class Manifest:
     key: tuple[str, ...] = ()
     raw: bool = False
     generation: int = 0
-    base_rows: int = 0
+    parts: tuple[Part, ...] = ()
+    """The generation, largest parts first."""
     next_seq: int = 1
-    batches: tuple[str, ...] = ()
-    """Folders of rows that aren't in a generation yet, oldest first."""
+    batches: tuple[tuple[str, int], ...] = ()
+    """Folders of rows that aren't in a generation yet, oldest first, each with the seq of its first place."""
     pending_rows: int = 0
     tombstones: tuple[str, ...] = ()
     vectors: tuple[str, ...] = ()
-    base_vectors: bool = False
-    retired: tuple[tuple[int, float], ...] = ()
-    """Replaced generations and when they were replaced."""
+    past: tuple[tuple[int, float, tuple[str, ...]], ...] = ()
+    """Replaced generations, when they were replaced, and their parts."""
     drained: tuple[tuple[str, float], ...] = ()
     """Folders that were folded into a generation, and when; views that were made before still read them."""
+    sources: tuple[tuple[str, int], ...] = ()
+    """Streaming sources and the last micro-batch of each that was appended."""
     due_at: float | None = None
     dims: int = 0
     model: str = ""
     full_text: FullText = field(default_factory=FullText)
 
+    @property
+    def base_rows(self) -> int:
+        return sum(p.rows for p in self.parts)
+
     @staticmethod
     def new(name: str, columns: list[ColumnSpec], key: list[str] | None = None, raw: bool = False, system: bool = False) -> Manifest:
         own = tuple(c.checked() for c in columns)
@@ -114,7 +129,9 @@ class Manifest:
     def loads(text: str) -> Manifest:
         d = json.loads(text)
         d["columns"] = tuple(ColumnSpec(**c) for c in d["columns"])
+        d["parts"] = tuple(Part(**p) for p in d["parts"])
         d["full_text"] = FullText(**{**d["full_text"], "columns": tuple(d["full_text"]["columns"])})
-        d["retired"] = tuple((g, t) for g, t in d["retired"])
-        d["drained"] = tuple((n, t) for n, t in d["drained"])
+        d["past"] = tuple((g, t, tuple(names)) for g, t, names in d["past"])
+        for pairs in ("batches", "drained", "sources"):
+            d[pairs] = tuple((a, b) for a, b in d[pairs])
         return Manifest(**{k: tuple(v) if isinstance(v, list) else v for k, v in d.items()})

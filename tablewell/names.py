@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-ROW_ID, INGESTED_AT, BATCH, RAW, SEQ = "_row_id", "_ingested_at", "_batch", "_raw", "_seq"
+ROW_ID, INGESTED_AT, BATCH, RAW, SEQ, PLACE = "_row_id", "_ingested_at", "_batch", "_raw", "_seq", "_place"
 SYSTEM = (ROW_ID, INGESTED_AT, BATCH)
 VECTOR_SUFFIX = "_vec"
 RESERVED_TABLE_PREFIX = "well_"

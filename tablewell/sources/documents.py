@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import ast
+import csv
 import html as entities
 import io
 import re
 import zipfile
 from dataclasses import dataclass, field
+from html.parser import HTMLParser
+
+from .delimited import MOST_FIELDS, separator_of
 
 # Extensions and media types.
 EXTENSIONS = {
@@ -16,6 +20,7 @@ EXTENSIONS = {
     "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
 }
 MOST_UNPACKED = 200 << 20
+MOST_RECORDS = 10_000
 
 
 @dataclass
@@ -71,23 +76,87 @@ def markdown(text: str) -> list[Block]:
     return out
 
 
-_DROP = re.compile(r"<(script|style|head|noscript|template)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
-_HEADING = re.compile(r"<h([1-6])\b[^>]*>(.*?)</h\1\s*>", re.S | re.I)
-_TAG = re.compile(r"<[^>]+>")
+# Elements whose content isn't shown, and elements that stand on lines of their own.
+UNSEEN = frozenset(("head", "noscript", "script", "style", "template"))
+ON_THEIR_OWN = frozenset(("article", "blockquote", "body", "div", "footer", "form", "header", "main", "nav", "ol", "p", "pre", "section", "table", "tr", "ul"))
+
 
+class _PageReader(HTMLParser):
+    """Collects a page's blocks: the text between two block elements, under the headings that hold for it."""
 
-def html_as_markdown(text: str) -> str:
-    text = _DROP.sub(" ", text)
-    text = _HEADING.sub(lambda m: f"\n\n{'#' * int(m[1])} {' '.join(_TAG.sub(' ', m[2]).split())}\n\n", text)
-    text = re.sub(r"<li\b[^>]*>", "\n- ", text, flags=re.I)
-    text = re.sub(r"<br\s*/?>", "\n", text, flags=re.I)
-    text = re.sub(r"</?(p|div|section|article|table|tr|ul|ol|blockquote|pre|header|footer|main|nav)\b[^>]*>", "\n\n", text, flags=re.I)
-    text = entities.unescape(_TAG.sub("", text))
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text)).strip()
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.blocks: list[Block] = []
+        self.path: list[tuple[int, str]] = []
+        self.lines: list[str] = [""]
+        self.level = 0
+        self.unseen: str | None = None
+        self.depth = 0
+
+    def finish(self) -> None:
+        """End the block, or the heading, that was being read."""
+        lines = [" ".join(x.split()) for x in self.lines]
+        text = "\n".join(x for x in lines if x and x != "-")
+        self.lines = [""]
+        if text and self.level:
+            self.path = [h for h in self.path if h[0] < self.level] + [(self.level, text.replace("\n", " "))]
+        elif text:
+            self.blocks.append(Block(text, [h for _, h in self.path]))
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.unseen:
+            self.depth += tag == self.unseen
+        elif tag in UNSEEN:
+            self.unseen, self.depth = tag, 1
+        elif len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
+            self.finish()
+            self.level = int(tag[1])
+        elif tag in ON_THEIR_OWN:
+            self.finish()
+            self.level = 0
+        elif tag == "br":
+            self.lines.append("")
+        elif tag == "li":
+            self.lines.append("- ")
+        elif tag in ("td", "th"):
+            self.lines[-1] += " "
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.unseen:
+            self.depth -= tag == self.unseen
+            self.unseen = self.unseen if self.depth else None
+        elif tag in ON_THEIR_OWN or (len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"):
+            self.finish()
+            self.level = 0
+
+    def handle_data(self, data: str) -> None:
+        if not self.unseen:
+            self.lines[-1] += data
 
 
 def page(text: str) -> list[Block]:
-    return markdown(html_as_markdown(text))
+    reader = _PageReader()
+    reader.feed(text)
+    reader.close()
+    reader.finish()
+    return reader.blocks
+
+
+def records(text: str) -> list[dict[str, str | None]]:
+    """The records of a delimited text by its header: short ones are filled up with None, blank lines are dropped."""
+    lines = [x for x in csv.reader(io.StringIO(text), delimiter=separator_of(next((x for x in text.split("\n") if x.strip()), ""))) if any(f.strip() for f in x)]
+    if not lines:
+        raise ValueError("a delimited file needs a header")
+    if len(lines[0]) > MOST_FIELDS or len(lines) > MOST_RECORDS + 1:
+        raise ValueError(f"a delimited document has at most {MOST_FIELDS} fields and {MOST_RECORDS} records")
+    names = [name.strip() or f"column_{k}" for k, name in enumerate(lines[0], 1)]
+    return [dict(zip(names, [*line, *[None] * len(names)], strict=False)) for line in lines[1:]]
+
+
+def table_rows(text: str) -> list[Block]:
+    """A block for each record of a delimited text: a line `name: value` for each field that has a value."""
+    shown = ("\n".join(f"{n}: {v}" for n, v in r.items() if v) for r in records(text))
+    return [Block(body, kind="table") for body in shown if body]
 
 
 def _parts(content: bytes) -> zipfile.ZipFile:
@@ -167,4 +236,5 @@ def blocks(content: bytes, kind: str) -> list[Block]:
     if kind == "application/pdf":
         raise ValueError("this library reads no PDF")
     text = content.decode("utf-8", "replace").replace("\r\n", "\n")
-    return {"text/html": page, "text/markdown": markdown, "text/x-python": python_code}.get(kind, paragraphs)(text)
+    readers = {"text/html": page, "text/markdown": markdown, "text/x-python": python_code, "text/csv": table_rows, "text/tab-separated-values": table_rows}
+    return readers.get(kind, paragraphs)(text)

@@ -1,13 +1,18 @@
-"""Stores: named sets of tables in a folder, each an append-only delta over numbered Parquet generations."""
+"""Stores: named sets of tables in a folder, each an append-only delta over numbered generations of Parquet folders.
+
+Every folder of rows, tombstones or vectors is written once by a Spark job and never changed. Which of them count is said by
+the latest version of the table's manifest; versions are numbered, and putting the next number is the only lock.
+"""
 
 from __future__ import annotations
 
 import functools
 import operator
+import random
 import re
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +20,16 @@ from pyspark.sql import functions as F
 
 from .files import Folder
 from .functions import vectors
-from .manifest import ColumnSpec, Conflict, FullText, Manifest
-from .names import BATCH, INGESTED_AT, ROW_ID, SEQ, VECTOR_SUFFIX
+from .manifest import ColumnSpec, Conflict, FullText, Manifest, Part
+from .names import BATCH, INGESTED_AT, PLACE, ROW_ID, SEQ, VECTOR_SUFFIX
 from .operators import two_tier
 from .operators.mapping import Field, rows_of
 
 DELETE_CAP = 50_000
 ROLL_UP_SECONDS, ROLL_UP_ROWS = 300, 1000
 GRACE_SECONDS = 3600
+VERSIONS = "versions"
+ATTEMPTS, KEPT_VERSIONS = 50, 20
 _UNITS = {"m": 60, "h": 3600, "d": 86400, "w": 604800}
 
 
@@ -50,40 +57,73 @@ class Store:
     # manifests
 
     def tables(self) -> list[str]:
-        return [n for n in self.folder.list() if self.folder.exists(f"{n}/manifest.json")]
+        return [n for n in self.folder.list() if self._versions(n)]
+
+    def _versions(self, table: str) -> list[str]:
+        return [v for v in self.folder.list(f"{table}/{VERSIONS}") if v.endswith(".json") and not v.startswith(".")]
+
+    def _latest(self, table: str) -> tuple[int, Manifest]:
+        for _ in range(ATTEMPTS):
+            versions = self._versions(table)
+            if not versions:
+                break
+            try:
+                return int(versions[-1].partition(".")[0]), Manifest.loads(self.folder.read(f"{table}/{VERSIONS}/{versions[-1]}"))
+            except Exception:
+                if self.folder.exists(f"{table}/{VERSIONS}/{versions[-1]}"):
+                    raise  # it wasn't just reaped
+        raise LookupError(f"there is no table {table}")
 
     def manifest(self, table: str) -> Manifest:
-        if not self.folder.exists(f"{table}/manifest.json"):
-            raise LookupError(f"there is no table {table}")
-        return Manifest.loads(self.folder.read(f"{table}/manifest.json"))
+        return self._latest(table)[1]
+
+    def _commit(self, table: str, change: Callable[[Manifest], Manifest]) -> tuple[Manifest, Manifest]:
+        """The manifest before and after `change`, which is put as the next version.
 
-    def _save(self, before: Manifest, after: Manifest) -> Manifest:
-        """Replace the manifest if its generation is still that of `before`; the generation is the lock."""
-        if self.manifest(before.name).generation != before.generation:
-            raise Conflict(f"table {before.name} was compacted meanwhile")
-        self.folder.write(f"{before.name}/manifest.json", after.dumps())
-        return after
+        Versions are never replaced. If another writer puts that number first, `change` is applied to what that one left.
+        """
+        for k in range(ATTEMPTS):
+            number, before = self._latest(table)
+            after = change(before)
+            if after == before:
+                return before, after
+            try:
+                self.folder.write_new(f"{table}/{VERSIONS}/{number + 1:012d}.json", after.dumps())
+                return before, after
+            except FileExistsError:
+                time.sleep(random.random() * min(1.0, 0.01 * 2**k))
+        raise Conflict(f"table {table} changed again and again")
 
     def declare(self, manifest: Manifest) -> Manifest:
         """Create the table; whoever comes second gets the first one's."""
         try:
-            self.folder.write(f"{manifest.name}/manifest.json", manifest.dumps(), fresh=True)
+            if not self._versions(manifest.name):
+                self.folder.write_new(f"{manifest.name}/{VERSIONS}/{1:012d}.json", manifest.dumps())
+                return manifest
         except FileExistsError:
-            return self.manifest(manifest.name)
-        return manifest
+            pass
+        return self.manifest(manifest.name)
 
     # writes
 
-    def add(self, table: str, documents: DataFrame, fields: list[Field], rows: str | None = None, key: list[str] | None = None, raw: bool = False, column: str = "json") -> dict:
+    def add(self, table: str, documents: DataFrame, fields: list[Field], rows: str | None = None, key: list[str] | None = None, raw: bool = False, column: str = "json", source: tuple[str, int] | None = None) -> dict:
         """Map JSON documents to rows and append them; what was written, and which columns are new."""
         mapped = rows_of(documents.select(column), column, fields, rows, raw)
-        return self.add_rows(table, mapped, [f.spec for f in fields], key, raw)
+        return self.add_rows(table, mapped, [f.spec for f in fields], key, raw, source=source)
+
+    def add_rows(self, table: str, rows: DataFrame, columns: list[ColumnSpec], key: list[str] | None = None, raw: bool = False, system: bool = False, source: tuple[str, int] | None = None) -> dict:
+        """Append rows that are typed already; the table is declared or widened as needed.
 
-    def add_rows(self, table: str, rows: DataFrame, columns: list[ColumnSpec], key: list[str] | None = None, raw: bool = False, system: bool = False) -> dict:
-        """Append rows that are typed already; the table is declared or widened as needed."""
-        manifest = self.declare(Manifest.new(table, columns, key, raw, system))
-        evolved, added = manifest.evolved(columns, key)
+        The batch is written to a folder of its own, which counts once a version of the manifest names it; writers don't
+        wait for each other. With `source` (a name and a rising number) a repeated batch is left out.
+        """
+        declared = Manifest.new(table, columns, key, raw, system)
+        manifest = self.declare(declared)
+        manifest.evolved(columns, key)
         batch = uuid.uuid4().hex
+        out = {"table": table, "batch": batch, "rows": 0, "added_columns": [], "generation": manifest.generation}
+        if source and dict(manifest.sources).get(source[0], -1) >= source[1]:
+            return out
         at = f"{self.root}/{table}/pending/{batch}"
         place = F.monotonically_increasing_id()
         stamped = rows.withColumns(
@@ -91,30 +131,48 @@ class Store:
                 ROW_ID: F.concat(F.lit(f"{batch}-"), place.cast("string")),
                 INGESTED_AT: F.lit(self.now()).cast("timestamp").cast("timestamp_ntz"),
                 BATCH: F.lit(batch),
-                SEQ: place + F.lit(evolved.next_seq),
+                PLACE: place,
             }
         )
         stamped.write.parquet(at)
-        n, last = self.spark.read.parquet(at).agg(F.count("*"), F.max(SEQ)).first()
-        if n:
-            due = evolved.due_at if evolved.due_at is not None else self.now() + ROLL_UP_SECONDS
-            due = self.now() if evolved.pending_rows + n >= ROLL_UP_ROWS else due
-            evolved = replace(evolved, batches=(*evolved.batches, batch), pending_rows=evolved.pending_rows + n, next_seq=last + 1, due_at=due)
-        self._save(manifest, evolved)
-        self.notify({"event": "operations.appended", "table": table, "rows": n, "tombstones": 0, "seq": last, "at": self.now()})
-        return {"table": table, "batch": batch, "rows": n, "added_columns": added, "generation": evolved.generation}
+        n, last = self.spark.read.parquet(at).agg(F.count("*"), F.max(PLACE)).first()
+        added: list[str] = []
+
+        def change(m: Manifest) -> Manifest:
+            nonlocal added
+            if source and dict(m.sources).get(source[0], -1) >= source[1]:
+                return m
+            m, added = m.evolved(columns, key)
+            if source:
+                m = replace(m, sources=tuple({**dict(m.sources), source[0]: source[1]}.items()))
+            if not n:
+                return m
+            due = m.due_at if m.due_at is not None else self.now() + ROLL_UP_SECONDS
+            due = self.now() if m.pending_rows + n >= ROLL_UP_ROWS else due
+            return replace(m, batches=(*m.batches, (batch, m.next_seq)), pending_rows=m.pending_rows + n, next_seq=m.next_seq + last + 1, due_at=due)
+
+        try:
+            before, after = self._commit(table, change)
+        except Exception:
+            self.folder.remove(f"{table}/pending/{batch}")
+            raise
+        if source and before == after:
+            self.folder.remove(f"{table}/pending/{batch}")
+            return out
+        self.notify({"event": "operations.appended", "table": table, "rows": n, "tombstones": 0, "seq": after.next_seq - 1 if n else None, "at": self.now()})
+        return out | {"rows": n, "added_columns": added, "generation": after.generation}
 
     def forget(self, table: str, ids: DataFrame) -> int:
         """Hide rows from now on; they leave at the next roll-up."""
-        manifest = self.manifest(table)
+        self.manifest(table)
         name = uuid.uuid4().hex
         at = f"{self.root}/{table}/tombstones/{name}"
         ids.select(ROW_ID).distinct().withColumn("at", F.lit(self.now())).write.parquet(at)
         n = self.spark.read.parquet(at).count()
         if n:
-            due = self.now() if n >= ROLL_UP_ROWS else manifest.due_at if manifest.due_at is not None else self.now() + ROLL_UP_SECONDS
-            self._save(manifest, replace(manifest, tombstones=(*manifest.tombstones, name), due_at=due))
-            self.notify({"event": "operations.appended", "table": table, "rows": 0, "tombstones": n, "seq": manifest.next_seq - 1, "at": self.now()})
+            due = lambda m: self.now() if n >= ROLL_UP_ROWS else m.due_at if m.due_at is not None else self.now() + ROLL_UP_SECONDS
+            _, after = self._commit(table, lambda m: replace(m, tombstones=(*m.tombstones, name), due_at=due(m)))
+            self.notify({"event": "operations.appended", "table": table, "rows": 0, "tombstones": n, "seq": after.next_seq - 1, "at": self.now()})
         return n
 
     def delete(self, table: str, predicate: str, cap: int = DELETE_CAP) -> dict:
@@ -126,19 +184,22 @@ class Store:
         truncated = ids.limit(cap + 1).count() > cap
         return {"deleted": self.forget(table, ids.orderBy(ROW_ID).limit(cap) if truncated else ids), "truncated": truncated}
 
-    def put_vectors(self, table: str, made: DataFrame, model: str, dims: int) -> None:
-        """Append vectors (_row_id, column, vector); a table keeps the embedding space of its first ones."""
-        manifest = self.manifest(table)
-        if manifest.dims and (manifest.model, manifest.dims) != (model, dims):
-            raise Conflict(f"table {table} holds vectors of {manifest.model} ({manifest.dims}), not {model} ({dims})")
+    def put_vectors(self, table: str, made: DataFrame, model: str, dims: int) -> str:
+        """Append vectors (_row_id, column, vector), and name their folder; a table keeps the embedding space of its first ones."""
+        def change(m: Manifest) -> Manifest:
+            if m.dims and (m.model, m.dims) != (model, dims):
+                raise Conflict(f"table {table} holds vectors of {m.model} ({m.dims}), not {model} ({dims})")
+            return replace(m, vectors=(*m.vectors, name), model=model, dims=dims)
+
         name = uuid.uuid4().hex
+        change(self.manifest(table))
         made.select(ROW_ID, "column", F.col("vector").cast("array<float>").alias("vector"), F.lit(self.now()).alias("at")).write.parquet(f"{self.root}/{table}/vectors/{name}")
-        self._save(manifest, replace(manifest, vectors=(*manifest.vectors, name), model=model, dims=dims))
+        self._commit(table, change)
+        return name
 
     def configure(self, table: str, full_text: FullText) -> None:
         """Set how a table is searched by keywords."""
-        manifest = self.manifest(table)
-        self._save(manifest, replace(manifest, full_text=full_text))
+        self._commit(table, lambda m: replace(m, full_text=full_text))
 
     def embed(self, table: str, model: str = "hash-bow-v1") -> int:
         """Give every non-blank text of an embedded column that has no vector yet one, by the offline embedder."""
@@ -150,31 +211,34 @@ class Store:
         have = [c for c in columns if c + VECTOR_SUFFIX in rows.columns]
         known = two_tier.unpivoted(rows, have) if have else self.spark.createDataFrame([], f"{ROW_ID} string, column string")
         queue = vectors.missing_vectors(rows, known, ROW_ID, columns).select(ROW_ID, "column", vectors.hash_embedding("text").alias("vector"))
-        before = set(manifest.vectors)
-        self.put_vectors(table, queue, model, vectors.DIMS)
-        (fresh,) = set(self.manifest(table).vectors) - before
+        fresh = self.put_vectors(table, queue, model, vectors.DIMS)
         return self.spark.read.parquet(f"{self.root}/{table}/vectors/{fresh}").count()
 
     # reads
 
-    def snapshot(self, table: str, attempts: int = 3) -> dict:
-        """What a reader needs to build the table elsewhere (see `operators.two_tier.view`), all of one generation."""
-        for _ in range(attempts):
-            m = self.manifest(table)
-            out = {
-                "manifest": m, "base": self.generation(table, m.generation) if m.generation else None,
-                "fresh": self._read(table, "pending", m.batches), "tombstones": self._read(table, "tombstones", m.tombstones),
-            }
-            if self.manifest(table).generation == m.generation:
-                return out
-        raise Conflict(f"table {table} was compacted again and again while it was read")
+    def snapshot(self, table: str) -> dict:
+        """What a reader needs to build the table elsewhere (see `operators.two_tier.view`), all of one version."""
+        m = self.manifest(table)
+        return {"manifest": m, "base": self._base(m), "fresh": self._pending(m), "tombstones": self._read(table, "tombstones", m.tombstones)}
+
+    def _read(self, table: str, kind: str, names: Iterable[str], below: str = "") -> DataFrame | None:
+        paths = [f"{self.root}/{table}/{kind}/{n}{below}" for n in names]
+        return self.spark.read.option("mergeSchema", "true").parquet(*paths) if paths else None
 
-    def _read(self, table: str, kind: str, names: tuple[str, ...]) -> DataFrame | None:
-        return self.spark.read.option("mergeSchema", "true").parquet(*(f"{self.root}/{table}/{kind}/{n}" for n in names)) if names else None
+    def _base(self, m: Manifest) -> DataFrame | None:
+        return self._read(m.name, "parts", [p.name for p in m.parts if p.rows], "/rows")
+
+    def _pending(self, m: Manifest) -> DataFrame | None:
+        """Rows that aren't in a generation yet; their seq is that of the batch and their place in it."""
+        rows = self._read(m.name, "pending", [b for b, _ in m.batches])
+        if rows is None:
+            return None
+        firsts = F.create_map(*(F.lit(x) for b in m.batches for x in b))
+        return rows.withColumn(SEQ, F.col(PLACE) + firsts[F.col(BATCH)]).drop(PLACE)
 
     def pending(self, table: str, upto: int | None = None) -> DataFrame | None:
         """Rows that aren't in a generation yet."""
-        rows = self._read(table, "pending", self.manifest(table).batches)
+        rows = self._pending(self.manifest(table))
         return rows if rows is None or upto is None else rows.where(F.col(SEQ) <= upto)
 
     def tombstones(self, table: str) -> DataFrame | None:
@@ -182,30 +246,32 @@ class Store:
 
     def generation(self, table: str, number: int) -> DataFrame:
         """A whole generation, also a replaced one within its grace."""
-        if not 1 <= number <= self.manifest(table).generation:
+        m = self.manifest(table)
+        if not 1 <= number <= m.generation:
             raise LookupError(f"table {table} has no generation {number}")
-        at = f"{table}/gen-{number:06d}/rows"
-        if not self.folder.exists(at):
+        parts = {m.generation: [p.name for p in m.parts if p.rows], **{g: list(names) for g, _, names in m.past}}.get(number)
+        if parts is None:
             raise Gone(f"generation {number} of table {table} is gone")
-        return self.spark.read.parquet(f"{self.root}/{at}")
+        return self._read(table, "parts", parts, "/rows") if parts else self._nothing(m)
+
+    def _nothing(self, m: Manifest) -> DataFrame:
+        return self.spark.createDataFrame([], ", ".join(f"`{n}` {k}" for n, k in two_tier.declared(m)))
 
     def view(self, table: str, vectors: bool = False, upto: int | None = None, manifest: Manifest | None = None) -> DataFrame:
         """The table as it is now, lazily; vectors are attached only where they are asked for."""
         m = manifest or self.manifest(table)
-        base = self.generation(table, m.generation) if m.generation else None
-        fresh = self._read(table, "pending", m.batches)
+        base, fresh = self._base(m), self._pending(m)
         if fresh is not None and upto is not None:
             fresh = fresh.where(F.col(SEQ) <= upto)
         if base is None and fresh is None:
-            kinds = ", ".join(f"`{n}` {k}" for n, k in two_tier.declared(m))
-            base = self.spark.createDataFrame([], kinds)
+            base = self._nothing(m)
         attached = None
         if vectors and m.embedded() and m.dims:
             own = self._read(table, "vectors", m.vectors)
             if own is not None:
                 own = own.groupBy(ROW_ID, "column").agg(F.max_by("vector", "at").alias("vector"))
-            stored = self.spark.read.parquet(f"{self.root}/{table}/gen-{m.generation:06d}/vectors") if m.base_vectors else None
-            attached = two_tier.preferred_vectors(own, None if stored is None else two_tier.unpivoted(stored, [c.removesuffix("_vec") for c in stored.columns if c != ROW_ID]), m.embedded(), m.dims)
+            stored = self._read(table, "parts", [p.name for p in m.parts if p.vectors], "/vectors")
+            attached = two_tier.preferred_vectors(own, None if stored is None else two_tier.unpivoted(stored, [c.removesuffix(VECTOR_SUFFIX) for c in stored.columns if c != ROW_ID]), m.embedded(), m.dims)
         return two_tier.view(m, base, fresh, self._read(table, "tombstones", m.tombstones), attached)
 
     def info(self) -> list[dict]:
@@ -215,7 +281,7 @@ class Store:
         """A page of pending rows by seq, and all tombstones, at one generation."""
         m = self.manifest(table)
         limit = max(1, min(limit, 10_000))
-        rows = self._read(table, "pending", m.batches)
+        rows = self._pending(m)
         page = rows.where(F.col(SEQ) > after).orderBy(SEQ).limit(limit + 1).collect() if rows is not None else []
         return {"generation": m.generation, "rows": page[:limit], "next": page[limit - 1][SEQ] if len(page) > limit else None, "tombstones": self._read(table, "tombstones", m.tombstones)}
 
@@ -225,62 +291,88 @@ class Store:
         m = self.manifest(table)
         return m.due_at is not None and m.due_at <= self.now()
 
+    def _touched(self, m: Manifest) -> set[str]:
+        """Parts that hold a row which a tombstone, or a vector which isn't folded yet, names; only row ids are read."""
+        named = [self._read(m.name, kind, names) for kind, names in (("tombstones", m.tombstones), ("vectors", m.vectors)) if names]
+        if not named or not m.parts:
+            return set()
+        ids = functools.reduce(DataFrame.unionByName, (x.select(ROW_ID) for x in named)).distinct()
+        each = [self._read(m.name, "parts", [p.name], "/rows").select(ROW_ID, F.lit(p.name).alias("part")) for p in m.parts if p.rows]
+        if not each:
+            return set()
+        return {r.part for r in functools.reduce(DataFrame.unionByName, each).join(ids, ROW_ID, "left_semi").select("part").distinct().collect()}
+
     def roll_up(self, table: str) -> bool:
         """Fold what is pending now into the next generation; False, and nothing changes, if nothing is pending.
 
-        Exactly the batches and tombstones that were read leave the pending set. Others that come meanwhile stay, whatever
-        their seq.
+        Rows that are pending become a new part. Rewritten with them are the parts that tombstones or new vectors touch,
+        and, from the smallest on, those under twice its size, so that a row is rewritten a logarithmic number of times.
+        Exactly the batches, tombstones and vectors that were read leave the pending set; others that come meanwhile stay,
+        whatever their seq. Of two roll-ups at once the one that commits first counts.
         """
         before = self.manifest(table)
         if not before.batches and not before.tombstones:
             return False
-        number = before.generation + 1
-        at = f"{self.root}/{table}/gen-{number:06d}"
+        touched = self._touched(before)
+        size = before.pending_rows + sum(p.rows for p in before.parts if p.name in touched)
+        kept = [p for p in before.parts if p.name not in touched]
+        while kept and kept[-1].rows < 2 * size:
+            size += kept.pop().rows
+        names_kept = {p.name for p in kept}
+        name = uuid.uuid4().hex
+        at = f"{self.root}/{table}/parts/{name}"
+        folded = self.view(table, vectors=True, manifest=replace(before, parts=tuple(p for p in before.parts if p.name not in names_kept)))
+        carried = [c for c in folded.columns if c.endswith(VECTOR_SUFFIX) and c.removesuffix(VECTOR_SUFFIX) in before.embedded()]
+        some = functools.reduce(operator.or_, (F.col(v).isNotNull() for v in carried)) if carried else None
+
+        def change(m: Manifest) -> Manifest:
+            if m.generation != before.generation:
+                raise Conflict(f"table {table} was compacted meanwhile")
+            left, now = tuple(b for b in m.batches if b not in before.batches), self.now()
+            spent = [(f"{kind}/{n}", now) for kind, names in (("pending", [b for b, _ in before.batches]), ("tombstones", before.tombstones), ("vectors", before.vectors)) for n in names]
+            return replace(
+                m, generation=m.generation + 1, parts=tuple(sorted((*kept, Part(name, n, vectors)), key=lambda p: -p.rows)), batches=left, pending_rows=m.pending_rows - before.pending_rows,
+                tombstones=tuple(t for t in m.tombstones if t not in before.tombstones), vectors=tuple(v for v in m.vectors if v not in before.vectors),
+                past=(*m.past, (m.generation, now, tuple(p.name for p in m.parts))) if m.generation else m.past,
+                due_at=now + ROLL_UP_SECONDS if left else None, drained=(*m.drained, *spent),
+            )
+
         try:
-            folded = self.view(table, vectors=True, manifest=before)
-            carried = [c for c in folded.columns if c.endswith("_vec") and c.removesuffix("_vec") in before.embedded()]
-            folded.drop(*carried).write.mode("overwrite").option("compression", "zstd").parquet(f"{at}/rows")
-            if carried:
-                some = functools.reduce(operator.or_, (F.col(v).isNotNull() for v in carried))
-                folded.where(some).select(ROW_ID, *carried).write.mode("overwrite").option("compression", "zstd").parquet(f"{at}/vectors")
+            folded.drop(*carried).write.option("compression", "zstd").parquet(f"{at}/rows")
             n = self.spark.read.parquet(f"{at}/rows").count()
-            now = self.manifest(table)
-            if now.generation != before.generation:
-                raise Conflict(f"table {table} was compacted meanwhile")
+            vectors = some is not None
+            if vectors:
+                folded.where(some).select(ROW_ID, *carried).write.option("compression", "zstd").parquet(f"{at}/vectors")
+            _, after = self._commit(table, change)
         except Exception:
-            self.folder.remove(f"{table}/gen-{number:06d}")
+            self.folder.remove(f"{table}/parts/{name}")
             raise
-        left = tuple(b for b in now.batches if b not in before.batches)
-        after = replace(
-            now, generation=number, base_rows=n, batches=left, pending_rows=now.pending_rows - before.pending_rows,
-            tombstones=tuple(t for t in now.tombstones if t not in before.tombstones), vectors=tuple(v for v in now.vectors if v not in before.vectors),
-            base_vectors=bool(carried), retired=(*now.retired, (before.generation, self.now())) if before.generation else now.retired,
-            due_at=self.now() + ROLL_UP_SECONDS if left else None,
-            drained=(*now.drained, *((f"{kind}/{name}", self.now()) for kind, names in (("pending", before.batches), ("tombstones", before.tombstones), ("vectors", before.vectors)) for name in names)),
-        )
-        self._save(now, after)
-        self.notify({"event": "table.rolled_up", "table": table, "rows": n, "tombstones": 0, "seq": before.next_seq - 1, "previous_generation": before.generation, "at": self.now()})
+        self.notify({"event": "table.rolled_up", "table": table, "rows": after.base_rows, "tombstones": 0, "seq": before.next_seq - 1, "previous_generation": before.generation, "at": self.now()})
         return True
 
     def roll_up_due(self) -> list[str]:
         return [t for t in self.tables() if self.due(t) and self.roll_up(t)]
 
     def reap(self, grace: float = GRACE_SECONDS, most: int = 100) -> int:
-        """Remove replaced generations, and folders that were folded, whose grace is over; the number of generations."""
+        """Remove replaced generations, folders that were folded and old versions of the manifest, whose grace is over; the
+        number of generations. The manifest stops naming a folder before the folder goes."""
         removed = 0
         for table in self.tables():
+            late = lambda at: at + grace < self.now()
             m = self.manifest(table)
-            done = [n for n, at in m.drained if at + grace < self.now()]
-            if done:
-                m = self._save(m, replace(m, drained=tuple((n, at) for n, at in m.drained if n not in done)))
-                for n in done:
-                    self.folder.remove(f"{table}/{n}")
-            over = [g for g, at in m.retired if at + grace < self.now()][: most - removed]
-            if over:
-                self._save(m, replace(m, retired=tuple((g, at) for g, at in m.retired if g not in over)))
-                for g in over:
-                    self.folder.remove(f"{table}/gen-{g:06d}")
-                removed += len(over)
+            over = {g for g, at, _ in m.past if late(at)} & {g for g, _, _ in m.past[: most - removed]}
+            done = {n for n, at in m.drained if late(at)}
+            if not over and not done:
+                continue
+            before, after = self._commit(table, lambda m: replace(m, past=tuple(x for x in m.past if x[0] not in over), drained=tuple(x for x in m.drained if x[0] not in done)))  # noqa: B023
+            used = {p.name for p in after.parts} | {n for _, _, names in after.past for n in names}
+            for n in sorted({n for _, _, names in before.past for n in names} - used):
+                self.folder.remove(f"{table}/parts/{n}")
+            for n in done:
+                self.folder.remove(f"{table}/{n}")
+            for v in self._versions(table)[:-KEPT_VERSIONS]:
+                self.folder.remove(f"{table}/{VERSIONS}/{v}")
+            removed += len(over)
         return removed
 
     # whole stores
@@ -290,7 +382,11 @@ class Store:
         other = Store(self.spark, root, self.now)
         if not other.tables():
             for table in self.tables():
-                self.folder.copy(table, f"{other.root}/{table}")
+                m = replace(self.manifest(table), past=(), drained=())
+                named = [("parts", p.name) for p in m.parts] + [("pending", b) for b, _ in m.batches] + [("tombstones", t) for t in m.tombstones] + [("vectors", v) for v in m.vectors]
+                for kind, name in named:
+                    self.folder.copy(f"{table}/{kind}/{name}", f"{other.root}/{table}/{kind}/{name}")
+                other.declare(m)
         return other
 
     def drop(self, table: str) -> None:

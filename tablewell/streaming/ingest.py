@@ -12,10 +12,14 @@ from ..store import Store
 
 
 def ingest(store: Store, table: str, source: DataFrame, fields: list[Field], checkpoint: str, rows: str | None = None, column: str = "json") -> StreamingQuery:
-    """Append the JSON documents of a streaming source to a table, and fold when it's due; ends when the source is read."""
+    """Append the JSON documents of a streaming source to a table, and fold when it's due; ends when the source is read.
 
-    def write(batch: DataFrame, _: int) -> None:
-        store.add(table, batch, fields, rows, column=column)
+    The table keeps the number of the last micro-batch of each source (known by its checkpoint folder), so one that is
+    replayed after a failure isn't appended twice.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        store.add(table, batch, fields, rows, column=column, source=(checkpoint, number))
         if store.due(table):
             store.roll_up(table)
 

@@ -43,6 +43,27 @@ def test_markdown_and_html_keep_headings():
     assert page[0].headings == ["Top & more"] and "x()" not in "".join(b.text for b in page)
 
 
+def test_pages_become_blocks_between_block_elements():
+    got = documents.page("<body>lead &lt;in&gt;<h2>Part <em>one</em></h2><div>a <b>b</b><p>c</p>d</div><table><tr><td>1</td><td>2</td></tr></table><style>p{}</style><!-- no --><h1>Next</h1><ol><li>x<li>y</ol>tail")
+    assert [(b.text, b.headings) for b in got] == [("lead <in>", []), ("a b", ["Part one"]), ("c", ["Part one"]), ("d", ["Part one"]), ("1 2", ["Part one"]), ("- x\n- y", ["Next"]), ("tail", ["Next"])]
+
+
+def test_delimited_documents_become_a_block_for_each_record():
+    got = documents.blocks(b'name;size;\n"a;b";1;x\n\nc\n', "text/csv")
+    assert [(b.text, b.kind) for b in got] == [("name: a;b\nsize: 1\ncolumn_3: x", "table"), ("name: c", "table")]
+    made = chunk.chunks(documents.blocks(b"k\tv\n" + b"".join(b"%d\tvalue %d\n" % (k, k) for k in range(60)), "text/tab-separated-values"), chunk.PLANS["text/tab-separated-values"])
+    assert len(made) == 1 and made[0]["kind"] == "table" and made[0]["text"].startswith("k: 0\nv: value 0\n\nk: 1")
+    with pytest.raises(ValueError):
+        documents.records("  \n")
+
+
+def test_long_blocks_are_cut_at_the_best_places_that_fit():
+    assert chunk.fitting("aa aa\n\nbb. cc\n\n\ndd", 6) == ["aa aa", "bb. cc", "dd"]
+    assert chunk.fitting("One two. Three\n\nfour! Five?", 8) == ["One two.", "Three", "four!", "Five?"]
+    assert chunk.fitting("word " * 4, 7) == ["word wo", "rd word", " word "]
+    assert (chunk.carried("some more words", 9), chunk.carried("x" * 20, 5), chunk.carried("short", 9)) == ("words", "xxxxx", "short")
+
+
 def archive(**parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -98,6 +119,11 @@ def test_a_stream_fills_a_table(spark, tmp_path):
     assert sorted(r.n for r in store.view("t").collect()) == [0, 1, 2]
     store.roll_up("t")
     assert store.view("t").count() == 3
+    # the commit of the last micro-batch is lost, so it runs again
+    for name in ("0", ".0.crc"):
+        (tmp_path / "check" / "commits" / name).unlink()
+    ingest.ingest(store, "t", ingest.json_lines(spark, str(tmp_path / "in")), fields, str(tmp_path / "check")).awaitTermination(120)
+    assert store.view("t").count() == 3
 
 
 def test_files_become_rows_and_chunks(spark, tmp_path):

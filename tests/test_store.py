@@ -1,11 +1,13 @@
 """Mapping, coercion, the two tiers, roll-ups and change feeds."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from tablewell import names, paths
+from tablewell.files import Folder
 from tablewell.manifest import ColumnSpec, Conflict, FullText, Manifest
 from tablewell.operators import feed, two_tier
 from tablewell.operators.mapping import Field, rows_of
@@ -156,6 +158,109 @@ def test_rows_that_come_during_a_roll_up_stay_pending(spark, store, monkeypatch)
     assert store.view("events").count() == 8
 
 
+def ints(spark, *values):
+    return spark.createDataFrame([(v,) for v in values], "n int")
+
+
+N = [ColumnSpec("n", "INTEGER")]
+
+
+def held(store):
+    return sorted(r.n for r in store.view("t").collect())
+
+
+def test_interleaved_writers_lose_nothing(spark, store, monkeypatch):
+    """Each writer reads the same version, and puts its own after the other one did."""
+    store.add_rows("t", ints(spark, 0), N)
+    real, others = Folder.write_new, [1, 2, 3]
+
+    def interrupted(self, name, text):
+        if others and "/versions/" in name:
+            other = others.pop()
+            Store(spark, store.root, store.now).add_rows("t", ints(spark, other), [*N, ColumnSpec(f"c{other}", "BIGINT")])
+        return real(self, name, text)
+
+    monkeypatch.setattr(Folder, "write_new", interrupted)
+    store.add_rows("t", ints(spark, 9), N)
+    assert held(store) == [0, 1, 2, 3, 9]
+    assert [c.name for c in store.manifest("t").columns] == ["n", "c1", "c2", "c3"] or len(store.manifest("t").columns) == 4
+    seqs = [r["_seq"] for r in store.pending("t").collect()]
+    assert len(set(seqs)) == 5
+
+
+def test_writers_in_threads_lose_nothing(spark, store):
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda k: Store(spark, store.root, store.now).add_rows("t", ints(spark, 10 * k, 10 * k + 1), N), range(12)))
+        assert held(store) == sorted(10 * k + j for k in range(12) for j in (0, 1))
+        work = [pool.submit(Store(spark, store.root, store.now).add_rows, "t", ints(spark, 1000 + k), N) for k in range(6)]
+        work.append(pool.submit(Store(spark, store.root, store.now).roll_up, "t"))
+        work.append(pool.submit(Store(spark, store.root, store.now).forget, "t", store.view("t").where("n = 0").select("_row_id")))
+        for w in work:
+            w.result()
+    want = sorted({10 * k + j for k in range(12) for j in (0, 1)} - {0} | {1000 + k for k in range(6)})
+    assert held(store) == want
+    store.roll_up("t")
+    assert held(store) == want and store.manifest("t").rows == len(want)
+
+
+def test_what_a_crash_leaves_is_not_seen(spark, store):
+    store.add_rows("t", ints(spark, 1), N)
+    # a version that was being written, a batch and a part that no version names
+    stream = store.folder._fs.create(store.folder._path("t/versions/.000000000003.json.x"), True)
+    stream.write(bytearray(b"{"))
+    stream.close()
+    ints(spark, 7).write.parquet(f"{store.root}/t/pending/orphan")
+    ints(spark, 8).write.parquet(f"{store.root}/t/parts/orphan/rows")
+    assert held(store) == [1]
+    store.add_rows("t", ints(spark, 2), N)
+    store.roll_up("t")
+    assert held(store) == [1, 2]
+
+
+def test_a_repeated_micro_batch_is_appended_once(spark, store):
+    for number, value in ((0, 1), (1, 2), (1, 2), (0, 1), (2, 3)):
+        store.add_rows("t", ints(spark, value), N, source=("stream", number))
+        store.roll_up("t")
+    store.add_rows("t", ints(spark, 4), N, source=("other", 0))
+    assert held(store) == [1, 2, 3, 4]
+
+
+def test_of_two_roll_ups_one_counts(spark, store, monkeypatch):
+    store.add_rows("t", ints(spark, 1, 2), N)
+    real = Folder.write_new
+
+    def interrupted(self, name, text):
+        monkeypatch.setattr(Folder, "write_new", real)
+        Store(spark, store.root, store.now).roll_up("t")
+        return real(self, name, text)
+
+    monkeypatch.setattr(Folder, "write_new", interrupted)
+    with pytest.raises(Conflict):
+        store.roll_up("t")
+    assert held(store) == [1, 2] and store.manifest("t").generation == 1
+
+
+def test_roll_ups_rewrite_only_small_and_touched_parts(spark, store):
+    put = lambda lo, hi: store.add_rows("t", spark.range(lo, hi).select(F.col("id").cast("int").alias("n")), N)
+    put(0, 100)
+    store.roll_up("t")
+    put(100, 110)
+    store.roll_up("t")
+    large, small = store.manifest("t").parts
+    assert (large.rows, small.rows) == (100, 10)
+    put(110, 120)
+    store.roll_up("t")
+    assert store.manifest("t").parts[0] == large and store.manifest("t").parts[1].rows == 20
+    store.forget("t", store.view("t").where("n = 105").select("_row_id"))
+    store.roll_up("t")
+    assert store.manifest("t").parts[0] == large and store.manifest("t").parts[1].rows == 19
+    store.forget("t", store.view("t").where("n = 5").select("_row_id"))
+    store.roll_up("t")
+    assert [p.rows for p in store.manifest("t").parts] == [118]
+    assert held(store) == [n for n in range(120) if n not in (5, 105)]
+    assert store.generation("t", 1).count() == 100
+
+
 def test_new_columns_are_null_in_old_rows(spark, store):
     store.add("events", docs(spark, items(0, 3)), FIELDS, "$.items[*]")
     store.roll_up("events")
