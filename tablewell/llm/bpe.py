@@ -3,7 +3,7 @@
 A text is pre-tokenised by a pattern and each match is merged by ranks. Texts of up to `CHUNK` characters are encoded at
 once. Longer ones are cut into chunks that overlap by `OVERLAP` characters and are dealt over the cluster:
 
-1. each chunk is pre-tokenised by itself;
+1. each chunk is pre-tokenised by itself; only the boundaries within its overlaps go to its neighbours;
 2. a chunk is joined to the next at the first place in their overlap where both have a pre-token boundary. Scanning goes
    from left to right and keeps no state at a boundary, so from there on the later chunk's boundaries are those of the
    whole text. A chunk's own end is no boundary to go by;
@@ -31,7 +31,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, slices
+from .common import materialise, read_table, shuffle_width, slices
 
 CHUNK = 1 << 15
 OVERLAP = 1 << 10
@@ -84,48 +84,62 @@ def _whole(path: str, pattern: str) -> Callable:
     return run
 
 
-CHUNKS = "row long, doc_id long, k long, text string, begins binary"
+EDGES = "row long, k long, n long, head binary, tail binary"
 
 
-def _pretokenise(pattern: str) -> Callable:
+def _edges(pattern: str, step: int, overlap: int) -> Callable:
+    """Of each chunk the boundaries near its ends, which are all that its neighbours need."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4 << 20):
-            begins = [boundaries(t, pattern).astype("<u4").tobytes() for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(begins, pa.binary())], names=["row", "doc_id", "k", "text", "begins"])
+        for batch in batches:
+            texts = batch.column(3).to_pylist()
+            begins = [boundaries(t, pattern) for t in texts]
+            head = [b[b < overlap].astype("<u4").tobytes() for b in begins]
+            tail = [b[b >= step].astype("<u4").tobytes() for b in begins]
+            columns = [batch.column(0), batch.column(2), pa.array([len(t) for t in texts], pa.int64()), pa.array(head, pa.binary()), pa.array(tail, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "k", "n", "head", "tail"])
 
     return run
 
 
-def meeting_place(begins: np.ndarray, text_length: int, later: np.ndarray, step: int) -> int:
+def meeting_place(tail: np.ndarray, text_length: int, head: np.ndarray, step: int) -> int:
     """First place, counted in the later chunk, where both chunks have a boundary; -1 if there is none.
 
-    The first chunk's last boundaries are left out: the token that runs into its end may be cut short.
+    The first chunk's last boundary is left out: the token that runs into its end may be cut short.
     """
-    mine = begins[:-1] - step
-    both = np.intersect1d(mine[mine >= 0], later[later < text_length - step])
+    both = np.intersect1d(tail[:-1] - step, head[head < text_length - step])
     return int(both[0]) if len(both) else -1
 
 
-def _encode_chunks(path: str, pattern: str, step: int) -> Callable:
-    """From chunks sorted by row and place, each with the next one's boundaries: the ids of its own piece."""
+def _meetings(step: int) -> Callable:
+    """From the ends of chunks, each with those of its neighbours: where its own piece begins and stops; -1 if they don't meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lambda blob: np.frombuffer(blob, "<u4").astype(np.int64)
+        for batch in batches:
+            first, stop = [], []
+            for r in batch.to_pylist():
+                first.append(0 if r["tail_before"] is None else meeting_place(of(r["tail_before"]), r["n_before"], of(r["head"]), step))
+                met = r["n"] if r["head_after"] is None else meeting_place(of(r["tail"]), r["n"], of(r["head_after"]), step)
+                stop.append(met if r["head_after"] is None or met < 0 else met + step)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(first, pa.int64()), pa.array(stop, pa.int64())], names=["row", "k", "first", "stop"])
+
+    return run
+
+
+def _encode_chunks(path: str, pattern: str) -> Callable:
+    """From chunks (row, doc_id, k, text, first, stop): the ids of each one's own piece, none where chunks didn't meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoding(path, pattern)
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                begins = np.frombuffer(r["begins"], "<u4").astype(np.int64)
-                first, stop = 0, len(r["text"])
-                if r["before"] is not None:
-                    first = meeting_place(np.frombuffer(r["before"], "<u4").astype(np.int64), r["before_length"], begins, step)
-                if r["after"] is not None:
-                    meet = meeting_place(begins, len(r["text"]), np.frombuffer(r["after"], "<u4").astype(np.int64), step)
-                    stop = meet + step if meet >= 0 else -1
+            for text, first, stop in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True):
                 if first < 0 or stop < 0:
                     out.append(None)
                     continue
-                own = begins[(begins >= first) & (begins < stop)]
-                out.append(encode_pieces(tokenizer, r["text"][:stop], own).tobytes())
+                begins = boundaries(text, pattern)
+                out.append(encode_pieces(tokenizer, text[:stop], begins[(begins >= first) & (begins < stop)]).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], names=["row", "doc_id", "k", "ids"])
 
     return run
@@ -164,23 +178,22 @@ def _gather(path: str, pattern: str) -> Callable:
 
 def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Per row of `docs` (doc_id, text): number of ids, digest of the ids, digest of the decoded bytes."""
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = shuffle_width(docs.sparkSession)
     step = chunk - overlap
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     short = texts.where(F.length("text") <= chunk).mapInArrow(_whole(path, pattern), RESULT)
-    long = texts.withColumn("row", F.monotonically_increasing_id()).where(F.length("text") > chunk)
-    cut = long.select("row", "doc_id", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - overlap - 1) / step))).alias("k"), "text").select(
-        "row", "doc_id", F.col("k").cast("long").alias("k"), F.expr(f"substring(text, cast(k * {step} + 1 as int), {chunk})").alias("text")
-    )
-    chunks = cut.repartition(width, "row", "k").mapInArrow(_pretokenise(pattern), CHUNKS)
+    # written once, so that a text keeps its number whatever is computed again
+    long = materialise(texts.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()))
+    blocks = long.select("row", "doc_id", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("b"))
+    overlapping = F.transform("b", lambda x, k: F.concat(x, F.coalesce(F.left(F.get("b", k + 1), F.lit(overlap)), F.lit(""))))
+    # a last block that the chunk before holds whole is none of its own
+    own = F.slice(overlapping, F.lit(1), F.size("b") - (F.length(F.element_at("b", -1)) <= overlap).cast("int"))
+    cut = blocks.select("row", "doc_id", F.posexplode(own).alias("k", "text")).select("row", "doc_id", F.col("k").cast("long").alias("k"), "text").repartition(width, "row", "k")
+    ends = cut.mapInArrow(_edges(pattern, step, overlap), EDGES)
     order = Window.partitionBy("row").orderBy("k")
-    met = chunks.select(
-        "row", "doc_id", "k", "text", "begins",
-        F.lag("begins").over(order).alias("before"),
-        F.lag(F.length("text")).over(order).alias("before_length"),
-        F.lead("begins").over(order).alias("after"),
-    )
-    pieces = met.mapInArrow(_encode_chunks(path, pattern, step), "row long, doc_id long, k long, ids binary")
+    sides = ends.select("row", "k", "n", "head", "tail", F.lag("tail").over(order).alias("tail_before"), F.lag("n").over(order).alias("n_before"), F.lead("head").over(order).alias("head_after"))
+    met = sides.mapInArrow(_meetings(step), "row long, k long, first long, stop long")
+    pieces = cut.join(met, ["row", "k"]).select("row", "doc_id", "k", "text", "first", "stop").mapInArrow(_encode_chunks(path, pattern), "row long, doc_id long, k long, ids binary")
     lines = pieces.repartition(width, "row").sortWithinPartitions("row", "k").mapInArrow(_gather(path, pattern), f"row long, {RESULT}")
     apart = lines.where("n_tokens < 0").select("row")
     whole = long.join(apart, "row", "left_semi").select("doc_id", "text").mapInArrow(_whole(path, pattern), RESULT)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,14 +13,39 @@ NULL_ID = np.iinfo(np.int64).max
 """Stands for a null doc_id where documents are ordered: nulls come last."""
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors reach, as the cluster names it; ValueError where it names none, because a folder of one
+    machine would lose data."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute `df` once and cut its lineage, in the shared checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tablewell-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def join_skewed(big: DataFrame, small: DataFrame, key: str, n: str) -> DataFrame:
+    """`big` joined to `small`, which has a row for each key and, under `n`, the number of rows of `big` with it.
+
+    Keys with over a thousandth of all rows, of which there are less than a thousand, are sent along, so that none of them
+    goes to one task; the others are shuffled.
+    """
+    total = small.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > total / 1000
+    rest = small.columns
+    some = F.broadcast(small.where(hot).drop(n))
+    often = big.join(some, key)
+    seldom = big.join(some.select(key), key, "left_anti").join(small.where(~hot).drop(n), key)
+    names = [*big.columns, *(c for c in rest if c not in (key, n))]
+    return often.select(*names).unionByName(seldom.select(*names))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,17 +1,27 @@
 """PII (operator 2): entities are found and replaced by keyed surrogates of the same type and format.
 
 Kinds: e-mail addresses, phone numbers, IPv4 addresses, card and account numbers, social security numbers, IBANs, and names
-after a title or an introduction. An entity is known by its canonical form (digits only, lower case), so its mentions get
-the same surrogate wherever they are (coreference), written in each mention's own format.
+after a title or an introduction, or that begin with a known given name. A name is two kinds of entities, given names and a
+family name, each known by its letters in lower case, so "Mr. Paul Meyer", "Dr. Paul Meyer" and "Mr. Meyer" agree; a
+text's further words that are part of a name found in it are mentions too. Other entities are known by their canonical
+form (digits only, lower case). All mentions get the same surrogate wherever they are (coreference), written in each
+mention's own format.
 
 Surrogates come from a keyed permutation of the canonical form: digits are permuted among numbers of as many digits by a
-Feistel network, letters of an e-mail's user likewise; addresses stay within the same network class; e-mails get a reserved
-domain. Names come from lists for gender and script, with a keyed family name of syllables in that script.
+Feistel network, letters of an e-mail's user likewise; addresses stay within the same network class; cards and IBANs with
+right check digits get right ones, others wrong ones; e-mails get a reserved domain. Given names come from lists for
+gender and script, the gender being that of a known name, else what the titles all over the corpus say of it, else open;
+family names are keyed syllables of the script.
 
-A permutation makes no two entities alike, but names, domains and limited ranges can collide, and a surrogate can be some
-other real entity. So the distinct entities of the corpus are proposed surrogates, and where two agree, or one is real, all
-but the entity of least form try again; this goes on until nothing collides. Only entities that had to try again need
-a table. It's sent along where it has at most `SENT` rows, and joined by document beyond that.
+A permutation makes no two entities alike, but names and domains can collide, and a surrogate can be some other real
+entity. So the distinct entities of the corpus are proposed surrogates, and where two are written alike, or one is real,
+all but the entity of least form try again; names and e-mails get longer with the attempts, so they never run out. Where
+a kind of numbers is so full that real ones can't be avoided within `TRIES` attempts, all its entities go back to their
+first permutation, which keeps them distinct. Only entities that had to try again, and given names of which titles tell
+the gender, need a table. It's sent along where it has at most `SENT` rows, and joined by document beyond that.
+
+Whoever holds the key can undo the permutations, so there is no default: callers give one, and the query takes that of
+`spark.tablewell.pii.key` or, where it's unset, a random one that is kept nowhere.
 
 Defined results: null text stays null; texts without entities are unchanged; null doc_ids pass; repeated rows each get their
 row; further columns pass; an empty table gives an empty result.
@@ -22,16 +32,18 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import free_name, materialise, read_table, slices
 
-KEY = b"tablewell surrogate key: set your own"
 SENT = 20_000
 TRIES = 64
 
@@ -50,10 +62,13 @@ PATTERNS = (
 GIVEN = {
     ("latin", "f"): "Alice Anna Carla Clara Diana Elena Emma Eva Greta Helen Ida Irene Julia Karla Laura Lena Lucy Maria Marta Mia Nina Nora Olga Paula Rosa Sara Sofia Tina Vera Zoe".split(),
     ("latin", "m"): "Adam Alan Bruno Carlos Daniel David Emil Eric Felix Frank Georg Hans Hugo Ivan Jakob Jan Karl Leon Louis Marc Max Nils Oscar Otto Paul Peter Ralf Simon Tom Victor".split(),
+    ("latin", "x"): "Alex Andrea Chris Dominique Jamie Jean Kim Robin Sascha Toni".split(),
     ("cyrillic", "f"): "Анна Вера Дарья Елена Ирина Мария Нина Ольга София Юлия".split(),
     ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Иван Максим Олег Павел Юрий".split(),
+    ("cyrillic", "x"): "Валя Женя Саша Слава Шура".split(),
     ("greek", "f"): "Άννα Ελένη Ειρήνη Μαρία Σοφία Κατερίνα".split(),
     ("greek", "m"): "Γιώργος Δημήτρης Κώστας Νίκος Πέτρος Γιάννης".split(),
+    ("greek", "x"): "Χρύσα Άρης Μάκης Ρένα".split(),
 }
 # Syllables of family names by script.
 SYLLABLES = {
@@ -64,7 +79,20 @@ SYLLABLES = {
 # Title before a name and its gender.
 FEMALE, MALE = ("Mrs", "Mrs.", "Ms", "Ms.", "Frau", "Mme", "Madame", "Señora", "Sra.", "г-жа"), ("Mr", "Mr.", "Herr", "M.", "Monsieur", "Señor", "Sr.", "г-н")
 
-_GROUPS = re.compile("|".join(f"(?P<{kind}>{p.replace(chr(92) + '1', '(?P=gap)').replace('([' + chr(92) + 'x20-]?)', '(?P<gap>[' + chr(92) + 'x20-]?)')})" for kind, p in PATTERNS))
+_GENDER = {name.lower(): g for (_, g), names in GIVEN.items() for name in names}
+_WORD = re.compile(r"[^\W\d_](?:[\w’'-]*\w)?")
+_TAIL = re.compile(r"[’']s?$")
+
+
+def _pattern() -> re.Pattern:
+    """All kinds as one pattern, each with a group of its name."""
+    own = {kind: p.replace(r"([\x20-]?)", r"(?P<gap>[\x20-]?)").replace(r"\1", "(?P=gap)") for kind, p in PATTERNS}
+    return re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in own.items()))
+
+
+_GROUPS = _pattern()
+_CAPITAL = "[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆ-Ώ]"
+_PAIR = re.compile(rf"\b{_CAPITAL}[^\W\d_]+(?=\x20{_CAPITAL}[^\W\d_])")
 _HINT = re.compile(r"[@\d]|M[rsm.]|Dr|Herr|Frau|Monsieur|Madame|S[re]|name is|г-")
 
 
@@ -74,33 +102,77 @@ def script_of(text: str) -> str:
     return "greek" if any("Ͱ" <= c <= "Ͽ" for c in text) else "latin"
 
 
-def gender_of(text: str, start: int, name: str) -> str:
-    """From the title, else from a known given name, else open ("x")."""
-    title = text[max(0, start - 12) : start].split()
-    if title and title[-1] in FEMALE:
-        return "f"
-    if title and title[-1] in MALE:
-        return "m"
-    given = name.split()[0]
-    return next((g for (_, g), names in GIVEN.items() if given in names), "x")
-
-
-def find(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical form) of the entities of a text, in order; forms of names begin with gender and script."""
-    if not _HINT.search(text):
+class Mention(NamedTuple):
+    start: int
+    end: int
+    kind: str
+    form: str
+    """The entity, the same for all its mentions; of a name, the word in lower case."""
+    gender: str = ""
+    """Of a given name: what the title says, if it does."""
+    head: bool = True
+    """Whether this begins a mention (of a name of several words, only the first one does)."""
+
+
+def _name(text: str, start: int, end: int, before: str) -> list[Mention]:
+    """The words of a name: given names and, last, the family name; one word alone is a family name unless it's a known
+    given name or an introduction's."""
+    words = []
+    for m in _WORD.finditer(text, start, end):
+        core = _TAIL.sub("", m[0])
+        if core:
+            words.append((m.start(), m.start() + len(core), core.lower()))
+    title = before.split()[-1] if before.split() else ""
+    gender = "f" if title in FEMALE else "m" if title in MALE else ""
+    alone = len(words) == 1 and (words[0][2] in _GENDER or before.endswith("name is "))
+    return [Mention(a, b, "given" if alone or k < len(words) - 1 else "family", w, gender if k == 0 else "", k == 0) for k, (a, b, w) in enumerate(words)]
+
+
+def _untitled(text: str) -> list[tuple[int, int]]:
+    """Where a known given name stands that a capitalised word follows."""
+    return [(m.start(), _WORD.match(text, m.end() + 1).end()) for m in _PAIR.finditer(text) if m[0].lower() in _GENDER]  # type: ignore[union-attr]
+
+
+def find(text: str) -> list[Mention]:
+    """The mentions of entities in a text, in order."""
+    untitled = _untitled(text)
+    if not untitled and not _HINT.search(text):
         return []
-    out = []
+    out: list[Mention] = []
     for m in _GROUPS.finditer(text):
         kind, value = next((k, v) for k, v in m.groupdict().items() if v is not None and k != "gap")
-        if kind in ("card", "phone", "ssn"):
-            form = re.sub(r"\D", "", value)
-        elif kind == "iban":
-            form = value.replace(" ", "")
-        elif kind == "name":
-            form = f"{gender_of(text, m.start(), value)}:{script_of(value)}:{value}"
+        if kind == "name":
+            out += _name(text, m.start(), m.end(), text[max(0, m.start() - 12) : m.start()])
+        elif kind in ("card", "phone", "ssn"):
+            out.append(Mention(m.start(), m.end(), kind, re.sub(r"\D", "", value)))
         else:
-            form = value.lower()
-        out.append((m.start(), m.end(), kind, form))
+            out.append(Mention(m.start(), m.end(), kind, value.replace(" ", "") if kind == "iban" else value.lower()))
+    if untitled:
+        taken = [m.start for m in out]
+        free = lambda a, b: (k := bisect_left(taken, b)) == 0 or out[k - 1].end <= a
+        more = [w for a, b in untitled if free(a, b) for w in _name(text, a, b, "")]
+        for w in more:  # "Anna Lena Meyer" has two pairs that share a word
+            if not out or w.start not in taken:
+                taken.append(w.start)
+                out.append(w)
+        out.sort()
+    names = {m.form: m.kind for m in out if m.kind in ("given", "family")}
+    return _further(text, out, names) if names else out
+
+
+def _further(text: str, found: list[Mention], names: dict[str, str]) -> list[Mention]:
+    """With the capitalised words between the mentions that are part of a name found in the text."""
+    out: list[Mention] = []
+    at = 0
+    for m in [*found, None]:
+        for w in _WORD.finditer(text, at, m.start if m else len(text)):
+            core = _TAIL.sub("", w[0])
+            if core[:1].isupper() and core.lower() in names:
+                follows = bool(out) and out[-1].kind == "given" and text[out[-1].end : w.start()] == " "
+                out.append(Mention(w.start(), w.start() + len(core), names[core.lower()], core.lower(), "", not follows))
+        if m:
+            out.append(m)
+            at = m.end
     return out
 
 
@@ -133,49 +205,84 @@ def _luhn(digits: str) -> int:
     return sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(digits))) % 10
 
 
+def _right_check(country: str, account: str) -> str:
+    """The check digits of an IBAN."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in account + country + '00')) % 97:02d}"
+
+
+def _permuted_runs(key: bytes, tag: str, text: str) -> str:
+    """Digits permuted among digits and letters among letters, run by run."""
+    runs = re.findall(r"\d+|[A-Z]+", text)
+    return "".join(permuted_digits(key, f"{tag}/{k}", r) if r.isdigit() else permuted_digits(key, f"{tag}/{k}", r.lower(), LETTERS).upper() for k, r in enumerate(runs))
+
+
+def _iban(key: bytes, tag: str, form: str) -> str:
+    country, check, account = form[:2], form[2:4], form[4:]
+    made = _permuted_runs(key, tag + country, account)
+    right, was_right = _right_check(country, made), _right_check(country, account)
+    if check == was_right:
+        return country + right + made
+    moved = lambda digits: permuted_digits(key, tag + made, digits)
+    return country + (moved(check) if moved(check) != right else moved(was_right)) + made
+
+
+def _card(key: bytes, tag: str, form: str) -> str:
+    if _luhn(form) == 0:
+        body = permuted_digits(key, tag, form[:-1])
+        return body + str(-_luhn(body + "0") % 10)
+    made = permuted_digits(key, tag, form)
+    while _luhn(made) == 0:  # on along the permutation's cycle, which leads back to a number of the same class
+        made = permuted_digits(key, tag, made)
+    return made
+
+
+def _email(key: bytes, tag: str, form: str, attempt: int) -> str:
+    user, _, domain = form.partition("@")
+
+    def moved(run: str) -> str:
+        if run.isdigit() and run.isascii():
+            return permuted_digits(key, tag + domain, run)
+        if not run.isalpha():
+            return run
+        return permuted_digits(key, tag + domain, run if run.isascii() else "".join(LETTERS[ord(c) % 26] for c in run), LETTERS)
+
+    plain = "".join(map(moved, re.findall(r"[0-9]+|[a-z]+|[^\W\d_a-z]+|\W|_|\d", user)))
+    digits = 6 + attempt
+    return f"{plain}@mail{_number(key, tag, domain) % 10**digits:0{digits}d}.example.{('com', 'net', 'org')[_number(key, domain) % 3]}"
+
+
+def _name_of(key: bytes, tag: str, kind: str, form: str, attempt: int, gender: str) -> str:
+    """A given name of the lists, of several of them after some attempts, or a family name of syllables."""
+    script = script_of(form)
+    pick = _number(key, tag, form)
+    if kind == "given":
+        pool = GIVEN[script, _GENDER.get(form) or gender or "x"]
+        return "-".join(pool[(pick >> 16 * k) % len(pool)] for k in range(1 + min(attempt // 2, 7)))
+    syllables = SYLLABLES[script]
+    many = 3 + pick % 2 + attempt // 3
+    return "".join(syllables[_number(key, tag, form, str(k)) % len(syllables)] for k in range(many)).capitalize()
+
+
 @lru_cache(maxsize=200_000)
-def surrogate(key: bytes, kind: str, form: str, attempt: int) -> str:
+def surrogate(key: bytes, kind: str, form: str, attempt: int, gender: str = "") -> str:
     """The surrogate, as a canonical form, at an attempt."""
     tag = f"{kind}{attempt}"
+    if kind in ("given", "family"):
+        return _name_of(key, tag, kind, form, attempt, gender)
     if kind == "card":
-        if _luhn(form) == 0:
-            body = permuted_digits(key, tag, form[:-1])
-            return body + str(-_luhn(body + "0") % 10)
-        made = permuted_digits(key, tag, form)
-        return made if _luhn(made) else surrogate(key, kind, form, attempt + 1000)
+        return _card(key, tag, form)
+    if kind == "iban":
+        return _iban(key, tag, form)
+    if kind == "email":
+        return _email(key, tag, form, attempt)
     if kind == "phone":
         keep = max(0, len(form) - 10)
         return form[:keep] + permuted_digits(key, tag + form[:keep], form[keep:])
-    if kind == "ssn":
-        return permuted_digits(key, tag, form)
     if kind == "ipv4":
-        a, b, c, d = (int(x) for x in form.split("."))
-        n = permuted_digits(key, tag + str(a), f"{b:02x}{c:02x}{d:02x}", "0123456789abcdef")
-        return f"{a}." + ".".join(str(int(n[k : k + 2], 16)) for k in (0, 2, 4))
-    if kind == "iban":
-        out = form[:2]
-        for run in re.findall(r"\d+|[A-Z]+", form[2:]):
-            out += permuted_digits(key, tag + out[:2], run) if run.isdigit() else permuted_digits(key, tag, run.lower(), LETTERS).upper()
-        return out
-    if kind == "email":
-        user, _, domain = form.partition("@")
-        plain = "".join(permuted_digits(key, tag + domain, r) if r.isdigit() else permuted_digits(key, tag + domain, r, LETTERS) if r.isascii() and r.isalpha() else r if re.fullmatch(r"\W|_", r) else permuted_digits(key, tag, "".join(LETTERS[ord(c) % 26] for c in r), LETTERS) for r in re.findall(r"\d+|[a-z]+|[^\W\d_a-z]+|\W|_", user))
-        host = permuted_digits(key, tag, f"{_number(key, tag, domain) % 10**6:06d}")
-        return f"{plain}@mail{host}.example.{('com', 'net', 'org')[_number(key, domain) % 3]}"
-    gender, script, name = form.split(":", 2)
-    pick = _number(key, tag, form)
-    parts = name.split()
-    genders = [gender] if gender in "fm" else ["f", "m"]
-    pool = [n for g in genders for n in GIVEN[script, g]]
-    syllables = SYLLABLES[script]
-    out = []
-    for k in range(len(parts)):
-        pick = _number(key, tag, form, str(k), str(pick))
-        if k < len(parts) - 1:
-            out.append(pool[pick % len(pool)])
-        else:
-            out.append("".join(syllables[(pick >> 8 * j) % len(syllables)] for j in range(2 + pick % 3)).capitalize())
-    return f"{gender}:{script}:{' '.join(out)}"
+        first, *rest = (int(x) for x in form.split("."))
+        n = permuted_digits(key, tag + str(first), "".join(f"{x:02x}" for x in rest), "0123456789abcdef")
+        return f"{first}." + ".".join(str(int(n[k : k + 2], 16)) for k in (0, 2, 4))
+    return permuted_digits(key, tag, form)
 
 
 def written(kind: str, value: str, made: str) -> str:
@@ -183,61 +290,73 @@ def written(kind: str, value: str, made: str) -> str:
     if kind in ("card", "phone", "ssn", "iban"):
         fresh = iter(made)
         return "".join(next(fresh) if c.isalnum() else c for c in value)
-    if kind == "name":
-        return made.split(":", 2)[2]
     letters = [c for c in value.partition("@")[0] if c.isalpha()]
-    return made.upper() if kind == "email" and letters and all(c.isupper() for c in letters) else made
+    shout = len(letters) > (kind != "email") and all(c.isupper() for c in letters)
+    return made.upper() if kind in ("email", "given", "family") and shout else made
 
 
-def replaced(text: str, key: bytes, retried: dict[tuple[str, str], int]) -> tuple[str, int]:
-    """The text with surrogates, and the number of mentions."""
+def replaced(text: str, key: bytes, told: dict[tuple[str, str], tuple[int, str]]) -> tuple[str, int]:
+    """The text with surrogates, and the number of mentions; `told` has the attempt and the gender of entities where these
+    aren't 0 and unknown."""
     at, out, found = 0, [], find(text)
-    for start, end, kind, form in found:
-        out += [text[at:start], written(kind, text[start:end], surrogate(key, kind, form, retried.get((kind, form), 0)))]
-        at = end
-    return "".join(out) + text[at:], len(found)
+    for m in found:
+        out += [text[at : m.start], written(m.kind, text[m.start : m.end], surrogate(key, m.kind, m.form, *told.get((m.kind, m.form), (0, ""))))]
+        at = m.end
+    return "".join(out) + text[at:], sum(m.head for m in found)
 
 
-ENTITY = "kind string, form string, attempt int, made string"
+ENTITY = "kind string, form string, gender string, attempt int, made string"
+ONE_TO_ONE = ("card", "iban", "ipv4", "phone", "ssn")
 
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 4 << 20):
-        found = sorted({(k, f) for t in batch.column(0).to_pylist() if t for _, _, k, f in find(t)})
-        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.string()) for j in (0, 1)], names=["kind", "form"])
+        found = sorted({(m.kind, m.form, m.gender) for t in batch.column(0).to_pylist() if t for m in find(t)})
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.string()) for j in range(3)], names=["kind", "form", "gender"])
 
 
 def _proposed(key: bytes) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [surrogate(key, k, f, a) for k, f, a in zip(*(c.to_pylist() for c in b.columns[:3]), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(made, pa.string())], names=["kind", "form", "attempt", "made"])
+            made = [surrogate(key, k, f, a, g) for k, f, g, a in zip(*(c.to_pylist() for c in b.columns[:4]), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(made, pa.string())], names=["kind", "form", "gender", "attempt", "made"])
 
     return run
 
 
-def assigned(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """kind, form, attempt and surrogate of the distinct entities of `docs` (text), without collisions."""
-    forms = materialise(docs.select("text").mapInArrow(_entities, "kind string, form string").distinct())
-    real = forms.select("kind", F.col("form").alias("made"))
-    now = materialise(forms.withColumn("attempt", F.lit(0)).mapInArrow(_proposed(key), ENTITY))
-    for _ in range(TRIES):
-        first = now.groupBy("kind", "made").agg(F.min(F.struct("attempt", "form")).alias("best"), F.count("*").alias("n"))
-        twice = now.join(first.where("n > 1"), ["kind", "made"]).where(F.col("form") != F.col("best.form")).select("kind", "form")
-        losers = materialise(twice.unionByName(now.join(real, ["kind", "made"], "left_semi").select("kind", "form")).distinct())
+def _space(kind: str = "kind") -> Column:
+    """Kinds whose surrogates are compared: names of both kinds could be taken for each other."""
+    return F.when(F.col(kind).isin("given", "family"), "name").otherwise(F.col(kind))
+
+
+def assigned(docs: DataFrame, key: bytes, tries: int = TRIES) -> DataFrame:
+    """kind, form, gender, attempt and surrogate of the distinct entities of `docs` (text), without collisions."""
+    seen = docs.select("text").mapInArrow(_entities, "kind string, form string, gender string")
+    says = lambda g: F.max(F.col("gender") == g)
+    both = seen.groupBy("kind", "form").agg(says("f").alias("f"), says("m").alias("m"))
+    forms = materialise(both.select("kind", "form", F.when(F.col("f") & ~F.col("m"), "f").when(F.col("m") & ~F.col("f"), "m").otherwise("").alias("gender")))
+    real = forms.select(_space().alias("space"), F.lower("form").alias("alike")).distinct()
+    proposed = lambda df: materialise(df.select("kind", "form", "gender", "attempt").mapInArrow(_proposed(key), ENTITY).withColumns({"space": _space(), "alike": F.lower("made")}))
+    now = proposed(forms.withColumn("attempt", F.lit(0)))
+    for _ in range(tries):
+        first = now.groupBy("space", "alike").agg(F.min(F.struct("attempt", "kind", "form")).alias("best"), F.count("*").alias("n"))
+        twice = now.join(first.where("n > 1"), ["space", "alike"]).where("kind <> best.kind or form <> best.form").select("kind", "form")
+        losers = materialise(twice.unionByName(now.join(real, ["space", "alike"], "left_semi").select("kind", "form")).distinct())
         if losers.isEmpty():
-            return now
+            break
         lost = losers.withColumn("lost", F.lit(1))
-        again = now.join(lost, ["kind", "form"], "left").select("kind", "form", (F.col("attempt") + F.coalesce("lost", F.lit(0))).alias("attempt"))
-        now = materialise(again.mapInArrow(_proposed(key), ENTITY))
-    raise ValueError(f"surrogates still collide after {TRIES} attempts: a kind has too few of them")
+        now = proposed(now.join(lost, ["kind", "form"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("lost", F.lit(0))))
+    else:
+        full = [r.kind for r in losers.select("kind").distinct().collect() if r.kind in ONE_TO_ONE]
+        now = proposed(now.withColumn("attempt", F.when(F.col("kind").isin(full), 0).otherwise(F.col("attempt"))))
+    return now.select("kind", "form", "gender", "attempt", "made")
 
 
-def _texts(key: bytes, text_at: int, retried: dict[tuple[str, str], int], extra: bool) -> Callable:
+def _texts(key: bytes, text_at: int, told: dict[tuple[str, str], tuple[int, str]], extra: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4 << 20):
             texts = batch.column(text_at).to_pylist()
-            own = [{(e["kind"], e["form"]): e["attempt"] for e in x or []} for x in batch.column(batch.num_columns - 1).to_pylist()] if extra else [retried] * len(texts)
+            own = [{(e["kind"], e["form"]): (e["attempt"], e["gender"]) for e in x or []} for x in batch.column(batch.num_columns - 1).to_pylist()] if extra else [told] * len(texts)
             done = [(None, 0) if t is None else replaced(t, key, r) for t, r in zip(texts, own, strict=True)]
             columns = [pa.array([d[0] for d in done], batch.schema.field(k).type) if k == text_at else batch.column(k) for k in range(batch.num_columns - extra)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([d[1] for d in done], pa.int64())], names=[*batch.schema.names[: len(columns)], "n"])
@@ -247,28 +366,36 @@ def _texts(key: bytes, text_at: int, retried: dict[tuple[str, str], int], extra:
 
 def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 4 << 20):
-        rows = sorted({(r, k, f) for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for _, _, k, f in find(t)})
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), *(pa.array([x[j] for x in rows], pa.string()) for j in (1, 2))], names=["text_hash", "kind", "form"])
+        rows = sorted({(r, m.kind, m.form) for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for m in find(t)})
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows], pa.string()) for j in range(3)], names=["text_hash", "kind", "form"])
 
 
-def with_surrogates(docs: DataFrame, count: str, key: bytes = KEY, sent: int = SENT) -> DataFrame:
+def with_surrogates(docs: DataFrame, count: str, key: bytes, sent: int = SENT) -> DataFrame:
     """`docs`, all columns, surrogates in text, and the number of mentions under `count`."""
-    retried = assigned(docs, key).where("attempt > 0").select("kind", "form", "attempt")
+    if not key:
+        raise ValueError("surrogates need a key")
+    told = assigned(docs, key).where("attempt > 0 or gender <> ''").select("kind", "form", "attempt", "gender")
     at = docs.columns.index("text")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{count}` long"])
-    few = retried.limit(sent + 1).collect()
+    few = told.limit(sent + 1).collect()
     if len(few) <= sent:
-        return docs.mapInArrow(_texts(key, at, {(r.kind, r.form): r.attempt for r in few}, False), schema)
-    mark, table = free_name(docs.columns, "text_hash"), free_name(docs.columns, "retried")
-    marked = docs.withColumn(mark, F.xxhash64("text"))
-    mentions = docs.select(F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_mentions, "text_hash long, kind string, form string").distinct()
-    tables = mentions.join(retried, ["kind", "form"]).groupBy("text_hash").agg(F.collect_list(F.struct("kind", "form", "attempt")).alias(table)).withColumnRenamed("text_hash", mark)
-    joined = marked.join(tables, mark, "left").select(*(F.col(f"`{c}`") for c in docs.columns), F.col(table))
+        return docs.mapInArrow(_texts(key, at, {(r.kind, r.form): (r.attempt, r.gender) for r in few}, False), schema)
+    mark, table = free_name(docs.columns, "text_hash"), free_name(docs.columns, "told")
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    mentions = docs.select(digest.alias("text_hash"), "text").mapInArrow(_mentions, "text_hash string, kind string, form string").distinct()
+    tables = mentions.join(told, ["kind", "form"]).groupBy("text_hash").agg(F.collect_list(F.struct("kind", "form", "attempt", "gender")).alias(table)).withColumnRenamed("text_hash", mark)
+    joined = docs.withColumn(mark, digest).join(tables, mark, "left").select(*(F.col(f"`{c}`") for c in docs.columns), F.col(table))
     return joined.mapInArrow(_texts(key, at, {}, True), schema)
 
 
+def key_of(spark: SparkSession) -> bytes:
+    """The key that the session names, else a random one."""
+    own = spark.conf.get("spark.tablewell.pii.key", None)
+    return own.encode() if own else secrets.token_bytes(32)
+
+
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_surrogates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "n_entities")
+    return with_surrogates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "n_entities", key_of(spark))
 
 
 QUERIES = {"op2_pii_surrogates": op2_pii_surrogates}

@@ -5,8 +5,9 @@ bytes run over each chunk (bytes are embedded first; for scoring, embedding and
 and are max-pooled over the chunk. The maximum and the mean over a text's chunks, per filter, go into one logistic unit,
 which gives the probability of label 1.
 
-Training takes at most `SAMPLE` labelled rows, those of least hash of doc_id, and of each at most `TRAIN_CHUNKS` chunks at
-even distances, so that it is bounded; scoring takes every byte of every text. The model is broadcast with the task.
+Training takes at most `SAMPLE` labelled rows (one for each doc_id), those of least hash of doc_id, as long as their texts
+have no more than `SAMPLE_BYTES` together; it sees every chunk of these, as scoring does of every text. It runs in the
+driver, in steps that hold a few texts' pooled chunks only. The model is sent with the task.
 
 Defined results: null and empty texts are one chunk of padding and get a score like any other; null doc_ids pass (their
 labels are not learned from, and they count as not held out); without labels of both kinds every score is the prior, the
@@ -20,18 +21,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, read_table, slices, text_bytes
+from .common import free_name, materialise, read_table, shuffle_width, slices, text_bytes
 
 CHUNK = 256
 TAPS = 6
 WIDTH = 8
 FILTERS = 16
 SAMPLE = 3000
-TRAIN_CHUNKS = 8
-EPOCHS = 10
+SAMPLE_BYTES = 64 << 20
+EPOCHS = 8
+STEP_TEXTS = 32
+STEP_HALVES = 1024
 THRESHOLD = 0.3
 
 
@@ -88,8 +91,31 @@ def score_bytes(net: Network, data: np.ndarray, starts: np.ndarray) -> np.ndarra
     return out
 
 
-def train(chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray, seed: int = 7) -> Network:
-    """Fit by Adam on chunks [n, CHUNK + TAPS - 1] (256: padding) of texts `owner`, sorted, with `labels` by text."""
+def _pooled_halves(table: np.ndarray, data: np.ndarray, starts: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each half chunk of the texts: the greatest activation of each filter, the bytes that gave it [half, filter, tap],
+    and whose it is; and the number of halves of each text."""
+    half = CHUNK // 2
+    sizes = starts[texts + 1] - starts[texts]
+    many = np.maximum(1, -(-sizes // half))
+    owner = np.repeat(np.arange(len(texts)), many)
+    own = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+    first, left = starts[texts][owner] + own * half, sizes[owner] - own * half
+    peaks, where = [], []
+    span = np.arange(half + TAPS - 1)
+    for lo in range(0, len(owner), STEP_HALVES):
+        at = first[lo : lo + STEP_HALVES, None] + span
+        x = np.where(span < left[lo : lo + STEP_HALVES, None], data[np.minimum(at, max(0, len(data) - 1))] if len(data) else 256, 256).astype(np.int64)
+        act = np.take(table[0], x[:, :half], axis=0)
+        for t in range(1, TAPS):
+            act += np.take(table[t], x[:, t : t + half], axis=0)
+        best = act.argmax(1)
+        peaks.append(np.take_along_axis(act, best[:, None], 1)[:, 0])
+        where.append(x[np.arange(len(x))[:, None, None], best[:, :, None] + np.arange(TAPS)].astype(np.int16))
+    return np.concatenate(peaks), np.concatenate(where), owner, many
+
+
+def train(data: np.ndarray, starts: np.ndarray, labels: np.ndarray, seed: int = 7) -> Network:
+    """Fit by Adam on the texts that lie end to end in `data`, with their labels; every chunk counts."""
     rng = np.random.default_rng(seed)
     p = {
         "e": rng.normal(0, 0.5, (257, WIDTH)),
@@ -100,21 +126,22 @@ def train(chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray, seed: int =
     }
     p = {k: v.astype(np.float32) for k, v in p.items()}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    begins = np.searchsorted(owner, np.arange(len(labels) + 1))
     step = 0
     for epoch in range(EPOCHS):
         rate = 0.01 * (1 - epoch / EPOCHS) + 0.0005
-        for texts in np.array_split(rng.permutation(len(labels)), max(1, len(labels) // 32)):
-            rows = np.concatenate([np.arange(begins[t], begins[t + 1]) for t in texts])
-            n = begins[texts + 1] - begins[texts]
+        for texts in np.array_split(rng.permutation(len(labels)), max(1, len(labels) // STEP_TEXTS)):
+            folded = np.stack([p["e"] @ p["f"][t * WIDTH : (t + 1) * WIDTH] for t in range(TAPS)])
+            peaks, seen, owner, many = _pooled_halves(folded, data, starts, texts)
+            # a chunk is two halves in a row, or a text's only one; it has the greater one's activation and bytes
+            pair = np.flatnonzero(np.concatenate([owner[1:] == owner[:-1], [False]]))
+            lone = np.flatnonzero(np.repeat(many == 1, many))
+            one = np.sort(np.concatenate([pair, lone]))
+            two = np.where(np.isin(one, lone), one, np.minimum(one + 1, len(owner) - 1))
+            later = peaks[two] > peaks[one]
+            raw = np.where(later, peaks[two], peaks[one]) + p["b"]
+            bytes_ = np.where(later[:, :, None], seen[two], seen[one]).astype(np.int64)
+            n = np.maximum(1, many - 1)
             first = np.cumsum(n) - n
-            x = chunks[rows]
-            folded = [p["e"] @ p["f"][t * WIDTH : (t + 1) * WIDTH] for t in range(TAPS)]
-            act = folded[0][x[:, :CHUNK]]
-            for t in range(1, TAPS):
-                act += folded[t][x[:, t : t + CHUNK]]
-            where = act.argmax(1)
-            raw = np.take_along_axis(act, where[:, None], 1)[:, 0] + p["b"]
             pooled = np.maximum(raw, 0)
             top = np.maximum.reduceat(pooled, first)
             mean = np.add.reduceat(pooled, first) / n[:, None]
@@ -125,15 +152,14 @@ def train(chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray, seed: int =
             text_of = np.repeat(np.arange(len(texts)), n)
             is_top = pooled == top[text_of]
             shared = np.add.reduceat(is_top.astype(np.float32), first)
-            dp = (dv[:, :FILTERS] / shared)[text_of] * is_top + (dv[:, FILTERS:] / n[:, None])[text_of]
-            dp = dp * (raw > 0)
-            bytes_ = x[np.arange(len(rows))[:, None, None], where[:, :, None] + np.arange(TAPS)]
-            patches = p["e"][bytes_].reshape(len(rows), FILTERS, TAPS * WIDTH)
-            grads = {"w": v.T @ slope + 1e-4 * p["w"], "o": np.array([slope.sum()]), "b": dp.sum(0), "f": np.einsum("cfk,cf->kf", patches, dp)}
-            de = np.zeros_like(p["e"])
-            back = (dp[:, :, None] * p["f"].T[None]).reshape(-1, TAPS, WIDTH)
-            np.add.at(de, bytes_.reshape(-1, TAPS), back)
-            grads["e"] = de
+            dp = ((dv[:, :FILTERS] / shared)[text_of] * is_top + (dv[:, FILTERS:] / n[:, None])[text_of]) * (raw > 0)
+            grads = {"w": v.T @ slope + 1e-4 * p["w"], "o": np.array([slope.sum()]), "b": dp.sum(0)}
+            # how much each byte at each tap of each filter counts, then through embedding and filters
+            cell = (np.arange(FILTERS)[:, None] * TAPS + np.arange(TAPS)) * 257 + bytes_
+            weight = np.bincount(cell.ravel(), np.repeat(dp.ravel(), TAPS), FILTERS * TAPS * 257).reshape(FILTERS, TAPS, 257)
+            filters = p["f"].reshape(TAPS, WIDTH, FILTERS)
+            grads["f"] = np.einsum("ctb,bw->twc", weight, p["e"], optimize=True).reshape(TAPS * WIDTH, FILTERS)
+            grads["e"] = np.einsum("ctb,twc->bw", weight, filters, optimize=True)
             step += 1
             for k, g in grads.items():
                 m, s = moments[k]
@@ -149,36 +175,32 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(False))
 
 
-def _sampled_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 4 << 20):
-        data, starts = text_bytes(batch.column(0))
-        blobs = []
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            every = chunk_starts(int(b - a))
-            some = every[np.unique(np.linspace(0, len(every) - 1, TRAIN_CHUNKS).astype(int))]
-            rows = np.full((len(some), CHUNK + TAPS - 1), 256, "<u2")
-            for k, s in enumerate(some):
-                own = data[a + s : min(b, a + s + CHUNK + TAPS - 1)]
-                rows[k, : len(own)] = own
-            blobs.append(rows.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(blobs, pa.binary())], names=["doc_id", "label", "chunks"])
+def sampled(docs: DataFrame, known: DataFrame, sample: int, most_bytes: int) -> DataFrame:
+    """doc_id, text and label of at most `sample` of the rows of `known` (doc_id, label), those of least hash of doc_id, whose
+    texts have at most `most_bytes` together. Of a doc_id with several texts it's the least one."""
+    chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    width = shuffle_width(docs.sparkSession)
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(width, "doc_id")
+    rows = materialise(met.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("label").alias("label")))
+    # a row each for at most `sample` ids, no texts
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = rows.select("doc_id", F.sum(F.octet_length("text").cast("long")).over(order).alias("total")).where(F.col("total") <= most_bytes).select("doc_id")
+    return rows.join(F.broadcast(fits), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Network:
     """A network fitted on at most `sample` of the rows whose label may be learned from."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label in (0, 1)").where(~held_out(F.col("doc_id"), 5, 0) & F.col("doc_id").isNotNull())
-    chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # the sample is bounded by its parameter, and so is what each of its rows sends
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("doc_id").cast("long").alias("doc_id"), "label")
-    got = sorted({(r.doc_id, r.label, bytes(r.chunks)) for r in rows.mapInArrow(_sampled_chunks, "doc_id long, label int, chunks binary").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()})
+    # both parameters bound what the driver gets
+    got = sorted((r.doc_id, r.label, bytes(r.utf8)) for r in sampled(docs, known, sample, most_bytes).select("doc_id", "label", F.col("text").cast("binary").alias("utf8")).collect())
     y = np.array([r[1] for r in got], np.float32)
     if not len(y) or y.min() == y.max():
         prior = float(y.mean()) if len(y) else 1.0
         blank = Network(np.zeros((TAPS, 257, 1), np.float32), np.zeros(1, np.float32), np.zeros(2), 0.0)
         blank.offset = float(np.clip(np.log((prior + 1e-9) / (1 - prior + 1e-9)), -30, 30))
         return blank
-    blocks = [np.frombuffer(r[2], "<u2").reshape(-1, CHUNK + TAPS - 1) for r in got]
-    return train(np.concatenate(blocks).astype(np.int64), np.repeat(np.arange(len(blocks)), [len(b) for b in blocks]), y)
+    starts = np.concatenate([[0], np.cumsum([len(r[2]) for r in got])]).astype(np.int64)
+    return train(np.frombuffer(b"".join(r[2] for r in got), np.uint8), starts, y)
 
 
 def _scored(net: Network, text_at: int, name: str) -> Callable:

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from . import bpe, exact, packing, pii, quality, rules, secrets, simhash, suffix_dedup, toxicity
 
-MODULES = ("packing", "pii", "exact", "toxicity", "secrets", "rules", "bpe", "suffix_dedup", "quality", "simhash")
-
-
-def _all(name: str) -> dict:
-    return {k: v for m in MODULES for k, v in getattr(import_module(f"{__package__}.{m}"), name).items()}
+MODULES = (packing, pii, exact, toxicity, secrets, rules, bpe, suffix_dedup, quality, simhash)
 
 
 def queries() -> dict:
-    return _all("QUERIES")
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _all("ORACLES")
+    return {k: v for m in MODULES for k, v in m.ORACLES.items()}

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import free_name, materialise, read_table, shuffle_width, slices
+from .common import free_name, join_skewed, materialise, read_table, shuffle_width, slices
 from .components import components
 
 WORDS = 4
@@ -258,25 +258,47 @@ def roots(marks: DataFrame, distance: int = DISTANCE, most: int = MOST) -> DataF
     return components(links(marks, distance, most)).toDF("mark", "root")
 
 
+def _least_of_components(classes: DataFrame, rooted: DataFrame) -> DataFrame:
+    """`classes` (mark, least and others) and the least of their component under `first`; `rooted` (mark, root) has those
+    that link. One component may hold most marks."""
+    own = materialise(classes.join(rooted, "mark", "left"))
+    linked = own.where("root is not null")
+    best = materialise(linked.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("n")))
+    with_first = join_skewed(linked, best, "root", "n").drop("root")
+    return with_first.unionByName(own.where("root is null").drop("root").withColumn("first", F.col("least")))
+
+
 def near_duplicate_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for every row of `docs` (doc_id, text)."""
     marked = materialise(with_fingerprints(docs.select("doc_id", "text"), "mark", only_id=True))
-    classes = materialise(marked.groupBy("mark").agg(F.min("doc_id").alias("least")))
-    rooted = classes.join(roots(classes), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("mark", "root").join(least, "root").select("mark", "component_id")
-    return marked.join(named, "mark").select("doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id")
+    classes = materialise(marked.groupBy("mark").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
+    named = materialise(_least_of_components(classes, roots(classes)).select("mark", F.col("first").alias("component_id"), "rows"))
+    return join_skewed(marked, named, "mark", "rows").select("doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _survivors(docs: DataFrame, marked: DataFrame, mark: str, classes: DataFrame, rooted: DataFrame) -> DataFrame:
+    """`docs` with all columns, of each component one row of its smallest doc_id: of several the one of least text, then of
+    least other columns. `marked` is `docs` with each row's class under `mark`."""
+    root, least = (free_name(marked.columns, n) for n in ("root__", "least__"))
+    name = F.coalesce("root", "mark")
+    whole = materialise(classes.select("mark", "least").join(rooted, "mark", "left").select("mark", "least", name.alias("root")))
+    first = whole.groupBy("root").agg(F.min("least").alias("first"))
+    chosen = whole.join(first, "root").where(F.col("least").eqNullSafe(F.col("first"))).select(F.col("mark").alias(mark), F.col("root").alias(root), F.col("least").alias(least))
+    # a class may hold very many rows, but few of one doc_id, which is part of the key
+    own, other = marked.alias("own"), chosen.alias("other")
+    kept = own.join(other, (F.col(f"own.`{mark}`") == F.col(f"other.`{mark}`")) & F.col("own.doc_id").eqNullSafe(F.col(f"other.`{least}`")))
+    every = [F.col(f"own.`{c}`").alias(c) for c in docs.columns]
+    rows = kept.select(F.col(f"other.`{root}`").alias(root), F.struct(*every).alias("row"))
+    order = F.struct(F.col("row.text"), F.to_json("row"))
+    return rows.groupBy(root).agg(F.min_by("row", order).alias("row")).select("row.*")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """`docs` with all columns, one row of each component: that with the smallest doc_id (of equal ones any one)."""
-    mark, root, least = (free_name(docs.columns, n) for n in ("mark__", "root__", "least__"))
+    """`docs` with all columns, one row of each component: that with the smallest doc_id (of equal ones that of least text,
+    then of least other columns)."""
+    mark = free_name(docs.columns, "mark__")
     classes = materialise(with_fingerprints(docs, mark, only_id=True).groupBy(F.col(mark).alias("mark")).agg(F.min("doc_id").alias("least")))
-    rooted = classes.join(roots(classes), "mark", "left").select("mark", "least", F.coalesce("root", "mark").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("least").alias("least"))
-    chosen = rooted.join(best, "root").where(rooted["least"].eqNullSafe(best["least"])).select(F.col("mark").alias(mark), F.col("root").alias(root), best["least"].alias(least))
-    kept = with_fingerprints(docs, mark).join(chosen, mark)
-    return kept.where(F.col("doc_id").eqNullSafe(F.col(least))).dropDuplicates([root]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return _survivors(docs, with_fingerprints(docs, mark), mark, classes, roots(classes))
 
 
 def _factors() -> tuple[np.ndarray, np.ndarray]:
@@ -497,18 +519,13 @@ def similar_links(docs: DataFrame, classes: DataFrame, words: int, similar: floa
 
 def one_of_each_similar(docs: DataFrame, words: int = SIMILAR_WORDS, similar: float = SIMILAR) -> DataFrame:
     """`docs` with all columns, one row of each component of texts whose shingles are as similar: that with the smallest
-    doc_id (of equal ones any one). Blank texts are similar to each other only."""
-    mark, root = (free_name(docs.columns, n) for n in ("mark__", "root__"))
-    least = free_name(docs.columns, "least__")
+    doc_id (of equal ones that of least text, then of least other columns). Blank texts are similar to each other only."""
+    mark = free_name(docs.columns, "mark__")
     sketched = docs.select("doc_id", "text").mapInArrow(_sketches(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, keys array<long>, sketch binary")
     classes = materialise(sketched.groupBy("mark").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
     marked = docs.mapInArrow(_marks(docs.columns.index("text"), mark), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{mark}` long"]))
     links_ = similar_links(marked.select(F.col(mark).alias("mark"), "text"), classes, words, similar)
-    rooted = classes.join(components(links_).toDF("mark", "root"), "mark", "left").select("mark", "least", F.coalesce("root", "mark").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("least").alias("least"))
-    chosen = rooted.join(best, "root").where(rooted["least"].eqNullSafe(best["least"])).select(F.col("mark").alias(mark), F.col("root").alias(root), best["least"].alias(least))
-    kept = marked.join(chosen, mark)
-    return kept.where(F.col("doc_id").eqNullSafe(F.col(least))).dropDuplicates([root]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return _survivors(docs, marked, mark, classes, components(links_).toDF("mark", "root"))
 
 
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

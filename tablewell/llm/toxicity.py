@@ -4,9 +4,10 @@ Features of a text: densities of lexicon words, their nearness to second-person
 obfuscation rates. The lexicon is a short fixed list and the words and word
 beginnings that tell best between the labels in the sample.
 
-Fitting takes at most `SAMPLE` labelled rows, those of least hash of doc_id. Word counts of the sample are made on the
-cluster; the driver gets at most `LEARNED` words and one feature row per sampled document. Three quarters of the sample
-grow the trees, one quarter fits the calibration. Scoring reads every text as a whole.
+Fitting takes at most `SAMPLE` labelled rows (one for each doc_id), those of least hash of doc_id. By a hash of their texts,
+so that copies stay together, three quarters teach the words and grow the trees, and one quarter, of which these know
+nothing, fits the calibration. Words are counted and features made on the cluster; the driver gets at most `LEARNED` words
+and one feature row for each sampled document. Scoring reads every text as a whole.
 
 Defined results: null and empty texts have zero features and get a score like any other; null doc_ids pass (their labels
 are not learned from, and they count as not held out); without labels of both kinds every score is the share of label 1, or
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, read_table, slices
-from .quality import held_out
+from .quality import held_out, sampled
 
 SAMPLE = 12000
 LEARNED = 200
@@ -202,7 +203,7 @@ def _featured(learned: dict[str, float]) -> Callable:
         lexicon = Lexicon(learned)
         for batch in slices(batches, 4 << 20):
             rows = [features(t, lexicon) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "label", "teaches", "x"])
 
     return run
 
@@ -210,33 +211,29 @@ def _featured(learned: dict[str, float]) -> Callable:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     """Trees fitted on at most `sample` of the rows whose label may be learned from."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("label in (0, 1)").where(~held_out(F.col("doc_id"), 3, 1) & F.col("doc_id").isNotNull())
-    chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label").orderBy(F.xxhash64("doc_id"), "text").limit(sample)
-    rows = materialise(rows)
-    total = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
-    if len(total) < 2:
-        rate = 1.0 if 1 in total else 0.0
-        return Trees(base=30.0 if rate else -30.0)
-    counted = rows.mapInArrow(_distinct_words, "word string, label int, n long").groupBy("word").agg(
+    rows = materialise(sampled(docs, known, sample, 1 << 62).withColumn("teaches", F.pmod(F.xxhash64("text", F.lit("split")), F.lit(4)) > 0))
+    split = {(r.teaches, r.label): r["count"] for r in rows.groupBy("teaches", "label").count().collect()}
+    if len({label for _, label in split}) < 2:
+        return Trees(base=30.0 if any(label for _, label in split) else -30.0)
+    apart = len(split) == 4  # else there are too few rows to calibrate on rows of their own
+    taught = rows.where("teaches") if apart else rows
+    total = {label: sum(n for (t, k), n in split.items() if k == label and (t or not apart)) for label in (0, 1)}
+    counted = taught.mapInArrow(_distinct_words, "word string, label int, n long").groupBy("word").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean")
     )
     weight = F.log((F.col("toxic") + 0.5) / (total[1] + 1)) - F.log((F.col("clean") + 0.5) / (total[0] + 1))
     told = counted.where(F.col("toxic") >= LEAST_DOCS).select("word", weight.alias("weight"), (weight * F.col("toxic")).alias("gain")).where("weight > 2.0")
     learned = {r.word: r.weight for r in told.orderBy(F.desc("gain"), "word").limit(LEARNED).collect()}
-    got = sorted((r.doc_id, r.label, tuple(r.x)) for r in rows.mapInArrow(_featured(learned), "doc_id long, label int, x array<double>").limit(sample).collect())
-    x, y = np.array([r[2] for r in got]), np.array([float(r[1]) for r in got])
-    part = np.random.default_rng(11).random(len(y)) < 0.75
-    if len(set(y[part])) < 2 or len(set(y[~part])) < 2:
-        model = boost(x, y)
-    else:
-        model = boost(x[part], y[part])
+    featured = rows.select("doc_id", "text", "label", "teaches").mapInArrow(_featured(learned), "doc_id long, label int, teaches boolean, x array<double>")
+    got = sorted((r.doc_id, r.label, r.teaches, tuple(r.x)) for r in featured.collect())
+    x, y, part = np.array([r[3] for r in got]), np.array([float(r[1]) for r in got]), np.array([r[2] for r in got])
+    model = boost(x[part], y[part]) if apart else boost(x, y)
+    if apart:
         model.knots, model.heights = isotonic(model.margin(x[~part]), y[~part])
     model.learned = learned
     return model
 
 
-
-
 def _scored(model: Trees) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(model.learned)

@@ -21,6 +21,7 @@ def make_rows():
     texts += ['key token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end', "AKIA" + "Q7" * 10 + " password: hunter2hunter2", "secret: token: abcdefgh api_key=x1"]
     texts += ["aB3dE6gH9jK2mN5pQ8sT1vW4yZ7xC0 in a line", "The  quick Brown\r\nfox", "the quick brown fox", words(rng, 12000, 3000)]
     texts += ["mail anna.1@mail7.example.org or call +1 (017) 555-7713", "mail anna.1@mail7.example.org from 97.51.17.173, card 9807915762804490", "Mrs. Anna Schmidt met Mr. Paul Meyer"]
+    texts += ["the end <|endoftext|> and on <|endoftext|>", "paths/example-" + "q7Rt" * 9 + "/x"]
     texts += ["line one here\nline one here\nother\nline one here\n" * 4, "%%% ### $$$ " * 12]
     rows = [(k * 3, t, "en", "s", len(t or ""), "m", 0.5, k) for k, t in enumerate(texts)]
     rows += [rows[20], rows[20], (None, texts[21], None, None, None, None, None, None), (None, None, None, None, None, None, None, None), (None, texts[22], None, None, None, None, None, None)]

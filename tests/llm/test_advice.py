@@ -112,3 +112,21 @@ def test_op8_hot_passage_leaves_all_but_its_first_text(spark):
     want = [(r[0], len(b), int(gone.sum())) for r, (b, gone) in zip(rows, removed(rows), strict=True)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert collected(suffix_dedup.removed_spans(docs).select("doc_id", "n_bytes", "n_removed")) == sorted(want, key=key)
+
+
+def test_survivors_of_equal_ids_are_always_the_same(spark):
+    rows = [(1, "b c d e f", "x"), (1, "B C d e f", "y"), (1, "b c d e f", "a"), (None, "q r s t u", "z"), (None, "Q r s t u", "w"), (2, "b C d e f", None), (None, None, "k"), (None, "", None)]
+    for parts in (1, 3, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, `root__` string").repartition(parts)
+        for kept in (simhash.one_of_each(docs), simhash.one_of_each_similar(docs)):
+            assert collected(kept) == sorted([(1, "B C d e f", "y"), (None, "Q r s t u", "w"), (None, None, "k")], key=key)
+
+
+def test_hot_keys_are_joined_apart_from_the_others(spark):
+    from tablewell.llm.common import join_skewed
+
+    big = spark.range(20_000).selectExpr("id", "if(id % 3 = 0, 7, id) as k")
+    small = big.groupBy("k").count().selectExpr("k", "k * 2 as v", "`count` as n")
+    got = join_skewed(big, small, "k", "n")
+    assert got.columns == ["id", "k", "v"] and got.count() == 20_000 and got.where("v <> k * 2 or v is null").count() == 0
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
