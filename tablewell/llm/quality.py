@@ -104,7 +104,9 @@ def _pooled_halves(table: np.ndarray, data: np.ndarray, starts: np.ndarray, text
     span = np.arange(half + TAPS - 1)
     for lo in range(0, len(owner), STEP_HALVES):
         at = first[lo : lo + STEP_HALVES, None] + span
-        x = np.where(span < left[lo : lo + STEP_HALVES, None], data[np.minimum(at, max(0, len(data) - 1))] if len(data) else 256, 256).astype(np.int64)
+        inside = span < left[lo : lo + STEP_HALVES, None]
+        x = np.full(at.shape, 256, np.int64)
+        x[inside] = data[at[inside]]
         act = np.take(table[0], x[:, :half], axis=0)
         for t in range(1, TAPS):
             act += np.take(table[t], x[:, t : t + half], axis=0)

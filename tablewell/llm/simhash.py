@@ -506,8 +506,8 @@ def similar_links(docs: DataFrame, classes: DataFrame, words: int, similar: floa
     now = large.join(components(good).toDF("mark", "root"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
     now = materialise(now.select("key", "mark", "root"))
     sizes = now.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
-    split = sizes.where("n > top.n").select("key", F.col("top.root").alias("most"), F.ceil(F.col("n") / block).alias("m"), F.ceil((F.col("n") - F.col("top.n")) / block).alias("s"))
-    rows = now.join(split, "key")
+    split = sizes.where("n > top.n").select("key", F.col("top.root").alias("most"), F.ceil(F.col("n") / block).alias("m"), F.ceil((F.col("n") - F.col("top.n")) / block).alias("s"), "n")
+    rows = join_skewed(now, materialise(split), "key", "n")
     to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     own = lambda c: F.pmod(F.xxhash64("mark"), F.col(c))
     members = rows.select("key", to("s").alias("one"), own("m").alias("two"), F.lit(0).cast("long").alias("side"), "mark", "root")

@@ -6,21 +6,22 @@ Matches never cross documents and are judged on the input.
 How it works, all of it as Spark shuffles of packed suffix arrays:
 
 1. Documents are packed into batches of a few MB. Of each batch's suffixes, those are sampled whose 16-byte prefix has the
-   least hash among all prefixes inside a window; any two equal windows sample the same suffix. The sampled suffixes with
-   their neighbourhood (all windows that sampled them) form the batch's sparse suffix array, which is sorted and dealt
-   out by prefix.
-2. For each share of the prefixes a logarithmic index family takes one batch after the other: a new batch is
-   merge-scanned against the existing levels, equal entries keep their smallest doc_id (the others are repeats over their
-   whole neighbourhood), and levels of equal size merge geometrically.
-3. Prefixes that occur with different neighbourhoods are the ends of matches. Only their text travels: every suffix there
-   enters a full suffix array of 50-byte strings, again through an index family, with byte comparison of equal runs.
-   A prefix with over `HOT` entries in one batch, or `HOTTEST` in its share, is hot: each batch sends its entries' windows
-   one by one, dealt by the windows' own 128-bit hash and each with the least doc_id of its batch, so that a hot prefix
-   spreads over all tasks. A batch says so with a token, and its own entries of a prefix hot there skip step 2.
+   least hash among all prefixes inside a window; any two equal windows sample the same suffix. The sampled suffixes, in
+   the order of their bytes and with their neighbourhood (the text of all windows that sampled them), form the batch's
+   suffix array. It is dealt out by prefix to as many shares as there are batches, so a share doesn't grow with the data.
+2. In each share a logarithmic index family takes one batch's array after the other. Levels of equal size are merged:
+   both are in order, so places come from searching one in the other. Entries whose neighbourhoods are equal, byte by
+   byte, keep those of their smallest doc_id; the others are repeats over their whole neighbourhood.
+3. Where one prefix is left with different neighbourhoods and documents, a match ends: their 50-byte strings are sorted, a
+   few prefixes at a time, and equal ones compared byte by byte.
+   A prefix with over `HOT` entries in one batch, or `HOTTEST` in its share, is hot: its entries' strings are dealt out one
+   by one by their own 128-bit hash, so that it spreads over all tasks. A batch tells the prefix's share so, and its own
+   entries of a prefix hot there skip step 2. Hot strings alone are compared by their hash only.
 4. The matched windows go back to their batch, which cuts them out.
 
-Hash order stands for alphabetical order within the arrays; step 2 takes two neighbourhoods as equal if 80 bits of hash,
-and the share of the prefixes, agree. Memory per task is a batch, or a share of the sampled suffixes.
+`SuffixFamily` keeps levels in a folder, for batches that come later. Each `add` scans the new arrays against all levels
+and merges those levels into its own that are not over twice its size, so an entry is rewritten a logarithmic number of
+times. Memory per task is a batch, or a share.
 
 Defined results: null text counts as empty; a null doc_id is larger than any other; rows with equal doc_id never remove
 each other's bytes; texts under `WINDOW` bytes stay whole; an empty table gives an empty result; further columns pass.
@@ -28,6 +29,7 @@ each other's bytes; texts under `WINDOW` bytes stay whole; an empty table gives
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -39,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, as_table, materialise, read_table, shuffle_width, slices, squeeze, text_bytes, unsqueeze
+from .common import NULL_ID, as_table, materialise, read_table, slices, squeeze, text_bytes, unsqueeze
 
 WINDOW = 50
 PREFIX = 16
@@ -48,8 +50,11 @@ BLOCK = 1 << 18
 LONGEST_RUN = 200
 HOT = 64
 HOTTEST = 4096
-ROWS = "part long, kind string, bid long, doc binary, body binary"
-_ROWS = pa.schema([("part", pa.int64()), ("kind", pa.string()), ("bid", pa.int64()), ("doc", pa.binary()), ("body", pa.binary())])
+CHUNK_WINDOWS = 1 << 18
+STORED = -2
+"""The batch of rows that come from a folder."""
+ROWS = "part long, kind string, bid long, doc binary, body binary, text binary"
+_ROWS = pa.schema([("part", pa.int64()), ("kind", pa.string()), ("bid", pa.int64()), ("doc", pa.binary()), ("body", pa.binary()), ("text", pa.binary())])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -76,9 +81,10 @@ def _window_hash(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.nda
     return total
 
 
-def sample_suffixes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(prefix hash, first window, number of windows) of each sampled suffix of the texts in `data`."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def sample_suffixes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix hash, first window, number of windows, where in the first window the suffix begins) of each sampled suffix of
+    the texts in `data`."""
+    out: list[tuple[np.ndarray, ...]] = []
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     reach = WINDOW - PREFIX + 1
     first = 0
@@ -88,7 +94,7 @@ def sample_suffixes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
         if hi - lo >= WINDOW:
             words = _words(padded[lo : hi + 8])
             m = hi - lo - PREFIX + 1
-            h = _mix(_mix(words[:m]) + words[8 : 8 + m])
+            h = every = _mix(_mix(words[:m]) + words[8 : 8 + m])
             size = 1
             while size * 2 <= reach:
                 h = np.minimum(h[: len(h) - size], h[size:])
@@ -116,57 +122,134 @@ def sample_suffixes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
                 at2 = np.repeat(at, pieces) + back * LONGEST_RUN
                 n = np.minimum(np.repeat(at + n, pieces) - at2, LONGEST_RUN)
                 at, key = at2, np.repeat(key, pieces)
-            out.append((key, at + lo, n))
+            inside = (every[at[:, None] + np.arange(reach)] == key[:, None]).argmax(1)
+            out.append((key, at + lo, n, inside))
         first = last
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
 
 
-class IndexFamily:
-    """A family of sorted levels; each holds (key, check, document, origin, place, windows) by key, check and document.
+def _spread(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Every place of runs of n places."""
+    return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
-    `add` merge-scans a sorted batch against the levels. Of equal entries those with the smallest document stay, the
-    others are reported. Levels grow geometrically, so an entry is merged a logarithmic number of times.
-    """
+
+def _leads(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows begins."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    change = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(np.concatenate([[True], change]))
+
+
+def _same_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether text[a : a + n] is text[b : b + n]."""
+    out = np.ones(len(a), bool)
+    for lo in range(0, len(a), 16384):
+        some = slice(lo, lo + 16384)
+        if len(n[some]):
+            differ = text[_spread(a[some], n[some])] != text[_spread(b[some], n[some])]
+            out[some] = ~np.logical_or.reduceat(differ, np.cumsum(n[some]) - n[some])
+    return out
+
+
+def _prefixes(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 16 bytes at each place as two numbers that sort as the bytes do."""
+    words = _words(np.concatenate([text, np.zeros(16, np.uint8)]))
+    return words[at].byteswap(), words[at + 8].byteswap()
+
+
+class Level:
+    """A suffix array: entries in the order of their first 16 bytes, equal ones by digest and document."""
+
+    FIELDS = ("k1", "k2", "check", "doc", "origin", "at", "n", "inside", "pos")
+
+    def __init__(self, **columns: np.ndarray) -> None:
+        self.columns = [columns[f] for f in self.FIELDS]
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        if name in self.FIELDS:
+            return self.columns[self.FIELDS.index(name)]
+        raise AttributeError(name)
+
+    def __len__(self) -> int:
+        return len(self.columns[0])
+
+    def take(self, rows: np.ndarray) -> Level:
+        return Level(**{f: c[rows] for f, c in zip(self.FIELDS, self.columns, strict=True)})
+
+
+class IndexFamily:
+    """Levels of suffix arrays over one growing text; levels grow geometrically, so an entry is merged a logarithmic number of
+    times. Of entries with equal bytes those with the smallest document stay, the others are told in `repeats`."""
 
     def __init__(self) -> None:
-        self.levels: list[list[np.ndarray]] = []
-        self.repeats: list[list[np.ndarray]] = []
-
-    def _merge(self, a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
-        both = [np.concatenate(x) for x in zip(a, b, strict=True)]
-        order = np.argsort(both[0], kind="stable")
-        key, check, doc = both[0][order], both[1][order], both[2][order]
-        same = key[1:] == key[:-1]
-        if same.any():
-            inside = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            rows = np.flatnonzero(inside)
-            fine = np.lexsort((doc[rows], check[rows], key[rows]))
-            order[rows] = order[rows[fine]]
-            key, check, doc = both[0][order], both[1][order], both[2][order]
-            same = (key[1:] == key[:-1]) & (check[1:] == check[:-1])
-            lead = np.flatnonzero(np.concatenate([[True], ~same]))
-            least = np.repeat(doc[lead], np.diff(np.append(lead, len(doc))))
-            late = doc > least
-            winner = np.repeat(order[lead], np.diff(np.append(lead, len(doc))))
-            self.repeats.append([*(x[order[late]] for x in both[3:]), both[5][winner[late]]])
-            order = order[~late]
-        return [x[order] for x in both]
-
-    def add(self, batch: list[np.ndarray]) -> None:
-        self.levels.append(self._merge(batch, [x[:0] for x in batch]))
-        while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
+        self.levels: list[Level] = []
+        self.repeats: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.texts: list[np.ndarray] = []
+        self.length = 0
+
+    def put_text(self, text: np.ndarray) -> int:
+        self.texts.append(text)
+        self.length += len(text)
+        return self.length - len(text)
+
+    def text(self) -> np.ndarray:
+        if len(self.texts) > 1:
+            self.texts = [np.concatenate(self.texts)]
+        return self.texts[0] if self.texts else np.zeros(0, np.uint8)
+
+    def _merge(self, a: Level, b: Level) -> Level:
+        """Both are in the order of k1, so each entry's place is its own plus that in the other."""
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.searchsorted(b.k1, a.k1, "left")] = np.arange(len(a))
+        order[np.arange(len(b)) + np.searchsorted(a.k1, b.k1, "right")] = len(a) + np.arange(len(b))
+        both = Level(**{f: np.concatenate(x)[order] for f, x in zip(Level.FIELDS, zip(a.columns, b.columns, strict=True), strict=True)})
+        return self.deduped(self.ordered(both))
+
+    def ordered(self, level: Level) -> Level:
+        """Entries whose first 8 bytes are equal put in order."""
+        same = level.k1[1:] == level.k1[:-1]
+        if not same.any():
+            return level
+        rows = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+        order = np.arange(len(level))
+        order[rows] = rows[np.lexsort((level.doc[rows], level.check[rows], level.k2[rows], level.k1[rows]))]
+        return level.take(order)
+
+    def deduped(self, level: Level) -> Level:
+        """Of entries in order, those with equal bytes reduced to those of the smallest document."""
+        if not len(level):
+            return level
+        lead = _leads(level.k1, level.k2, level.check)
+        first = np.repeat(lead, np.diff(np.append(lead, len(level))))
+        late = np.flatnonzero(level.doc > level.doc[first])
+        length = level.n[late].astype(np.int64) + WINDOW - 1
+        alike = (level.n[late] == level.n[first[late]]) & (level.inside[late] == level.inside[first[late]])
+        late, length = late[alike], length[alike]
+        late = late[_same_bytes(self.text(), level.pos[late], level.pos[first[late]], length)]
+        if not len(late):
+            return level
+        self.repeats.append((level.origin[late], level.at[late], level.n[late]))
+        keep = np.ones(len(level), bool)
+        keep[late] = False
+        return level.take(np.flatnonzero(keep))
+
+    def add(self, level: Level) -> None:
+        """Take a level that is in order already."""
+        self.levels.append(level)
+        while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
             self.levels.append(self._merge(self.levels.pop(), self.levels.pop()))
 
-    def whole(self) -> list[np.ndarray] | None:
+    def whole(self) -> Level | None:
         while len(self.levels) > 1:
             self.levels.append(self._merge(self.levels.pop(), self.levels.pop()))
         return self.levels[0] if self.levels else None
 
 
-def _row(part: int, kind: str, bid: int, doc: bytes | None, body: bytes) -> dict:
-    return {"part": int(part), "kind": kind, "bid": int(bid), "doc": doc, "body": body}
+def _row(part: int, kind: str, bid: int, doc: bytes | None, body: bytes, text: bytes | None = None) -> dict:
+    return {"part": int(part), "kind": kind, "bid": int(bid), "doc": doc, "body": body, "text": text}
 
 
 def _emit(rows: list[dict]) -> pa.RecordBatch:
@@ -178,7 +261,7 @@ def _replies(kind: str, origin: np.ndarray, place: np.ndarray, windows: np.ndarr
     cut = np.flatnonzero(np.diff(origin[order])) + 1
     for rows in np.split(order, cut):
         if len(rows):
-            yield _emit([_row(-1, kind, origin[rows[0]], None, squeeze(place[rows].astype(np.uint32), windows[rows].astype(np.uint8)))])
+            yield _emit([_row(origin[rows[0]], kind, origin[rows[0]], None, squeeze(place[rows].astype(np.uint32), windows[rows].astype(np.uint8)))])
 
 
 def _unpack(blob: bytes) -> pa.RecordBatch:
@@ -186,89 +269,254 @@ def _unpack(blob: bytes) -> pa.RecordBatch:
         return as_table(list(stream))
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of documents, each as one compressed value with an id of its own."""
-    base = TaskContext.get().partitionId() << 24
-    for k, batch in enumerate(slices(batches, BATCH_BYTES)):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema) as stream:
-            stream.write_batch(batch)
-        yield _emit([_row(-1, "T", base + k, None, zstandard.ZstdCompressor(level=3).compress(sink.getvalue()))])
+def _pack(most_bytes: int, number: int = 0) -> Callable:
+    """Batches of documents, each as one compressed value with an id of its own and its size as its part; `number` tells apart
+    calls for one family."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = (number << 44) + (TaskContext.get().partitionId() << 24)
+        for k, batch in enumerate(slices(batches, most_bytes)):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as stream:
+                stream.write_batch(batch)
+            yield _emit([_row(batch.nbytes, "T", base + k, None, zstandard.ZstdCompressor(level=3).compress(sink.getvalue()))])
+
+    return run
 
 
 def _ids(batch: pa.RecordBatch, id_at: int) -> np.ndarray:
     return pc.fill_null(batch.column(id_at).cast(pa.int64()), NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _array_row(part: int, kind: str, level: Level, text: np.ndarray) -> dict:
+    """A level as one row; its entries' text is put end to end."""
+    ids, which = np.unique(level.doc, return_inverse=True)
+    origins, whose = np.unique(level.origin, return_inverse=True)
+    body = squeeze(level.at.astype(np.uint32), which.astype(np.uint32), whose.astype(np.uint32), level.n.astype(np.uint8), level.inside.astype(np.uint8))
+    own = [text[_spread(level.pos[k : k + 16384], level.n[k : k + 16384].astype(np.int64) + WINDOW - 1)] for k in range(0, len(level), 16384)]
+    packed = zstandard.ZstdCompressor(level=1).compress(np.concatenate(own).tobytes())
+    head = squeeze(origins)
+    return _row(part, kind, len(level), squeeze(np.diff(ids, prepend=0)), body, len(head).to_bytes(4, "little") + head + packed)
+
+
+def _array_of(row: dict, family: IndexFamily) -> Level:
+    """The level of a row; its text goes to the family."""
+    at, which, whose, n, inside = unsqueeze(row["body"], "u4", "u4", "u4", "u1", "u1")
+    (gaps,) = unsqueeze(row["doc"], "i8")
+    cut = 4 + int.from_bytes(row["text"][:4], "little")
+    (origins,) = unsqueeze(row["text"][4:cut], "i8")
+    text = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["text"][cut:]), np.uint8)
+    length = n.astype(np.int64) + WINDOW - 1
+    pos = np.cumsum(length) - length
+    k1, k2 = _prefixes(text, pos + inside)
+    check = _window_hash(text, pos, length)
+    return Level(k1=k1, k2=k2, check=check, doc=np.cumsum(gaps)[which], origin=origins[whose], at=at.astype(np.int64), n=n, inside=inside, pos=pos + family.put_text(text))
+
+
 def _arrays(parts: int, id_at: int, text_at: int) -> Callable:
-    """Step 1: the sparse suffix array of each batch, dealt out by prefix."""
+    """Step 1: the suffix array of each batch, dealt out by prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in b.to_pylist()):
-            batch = _unpack(row["body"])
+            batch, bid = _unpack(row["body"]), row["bid"]
             data, starts = text_bytes(batch.column(text_at))
-            key, at, n = sample_suffixes(data, starts)
-            check = (_window_hash(data, at, n + WINDOW - 1) >> np.uint64(32)).astype(np.uint32)
+            key, at, n, inside = sample_suffixes(data, starts)
+            if not len(key):
+                continue
             doc = _ids(batch, id_at)[np.searchsorted(starts, at, "right") - 1]
-            part = key % np.uint64(parts)
-            key >>= np.uint64(16)
-            order = np.lexsort((doc, check, key, part))
-            key, check, doc, part, at, n = (x[order] for x in (key, check, doc, part, at, n))
-            same = (key[1:] == key[:-1]) & (check[1:] == check[:-1])
-            lead = np.flatnonzero(np.concatenate([[True], ~same]))
-            late = doc > np.repeat(doc[lead], np.diff(np.append(lead, len(doc)))) if len(doc) else np.zeros(0, bool)
-            if late.any():
-                yield _emit([_row(int(row["bid"] % parts), "F", row["bid"], None, squeeze(at[late].astype(np.uint32), n[late].astype(np.uint8)))])
-            key, check, doc, part, at, n = (x[~late] for x in (key, check, doc, part, at, n))
-            lead = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])) if len(key) else np.zeros(0, np.int64)
-            size = np.diff(np.append(lead, len(key)))
+            k1, k2 = _prefixes(data, at + inside)
+            part = _share(k1, k2, parts)
+            check = _window_hash(data, at, n + WINDOW - 1)
+            every = Level(k1=k1, k2=k2, check=check, doc=doc, origin=np.full(len(at), bid), at=at, n=n, inside=inside, pos=at)
+            family = IndexFamily()
+            family.put_text(data)
+            level = family.deduped(every.take(np.lexsort((doc, check, k2, k1, part))))
+            part = _share(level.k1, level.k2, parts)
+            lead = _leads(level.k1, level.k2)
+            size = np.diff(np.append(lead, len(level)))
             hot = np.repeat(size > HOT, size)
             if hot.any():
-                yield _emit([_row(int(row["bid"] % parts), "H", row["bid"], None, squeeze(at[hot].astype(np.uint32), n[hot].astype(np.uint8)))])
                 first = lead[size > HOT]
                 for p in np.unique(part[first]):
-                    yield _emit([_row(int(p), "K", row["bid"], None, squeeze(key[first[part[first] == p]]))])
-                key, check, doc, part, at, n = (x[~hot] for x in (key, check, doc, part, at, n))
+                    own = first[part[first] == p]
+                    yield _emit([_row(p, "K", bid, None, squeeze(level.k1[own], level.k2[own]))])
+                yield from _hot_windows(parts, data, level.take(np.flatnonzero(hot)))
+                level, part = level.take(np.flatnonzero(~hot)), part[~hot]
             cuts = np.searchsorted(part, np.arange(parts + 1))
-            for p in range(parts):
-                a, b = int(cuts[p]), int(cuts[p + 1])
-                if a < b:
-                    ids, which = np.unique(doc[a:b], return_inverse=True)
-                    body = squeeze(np.diff(key[a:b], prepend=np.uint64(0)), check[a:b], at[a:b].astype(np.uint32), which.astype(np.uint32), n[a:b].astype(np.uint8))
-                    yield _emit([_row(p, "A", row["bid"], squeeze(np.diff(ids, prepend=0)), body)])
+            for p in np.flatnonzero(np.diff(cuts)):
+                yield _emit([_array_row(int(p), "A", level.take(np.arange(cuts[p], cuts[p + 1])), data)])
+            for origin, place, many in family.repeats:
+                yield from _replies("F", origin, place, many)
 
     return run
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2: index families over shares of the prefixes; whole repeats and match ends go back to their batches."""
-    family = IndexFamily()
-    tokens = np.zeros(0, np.uint64)
-    for row in (r for b in batches for r in b.to_pylist()):
-        if row["kind"] in ("F", "H"):
-            yield _emit([row | {"part": -1}])
-            continue
-        if row["kind"] == "K":
-            tokens = np.union1d(tokens, unsqueeze(row["body"], "u8")[0])
-            continue
-        key, check, at, which, n = unsqueeze(row["body"], "u8", "u4", "u4", "u4", "u1")
-        (gaps,) = unsqueeze(row["doc"], "i8")
-        family.add([np.cumsum(key, dtype=np.uint64), check, np.cumsum(gaps)[which], np.full(len(key), row["bid"], np.int64), at, n])
-    level = family.whole()
-    if level is None:
-        return
-    for origin, place, windows, _ in family.repeats:
-        yield from _replies("F", origin, place, windows)
-    key, check, doc, origin, at, n = level
-    lead = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.append(lead, len(key)))
-    mixed = (np.maximum.reduceat(doc, lead) != np.minimum.reduceat(doc, lead)) & (
-        np.maximum.reduceat(check, lead) != np.minimum.reduceat(check, lead)
-    )
-    told = np.isin(key[lead], tokens)
-    for kind, groups in (("P", mixed & ~told & (size <= HOTTEST)), ("H", told | (mixed & (size > HOTTEST)))):
-        ends = np.repeat(groups, size)
-        yield from _replies(kind, origin[ends], at[ends], n[ends])
+def _hot_windows(parts: int, text: np.ndarray, level: Level) -> Iterator[pa.RecordBatch]:
+    """The strings of hot prefixes, dealt out by their own hash; of equal ones those of the least document."""
+    for lo in range(0, len(level), 4096):
+        some = level.take(np.arange(lo, min(len(level), lo + 4096)))
+        n = some.n.astype(np.int64)
+        run = np.repeat(np.arange(len(n)), n)
+        pos, place = _spread(some.pos, n), _spread(some.at.astype(np.int64), n)
+        doc, origin = some.doc[run], some.origin[run]
+        one = _window_hash(text, pos, np.full(len(pos), WINDOW))
+        two = _mix(_window_hash(text, pos + 1, np.full(len(pos), WINDOW - 1)) ^ (text[pos].astype(np.uint64) + np.uint64(1)))
+        part = (two % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((doc, one, two, part))
+        one, two, doc, part, place, origin = (x[order] for x in (one, two, doc, part, place, origin))
+        lead = _leads(two, one)
+        late = doc > np.repeat(doc[lead], np.diff(np.append(lead, len(doc))))
+        if late.any():
+            yield from _replies("F", origin[late], place[late], np.ones(int(late.sum()), np.uint8))
+        one, two, doc, part, place, origin = (x[~late] for x in (one, two, doc, part, place, origin))
+        cuts = np.searchsorted(part, np.arange(parts + 1))
+        for p in np.flatnonzero(np.diff(cuts)):
+            own = slice(int(cuts[p]), int(cuts[p + 1]))
+            yield _emit([_row(p, "W", -1, None, squeeze(two[own], one[own], doc[own], place[own].astype(np.uint32), origin[own]))])
+
+
+def _ends(text: np.ndarray, level: Level, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Step 3: equal 50-byte strings among entries of one prefix each (`group`, ascending), a few prefixes at a time."""
+    n = level.n.astype(np.int64)
+    lead = _leads(group)
+    total = np.cumsum(n)
+    begin = 0
+    while begin < len(lead):
+        before = total[lead[begin]] - n[lead[begin]]
+        stop = max(begin + 1, int(np.searchsorted(np.append(total[lead[1:] - 1], total[-1]), before + CHUNK_WINDOWS, "right")))
+        rows = np.arange(lead[begin], lead[stop] if stop < len(lead) else len(level))
+        begin = stop
+        pos = _spread(level.pos[rows], n[rows])
+        run = np.repeat(rows, n[rows])
+        digest, doc = _window_hash(text, pos, np.full(len(pos), WINDOW)), level.doc[run]
+        order = np.lexsort((doc, digest))
+        digest, doc, pos, run = digest[order], doc[order], pos[order], run[order]
+        place = level.at[run].astype(np.int64) + pos - level.pos[run]
+        first = _leads(digest)
+        winner = np.repeat(first, np.diff(np.append(first, len(digest))))
+        late = np.flatnonzero(doc > doc[winner])
+        equal = _same_bytes(text, pos[late], pos[winner[late]], np.full(len(late), WINDOW))
+        if not equal.all():  # different strings of one digest: their run again, string by string
+            odd = np.isin(winner, winner[late[~equal]])
+            least: dict[bytes, int] = {}
+            shown = {k: text[pos[k] : pos[k] + WINDOW].tobytes() for k in np.flatnonzero(odd).tolist()}
+            for k, string in shown.items():
+                least[string] = min(least.get(string, int(doc[k])), int(doc[k]))
+            more = [k for k, string in shown.items() if doc[k] > least[string]]
+            late = np.concatenate([late[~odd[late]], np.array(more, np.int64)])
+        if len(late):
+            yield from _replies("F", level.origin[run[late]], place[late], np.ones(len(late), np.uint8))
+
+
+def _scan(parts: int, keep: bool = False) -> Callable:
+    """Step 2: index families over shares of the prefixes; repeats go back to their batches, hot strings on to others.
+
+    Rows of kind B are levels that stay as they are; with `keep`, all others come out as one level of kind L.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, tokens, stay, part = IndexFamily(), [], [], None
+        for row in (r for b in batches for r in b.to_pylist()):
+            if row["kind"] in ("F", "W"):
+                yield _emit([row])
+                continue
+            part = row["part"]
+            if row["kind"] == "K":
+                tokens.append(np.stack(unsqueeze(row["body"], "u8", "u8"), 1))
+                if keep and row["bid"] != STORED:
+                    yield _emit([row])
+            elif row["kind"] == "B":
+                stay.append(_array_of(row, family))
+            else:
+                family.add(_array_of(row, family))
+        level = family.whole()
+        if keep and level is not None and len(level):
+            yield _emit([_array_row(part, "L", level, family.text())])
+        for other in stay:
+            family.add(other)
+        level = family.whole()
+        for origin, place, many in family.repeats:
+            yield from _replies("F", origin, place, many)
+        if level is None or not len(level):
+            return
+        text = family.text()
+        lead = _leads(level.k1, level.k2)
+        size = np.diff(np.append(lead, len(level)))
+        mixed = np.maximum.reduceat(level.doc, lead) != np.minimum.reduceat(level.doc, lead)
+        told = np.zeros(len(lead), bool)
+        if tokens:
+            pair = np.dtype([("a", "u8"), ("b", "u8")])
+            known = np.unique(np.concatenate(tokens), axis=0)
+            told = np.isin(np.stack([level.k1[lead], level.k2[lead]], 1).copy().view(pair)[:, 0], known.copy().view(pair)[:, 0])
+        hot = told | (mixed & (size > HOTTEST))
+        group = np.repeat(np.arange(len(lead)), size)
+        some = np.flatnonzero(np.repeat(hot, size))
+        if len(some):
+            yield from _hot_windows(parts, text, level.take(some))
+        some = np.flatnonzero(np.repeat(mixed & ~hot, size))
+        if len(some):
+            yield from _ends(text, level.take(some), group[some])
+
+    return run
+
+
+def _scan_hot(keep: bool = False) -> Callable:
+    """Equal strings of hot prefixes by their hash; with `keep`, those of the least document come out too (kind V), unless they
+    are stored already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, part = [], None
+        for row in (r for b in batches for r in b.to_pylist()):
+            part = row["part"]
+            columns = unsqueeze(row["body"], "u8", "u8", "i8", "u4", "i8")
+            got.append([*columns, np.full(len(columns[0]), row["bid"] != STORED)])
+        if not got:
+            return
+        two, one, doc, place, origin, fresh = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((fresh, place, origin, doc, one, two))
+        two, one, doc, place, origin, fresh = (x[order] for x in (two, one, doc, place, origin, fresh))
+        lead = _leads(two, one)
+        late = doc > np.repeat(doc[lead], np.diff(np.append(lead, len(doc))))
+        if late.any():
+            yield from _replies("F", origin[late], place[late], np.ones(int(late.sum()), np.uint8))
+        if keep:
+            new = fresh & ~late
+            new[np.setdiff1d(np.arange(len(new)), _leads(two, one, doc, origin, place))] = False
+            if new.any():
+                yield _emit([_row(part, "V", -1, None, squeeze(two[new], one[new], doc[new], place[new], origin[new]))])
+
+    return run
+
+
+def _redealt(parts: int) -> Callable:
+    """Stored levels and strings, dealt out again over `parts` shares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in batches for r in b.to_pylist()):
+            if row["kind"] == "V":
+                two, *rest = unsqueeze(row["body"], "u8", "u8", "i8", "u4", "i8")
+                part = (two % np.uint64(parts)).astype(np.int64)
+                for p in np.unique(part):
+                    yield _emit([_row(p, "W", STORED, None, squeeze(two[part == p], *(x[part == p] for x in rest)))])
+                continue
+            if row["kind"] == "K":
+                k1, k2 = unsqueeze(row["body"], "u8", "u8")
+                part = _share(k1, k2, parts)
+                for p in np.unique(part):
+                    yield _emit([_row(p, "K", STORED, None, squeeze(k1[part == p], k2[part == p]))])
+                continue
+            family = IndexFamily()
+            level = _array_of(row, family)
+            part = _share(level.k1, level.k2, parts)
+            for p in np.unique(part):
+                yield _emit([_array_row(p, row["kind"], level.take(np.flatnonzero(part == p)), family.text())])
+
+    return run
+
+
+def _share(k1: np.ndarray, k2: np.ndarray, parts: int) -> np.ndarray:
+    """Which share a prefix belongs to."""
+    return (_mix(_mix(_mix(k1.byteswap()) + k2.byteswap())) % np.uint64(parts)).astype(np.int64)
 
 
 def _by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, dict[str, list[bytes]]]]:
@@ -294,110 +542,6 @@ def _windows(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x[0] for x in got]).astype(np.int64), np.concatenate([x[1] for x in got]).astype(np.int64)
 
 
-def _spread(at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Every window start of runs of windows."""
-    return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-
-
-def _hot_windows(parts: int, bid: int, data: np.ndarray, place: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Windows at match ends of hot prefixes, dealt out by their own hash; of equal ones those of the least document."""
-    one = _window_hash(data, place, np.full(len(place), WINDOW))
-    two = _mix(_window_hash(data, place + 1, np.full(len(place), WINDOW - 1)) ^ (data[place].astype(np.uint64) + np.uint64(1)))
-    part = two % np.uint64(parts)
-    order = np.lexsort((doc, one, two, part))
-    one, two, doc, part, place = (x[order] for x in (one, two, doc, part, place))
-    lead = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
-    late = doc > np.repeat(doc[lead], np.diff(np.append(lead, len(doc))))
-    if late.any():
-        yield _emit([_row(bid % parts, "F", bid, None, squeeze(place[late].astype(np.uint32), np.ones(int(late.sum()), np.uint8)))])
-    one, two, doc, part, place = (x[~late] for x in (one, two, doc, part, place))
-    cuts = np.searchsorted(part, np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(cuts)):
-        a, b = int(cuts[p]), int(cuts[p + 1])
-        yield _emit([_row(p, "W", bid, None, squeeze(two[a:b], one[a:b], doc[a:b], place[a:b].astype(np.uint32)))])
-
-
-def _end_texts(parts: int, id_at: int, text_at: int) -> Callable:
-    """Step 3a: the text around the ends of matches, dealt out by content."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bid, blob, replies in _by_batch(batches):
-            if not replies.keys() & {"P", "H"}:
-                continue
-            batch = _unpack(blob)
-            data, starts = text_bytes(batch.column(text_at))
-            if "H" in replies:
-                place = _spread(*_windows(replies["H"]))
-                yield from _hot_windows(parts, bid, data, place, _ids(batch, id_at)[np.searchsorted(starts, place, "right") - 1])
-            if "P" not in replies:
-                continue
-            at, n = _windows(replies["P"])
-            doc = _ids(batch, id_at)[np.searchsorted(starts, at, "right") - 1]
-            key = np.zeros(len(at), np.uint64)
-            words = _words(np.concatenate([data, np.zeros(8, np.uint8)]))
-            # the least prefix hash of the first window is the key that the run was sampled by
-            for lo in range(0, len(at), 20000):
-                grid = at[lo : lo + 20000, None] + np.arange(WINDOW - PREFIX + 1)
-                key[lo : lo + 20000] = _mix(_mix(words[grid]) + words[grid + 8]).min(1)
-            part = key % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            for p in range(parts):
-                rows = order[cuts[p] : cuts[p + 1]]
-                if len(rows):
-                    length = n[rows] + WINDOW - 1
-                    text = data[_spread(at[rows], length)]
-                    head = squeeze(doc[rows], at[rows].astype(np.uint32), n[rows].astype(np.uint8))
-                    yield _emit([_row(p, "E", bid, head, zstandard.ZstdCompressor(level=1).compress(text.tobytes()))])
-
-    return run
-
-
-def _scan_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3b: suffix arrays of all 50-byte strings at match ends, through an index family."""
-    family = IndexFamily()
-    texts: list[np.ndarray] = []
-    base = 0
-    single = IndexFamily()
-    for row in (r for b in batches for r in b.to_pylist()):
-        if row["kind"] == "F":
-            yield _emit([row | {"part": -1}])
-            continue
-        if row["kind"] == "W":
-            two, one, doc, place = unsqueeze(row["body"], "u8", "u8", "i8", "u4")
-            single.add([two, one, doc, np.full(len(two), row["bid"], np.int64), place, np.ones(len(two), np.uint8)])
-            continue
-        doc, at, n = unsqueeze(row["doc"], "i8", "u4", "u1")
-        n = n.astype(np.int64)
-        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"]), np.uint8)
-        begin = np.cumsum(n + WINDOW - 1) - (n + WINDOW - 1)
-        start = _spread(begin, n)
-        run = np.repeat(np.arange(len(n)), n)
-        words = _words(np.concatenate([data, np.zeros(8, np.uint8)]))
-        hashed = _window_hash(data, start, np.full(len(start), WINDOW))
-        place = at[run].astype(np.int64) + (start - begin[run])
-        family.add([words[start].byteswap(), hashed, doc[run], np.full(len(start), row["bid"], np.int64), place, start + base])
-        texts.append(data)
-        base += len(data)
-    single.whole()
-    for origin, place, windows, _ in single.repeats:
-        yield from _replies("F", origin, place, windows)
-    if family.whole() is None:
-        return
-    text = np.concatenate(texts)
-    for origin, place, start, winner in family.repeats:
-        _compare(text, start, winner)
-        yield from _replies("F", origin, place, np.ones(len(place), np.uint8))
-
-
-def _compare(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Byte comparison of the strings that were found equal."""
-    span = np.arange(WINDOW)
-    for lo in range(0, len(a), 50000):
-        if not np.array_equal(text[a[lo : lo + 50000, None] + span], text[b[lo : lo + 50000, None] + span]):
-            raise ValueError("two different strings have the same 128-bit key")
-
-
 def _cut(id_at: int, text_at: int, finish: Callable) -> Callable:
     """Step 4: the bytes that matched windows cover leave their texts."""
 
@@ -449,23 +593,108 @@ def _kept_text(batch: pa.RecordBatch, data: np.ndarray, starts: np.ndarray, gone
     return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
 
-def _run(docs: DataFrame, finish: Callable, schema: object) -> DataFrame:
-    spark = docs.sparkSession
-    parts = shuffle_width(spark)
-    fine = 4 * parts  # match ends have an entry for each byte, not for each sampled suffix
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """Each part in a task of its own."""
+    return rows.repartitionById(parts, F.pmod("part", F.lit(parts)).cast("int"))
+
+
+def _shares(texts: DataFrame, most_bytes: int) -> int:
+    """As many as there are bytes for batches."""
+    return 1 + (texts.agg(F.sum("part")).first()[0] or 0) // most_bytes
+
+
+def _matched(texts: DataFrame, parts: int, id_at: int, text_at: int, stored: DataFrame | None = None, keep: bool = False) -> DataFrame:
+    """Rows of kind F, the matched windows of the batches of `texts` and of those in `stored`; with `keep`, also what a family
+    stores (kinds L, K and V)."""
+    arrays = texts.mapInArrow(_arrays(parts, id_at, text_at), ROWS)
+    if stored is not None:
+        arrays = arrays.unionByName(stored.mapInArrow(_redealt(parts), ROWS))
+    found = materialise(_dealt(arrays, parts).mapInArrow(_scan(parts, keep), ROWS))
+    hot = _dealt(found.where("kind = 'W'"), parts).mapInArrow(_scan_hot(keep), ROWS)
+    return found.where("kind <> 'W'").unionByName(hot)
+
+
+def _cut_out(texts: DataFrame, matched: DataFrame, parts: int, id_at: int, text_at: int, finish: Callable, schema: object) -> DataFrame:
+    together = texts.unionByName(matched).repartition(parts, "bid").sortWithinPartitions("bid", "kind")
+    return together.mapInArrow(_cut(id_at, text_at, finish), schema)
+
+
+def _run(docs: DataFrame, finish: Callable, schema: object, most_bytes: int = BATCH_BYTES) -> DataFrame:
     id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
-    texts = materialise(docs.mapInArrow(_pack, ROWS))
-    arrays = texts.mapInArrow(_arrays(parts, id_at, text_at), ROWS).repartition(parts, "part")
-    replies = materialise(arrays.mapInArrow(_scan, ROWS))
-    together = lambda *kinds: texts.unionByName(replies.where(F.col("kind").isin(*kinds))).repartition(parts, "bid").sortWithinPartitions("bid", "kind")
-    ends = together("P", "H").mapInArrow(_end_texts(fine, id_at, text_at), ROWS).repartition(fine, "part").mapInArrow(_scan_ends, ROWS)
-    whole = texts.unionByName(replies.where("kind = 'F'")).unionByName(ends).repartition(parts, "bid").sortWithinPartitions("bid", "kind")
-    return whole.mapInArrow(_cut(id_at, text_at, finish), schema)
+    texts = materialise(docs.mapInArrow(_pack(most_bytes), ROWS))
+    parts = _shares(texts, most_bytes)
+    return _cut_out(texts, _matched(texts, parts, id_at, text_at), parts, id_at, text_at, finish, schema)
+
 
+class SuffixFamily:
+    """Suffix arrays of all documents added so far, as levels in a folder of Parquet files.
+
+    An `add` is a folder of its own, named by its number, and counts once its last file is there; one that failed is done
+    again under the same number.
+    """
 
-def removed_spans(docs: DataFrame) -> DataFrame:
+    def __init__(self, spark: SparkSession, folder: str, most_bytes: int = BATCH_BYTES) -> None:
+        self.spark, self.folder, self.most_bytes = spark, folder.rstrip("/"), most_bytes
+
+    def _read(self, number: int, what: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{number}/{what}")
+
+    def adds(self) -> list[int]:
+        """Numbers of the adds that are whole."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+        whole = lambda n: files.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, f"{n}/sizes/_SUCCESS"))
+        return sorted(int(n) for n in names if n.isdigit() and whole(n))
+
+    def levels(self) -> dict[int, int]:
+        """Entries of each level, by the number of the add that wrote it; levels that were merged into a later one are gone."""
+        out: dict[int, int] = {}
+        for number in self.adds():
+            for r in self._read(number, "sizes").collect():
+                if r.gone is not None:
+                    out.pop(r.gone, None)
+                else:
+                    out[number] = r.entries
+        return out
+
+    def add(self, docs: DataFrame) -> int:
+        """Scan the documents (doc_id, text) against all levels, and keep them; the number of this add."""
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        adds, levels = self.adds(), self.levels()
+        number = max(adds, default=0) + 1
+        at = f"{self.folder}/{number}"
+        docs.mapInArrow(_pack(self.most_bytes, number), ROWS).write.mode("overwrite").parquet(f"{at}/texts")
+        texts = self._read(number, "texts")
+        parts = sum(_shares(self._read(k, "texts"), self.most_bytes) for k in [*adds, number])
+        # about every 18th suffix is sampled
+        size, merged = (texts.agg(F.sum("part")).first()[0] or 0) // 18, []
+        for k in sorted(levels, key=lambda k: levels[k]):
+            if levels[k] <= 2 * size:
+                size += levels[k]
+                merged.append(k)
+        stored = [self._read(k, "state").where(F.col("kind") == "L").withColumn("kind", F.lit("A" if k in merged else "B")) for k in levels]
+        stored += [self._read(k, "state").where("kind in ('K', 'V')") for k in adds]
+        before = functools.reduce(DataFrame.unionByName, stored) if stored else None
+        _matched(texts, parts, 0, 1, before, keep=True).write.mode("overwrite").parquet(f"{at}/state")
+        entries = self._read(number, "state").where("kind = 'L'").agg(F.coalesce(F.sum("bid"), F.lit(0))).first()[0]
+        self.spark.createDataFrame([(entries, None), *((0, k) for k in merged)], "entries long, gone long").coalesce(1).write.mode("overwrite").parquet(f"{at}/sizes")
+        return number
+
+    def removed_spans(self) -> DataFrame:
+        """The result of `removed_spans` for all documents added so far."""
+        adds = self.adds()
+        texts = functools.reduce(DataFrame.unionByName, [self._read(k, "texts") for k in adds])
+        matched = functools.reduce(DataFrame.unionByName, [self._read(k, "state").where("kind = 'F'") for k in adds])
+        return _cut_out(texts, matched, _shares(texts, self.most_bytes), 0, 1, _digest, SPANS)
+
+
+SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def removed_spans(docs: DataFrame, most_bytes: int = BATCH_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the digest of what stays, for each row of `docs` (doc_id, text)."""
-    return _run(docs.select("doc_id", "text"), _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _run(docs.select("doc_id", "text"), _digest, SPANS, most_bytes)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

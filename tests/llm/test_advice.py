@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import zstandard
 from test_text_operators import collected, key, removed
 
@@ -87,24 +88,69 @@ def hot_rows():
     return rows
 
 
-def test_op8_hot_prefixes_spread():
-    """No task of step 3 gets more than a small share of the windows at the ends of a hot passage."""
-    parts, rows = 64, hot_rows()
+def packed(rows, bid):
     batch = pa.record_batch({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as stream:
         stream.write_batch(batch)
-    text = suffix_dedup._row(-1, "T", 0, None, zstandard.ZstdCompressor().compress(sink.getvalue()))
-    dealt = [r for b in suffix_dedup._arrays(4, 0, 1)(iter([suffix_dedup._emit([text])])) for r in b.to_pylist()]
-    found = [r for p in range(4) for b in suffix_dedup._scan(iter([suffix_dedup._emit([r for r in dealt if r["part"] == p])])) for r in b.to_pylist()]
-    ends = sorted([r for r in found if r["kind"] in ("P", "H")] + [text], key=lambda r: r["kind"])
+    return suffix_dedup._row(batch.nbytes, "T", bid, None, zstandard.ZstdCompressor().compress(sink.getvalue()))
+
+
+def test_op8_hot_prefixes_spread():
+    """No task gets more than a small share of the strings at the ends of a hot passage."""
+    parts, rows = 64, hot_rows()
+    dealt = [r for b in suffix_dedup._arrays(parts, 0, 1)(iter([suffix_dedup._emit([packed(rows, 0)])])) for r in b.to_pylist()]
+    found = [r for p in range(parts) for b in suffix_dedup._scan(parts)(iter([suffix_dedup._emit([r for r in dealt if r["part"] == p])])) for r in b.to_pylist()]
     load = np.zeros(parts)
-    for r in (r for b in suffix_dedup._end_texts(parts, 0, 1)(iter([suffix_dedup._emit(ends)])) for r in b.to_pylist()):
-        if r["kind"] == "E":
-            load[r["part"]] += suffix_dedup.unsqueeze(r["doc"], "i8", "u4", "u1")[2].sum()
-        elif r["kind"] == "W":
-            load[r["part"]] += len(suffix_dedup.unsqueeze(r["body"], "u8", "u8", "i8", "u4")[0])
+    for r in found:
+        if r["kind"] == "W":
+            load[r["part"]] += len(suffix_dedup.unsqueeze(r["body"], "u8", "u8", "i8", "u4", "i8")[0])
     assert load.sum() > 1000 and load.max() < 0.1 * load.sum()
+    assert all(len(r["body"]) < 60_000 for r in dealt if r["kind"] == "A")
+
+
+def test_op8_arrays_are_in_the_order_of_bytes():
+    rows = hot_rows()
+    (text,) = [packed(rows, 5)]
+    data = "".join(t for _, t in rows).encode()
+    for b in suffix_dedup._arrays(3, 0, 1)(iter([suffix_dedup._emit([text])])):
+        for r in b.to_pylist():
+            if r["kind"] == "A":
+                family = suffix_dedup.IndexFamily()
+                level = suffix_dedup._array_of(r, family)
+                shown = [data[a + i : a + i + 16] for a, i in zip(level.at.tolist(), level.inside.tolist(), strict=True)]
+                assert shown == sorted(shown) and len(shown) > 20
+                assert all(family.text()[p : p + n + 49].tobytes() == data[a : a + n + 49] for p, a, n in zip(level.pos.tolist(), level.at.tolist(), level.n.tolist(), strict=True))
+
+
+def test_op8_different_strings_of_one_digest_are_told_apart(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_window_hash", lambda data, at, length: np.zeros(len(at), np.uint64))
+    one, two = b"a" * 50, b"b" * 50
+    text = np.frombuffer(one + two + one + two + two, np.uint8)
+    z = np.zeros(5, np.int64)
+    level = suffix_dedup.Level(k1=z, k2=z, check=z, doc=np.array([3, 1, 2, 2, 1]), origin=np.arange(5), at=z, n=z + 1, inside=z, pos=np.arange(5) * 50)
+    told = {r["bid"] for b in suffix_dedup._ends(text, level, z) for r in b.to_pylist()}
+    assert told == {0, 3}
+
+
+@pytest.mark.parametrize("most_bytes", [suffix_dedup.BATCH_BYTES, 3000])
+def test_op8_batches_added_later_give_the_same(spark, rows, tmp_path, most_bytes):
+    """Each add is scanned against the stored levels; levels merge geometrically; an add that failed is done again."""
+    every = [r[:2] for r in rows if len(r[1] or "") < 9000] + [(1000 + d, t) for d, t in hot_rows()[:150]] + [(500 - d, t) for d, t in hot_rows()[150:]]
+    random.Random(2).shuffle(every)
+    want = collected(suffix_dedup.removed_spans(spark.createDataFrame(every, "doc_id long, text string"), most_bytes))
+    brute = [(r[0], len(b), int(gone.sum())) for r, (b, gone) in zip(every, removed(every), strict=True)]
+    assert [w[:3] for w in want] == sorted(brute, key=key)
+    family = suffix_dedup.SuffixFamily(spark, str(tmp_path / "family"), most_bytes)
+    cuts = [0, 60, 90, 120, 300, len(every)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        family.add(spark.createDataFrame(every[a:b], "doc_id long, text string"))
+    assert collected(family.removed_spans()) == want
+    assert len(family.adds()) == 5 and len(family.levels()) < 5
+    (tmp_path / "family" / "6" / "texts").mkdir(parents=True)
+    assert len(family.adds()) == 5 and family.add(spark.createDataFrame(every[:40], "doc_id long, text string")) == 6
+    got = {tuple(r) for r in family.removed_spans().collect()}
+    assert set(want) <= got
 
 
 def test_op8_hot_passage_leaves_all_but_its_first_text(spark):
