@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,12 +95,28 @@ def bm25(df: DataFrame, row_id: str, columns: list[str], words: str, settings: F
     return scored.groupBy(row_id).agg(F.sum(weight).alias("score"))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often it is named there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def counted_words(words: Column) -> Column:
+    """(n, word) of the distinct words of an array: it is sorted, and the places where another word begins are a count apart."""
+
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.transform(s, lambda w, k: F.when((k == 0) | (F.get(s, k - 1) != w), k)), lambda k: k.isNotNull())
+        ends = lambda b: F.slice(F.concat(F.slice(b, F.lit(2), F.size(b)), F.array(F.size(s))), F.lit(1), F.size(b))
+        return _let(begins, lambda b: F.zip_with(b, ends(b), lambda x, y: F.struct((y - x).alias("n"), F.get(s, x).alias("word"))))
+
+    return _let(F.sort_array(words), runs)
+
+
 def rarest_words(df: DataFrame, row_id: str, text: str, k: int = 8) -> DataFrame:
-    """(row id, words): the k rarest words of each text, of 4 letters or more and not all digits; ties by alphabet."""
-    words = df.select(row_id, F.explode(F.split(F.lower(text), "[^a-z0-9]+")).alias("word")).where("length(word) >= 4 and not word rlike '^[0-9]+$'")
-    counted = words.groupBy(row_id, "word").agg(F.count("*").alias("n"))
-    ranked = F.slice(F.array_sort(F.collect_list(F.struct("n", "word"))), 1, k)
-    return counted.groupBy(row_id).agg(F.transform(ranked, lambda x: x["word"]).alias("words"))
+    """(row id, words): the k rarest words of each row's text, of 4 letters or more and not all digits; ties by alphabet. Words
+    are counted within the row, so nothing is shuffled; rows without such words are left out."""
+    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: (F.length(w) >= 4) & ~w.rlike("^[0-9]+$"))
+    rarest = F.slice(F.sort_array(counted_words(words)), 1, k)
+    return df.select(row_id, F.transform(rarest, lambda x: x["word"]).alias("words")).where(F.size("words") > 0)
 
 
 def jaro(a: str, b: str) -> float:

@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIMS = 256
+_WORDS = re.compile(r"[a-z0-9]+")
 _DOT = "aggregate(zip_with(a, b, (x, y) -> double(x) * double(y)), 0D, (s, v) -> s + v)"
 _NORM = "sqrt(aggregate({0}, 0D, (s, v) -> s + double(v) * double(v)))"
 _GAP = "aggregate(zip_with(a, b, (x, y) -> (double(x) - double(y)) * (double(x) - double(y))), 0D, (s, v) -> s + v)"
@@ -56,30 +58,47 @@ def nearest(df: DataFrame, vector: str, query: list[float], row_id: str, k: int)
     return df.where(F.col(vector).isNotNull()).withColumn("score", cosine_similarity(F.col(vector), q)).orderBy(F.desc_nulls_last("score"), row_id).limit(k)
 
 
-def _slot(token: str) -> int:
-    """FNV-1a, 32 bits, modulo the width."""
-    h = 0x811C9DC5
-    for b in token.encode():
-        h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
-    return h % DIMS
+def _slots(tokens: list[str]) -> np.ndarray:
+    """FNV-1a, 32 bits, modulo the width, of many tokens at once: one step for each byte place."""
+    raw = [t.encode() for t in tokens]
+    size = np.array([len(b) for b in raw], np.int64)
+    text, start = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size
+    h = np.full(len(raw), 0x811C9DC5, np.uint32)
+    for k in range(int(size.max(initial=0))):
+        live = np.flatnonzero(size > k)
+        h[live] = (h[live] ^ text[start[live] + k]) * np.uint32(0x01000193)
+    return h % np.uint32(DIMS)
+
+
+def _vectors_of(texts: list[str | None]) -> list[np.ndarray]:
+    """Words and adjacent pairs of words counted in hashed slots, to length one; zeros without words. Each distinct token of
+    the texts is hashed once."""
+    place: dict[str, int] = {}
+    held = []
+    for text in texts:
+        words = _WORDS.findall((text or "").lower())
+        tokens = [*words, *map(" ".join, zip(words, words[1:], strict=False))]
+        held.append([place.setdefault(t, len(place)) for t in tokens])
+    slots = _slots(list(place))
+    out = []
+    for tokens in held:
+        v = np.bincount(slots[tokens], minlength=DIMS).astype(float) if tokens else np.zeros(DIMS)
+        out.append(v / math.sqrt(v @ v) if tokens else v)
+    return out
 
 
 def hash_embedding_of(text: str | None) -> list[float]:
-    """Words and adjacent pairs of words counted in hashed slots, to length one; zeros without words."""
-    words = [w for w in re.split(r"[^a-z0-9]+", (text or "").lower()) if w]
-    v = [0.0] * DIMS
-    for token in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]:
-        v[_slot(token)] += 1.0
-    length = math.sqrt(sum(x * x for x in v))
-    return [x / length for x in v] if length else v
+    """The vector of one text."""
+    return _vectors_of([text])[0].tolist()
 
 
 def _hash_embeddings(texts: pd.Series) -> pd.Series:
-    return texts.map(hash_embedding_of)
+    return pd.Series(_vectors_of(texts.tolist()), dtype=object)
 
 
-def hash_embedding(text: Column | str) -> Column:
-    return F.pandas_udf(_hash_embeddings, T.ArrayType(T.FloatType()))(text)
+def hash_embedding(text: Column | str, exact: bool = False) -> Column:
+    """The vector as floats, or as doubles with `exact`."""
+    return F.pandas_udf(_hash_embeddings, T.ArrayType(T.DoubleType() if exact else T.FloatType()))(text)
 
 
 def missing_vectors(rows: DataFrame, vectors: DataFrame, row_id: str, columns: list[str]) -> DataFrame:

@@ -1,7 +1,7 @@
 """What a tenant's statement may be: one SELECT over known tables, with known functions, that lets no vector out.
 
-Spark parses and analyses; this module only looks at the plans. Functions are allowed by list, because Spark has some that
-run any code.
+Spark parses and analyses; this module only looks at the plans. Functions are allowed by a list of groups and names, because
+Spark has some that run any code.
 """
 
 from __future__ import annotations
@@ -16,7 +16,13 @@ from .names import VECTOR_SUFFIX
 OPENERS = ("select", "with", "from", "values", "table", "describe", "summarize", "(")
 TABLE_FUNCTIONS = ("range", "explode", "posexplode", "inline", "explode_outer", "posexplode_outer", "generate_series")
 SIMILARITIES = ("array_cosine_similarity", "array_cosine_distance", "array_distance", "array_inner_product", "array_negative_inner_product", "array_dot_product", "array_negative_dot_product")
-# Built-in functions that are not allowed although they are deterministic expressions.
+# The groups of built-in functions that are allowed, as Spark names them, and single ones of other groups.
+GROUPS = frozenset(
+    "agg_funcs array_funcs bitwise_funcs collection_funcs conditional_funcs conversion_funcs datetime_funcs generator_funcs hash_funcs json_funcs lambda_funcs map_funcs "
+    "math_funcs predicate_funcs string_funcs struct_funcs url_funcs variant_funcs window_funcs".split()
+)
+ALLOWED = frozenset("typeof equal_null bitmap_count".split())
+# Functions of these groups that are not allowed all the same.
 REFUSED = frozenset(
     "reflect java_method try_reflect input_file_name input_file_block_start input_file_block_length current_user user session_user "
     "current_catalog current_database current_schema version spark_partition_id raise_error assert_true session_window_internal "
@@ -90,6 +96,18 @@ def _ctes(plan) -> set[str]:  # noqa: ANN001
     return out
 
 
+_groups: dict[str, str] = {}
+
+
+def _group_of(spark: SparkSession, name: str) -> str:
+    """The group of a built-in function, asked once; empty if there is none of the name."""
+    if name not in _groups:
+        jvm = spark.sparkContext._jvm
+        found = jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin().lookupFunction(jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
+        _groups[name] = str(found.get().getGroup()) if found.isDefined() else ""
+    return _groups[name]
+
+
 def check(spark: SparkSession, sql: str, tables: set[str], functions: set[str] = frozenset()) -> None:
     """Refused, unless the statement is one SELECT over `tables` whose functions are built-in and harmless, or named."""
     word = opener(sql)
@@ -98,12 +116,6 @@ def check(spark: SparkSession, sql: str, tables: set[str], functions: set[str] =
     plan = _parsed(spark, sql)
     known = {t.lower() for t in tables} | _ctes(plan)
     allowed = {f.lower() for f in functions}
-    registry = spark._jsparkSession.sessionState().functionRegistry()
-    builtin = set()
-    it = registry.listFunction().iterator()
-    while it.hasNext():
-        f = it.next()
-        builtin.add(str(f.funcName()).lower())
     for node in _nodes(plan):
         kind = _kind(node)
         if _COMMANDS.search(kind):
@@ -125,7 +137,7 @@ def check(spark: SparkSession, sql: str, tables: set[str], functions: set[str] =
             name = str(e.nameParts().mkString(".")).lower()
             if name in SIMILARITIES:
                 _check_arguments(name, e)
-            if name in REFUSED or (name not in builtin and name not in allowed):
+            if name not in allowed | ALLOWED and (name in REFUSED or _group_of(spark, name) not in GROUPS):
                 raise Refused(f"function {name[:80]} is not allowed")
 
 

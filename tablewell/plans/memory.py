@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from ..manifest import ColumnSpec, FullText, Manifest
 from ..operators import chunk, feed, two_tier
 from ..operators.mapping import Field, rows_of
 from ..query import Tenant
-from ..session import table
+from ..session import shared_folder, table
 from ..sources import delimited
 from ..store import Store
 from ..streaming.ingest import windowed_counts
@@ -23,8 +23,7 @@ EVENT_COLUMNS = [ColumnSpec("event_id", "BIGINT"), ColumnSpec("ts", "TIMESTAMP")
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tablewell-")
-    return f"{root}/store-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
 
 
 def _identified(df: DataFrame, key: str) -> DataFrame:
@@ -96,8 +95,54 @@ def gated_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pending_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page of the change feed, by keyset."""
-    return table(spark, sf_dir, "events").where("event_id > 100").orderBy("event_id").limit(51).select("event_id", "event_type")
+    """Two pages of a table's change feed, by keyset; rows were written in order, so they have their seq in order."""
+    store = Store(spark, _shared_folder(spark))
+    store.add_rows("events", table(spark, sf_dir, "events").where("event_id > 100").select("event_id", "event_type").orderBy("event_id"), [EVENT_COLUMNS[0], EVENT_COLUMNS[3]])
+    first = store.changes("events", limit=30)
+    second = store.changes("events", after=first["next"], limit=21)
+    return spark.createDataFrame([(r.event_id, r.event_type) for r in first["rows"] + second["rows"]], "event_id bigint, event_type string")
+
+
+def page_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of a tenant's query, by the cursor of the first."""
+    store = Store(spark, _shared_folder(spark))
+    store.add_rows("orders", table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), [ColumnSpec("o_orderkey", "BIGINT"), ColumnSpec("o_custkey", "BIGINT")])
+    ask = lambda after: Tenant(store).query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey", limit=100, after=after, seconds=300)
+    page = ask(ask(None)["cursor"])
+    return spark.createDataFrame([(int(r["o_orderkey"]), int(r["o_custkey"])) for r in page["rows"]], "o_orderkey bigint, o_custkey bigint")
+
+
+def concurrent_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writers that append at the same time, while the table is rolled up and rows are forgotten: each row counts once."""
+    e = table(spark, sf_dir, "events")
+    root = _shared_folder(spark)
+    store = lambda: Store(spark, root)
+    store().add_rows("events", e.where("event_id % 5 = 0"), EVENT_COLUMNS)
+    gone = store().view("events").where("event_id % 10 = 0").select("_row_id")
+    with ThreadPoolExecutor(6) as pool:
+        work = [pool.submit(store().add_rows, "events", e.where(f"event_id % 5 = {k}"), EVENT_COLUMNS) for k in range(1, 5)]
+        work += [pool.submit(store().forget, "events", gone), pool.submit(store().roll_up, "events")]
+        for w in work:
+            w.result()
+    store().roll_up("events")
+    return store().view("events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), F.sum("event_id").alias("total"))
+
+
+def rewritten_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenant's SQL with an alias in WHERE and a QUALIFY, which Spark has in another form."""
+    store = Store(spark, _shared_folder(spark))
+    store.add_rows("orders", table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("o_totalprice")), [ColumnSpec("o_orderkey", "BIGINT"), ColumnSpec("o_custkey", "BIGINT"), ColumnSpec("o_totalprice", "DOUBLE")])
+    one = Tenant(store).frame("SELECT o_orderkey, o_custkey % 10 AS digit FROM orders WHERE digit = 3 AND o_totalprice > 1000")
+    two = Tenant(store).frame("SELECT o_orderkey, o_custkey AS digit FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1")
+    return one.unionByName(two)
+
+
+def csv_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A delimited document for each region, a block for each of its records."""
+    n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("rows"))
+    lines = F.array_join(F.transform("rows", lambda r: F.concat(r["n_nationkey"].cast("string"), F.lit(";"), r["n_name"], F.lit(";"))), "\n")
+    text = n.select("n_regionkey", F.concat(F.lit("key;name;empty\n"), lines).alias("text"))
+    return chunk.chunked(text, "text", _kind("text/csv")).select("n_regionkey", F.col("ordinal").cast("bigint").alias("ordinal"), "text", "kind")
 
 
 def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,13 +168,14 @@ def vector_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A filter, a similarity and a keyword score in one select."""
-    docs = table(spark, sf_dir, "documents").where("n_chars < 2000")
+    """A filter, a similarity and a keyword score in one select; scores are those of the whole table, whatever the filter."""
+    docs = table(spark, sf_dir, "documents")
     scores = search.bm25(docs, "doc_id", ["text"], "the license", PLAIN)
     e = table(spark, sf_dir, "embeddings")
     q = e.orderBy("vec_id").select("embedding").first().embedding
     near = e.select(F.col("vec_id").alias("doc_id"), vectors.cosine_similarity(F.col("embedding"), F.array(*map(F.lit, q))).alias("cosine"))
-    return docs.join(scores, "doc_id").join(near, "doc_id").select("doc_id", F.round("cosine", 6).alias("cosine"), F.round("score", 6).alias("bm25"))
+    both = docs.where("n_chars < 2000").select("doc_id").join(scores, "doc_id").join(near, "doc_id")
+    return both.select("doc_id", F.round("cosine", 6).alias("cosine"), F.round("score", 6).alias("bm25"))
 
 
 PLAIN = FullText(True, "none", "none", "[^a-z0-9]+", False, True)
@@ -141,7 +187,8 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25(table(spark, sf_dir, "documents"), "doc_id", ["text"], "licenses released", FullText(True))
+    scores = search.bm25(table(spark, sf_dir, "documents"), "doc_id", ["text"], "licenses released", FullText(True))
+    return scores.select("doc_id", F.round("score", 6).alias("score"))
 
 
 def rare_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,8 +197,9 @@ def rare_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").select("n_name")
-    pairs = n.select(F.col("n_name").alias("a")).crossJoin(F.broadcast(n.select(F.col("n_name").alias("b"))))
+    """Likeness of the names within each region; the region is the key that keeps this from being a cross join."""
+    n = table(spark, sf_dir, "nation")
+    pairs = n.select("n_regionkey", F.col("n_name").alias("a")).join(n.select("n_regionkey", F.col("n_name").alias("b")), "n_regionkey")
     return pairs.where("a < b").select("a", "b", F.round(search.jaro_winkler("a", "b"), 6).alias("likeness"))
 
 
@@ -176,8 +224,9 @@ def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = table(spark, sf_dir, "documents").select("doc_id", vectors.hash_embedding("text").alias("v"))
-    return out.select("doc_id", F.size("v").alias("dims"), F.round(vectors.norm(F.col("v")), 4).alias("length"))
+    """The vectors, as their slots that aren't zero."""
+    out = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(vectors.hash_embedding("text", exact=True)).alias("slot", "weight"))
+    return out.where("weight <> 0").select("doc_id", F.col("slot").cast("bigint").alias("slot"), F.round("weight", 6).alias("weight"))
 
 
 def neighbour_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +260,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         two_tier_group, tombstone_anti, json_path_project, fanout_mapping, coercion_types, roll_up_equivalence, gated_query, pending_page, change_events,
         vector_topk, vector_measures, hybrid, bm25_topk, bm25_stemmed, rare_terms, fuzzy_names, csv_infer, chunk_documents, chunk_pages, hash_embed,
-        neighbour_expand, content_digests, window_tumbling, window_sliding, window_session,
+        page_two, concurrent_append, rewritten_select, csv_chunks, neighbour_expand, content_digests, window_tumbling, window_sliding, window_session,
     )
 }
 
@@ -225,6 +274,19 @@ _BM25 = """WITH words AS (SELECT doc_id, unnest(string_split_regex(lower(text),
   FROM tf JOIN df ON tf.w = df.w JOIN len ON tf.doc_id = len.doc_id CROSS JOIN corpus GROUP BY tf.doc_id)
 """
 
+# the words of the documents whose stems are those of the query, in place of a stemmer
+_STEMMED = _BM25.replace("string_split_regex(lower(text), '[^a-z0-9]+')", "string_split_regex(replace(lower(strip_accents(text)), 'ß', 'ss'), '[^a-z]+')").replace(
+    "WHERE w <> ''", f"WHERE w <> '' AND w NOT IN ({', '.join(repr(w) for w in search.STOPWORDS)})"
+).replace("tf AS (SELECT doc_id, w, count(*) AS tf FROM kept WHERE w IN ({terms}) GROUP BY doc_id, w)", "stems(word, stem) AS (VALUES {terms}), tf AS (SELECT doc_id, stem AS w, count(*) AS tf FROM kept JOIN stems ON w = word GROUP BY doc_id, stem)").format(
+    where="", terms=", ".join(f"('{w}', '{s}')" for s, words in (("licens", "license licenses licensed licensing"), ("releas", "release releases released releasing")) for w in words.split())
+) + "SELECT doc_id, round(score, 6) AS score FROM scores"
+
+_FNV = """WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS words FROM documents),
+ t AS (SELECT doc_id, unnest(words) AS token FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(words)), lambda k: words[k] || ' ' || words[k + 1])) FROM w),
+ h AS (SELECT token, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(token, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: (xor(a, b) * 16777619) % 4294967296) % 256 AS slot FROM (SELECT DISTINCT token FROM t)),
+ c AS (SELECT doc_id, slot, count(*) AS n FROM t JOIN h USING (token) GROUP BY doc_id, slot)
+SELECT doc_id, slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM c"""
+
 ORACLES: dict[str, str] = {
     "two_tier_group": "SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 2) AS total, CAST(count(*) FILTER (WHERE event_id % 10 >= 8) AS BIGINT) AS with_props, max(ts) AS last_ts FROM events WHERE event_id % 50 <> 0 GROUP BY event_type",
     "tombstone_anti": "SELECT event_id, event_type FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_id % 50 = 0)",
@@ -237,11 +299,17 @@ ORACLES: dict[str, str] = {
     "change_events": """SELECT CASE WHEN event_type = 'error' THEN 'table.rolled_up' ELSE 'operations.appended' END AS event, event_type AS "table", CAST(count(*) AS BIGINT) AS "rows", CAST(sum(event_id % 2) AS BIGINT) AS tombstones, CAST(max(event_id) AS BIGINT) AS seq, CAST(min(event_id % 5) AS BIGINT) AS previous_generation FROM events GROUP BY 1, 2""",
     "vector_topk": "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) AS DOUBLE[])), 6) AS score FROM embeddings ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) AS DOUBLE[])) DESC, vec_id LIMIT 10",
     "vector_measures": "SELECT e.vec_id AS vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), f.v), 5) AS cosine, round(list_distance(CAST(e.embedding AS DOUBLE[]), f.v), 4) AS distance, round(list_inner_product(CAST(e.embedding AS DOUBLE[]), f.v), 4) AS product FROM embeddings e JOIN (SELECT label, CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS v FROM embeddings GROUP BY label) f ON e.label = f.label",
-    "hybrid": _BM25.format(where=" WHERE n_chars < 2000", terms="'the', 'license'")
-    + "SELECT s.doc_id AS doc_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) AS DOUBLE[])), 6) AS cosine, round(s.score, 6) AS bm25 FROM scores s JOIN embeddings e ON s.doc_id = e.vec_id",
+    "hybrid": _BM25.format(where="", terms="'the', 'license'")
+    + "SELECT s.doc_id AS doc_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) AS DOUBLE[])), 6) AS cosine, round(s.score, 6) AS bm25 FROM scores s JOIN documents d ON s.doc_id = d.doc_id AND d.n_chars < 2000 JOIN embeddings e ON s.doc_id = e.vec_id",
+    "bm25_stemmed": _STEMMED,
+    "hash_embed": _FNV,
+    "page_two": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 100",
+    "concurrent_append": "SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT event_id) AS BIGINT) AS ids, CAST(sum(event_id) AS BIGINT) AS total FROM events WHERE event_id % 10 <> 0 GROUP BY event_type",
+    "rewritten_select": "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey % 10 AS BIGINT) AS digit FROM orders WHERE o_custkey % 10 = 3 AND o_totalprice > 1000 UNION ALL SELECT CAST(o_orderkey AS BIGINT), CAST(o_custkey AS BIGINT) FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1",
+    "csv_chunks": "SELECT n_regionkey, CAST(0 AS BIGINT) AS ordinal, string_agg('key: ' || n_nationkey || chr(10) || 'name: ' || n_name, chr(10) || chr(10) ORDER BY n_nationkey) AS text, 'table' AS kind FROM nation GROUP BY n_regionkey",
     "bm25_topk": _BM25.format(where="", terms="'license', 'apache'") + "SELECT doc_id, round(score, 6) AS score FROM scores ORDER BY round(score, 6) DESC, doc_id LIMIT 20",
     "rare_terms": "WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS n FROM w WHERE length(word) >= 4 AND NOT regexp_full_match(word, '[0-9]+') GROUP BY doc_id, word), r AS (SELECT doc_id, word, n, row_number() OVER (PARTITION BY doc_id ORDER BY n, word) AS k FROM c) SELECT doc_id, string_agg(word, ' ' ORDER BY n, word) AS words FROM r WHERE k <= 8 GROUP BY doc_id",
-    "fuzzy_names": "SELECT a.n_name AS a, b.n_name AS b, round(jaro_winkler_similarity(a.n_name, b.n_name), 6) AS likeness FROM nation a JOIN nation b ON a.n_name < b.n_name",
+    "fuzzy_names": "SELECT a.n_name AS a, b.n_name AS b, round(jaro_winkler_similarity(a.n_name, b.n_name), 6) AS likeness FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name",
     "csv_infer": "SELECT CAST(p_partkey AS INTEGER) AS p_partkey, p_name, CAST(p_size AS INTEGER) AS p_size, lpad(CAST(p_partkey % 1000 AS VARCHAR), 4, '0') AS zip, p_size > 25 AS large FROM part",
     "neighbour_expand": "SELECT c.conv_id AS conv_id, CAST(c.turn AS BIGINT) AS turn, c.role AS role FROM conversations c WHERE EXISTS (SELECT 1 FROM conversations h WHERE h.conv_id = c.conv_id AND h.turn = 2 AND abs(h.turn - c.turn) <= 1)",
     "content_digests": "SELECT page_id, sha256(html) AS sha256 FROM pages",

@@ -26,8 +26,14 @@ SHARED: dict[str, tuple[tuple[str, ...], str]] = {
     "join_expression_key": (("nation", "region"), "SELECT n.n_name AS n_name, r.r_name AS r_name FROM nation n JOIN region r ON concat('r:', CAST(r.r_regionkey AS VARCHAR(10))) = concat('r:', CAST(n.n_regionkey AS VARCHAR(10)))"),
     "join_self_arithmetic": (("events",), "SELECT a.event_id AS event_id, b.event_type AS before FROM events a JOIN events b ON a.event_id = b.event_id + 1 WHERE a.event_type = 'error'"),
     "join_cross": (("region", "nation"), "SELECT r.r_name AS r_name, n.n_name AS n_name FROM region r CROSS JOIN nation n WHERE r.r_regionkey < 2"),
-    "join_anti": (("customer", "orders"), "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
+    "join_anti": (("customer", "orders"), "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)"),
     "join_semi": (("customer", "orders"), "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)"),
+    "join_right": (("orders", "customer"), "SELECT c.c_custkey AS c_custkey, CAST(count(o.o_orderkey) AS BIGINT) AS n FROM orders o RIGHT JOIN customer c ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F' GROUP BY c.c_custkey"),
+    "join_natural": (("documents", "labels"), "SELECT doc_id, quality, n_chars FROM documents NATURAL JOIN labels"),
+    "join_lateral": (
+        ("customer", "orders"),
+        "SELECT c.c_custkey AS c_custkey, t.n AS n, t.last_key AS last_key FROM customer c, LATERAL (SELECT CAST(count(*) AS BIGINT) AS n, max(o.o_orderkey) AS last_key FROM orders o WHERE o.o_custkey = c.c_custkey) t",
+    ),
     # aggregation
     "agg_count": (("lineitem",), "SELECT CAST(count(*) AS BIGINT) AS n FROM lineitem"),
     "agg_filter": (("lineitem",), "SELECT l_returnflag, CAST(count(*) FILTER (WHERE l_quantity > 25) AS BIGINT) AS large, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY l_returnflag"),
@@ -59,6 +65,8 @@ SHARED: dict[str, tuple[tuple[str, ...], str]] = {
         "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS recent, "
         "first_value(event_type) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS first_type FROM events",
     ),
+    "win_range": (("events",), "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 200 PRECEDING AND CURRENT ROW), 4) AS recent, CAST(count(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 200 PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM events"),
+    "win_nth": (("events",), "SELECT event_id, nth_value(event_type, 2) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second_type FROM events"),
     "win_running_sum": (("orders",), "SELECT o_orderkey, round(CAST(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE), 2) AS running FROM orders"),
     "top1_per_group": (
         ("orders",),
@@ -66,14 +74,15 @@ SHARED: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     # sorting, paging, sets, subqueries
     "topk_nulls_last": (("events",), "SELECT event_id, event_type FROM events ORDER BY CASE WHEN event_type = 'error' THEN NULL ELSE event_type END NULLS LAST, event_id DESC LIMIT 25"),
-    "page_two": (("orders",), "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 100"),
     "set_union": (("customer", "supplier"), "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier"),
     "set_union_all": (("customer", "supplier"), "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier"),
     "set_intersect": (("customer", "supplier"), "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier"),
-    "set_except": (("part", "lineitem"), "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem"),
+    "set_intersect_all": (("customer", "supplier"), "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier"),
+    "set_except_all": (("customer", "supplier"), "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier"),
+    "set_except": (("part", "lineitem"), "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45"),
     "cte": (("orders",), "WITH spent AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey) SELECT CAST(count(*) AS BIGINT) AS n FROM spent WHERE total > 1000000"),
     "cte_recursive": ((), "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n FROM t"),
-    "subquery_scalar": (("orders",), "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 2 FROM orders)"),
+    "subquery_scalar": (("orders",), "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)"),
     "subquery_in": (("orders", "customer"), "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)"),
     # scalars
     "scalar_strings": (("customer",), "SELECT c_custkey, upper(c_name) AS up, lower(c_mktsegment) AS low, c_name || '/' || c_mktsegment AS both_, substr(c_mktsegment, 1, 2) AS code FROM customer WHERE c_name LIKE '%1%'"),
@@ -133,7 +142,25 @@ def agg_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").agg(F.approx_count_distinct("l_partkey", 0.02).alias("n"))
+    """The sketch's count, told by whether it's within 5 % of the exact one."""
+    n = table(spark, sf_dir, "lineitem").agg(F.approx_count_distinct("l_partkey", 0.02).alias("n"), F.count_distinct("l_partkey").alias("exact"))
+    return n.select("exact", (F.abs(F.col("n") - F.col("exact")) <= 0.05 * F.col("exact")).alias("close"))
+
+
+def exploded_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sum over the elements of arrays."""
+    lists = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("lines"))
+    return lists.select("l_orderkey", F.explode("lines").alias("line")).groupBy("l_orderkey").agg(F.sum("line").cast("bigint").alias("total"))
+
+
+def quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("l_extendedprice").cast("double")
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.percentile(x, 0.9), 3).alias("p90"), F.mode("l_linenumber", deterministic=True).cast("bigint").alias("line"))
+
+
+def string_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "nation").createOrReplaceTempView("nation")
+    return spark.sql("SELECT n_regionkey, string_agg(n_name, ',') WITHIN GROUP (ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey")
 
 
 def pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,6 +198,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "agg_median": agg_median,
     "agg_lists": agg_lists,
     "agg_approx_distinct": approx_distinct,
+    "agg_exploded_sum": exploded_sum,
+    "agg_quantile": quantile,
+    "agg_string": string_lists,
     "agg_pivot": pivot,
     "set_union_by_name": union_by_name,
     "date_functions": date_functions,
@@ -185,6 +215,10 @@ ORACLES: dict[str, str] = {
     "join_array_membership": "SELECT p_brand, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) l JOIN part ON l_partkey = p_partkey GROUP BY p_brand",
     "agg_median": "SELECT l_returnflag, round(median(CAST(l_extendedprice AS DOUBLE)), 3) AS median FROM lineitem GROUP BY l_returnflag",
     "agg_lists": "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey",
+    "agg_approx_distinct": "SELECT CAST(count(DISTINCT l_partkey) AS BIGINT) AS exact, true AS close FROM lineitem",
+    "agg_exploded_sum": "SELECT l_orderkey, CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem GROUP BY l_orderkey",
+    "agg_quantile": "SELECT l_returnflag, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.9), 3) AS p90, CAST((SELECT l_linenumber FROM lineitem m WHERE m.l_returnflag = l.l_returnflag GROUP BY l_linenumber ORDER BY count(*) DESC, l_linenumber LIMIT 1) AS BIGINT) AS line FROM lineitem l GROUP BY l_returnflag",
+    "agg_string": "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey",
     "agg_pivot": "SELECT user_id, CAST(count(*) FILTER (WHERE event_type = 'click') AS BIGINT) AS click, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS error, CAST(count(*) FILTER (WHERE event_type = 'view') AS BIGINT) AS view FROM events WHERE event_type IN ('click', 'error', 'view') GROUP BY user_id",
     "set_union_by_name": "SELECT event_id, event_type, CASE WHEN event_id % 2 = 0 THEN NULL ELSE round(value, 4) END AS value FROM events",
     "date_functions": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, CAST(count(*) AS BIGINT) AS n, CAST(max(hour(ts)) AS BIGINT) AS last_hour FROM events GROUP BY 1",

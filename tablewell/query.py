@@ -25,6 +25,7 @@ DEFAULT_ROWS, MOST_ROWS, MOST_OFFSET, SECONDS = 1000, 10_000, 100_000, 15
 MOST_SQL, MOST_TEXT = 20_000, 4_000
 QUERY_VECTOR = "CAST(:q AS ARRAY<FLOAT>)"
 _MATCH = re.compile(r"fts_main_(\w+)\.match_bm25\(\s*(?:\w+\.)?_row_id\s*,\s*('(?:[^']|'')*')\s*\)", re.I)
+_COLUMNS = r"\bCOLUMNS\(\s*('(?:[^']|'')*')\s*\)"
 CALLERS_FAULT = (AnalysisException, ParseException, ArithmeticException, NumberFormatException, gate.Refused, ValueError, LookupError)
 
 
@@ -50,13 +51,61 @@ def offset_of(token: str | None, of: str) -> int:
     return offset
 
 
+_PLAIN = re.compile(r"""'(?:[^']|'')*'|"(?:[^"]|"")*"|--[^\n]*|/\*.*?\*/""", re.S)
+# The clauses of a SELECT in their order.
+CLAUSES = ("select", "from", "where", "group", "having", "qualify", "window", "order", "limit", "offset", "union", "intersect", "except")
+
+
+def shadow(sql: str) -> str:
+    """The statement with literals, quoted names and comments blanked, so that places in it stay the same."""
+    return _PLAIN.sub(lambda m: m[0][0] + "\0" * (len(m[0]) - 2) + m[0][-1] if m[0][0] in "'\"" else " " * len(m[0]), sql)
+
+
+def _in_code(pattern: str, sql: str, to) -> str:  # noqa: ANN001
+    """`pattern` replaced wherever it begins outside of literals and comments."""
+    seen = shadow(sql)
+    out, at = [], 0
+    for m in re.finditer(pattern, sql, re.I):
+        if m.start() >= at and seen[m.start()] == sql[m.start()]:
+            out += [sql[at : m.start()], to(m)]
+            at = m.end()
+    return "".join(out) + sql[at:]
+
+
 def rewritten(sql: str) -> str:
-    """The documented idioms that Spark spells otherwise: EXCLUDE, $q."""
-    parts = re.split(r"('(?:[^']|'')*')", sql)
-    for k in range(0, len(parts), 2):
-        parts[k] = re.sub(r"\*\s+EXCLUDE\s*\(", "* EXCEPT (", parts[k], flags=re.I)
-        parts[k] = re.sub(r"\$q\b", QUERY_VECTOR, parts[k])
-    return "".join(parts)
+    """The documented idioms that Spark spells otherwise: EXCLUDE, $q, information_schema."""
+    sql = _in_code(r"\*\s+EXCLUDE\s*\(", sql, lambda m: "* EXCEPT (")
+    sql = _in_code(r"\binformation_schema\s*\.\s*(columns|tables)\b", sql, lambda m: f"information_schema_{m[1].lower()}")
+    return _in_code(r"\$q\b", sql, lambda m: QUERY_VECTOR)
+
+
+def clauses(sql: str) -> dict[str, tuple[int, int]]:
+    """Where the clauses of the outermost SELECT stand: from its keyword to the next one."""
+    seen, depth, found = shadow(sql), 0, []
+    for m in re.finditer(r"[()]|[a-z_]+", seen, re.I):
+        depth += (m[0] == "(") - (m[0] == ")")
+        if not depth and m[0].lower() in CLAUSES and (m[0].lower() != "except" or not re.search(r"\*\s*$", seen[: m.start()])):
+            found.append((m[0].lower(), m.start()))
+    return {name: (at, end) for (name, at), (_, end) in zip(found, [*found[1:], ("", len(sql.rstrip().rstrip(";")))], strict=True)}
+
+
+HELD = "held__"
+
+
+def held_condition(sql: str, clause: str) -> str | None:
+    """The statement with the condition of a clause as a further column of an inner SELECT, on which an outer one filters.
+
+    There, names of other columns of the select list and window functions may be used. None if it has no such clause.
+    """
+    at = clauses(sql)
+    if clause not in at or "select" not in at or {"union", "intersect", "except"} & set(at):
+        return None
+    text = lambda name: sql[slice(*at[name])].strip() if name in at else ""
+    condition = text(clause)[len(clause) :].strip()
+    inner = [f"{text('select')}, ({condition}) AS {HELD}", *(text(c) for c in ("from", "where", "group", "having", "window") if c != clause)]
+    outer = [text(c) for c in ("order", "limit", "offset")]
+    before = sql[: at["select"][0]]
+    return " ".join(x for x in (f"{before}SELECT * EXCEPT ({HELD}) FROM ({' '.join(x for x in inner if x)}) WHERE {HELD}", *outer) if x)
 
 
 def rendered(value: object, kind: str = "") -> object:
@@ -73,10 +122,16 @@ def rendered(value: object, kind: str = "") -> object:
 class Tenant:
     """One store, queried by SQL over its tables' views."""
 
-    def __init__(self, store: Store, embed=None) -> None:  # noqa: ANN001
-        self.store, self.embed = store, embed or vectors.hash_embedding_of
+    def __init__(self, store: Store, embed=None, model: str = "hash-bow-v1") -> None:  # noqa: ANN001
+        self.store, self.embed, self.model = store, embed or vectors.hash_embedding_of, model
+
+    def _same_space(self, table: str) -> None:
+        """Refused, unless the table's vectors are of the model that texts are embedded by."""
+        m = self.store.manifest(table)
+        if m.dims and m.model != self.model:
+            raise gate.Refused(f"table {table} holds vectors of {m.model}, but texts are embedded by {self.model}")
 
-    def _views(self, spark: SparkSession, sql: str) -> None:
+    def _views(self, spark: SparkSession, sql: str, text: bool = False) -> None:
         """Views of the tables that the statement names, and only these; vectors only where a vector column is named."""
         named = {r.lower() for r in gate.relations(spark, sql)}
         own = Store(spark, self.store.root, self.store.now)
@@ -84,6 +139,8 @@ class Tenant:
             if table in named:
                 m = own.manifest(table)
                 wanted = any(re.search(rf"\b{c}{VECTOR_SUFFIX}\b", sql) for c in m.embedded())
+                if wanted and text:
+                    self._same_space(table)
                 view = own.view(table, vectors=wanted)
                 for c in m.embedded():
                     if c + VECTOR_SUFFIX in view.columns:
@@ -95,20 +152,49 @@ class Tenant:
     def _catalogue(spark: SparkSession, store: Store) -> None:
         rows = [(t, c.name, c.type, k) for t in store.tables() for k, c in enumerate(store.manifest(t).columns, 1)]
         spark.createDataFrame(rows, "table_name string, column_name string, data_type string, ordinal_position int").createOrReplaceTempView("information_schema_columns")
+        spark.createDataFrame([(t,) for t in store.tables()], "table_name string").createOrReplaceTempView("information_schema_tables")
 
     def _matches(self, spark: SparkSession, sql: str) -> str:
         """match_bm25 calls become a column of scores that is joined to the table."""
-        for k, m in enumerate(_MATCH.finditer(sql)):
-            table, words = m[1], m[2][1:-1].replace("''", "'")
+        made: list[str] = []
+
+        def score(m: re.Match) -> str:
+            table, words = m[1].lower(), m[2][1:-1].replace("''", "'")
             settings = self.store.manifest(table).full_text
             if not settings.enabled:
                 raise gate.Refused(f"table {table} has no full-text index")
             view = spark.table(table)
-            columns = list(settings.columns) or [c for c, kind in view.dtypes if kind == "string" and not c.startswith("_")]
-            scores = search.bm25(view, ROW_ID, columns, words, settings).withColumnRenamed("score", f"bm25_{k}__")
+            texts = [c for c, kind in view.dtypes if kind == "string" and not c.startswith("_")]
+            columns = [c for c in settings.columns if c in texts] or texts
+            name = f"bm25_{len(made)}__"
+            made.append(name)
+            scores = search.bm25(view, ROW_ID, columns, words, settings).withColumnRenamed("score", name)
             view.join(scores, ROW_ID, "left").createOrReplaceTempView(table)
-            sql = sql.replace(m[0], f"bm25_{k}__")
-        return sql
+            return name
+
+        return _in_code(_MATCH.pattern, sql, score)
+
+    def _columns(self, spark: SparkSession, sql: str) -> str:
+        """COLUMNS('pattern') becomes the columns of the statement's tables whose names match, vectors left out."""
+
+        def listed(m: re.Match) -> str:
+            pattern = re.compile(m[1][1:-1].replace("''", "'"))
+            names = [c for t in sorted(gate.relations(spark, _in_code(_COLUMNS, sql, lambda _: "1"))) if spark.catalog.tableExists(t) for c in spark.table(t).columns]
+            found = [f"`{c}`" for c in dict.fromkeys(names) if pattern.search(c) and not c.endswith(VECTOR_SUFFIX)]
+            if not found:
+                raise gate.Refused(f"no column matches {m[1][:60]}")
+            return ", ".join(found)
+
+        return _in_code(_COLUMNS, sql, listed)
+
+    def _summary(self, spark: SparkSession, table: str) -> DataFrame:
+        """A row for each column of a table: its type, its count of values, nulls, and least and greatest value."""
+        if table not in self.store.tables():
+            raise gate.Refused(f"there is no table {table[:80]}")
+        view = Store(spark, self.store.root, self.store.now).view(table)
+        own = [c for c, kind in view.dtypes if not c.startswith("_")]
+        of = lambda c: F.struct(F.lit(c).alias("column_name"), F.lit(dict(view.dtypes)[c]).alias("column_type"), F.count(c).alias("count"), F.count_if(F.col(c).isNull()).alias("nulls"), F.approx_count_distinct(c).alias("approx_unique"), F.min(c).cast("string").alias("min"), F.max(c).cast("string").alias("max"))
+        return view.agg(F.array(*map(of, own)).alias("s")).select(F.explode("s").alias("s")).select("s.*")
 
     def ranking(self, text_table: str | None, text_column: str | None) -> tuple[str, str]:
         """The table and column that a text is compared with: those named, else the only embedded one."""
@@ -126,8 +212,11 @@ class Tenant:
         spark = tenant_session(self.store.spark)
         vectors.register(spark)
         q = self.embed(text) if text else None
+        if sql and (m := re.fullmatch(r"\s*summarize\s+(\w+)\s*;?\s*", sql, re.I)):
+            return self._summary(spark, m[1].lower())
         if not sql:
             table, column = self.ranking(table, column)
+            self._same_space(table)
             hidden = [c + VECTOR_SUFFIX for c in self.store.manifest(table).embedded()] + [RAW] * self.store.manifest(table).raw
             sql = f"SELECT * EXCEPT ({', '.join(hidden)}), array_cosine_similarity({column}{VECTOR_SUFFIX}, {QUERY_VECTOR}) AS score FROM {table} WHERE {column}{VECTOR_SUFFIX} IS NOT NULL ORDER BY score DESC, {ROW_ID} LIMIT {int(limit)}"
             own = Store(spark, self.store.root, self.store.now)
@@ -142,17 +231,35 @@ class Tenant:
             sql = rewritten(sql)
             if gate.opener(sql) not in gate.OPENERS:
                 gate.check(spark, sql, set())
-            self._views(spark, sql)
-            sql = self._matches(spark, sql)
-        gate.check(spark, sql, {*self.store.tables(), "information_schema_columns"}, set(gate.SIMILARITIES) | {"stem", "jaro_winkler_similarity"})
+            sql = held_condition(sql, "qualify") or sql
+            named = _in_code(_COLUMNS, sql, lambda _: "1")
+            self._views(spark, named, bool(text))
+            sql = self._matches(spark, self._columns(spark, sql))
         search.register(spark)
-        df = spark.sql(sql, args={"q": F.array(*(F.lit(float(x)) for x in q))} if q is not None and ":q" in sql else None)
+        df = self._checked(spark, sql, q)
         gate.check_vectors(df)
         shown = [f.name for f in df.schema if "vector_dims" not in f.metadata]
         if not shown:
             raise gate.Refused("every column of the result is a vector, which are withheld")
         return df.select(*(F.col(f"`{c}`") for c in shown)) if len(shown) < len(df.columns) else df
 
+    def _checked(self, spark: SparkSession, sql: str, q: list[float] | None) -> DataFrame:
+        """The statement's frame; if a name in WHERE is that of a column of its own select list, with the condition held."""
+        functions = set(gate.SIMILARITIES) | {"stem", "jaro_winkler_similarity"}
+
+        def made(text: str) -> DataFrame:
+            gate.check(spark, text, {*self.store.tables(), "information_schema_columns", "information_schema_tables"}, functions)
+            return spark.sql(text, args={"q": F.array(*(F.lit(float(x)) for x in q))} if q is not None and ":q" in text else None)
+
+        try:
+            return made(sql)
+        except AnalysisException as e:
+            # an aggregate or a window would see rows that WHERE should have taken away
+            held = held_condition(sql, "where") if "UNRESOLVED_COLUMN" in (e.getCondition() or "") and not re.search(r"\b(over|group|having|distinct)\b", shadow(sql), re.I) else None
+            if held is None:
+                raise
+            return made(held)
+
     def query(self, sql: str | None = None, text: str | None = None, table: str | None = None, column: str | None = None, limit: int = DEFAULT_ROWS, after: str | None = None, seconds: float = SECONDS) -> dict:
         """A page of rows, whether it was cut, and the cursor of the next page."""
         whose = fingerprint(sql, text, table, column)

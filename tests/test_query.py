@@ -22,10 +22,7 @@ def tenant(spark, tmp_path_factory):
     view = store.view("notes")
     made = view.select("_row_id", F.lit("body").alias("column"), vectors.hash_embedding("body").alias("vector"))
     store.put_vectors("notes", made, "hash-bow-v1", vectors.DIMS)
-    m = store.manifest("notes")
-    from dataclasses import replace
-
-    store._save(m, replace(m, full_text=FullText(True)))
+    store.configure("notes", FullText(True))
     return Tenant(store)
 
 
@@ -69,6 +66,38 @@ def test_statements_that_are_allowed(tenant):
     assert one("SELECT round(jaro_winkler_similarity('MARTHA', 'MARHTA'), 4) AS s") == [{"s": 0.9611}]
 
 
+def test_idioms_that_spark_spells_otherwise(tenant):
+    one = lambda sql, **k: tenant.query(sql, **k)["rows"]
+    assert one("SELECT column_name FROM information_schema.columns WHERE table_name = 'notes' ORDER BY ordinal_position")[1] == {"column_name": "body"}
+    assert one("SELECT table_name FROM information_schema.tables") == [{"table_name": "notes"}]
+    assert one("SELECT n * 2 AS twice, author FROM notes WHERE twice > 44 AND n < 24 ORDER BY twice") == [{"twice": "46", "author": "ann"}]
+    assert one("SELECT n, author FROM notes QUALIFY row_number() OVER (PARTITION BY author ORDER BY n DESC) = 1 ORDER BY n") == [{"n": "23", "author": "ann"}, {"n": "24", "author": "bob"}]
+    assert one("SELECT n, 'a QUALIFY b' AS t FROM notes WHERE n IN (SELECT max(n) FROM notes) LIMIT 1") == [{"n": "24", "t": "a QUALIFY b"}]
+    assert set(one("SELECT COLUMNS('^(n|auth.*)$') FROM notes LIMIT 1")[0]) == {"n", "author"}
+    assert {r["column_name"]: (r["count"], r["max"]) for r in one("SUMMARIZE notes")}["n"] == ("25", "24")
+    assert one("SELECT n, 'fts_main_notes.match_bm25(_row_id, ''run'')' AS t FROM notes ORDER BY n LIMIT 1")[0]["t"].startswith("fts_main")
+    for wrong in ("SELECT nothing AS x FROM notes WHERE y = 1", "SUMMARIZE nowhere", "SELECT COLUMNS('zzz') FROM notes"):
+        with pytest.raises(Exception):  # noqa: B017
+            tenant.query(wrong)
+
+
+FUNCTIONS = ["spark_partition_id()", "input_file_name()", "current_user()", "java_method('a', 'b')", "raise_error('x')", "no_such()", "version()", "from_avro(body, 'x')", "hll_sketch_estimate(body)"]
+
+
+@pytest.mark.parametrize("call", FUNCTIONS)
+def test_functions_are_allowed_by_list(tenant, call):
+    with pytest.raises(gate.Refused, match="not allowed"):
+        tenant.query(f"SELECT {call} AS x FROM notes")
+
+
+def test_text_needs_the_model_of_the_vectors(tenant):
+    other = Tenant(tenant.store, embed=lambda text: [0.0] * 8, model="another")
+    with pytest.raises(gate.Refused, match="another"):
+        other.query(text="cats")
+    with pytest.raises(gate.Refused, match="another"):
+        other.query("SELECT n, array_cosine_similarity(body_vec, $q) AS s FROM notes", text="cats")
+
+
 def test_text_queries_rank_by_likeness(tenant):
     got = tenant.query(text="note about cats number 3", limit=3)["rows"]
     assert got[0]["n"] == "3" and got[0]["score"] > 0.99 and "body_vec" not in got[0]
@@ -130,3 +159,17 @@ def test_bm25_by_hand(spark):
     idf = lambda n: math.log(1 + (3 - n + 0.5) / (n + 0.5))
     want = idf(1) * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / 2)) + idf(2) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 3 / 2))
     assert set(got) == {1, 2} and math.isclose(got[1], want, rel_tol=1e-9)
+
+
+def test_rarest_words_are_counted_within_the_row(spark):
+    rows = [(1, "the River river runs runs deep 1234"), (2, None), (3, "a an 77777"), (4, "")]
+    got = {r.id: r.words for r in search.rarest_words(spark.createDataFrame(rows, "id long, t string"), "id", "t", 2).collect()}
+    assert got == {1: ["deep", "river"]}
+    plan = search.rarest_words(spark.createDataFrame(rows, "id long, t string"), "id", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_many_texts_embed_as_each_alone(spark):
+    texts = ["One two, TWO three", None, "", "x" * 300 + " y", "a-b a"]
+    got = [r.v for r in spark.createDataFrame(list(enumerate(texts)), "id long, t string").orderBy("id").select(vectors.hash_embedding("t", exact=True).alias("v")).collect()]
+    assert got == [vectors.hash_embedding_of(t) for t in texts]
