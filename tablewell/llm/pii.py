@@ -84,16 +84,27 @@ _WORD = re.compile(r"[^\W\d_](?:[\w’'-]*\w)?")
 _TAIL = re.compile(r"[’']s?$")
 
 
-def _pattern() -> re.Pattern:
-    """All kinds as one pattern, each with a group of its name."""
-    own = {kind: p.replace(r"([\x20-]?)", r"(?P<gap>[\x20-]?)").replace(r"\1", "(?P=gap)") for kind, p in PATTERNS}
+@lru_cache
+def _pattern(kinds: tuple[str, ...]) -> re.Pattern:
+    """The patterns of some kinds as one, each with a group of its name."""
+    own = {kind: p.replace(r"([\x20-]?)", r"(?P<gap>[\x20-]?)").replace(r"\1", "(?P=gap)") for kind, p in PATTERNS if kind in kinds}
     return re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in own.items()))
 
 
-_GROUPS = _pattern()
+_DIGIT = re.compile(r"\d")
+# every name's title ends so; texts without one need no search for names
+_TITLE = re.compile(r"(?:M[rs]|Mrs|Dr|Sr|Sra|M|Herr|Frau|Mme|Monsieur|Madame|Señora?|name is|г-н|г-жа)\.?\x20")
+
+
+def _kinds(text: str) -> tuple[str, ...]:
+    """The kinds that a text can have at all, by what none of their mentions lacks."""
+    email = ("email",) if "@" in text else ()
+    numbers = ("ipv4", "iban", "ssn", "card", "phone") if _DIGIT.search(text) else ()
+    return (*email, *numbers, *(("name",) if _TITLE.search(text) else ()))
+
+
 _CAPITAL = "[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆ-Ώ]"
-_PAIR = re.compile(rf"\b{_CAPITAL}[^\W\d_]+(?=\x20{_CAPITAL}[^\W\d_])")
-_HINT = re.compile(r"[@\d]|M[rsm.]|Dr|Herr|Frau|Monsieur|Madame|S[re]|name is|г-")
+_PAIR = re.compile(rf"{_CAPITAL}[^\W\d_]+(?=\x20{_CAPITAL}[^\W\d_])")
 
 
 def script_of(text: str) -> str:
@@ -130,16 +141,17 @@ def _name(text: str, start: int, end: int, before: str) -> list[Mention]:
 
 def _untitled(text: str) -> list[tuple[int, int]]:
     """Where a known given name stands that a capitalised word follows."""
-    return [(m.start(), _WORD.match(text, m.end() + 1).end()) for m in _PAIR.finditer(text) if m[0].lower() in _GENDER]  # type: ignore[union-attr]
+    return [(m.start(), _WORD.match(text, m.end() + 1).end()) for m in _PAIR.finditer(text) if m[0].lower() in _GENDER and not text[m.start() - 1 : m.start()].isalnum()]  # type: ignore[union-attr]
 
 
 def find(text: str) -> list[Mention]:
     """The mentions of entities in a text, in order."""
     untitled = _untitled(text)
-    if not untitled and not _HINT.search(text):
+    kinds = _kinds(text)
+    if not untitled and not kinds:
         return []
     out: list[Mention] = []
-    for m in _GROUPS.finditer(text):
+    for m in _pattern(kinds).finditer(text) if kinds else ():
         kind, value = next((k, v) for k, v in m.groupdict().items() if v is not None and k != "gap")
         if kind == "name":
             out += _name(text, m.start(), m.end(), text[max(0, m.start() - 12) : m.start()])
