@@ -25,6 +25,7 @@ from .common import materialise, read_table, shuffle_width
 
 SALTS = 16
 BROADCAST = 200_000
+NULL_RANGES = 1024
 """Digests (of 16 bytes) that are sent to every task; more than that are joined by a shuffle."""
 
 
@@ -52,12 +53,14 @@ def _ranges(ids: DataFrame, n: int) -> list:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, digest and the text and digest of the next document in descending order of doc_id."""
+    """doc_id, text and the text of the next document in descending order of doc_id, null ones last."""
     width = shuffle_width(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     bounds = _ranges(texts.select("doc_id"), 4 * width)
     number = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    dealt = texts.select("doc_id", "text", F.when(F.col("doc_id").isNull(), -1).otherwise(number).alias("range"))
+    # rows without an id have no order of their own, so they get one that can be cut: by a hash of their text, then by text
+    last = -1 - F.pmod(F.xxhash64("text"), F.lit(NULL_RANGES)).cast("int")
+    dealt = texts.select("doc_id", "text", F.when(F.col("doc_id").isNull(), last).otherwise(number).alias("range"))
     order = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), "text")
     near = dealt.repartition(width, "range").select(
         "*",
