@@ -6,9 +6,11 @@ Matches never cross documents and are judged on the input.
 How it works, all of it as Spark shuffles of packed suffix arrays:
 
 1. Documents are packed into batches of a few MB. Of each batch's suffixes, those are sampled whose 16-byte prefix has the
-   least hash among all prefixes inside a window; any two equal windows sample the same suffix. The sampled suffixes, in
-   the order of their bytes and with their neighbourhood (the text of all windows that sampled them), form the batch's
-   suffix array. It is dealt out by prefix to as many shares as there are batches, so a share doesn't grow with the data.
+   least hash among all prefixes inside a window; any two equal windows sample the same suffix. Batches first tell which
+   prefixes they sample, by marks of 32 bits, and hear which of them another document samples too (a mark shared by chance
+   does no harm). The sampled suffixes of these, in the order of their bytes and with their neighbourhood (the text of all
+   windows that sampled them), form the batch's suffix array. It is dealt out by prefix to as many shares as there are
+   batches, so a share doesn't grow with the data.
 2. In each share a logarithmic index family takes one batch's array after the other. Levels of equal size are merged:
    both are in order, so places come from searching one in the other. Entries whose neighbourhoods are equal, byte by
    byte, keep those of their smallest doc_id; the others are repeats over their whole neighbourhood.
@@ -19,7 +21,7 @@ How it works, all of it as Spark shuffles of packed suffix arrays:
    entries of a prefix hot there skip step 2. Hot strings alone are compared by their hash only.
 4. The matched windows go back to their batch, which cuts them out.
 
-`SuffixFamily` keeps levels in a folder, for batches that come later. Each `add` scans the new arrays against all levels
+`SuffixFamily` keeps levels of all sampled suffixes in a folder, for batches that come later. Each `add` scans the new arrays against all levels
 and merges those levels into its own that are not over twice its size, so an entry is rewritten a logarithmic number of
 times. Memory per task is a batch, or a share.
 
@@ -81,9 +83,9 @@ def _window_hash(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.nda
     return total
 
 
-def sample_suffixes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def sample_suffixes(data: np.ndarray, starts: np.ndarray, placed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(prefix hash, first window, number of windows, where in the first window the suffix begins) of each sampled suffix of
-    the texts in `data`."""
+    the texts in `data`; the last is left out (zeros) unless it's asked for."""
     out: list[tuple[np.ndarray, ...]] = []
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     reach = WINDOW - PREFIX + 1
@@ -122,7 +124,7 @@ def sample_suffixes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
                 at2 = np.repeat(at, pieces) + back * LONGEST_RUN
                 n = np.minimum(np.repeat(at + n, pieces) - at2, LONGEST_RUN)
                 at, key = at2, np.repeat(key, pieces)
-            inside = (every[at[:, None] + np.arange(reach)] == key[:, None]).argmax(1)
+            inside = (every[at[:, None] + np.arange(reach)] == key[:, None]).argmax(1) if placed else np.zeros(len(at), np.int64)
             out.append((key, at + lo, n, inside))
         first = last
     if not out:
@@ -313,14 +315,74 @@ def _array_of(row: dict, family: IndexFamily) -> Level:
     return Level(k1=k1, k2=k2, check=check, doc=np.cumsum(gaps)[which], origin=origins[whose], at=at.astype(np.int64), n=n, inside=inside, pos=pos + family.put_text(text))
 
 
-def _arrays(parts: int, id_at: int, text_at: int) -> Callable:
-    """Step 1: the suffix array of each batch, dealt out by prefix."""
+def _mark(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The share of a prefix hash, and 32 other bits of it."""
+    mixed = _mix(key)
+    return (mixed % np.uint64(parts)).astype(np.int64), (mixed >> np.uint64(32)).astype(np.uint32)
+
+
+def _sketches(parts: int, id_at: int, text_at: int) -> Callable:
+    """Which prefixes each batch samples, by marks of 32 bits, and whether several of its documents do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in b.to_pylist()):
-            batch, bid = _unpack(row["body"]), row["bid"]
+            batch = _unpack(row["body"])
+            data, starts = text_bytes(batch.column(text_at))
+            key, at, _, _ = sample_suffixes(data, starts, placed=False)
+            if not len(key):
+                continue
+            doc = _ids(batch, id_at)[np.searchsorted(starts, at, "right") - 1]
+            part, mark = _mark(key, parts)
+            order = np.lexsort((mark, part))
+            part, mark, doc = part[order], mark[order], doc[order]
+            lead = _leads(part, mark)
+            several = np.maximum.reduceat(doc, lead) != np.minimum.reduceat(doc, lead)
+            part, mark = part[lead], mark[lead]
+            cuts = np.searchsorted(part, np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(cuts)):
+                own = slice(int(cuts[p]), int(cuts[p + 1]))
+                yield _emit([_row(p, "S", row["bid"], None, squeeze(np.diff(mark[own], prepend=np.uint32(0)), several[own].astype(np.uint8)))])
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the marks of one share or several: to each batch those that another document has too."""
+    held: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+    for row in (r for b in batches for r in b.to_pylist()):
+        mark, several = unsqueeze(row["body"], "u4", "u1")
+        held.setdefault(row["part"], []).append((row["bid"], np.cumsum(mark, dtype=np.uint32), several))
+    for part, rows in held.items():
+        every = np.concatenate([r[1] for r in rows])
+        values, count = np.unique(every, return_counts=True)
+        count[np.searchsorted(values, np.concatenate([r[1][r[2] > 0] for r in rows]))] = 2
+        values = values[count > 1]
+        for bid, mark, _ in rows:
+            found = mark[np.isin(mark, values, assume_unique=True)]
+            if len(found):
+                yield _emit([_row(bid, "S", bid, None, squeeze(np.full(len(found), part, np.uint32), np.diff(found, prepend=np.uint32(0))))])
+
+
+def _wanted(blobs: list[bytes]) -> np.ndarray:
+    """Shares and marks as one number each, in order."""
+    got = [unsqueeze(b, "u4", "u4") for b in blobs]
+    return np.unique(np.concatenate([part.astype(np.uint64) << np.uint64(32) | np.cumsum(mark, dtype=np.uint32) for part, mark in got]))
+
+
+def _arrays(parts: int, id_at: int, text_at: int, only_shared: bool = False) -> Callable:
+    """Step 1: the suffix array of each batch, dealt out by prefix; with `only_shared` of the prefixes it was told of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bid, blob, replies in _by_batch(batches):
+            if only_shared and "S" not in replies:
+                continue
+            batch = _unpack(blob)
             data, starts = text_bytes(batch.column(text_at))
             key, at, n, inside = sample_suffixes(data, starts)
+            if only_shared:
+                part, mark = _mark(key, parts)
+                some = np.flatnonzero(np.isin(part.astype(np.uint64) << np.uint64(32) | mark, _wanted(replies["S"])))
+                key, at, n, inside = key[some], at[some], n[some], inside[some]
             if not len(key):
                 continue
             doc = _ids(batch, id_at)[np.searchsorted(starts, at, "right") - 1]
@@ -605,8 +667,11 @@ def _shares(texts: DataFrame, most_bytes: int) -> int:
 
 def _matched(texts: DataFrame, parts: int, id_at: int, text_at: int, stored: DataFrame | None = None, keep: bool = False) -> DataFrame:
     """Rows of kind F, the matched windows of the batches of `texts` and of those in `stored`; with `keep`, also what a family
-    stores (kinds L, K and V)."""
-    arrays = texts.mapInArrow(_arrays(parts, id_at, text_at), ROWS)
+    stores (kinds L, K and V). Without it, only prefixes that several documents sample go into the arrays."""
+    if not keep:
+        marks = materialise(_dealt(texts.mapInArrow(_sketches(parts, id_at, text_at), ROWS), parts).mapInArrow(_shared, ROWS))
+        texts = texts.unionByName(marks).repartition(parts, "bid").sortWithinPartitions("bid", "kind")
+    arrays = texts.mapInArrow(_arrays(parts, id_at, text_at, not keep), ROWS)
     if stored is not None:
         arrays = arrays.unionByName(stored.mapInArrow(_redealt(parts), ROWS))
     found = materialise(_dealt(arrays, parts).mapInArrow(_scan(parts, keep), ROWS))

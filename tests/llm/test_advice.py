@@ -100,6 +100,10 @@ def test_op8_hot_prefixes_spread():
     """No task gets more than a small share of the strings at the ends of a hot passage."""
     parts, rows = 64, hot_rows()
     dealt = [r for b in suffix_dedup._arrays(parts, 0, 1)(iter([suffix_dedup._emit([packed(rows, 0)])])) for r in b.to_pylist()]
+    marks = [r for b in suffix_dedup._sketches(parts, 0, 1)(iter([suffix_dedup._emit([packed(rows, 0)])])) for r in b.to_pylist()]
+    told = [r for b in suffix_dedup._shared(iter([suffix_dedup._emit(marks)])) for r in b.to_pylist()]
+    some = [r for b in suffix_dedup._arrays(parts, 0, 1, True)(iter([suffix_dedup._emit([*told, packed(rows, 0)])])) for r in b.to_pylist()]
+    assert 0 < sum(r["bid"] for r in some if r["kind"] == "A") < sum(r["bid"] for r in dealt if r["kind"] == "A")
     found = [r for p in range(parts) for b in suffix_dedup._scan(parts)(iter([suffix_dedup._emit([r for r in dealt if r["part"] == p])])) for r in b.to_pylist()]
     load = np.zeros(parts)
     for r in found:
