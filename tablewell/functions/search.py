@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -42,17 +43,32 @@ def tokens(text: Column, settings: FullText) -> Column:
     return F.filter(words, lambda w: ~w.isin(*STOPWORDS)) if settings.stopwords == "english" else words
 
 
+def searched(df: DataFrame, settings: FullText) -> list[str]:
+    """The columns that are searched: those of the settings that are there, else all texts but the system's."""
+    texts = [c for c, kind in df.dtypes if kind == "string" and not c.startswith("_")]
+    return [c for c in settings.columns if c in texts] or texts
+
+
+def index_mark(settings: FullText, columns: list[str]) -> str:
+    """Tells apart indexes that were made otherwise."""
+    return hashlib.sha256(repr((settings, sorted(columns))).encode()).hexdigest()[:16]
+
+
+def lengths(df: DataFrame, row_id: str, columns: list[str], settings: FullText) -> DataFrame:
+    """(row id, length): the number of tokens of each row."""
+    return df.select(row_id, F.size(F.concat(*(tokens(F.col(c), settings) for c in columns))).alias("length"))
+
+
 def index(df: DataFrame, row_id: str, columns: list[str], settings: FullText) -> DataFrame:
     """An inverted index: a row for each document and term, (row id, term, tf, length).
 
-    Terms are stemmed after they were counted, so each is stemmed once per document and not once per mention.
+    Terms are counted within the row and stemmed after that, so each is stemmed once per document.
     """
     whole = F.concat(*(tokens(F.col(c), settings) for c in columns))
-    terms = df.select(row_id, F.explode(whole).alias("term")).groupBy(row_id, "term").agg(F.count("*").alias("tf"))
+    terms = df.select(row_id, F.size(whole).alias("length"), F.explode(counted_words(whole)).alias("w")).select(row_id, F.col("w.word").alias("term"), F.col("w.n").cast("long").alias("tf"), "length")
     if settings.stemmer != "none":
-        terms = terms.withColumn("term", porter_stem("term")).groupBy(row_id, "term").agg(F.sum("tf").alias("tf"))
-    lengths = df.select(row_id, F.size(whole).alias("length"))
-    return terms.join(lengths, row_id)
+        terms = terms.withColumn("term", porter_stem("term")).groupBy(row_id, "term").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
+    return terms
 
 
 def query_terms(words: str, settings: FullText) -> list[str]:
@@ -87,6 +103,19 @@ def bm25(df: DataFrame, row_id: str, columns: list[str], words: str, settings: F
         heads = sorted({t[:2] for t in terms})
         found = found.where(F.substring("term", 1, 2).isin(*heads)).withColumn("term", porter_stem("term"))
     hits = found.where(F.col("term").isin(*terms)).groupBy(row_id, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    return _scores(hits, corpus, row_id)
+
+
+def bm25_of(terms: DataFrame, sizes: DataFrame, row_id: str, words: str, settings: FullText) -> DataFrame:
+    """The scores of `bm25` from an index and the lengths of all rows: only the query's terms are read."""
+    wanted = query_terms(words, settings)
+    if not wanted:
+        return terms.select(row_id, F.lit(None).cast("double").alias("score")).limit(0)
+    corpus = sizes.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    return _scores(terms.where(F.col("term").isin(*wanted)), corpus, row_id)
+
+
+def _scores(hits: DataFrame, corpus: DataFrame, row_id: str) -> DataFrame:
     df_of = hits.groupBy("term").agg(F.count("*").alias("df"))
     # both sides are tiny: a row for each query term, and one row
     scored = hits.join(F.broadcast(df_of), "term").crossJoin(F.broadcast(corpus))

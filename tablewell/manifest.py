@@ -45,11 +45,13 @@ class FullText:
 
 @dataclass(frozen=True)
 class Part:
-    """An immutable folder of folded rows, and of their vectors if they have some."""
+    """An immutable folder of folded rows, of their vectors if they have some, and of their terms if they are searched."""
 
     name: str
     rows: int
     vectors: bool = False
+    index: str = ""
+    """How the terms were made."""
 
 
 @dataclass(frozen=True)

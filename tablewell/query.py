@@ -163,12 +163,10 @@ class Tenant:
             settings = self.store.manifest(table).full_text
             if not settings.enabled:
                 raise gate.Refused(f"table {table} has no full-text index")
-            view = spark.table(table)
-            texts = [c for c, kind in view.dtypes if kind == "string" and not c.startswith("_")]
-            columns = [c for c in settings.columns if c in texts] or texts
-            name = f"bm25_{len(made)}__"
+            view, name = spark.table(table), f"bm25_{len(made)}__"
             made.append(name)
-            scores = search.bm25(view, ROW_ID, columns, words, settings).withColumnRenamed("score", name)
+            terms, sizes = Store(spark, self.store.root, self.store.now).keyword_index(table)
+            scores = search.bm25_of(terms, sizes, ROW_ID, words, settings).withColumnRenamed("score", name)
             view.join(scores, ROW_ID, "left").createOrReplaceTempView(table)
             return name
 

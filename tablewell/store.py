@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import Folder
-from .functions import vectors
+from .functions import search, vectors
 from .manifest import ColumnSpec, Conflict, FullText, Manifest, Part
 from .names import BATCH, INGESTED_AT, PLACE, ROW_ID, SEQ, VECTOR_SUFFIX
 from .operators import two_tier
@@ -331,7 +331,7 @@ class Store:
             left, now = tuple(b for b in m.batches if b not in before.batches), self.now()
             spent = [(f"{kind}/{n}", now) for kind, names in (("pending", [b for b, _ in before.batches]), ("tombstones", before.tombstones), ("vectors", before.vectors)) for n in names]
             return replace(
-                m, generation=m.generation + 1, parts=tuple(sorted((*kept, Part(name, n, vectors)), key=lambda p: -p.rows)), batches=left, pending_rows=m.pending_rows - before.pending_rows,
+                m, generation=m.generation + 1, parts=tuple(sorted((*kept, Part(name, n, vectors, mark)), key=lambda p: -p.rows)), batches=left, pending_rows=m.pending_rows - before.pending_rows,
                 tombstones=tuple(t for t in m.tombstones if t not in before.tombstones), vectors=tuple(v for v in m.vectors if v not in before.vectors),
                 past=(*m.past, (m.generation, now, tuple(p.name for p in m.parts))) if m.generation else m.past,
                 due_at=now + ROLL_UP_SECONDS if left else None, drained=(*m.drained, *spent),
@@ -343,6 +343,7 @@ class Store:
             vectors = some is not None
             if vectors:
                 folded.where(some).select(ROW_ID, *carried).write.option("compression", "zstd").parquet(f"{at}/vectors")
+            mark = self._write_terms(before.full_text, at) if before.full_text.enabled and n else ""
             _, after = self._commit(table, change)
         except Exception:
             self.folder.remove(f"{table}/parts/{name}")
@@ -350,6 +351,31 @@ class Store:
         self.notify({"event": "table.rolled_up", "table": table, "rows": after.base_rows, "tombstones": 0, "seq": before.next_seq - 1, "previous_generation": before.generation, "at": self.now()})
         return True
 
+    def _write_terms(self, settings: FullText, at: str) -> str:
+        """The terms of a part's rows, in ranges of terms so that a query reads few files, and the lengths of the rows."""
+        rows = self.spark.read.parquet(f"{at}/rows")
+        columns = search.searched(rows, settings)
+        if not columns:
+            return ""
+        search.index(rows, ROW_ID, columns, settings).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/terms")
+        search.lengths(rows, ROW_ID, columns, settings).write.parquet(f"{at}/lengths")
+        return search.index_mark(settings, columns)
+
+    def keyword_index(self, table: str) -> tuple[DataFrame, DataFrame]:
+        """The terms and the lengths of all rows as they are now: those stored with the parts, less forgotten rows, and those
+        of rows that have none yet."""
+        m = self.manifest(table)
+        columns = search.searched(self.view(table, manifest=m), m.full_text)
+        mark = search.index_mark(m.full_text, columns)
+        ready = [p for p in m.parts if p.rows and p.index == mark]
+        rest = self.view(table, manifest=replace(m, parts=tuple(p for p in m.parts if p not in ready)))
+        own = search.index(rest, ROW_ID, columns, m.full_text), search.lengths(rest, ROW_ID, columns, m.full_text)
+        if not ready:
+            return own
+        gone = self._read(table, "tombstones", m.tombstones)
+        stored = (two_tier.without(self._read(table, "parts", [p.name for p in ready], f"/{kind}"), gone) for kind in ("terms", "lengths"))
+        return tuple(a.unionByName(b) for a, b in zip(stored, own, strict=True))  # type: ignore[return-value]
+
     def roll_up_due(self) -> list[str]:
         return [t for t in self.tables() if self.due(t) and self.roll_up(t)]
 

@@ -173,3 +173,24 @@ def test_many_texts_embed_as_each_alone(spark):
     texts = ["One two, TWO three", None, "", "x" * 300 + " y", "a-b a"]
     got = [r.v for r in spark.createDataFrame(list(enumerate(texts)), "id long, t string").orderBy("id").select(vectors.hash_embedding("t", exact=True).alias("v")).collect()]
     assert got == [vectors.hash_embedding_of(t) for t in texts]
+
+
+def test_stored_terms_give_the_scores_of_the_texts(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    put = lambda lo, hi: store.add_rows("notes", spark.createDataFrame([(k, f"running note {'cats ' * (k % 4)}{k}", "river" if k % 3 else None) for k in range(lo, hi)], "n long, body string, other string"), [ColumnSpec("n", "BIGINT"), ColumnSpec("body", "VARCHAR"), ColumnSpec("other", "VARCHAR")])
+    settings = FullText(True, columns=("body", "gone", "other"))
+    put(0, 20)
+    store.configure("notes", settings)
+    for step in (lambda: None, lambda: store.roll_up("notes"), lambda: put(20, 30), lambda: store.forget("notes", store.view("notes").where("n % 7 = 2").select("_row_id")), lambda: store.roll_up("notes"), lambda: store.configure("notes", FullText(True, "none"))):
+        step()
+        now = store.manifest("notes").full_text
+        view = store.view("notes")
+        want = {r["_row_id"]: round(r.score, 9) for r in search.bm25(view, "_row_id", ["body", "other"], "cats rivers run", now).collect()}
+        terms, sizes = store.keyword_index("notes")
+        got = {r["_row_id"]: round(r.score, 9) for r in search.bm25_of(terms, sizes, "_row_id", "cats rivers run", now).collect()}
+        assert got == want and got
+    assert search.bm25_of(terms, sizes, "_row_id", " ", now).count() == 0
+    plan = lambda: search.bm25_of(*store.keyword_index("notes"), "_row_id", "cats", store.manifest("notes").full_text)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(term)" not in plan()
+    store.configure("notes", settings)
+    assert "PushedFilters: [IsNotNull(term)" in plan()
