@@ -145,4 +145,16 @@ def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_rule_ledger": op6_rule_ledger}
-ORACLES: dict[str, str] = {}
+_MEASURED = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+ g AS (SELECT doc_id, unnest(range(1, len(words) - 6)) AS k, unnest(list_transform(range(1, len(words) - 6), lambda k: array_to_string(words[k : k + 7], ' '))) AS gram FROM w),
+ again AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) q WHERE n > 1),
+ covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(k, k + 8)) AS place FROM again) q GROUP BY doc_id),
+ m AS (SELECT w.doc_id AS doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+  len(lines) AS n_lines, length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS n_letters, length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) AS n_upper, len(list_distinct(words)) AS n_word_kinds,
+  len(list_filter(words, lambda x: strlen(x) > 40)) AS n_long_words, len(list_filter(range(1, len(words)), lambda k: words[k] = words[k + 1])) AS n_stutters
+  FROM w LEFT JOIN covered c ON w.doc_id = c.doc_id),
+ f AS (SELECT *, CAST({bits} AS BIGINT) AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & {base}) <> 0 AS base_failed, (failed & {whole}) = 0 AS kept, failed FROM f"""
+ORACLES = {"op6_rule_ledger": _MEASURED.format(bits=" + ".join(f"CASE WHEN {condition} THEN {1 << k} ELSE 0 END" for k, (_, condition) in enumerate(RULES)), base=mask(BASE), whole=mask(POLICIES[LATEST]))}

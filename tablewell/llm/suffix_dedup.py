@@ -772,4 +772,15 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_suffix_dedup": op8_suffix_dedup}
-ORACLES: dict[str, str] = {}
+# every 50-byte string of every document, with the least doc_id that has it; bytes as pairs of hexadecimal digits
+ORACLES = {
+    "op8_suffix_dedup": """WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ x AS (SELECT doc_id, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS i, unnest(list_transform(range(0, greatest(length(h) // 2 - 49, 0)), lambda k: substr(h, 2 * k + 1, 100))) AS s FROM t),
+ m AS (SELECT s, min(doc_id) AS least FROM x GROUP BY s),
+ hit AS (SELECT x.doc_id, x.i FROM x JOIN m ON x.s = m.s AND m.least < x.doc_id),
+ run AS (SELECT doc_id, i, sum(CASE WHEN i - before <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM hit) q),
+ span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, g),
+ piece AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS free FROM span),
+ cut AS (SELECT p.doc_id, CAST(sum(p.b - p.a) AS BIGINT) AS gone, count(*) AS n, string_agg(substr(t.h, 2 * p.free + 1, 2 * (p.a - p.free)), '' ORDER BY p.a) || substr(max(t.h), 2 * max(p.b) + 1) AS kept FROM piece p JOIN t ON p.doc_id = t.doc_id GROUP BY p.doc_id)
+SELECT t.doc_id AS doc_id, CAST(length(t.h) // 2 AS BIGINT) AS n_bytes, coalesce(cut.gone, 0) AS n_removed, CAST(coalesce(cut.n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(cut.kept, t.h))) AS kept_sha256 FROM t LEFT JOIN cut ON t.doc_id = cut.doc_id"""
+}
