@@ -268,4 +268,31 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_secrets": op5_secrets}
-ORACLES: dict[str, str] = {}
+def _oracle() -> str:
+    """DuckDB's SQL: matches are marked and lengths summed as above, but each window's entropy is computed from its characters."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    marked = lambda text, pattern: f"string_split(regexp_replace({text}, {quoted('(' + pattern + ')')}, chr(1) || '\\1' || chr(1), 'g'), chr(1))"
+    cut = lambda source, text, pattern, more="": f"(SELECT *, sum(length(part)) OVER (PARTITION BY doc_id{more} ORDER BY k) AS stop FROM (SELECT doc_id{more}, unnest(p) AS part, generate_subscripts(p, 1) AS k FROM (SELECT doc_id{more}, {marked(text, pattern)} AS p FROM {source}) q) q) q WHERE k % 2 = 0"
+    base = " UNION ALL ".join(
+        f"SELECT doc_id, {rank} AS rank, '{kind}' AS kind, stop - length(part) AS start, stop FROM {cut('d', 't', pattern)} AND length({f'regexp_extract(part, {quoted(pattern)}, {group})' if group else 'part'}) >= {least}"
+        for rank, (kind, (pattern, group, least)) in enumerate(PATTERNS.items())
+    )
+    allowed = " OR ".join([f"regexp_matches(v, {quoted(a)})" for a in ALLOWED if "\\1" not in a] + ["replace(v, v[1], '') = ''"])
+    limit = " ".join(f"WHEN regexp_matches(v, {quoted(pattern)}) THEN {bits}" for _, pattern, bits in CLASSES)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ base AS ({base}),
+ runs AS (SELECT doc_id, stop - length(part) AS pos, part AS v FROM {cut("d", "t", CANDIDATE)}),
+ parts AS (SELECT doc_id, pos, stop - length(part) AS later, part FROM {cut(f"(SELECT * FROM runs WHERE regexp_matches(v, '{WORDS}'))", "v", PART, ", pos")}),
+ candidate AS (SELECT doc_id, pos, v FROM runs WHERE NOT regexp_matches(v, '{WORDS}') UNION ALL SELECT doc_id, pos + later, part FROM parts WHERE NOT regexp_matches(part, '{WORDS}')),
+ fit AS (SELECT doc_id, pos, v, CASE {limit} END AS bits FROM candidate WHERE NOT ({allowed})),
+ win AS (SELECT doc_id, pos, bits, v, unnest(range(0, length(v) - {SPAN - 1})) AS k FROM fit),
+ hot AS (SELECT doc_id, pos, k FROM win WHERE list_aggregate(string_split(substr(v, k + 1, {SPAN}), ''), 'entropy') >= bits - 1e-9),
+ grp AS (SELECT *, sum(CASE WHEN k - before <= {SPAN} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, pos ORDER BY k) AS g FROM (SELECT *, lag(k) OVER (PARTITION BY doc_id, pos ORDER BY k) AS before FROM hot) q),
+ entropy AS (SELECT doc_id, {len(PATTERNS)} AS rank, 'entropy' AS kind, pos + min(k) AS start, pos + max(k) + {SPAN} AS stop FROM grp GROUP BY doc_id, pos, g),
+ every AS (SELECT * FROM base UNION ALL SELECT * FROM entropy e WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = e.doc_id AND b.start <= e.start AND b.stop >= e.stop)),
+ told AS (SELECT doc_id, rank, start, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span FROM every),
+ found AS (SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE rank = {rank}) AS n_{kind}" for rank, kind in enumerate(PATTERNS))}, string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE rank < {len(PATTERNS)}) AS own, string_agg(span, ',' ORDER BY start, rank) AS spans FROM told GROUP BY doc_id)
+SELECT d.doc_id AS doc_id, {", ".join(f"CAST(coalesce(n_{kind}, 0) AS BIGINT) AS n_{kind}" for kind in PATTERNS)}, sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN found f ON d.doc_id = f.doc_id"""
+
+
+ORACLES = {"op5_secrets": _oracle()}
