@@ -277,25 +277,23 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
 
 
 def _survivors(docs: DataFrame, marked: DataFrame, mark: str, classes: DataFrame, rooted: DataFrame) -> DataFrame:
-    """`docs` with all columns, of each component one row of its smallest doc_id: of several the one of least text, then of
-    least other columns. `marked` is `docs` with each row's class under `mark`."""
-    root, least = (free_name(marked.columns, n) for n in ("root__", "least__"))
-    name = F.coalesce("root", "mark")
-    whole = materialise(classes.select("mark", "least").join(rooted, "mark", "left").select("mark", "least", name.alias("root")))
+    """`docs` with all columns, of each component one row of its smallest doc_id: of several the one whose columns have the
+    least digest. `marked` is `docs` with each row's class under `mark`. Texts are shuffled once, by digest."""
+    digest = free_name(marked.columns, "digest__")
+    every = marked.withColumn(digest, F.unhex(F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).cast("binary"), 256)))
+    whole = materialise(classes.select("mark", "least").join(rooted, "mark", "left").select("mark", "least", F.coalesce("root", "mark").alias("root")))
     first = whole.groupBy("root").agg(F.min("least").alias("first"))
-    chosen = whole.join(first, "root").where(F.col("least").eqNullSafe(F.col("first"))).select(F.col("mark").alias(mark), F.col("root").alias(root), F.col("least").alias(least))
+    chosen = whole.join(first, "root").where(F.col("least").eqNullSafe(F.col("first"))).select("mark", "least", "root")
     # a class may hold very many rows, but few of one doc_id, which is part of the key
-    own, other = marked.alias("own"), chosen.alias("other")
-    kept = own.join(other, (F.col(f"own.`{mark}`") == F.col(f"other.`{mark}`")) & F.col("own.doc_id").eqNullSafe(F.col(f"other.`{least}`")))
-    every = [F.col(f"own.`{c}`").alias(c) for c in docs.columns]
-    rows = kept.select(F.col(f"other.`{root}`").alias(root), F.struct(*every).alias("row"))
-    order = F.struct(F.col("row.text"), F.to_json("row"))
-    return rows.groupBy(root).agg(F.min_by("row", order).alias("row")).select("row.*")
+    ids = every.select(F.col("doc_id").alias("id"), F.col(f"`{mark}`").alias("own"), F.col(f"`{digest}`").alias("digest"))
+    met = ids.join(chosen, (F.col("own") == F.col("mark")) & F.col("id").eqNullSafe(F.col("least")))
+    best = met.groupBy("root").agg(F.min("digest").alias(digest)).select(digest)
+    return every.join(best, digest, "left_semi").dropDuplicates([digest]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """`docs` with all columns, one row of each component: that with the smallest doc_id (of equal ones that of least text,
-    then of least other columns)."""
+    """`docs` with all columns, one row of each component: that with the smallest doc_id (of equal ones that whose columns
+    have the least digest)."""
     mark = free_name(docs.columns, "mark__")
     classes = materialise(with_fingerprints(docs, mark, only_id=True).groupBy(F.col(mark).alias("mark")).agg(F.min("doc_id").alias("least")))
     return _survivors(docs, with_fingerprints(docs, mark), mark, classes, roots(classes))
@@ -497,7 +495,8 @@ def similar_links(docs: DataFrame, classes: DataFrame, words: int, similar: floa
     tried = materialise(found.where("sketch is null").select("a", "b").unionByName(blocks.select("a", "b")).distinct())
     large = found.where("sketch is not null").select("key", F.col("a").alias("mark"))
     wanted = tried.select(F.col("a").alias("mark")).unionByName(tried.select(F.col("b").alias("mark"))).unionByName(large.select("mark")).distinct()
-    texts = docs.join(wanted, "mark", "left_semi").select("mark", "text").dropDuplicates(["mark"])
+    # copies are reduced to one before the shuffle, so a class of very many of them is no hot key
+    texts = docs.select("mark", "text").dropDuplicates(["mark"]).join(wanted, "mark", "left_semi")
     sets = materialise(texts.mapInArrow(_shingle_sets(words), "mark long, shingles binary"))
     first, second = sets.toDF("a", "first"), sets.toDF("b", "second")
     good = materialise(tried.join(first, "a").join(second, "b").select("a", "b", "first", "second").mapInArrow(_verified(similar), "a long, b long"))
@@ -519,7 +518,7 @@ def similar_links(docs: DataFrame, classes: DataFrame, words: int, similar: floa
 
 def one_of_each_similar(docs: DataFrame, words: int = SIMILAR_WORDS, similar: float = SIMILAR) -> DataFrame:
     """`docs` with all columns, one row of each component of texts whose shingles are as similar: that with the smallest
-    doc_id (of equal ones that of least text, then of least other columns). Blank texts are similar to each other only."""
+    doc_id (of equal ones that whose columns have the least digest). Blank texts are similar to each other only."""
     mark = free_name(docs.columns, "mark__")
     sketched = docs.select("doc_id", "text").mapInArrow(_sketches(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, keys array<long>, sketch binary")
     classes = materialise(sketched.groupBy("mark").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))

@@ -166,10 +166,15 @@ def test_op8_hot_passage_leaves_all_but_its_first_text(spark):
 
 def test_survivors_of_equal_ids_are_always_the_same(spark):
     rows = [(1, "b c d e f", "x"), (1, "B C d e f", "y"), (1, "b c d e f", "a"), (None, "q r s t u", "z"), (None, "Q r s t u", "w"), (2, "b C d e f", None), (None, None, "k"), (None, "", None)]
+    seen = set()
     for parts in (1, 3, 5):
         docs = spark.createDataFrame(rows, "doc_id long, text string, `root__` string").repartition(parts)
         for kept in (simhash.one_of_each(docs), simhash.one_of_each_similar(docs)):
-            assert collected(kept) == sorted([(1, "B C d e f", "y"), (None, "Q r s t u", "w"), (None, None, "k")], key=key)
+            assert kept.columns == docs.columns
+            got = collected(kept)
+            assert len(got) == 3 and {(g[0], (g[1] or "").lower()) for g in got} == {(1, "b c d e f"), (None, "q r s t u"), (None, "")}
+            seen.add(tuple(got))
+    assert len(seen) == 1
 
 
 def test_hot_keys_are_joined_apart_from_the_others(spark):
