@@ -112,3 +112,22 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
     whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return whole[starts[0] : starts[-1]], starts - starts[0]
+
+
+_SPACES = bytes(0x20 if b == 0x20 or 0x09 <= b <= 0x0D else b for b in range(256))
+PIECE_BYTES = 4 << 20
+
+
+def word_lists(raw: bytes, size: int = PIECE_BYTES) -> Iterator[list[bytes]]:
+    """The maximal runs of bytes other than \\x20 and \\x09-\\x0D, in lists from pieces of about `size` bytes, so that a long text
+    isn't held as one list of words; a text has at least one list."""
+    if len(raw) <= size:
+        yield raw.split()
+        return
+    raw = raw.translate(_SPACES)
+    at = 0
+    while at < len(raw):
+        end = raw.find(b" ", at + size)
+        end = len(raw) if end < 0 else end
+        yield raw[at:end].split()
+        at = end

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, packing, pii, quality, rules, secrets, simhash, suffix_dedup, toxicity
+from . import bpe, chat, divergence, exact, interplay, packing, pii, quality, rules, secrets, simhash, suffix_dedup, toxicity
 
-MODULES = (packing, pii, exact, toxicity, secrets, rules, bpe, suffix_dedup, quality, simhash)
+MODULES = (packing, pii, exact, toxicity, secrets, rules, bpe, suffix_dedup, quality, simhash, divergence, chat, interplay)
 
 
 def queries() -> dict:

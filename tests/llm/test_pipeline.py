@@ -29,4 +29,4 @@ def test_stages_take_an_empty_table(spark, none, tmp_path):
 
 def test_one_query_for_each_operator():
     names = registry.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
