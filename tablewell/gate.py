@@ -152,6 +152,23 @@ def _check_arguments(name: str, call) -> None:  # noqa: ANN001
             raise Refused(f"{name} compares vector columns and $q only")
 
 
+def computes_over_rows(df: DataFrame, column: str) -> bool:
+    """Whether the select list that makes this column holds aggregates or windows."""
+    for node in _nodes(df._jdf.queryExecution().analyzed()):
+        if any(_kind(e) == "Alias" and str(e.name()) == column for e in _each(node.expressions())):
+            # Spark puts a list that names its own aggregates over the aggregation, as projections
+            while _kind(node) == "Project":
+                node = node.child()
+            return _kind(node) in ("Aggregate", "Window")
+    return False
+
+
+def _each(sequence) -> Iterator:  # noqa: ANN001
+    it = sequence.iterator()
+    while it.hasNext():
+        yield it.next()
+
+
 def _vector_ids(plan) -> set[int]:  # noqa: ANN001
     """Ids of the columns that are vectors: those marked, and names for them, casts left aside."""
     ids, names = set(), []

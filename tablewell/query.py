@@ -10,6 +10,7 @@ import hashlib
 import json
 import re
 import threading
+import uuid
 
 from pyspark.errors import AnalysisException, ArithmeticException, NumberFormatException, ParseException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,11 @@ from .store import Store
 
 DEFAULT_ROWS, MOST_ROWS, MOST_OFFSET, SECONDS = 1000, 10_000, 100_000, 15
 MOST_SQL, MOST_TEXT = 20_000, 4_000
+LAST_SECONDS = 10
+"""How long a cancelled query may take to end before its caller hears of it."""
 QUERY_VECTOR = "CAST(:q AS ARRAY<FLOAT>)"
 _MATCH = re.compile(r"fts_main_(\w+)\.match_bm25\(\s*(?:\w+\.)?_row_id\s*,\s*('(?:[^']|'')*')\s*\)", re.I)
+_SCORE = r"bm25_\d+__"
 _COLUMNS = r"\bCOLUMNS\(\s*('(?:[^']|'')*')\s*\)"
 CALLERS_FAULT = (AnalysisException, ParseException, ArithmeticException, NumberFormatException, gate.Refused, ValueError, LookupError)
 
@@ -168,7 +172,8 @@ class Tenant:
             terms, sizes = Store(spark, self.store.root, self.store.now).keyword_index(table)
             scores = search.bm25_of(terms, sizes, ROW_ID, words, settings).withColumnRenamed("score", name)
             view.join(scores, ROW_ID, "left").createOrReplaceTempView(table)
-            return name
+            # the bare column is only seen by `*`, which leaves it out
+            return f"coalesce({name})"
 
         return _in_code(_MATCH.pattern, sql, score)
 
@@ -236,10 +241,12 @@ class Tenant:
         search.register(spark)
         df = self._checked(spark, sql, q)
         gate.check_vectors(df)
-        shown = [f.name for f in df.schema if "vector_dims" not in f.metadata]
+        shown = [f.name for f in df.schema if "vector_dims" not in f.metadata and not re.fullmatch(_SCORE, f.name)]
         if not shown:
             raise gate.Refused("every column of the result is a vector, which are withheld")
-        return df.select(*(F.col(f"`{c}`") for c in shown)) if len(shown) < len(df.columns) else df
+        if not any(re.search(_SCORE, c) for c in df.columns):
+            return df.select(*(F.col(f"`{c}`") for c in shown)) if len(shown) < len(df.columns) else df
+        return df.select(*(F.col(f"`{c}`").alias(re.sub(rf"coalesce\({_SCORE}\)", "match_bm25", c)) for c in shown))
 
     def _checked(self, spark: SparkSession, sql: str, q: list[float] | None) -> DataFrame:
         """The statement's frame; if a name in WHERE is that of a column of its own select list, with the condition held."""
@@ -253,10 +260,13 @@ class Tenant:
             return made(sql)
         except AnalysisException as e:
             # an aggregate or a window would see rows that WHERE should have taken away
-            held = held_condition(sql, "where") if "UNRESOLVED_COLUMN" in (e.getCondition() or "") and not re.search(r"\b(over|group|having|distinct)\b", shadow(sql), re.I) else None
+            held = held_condition(sql, "where") if "UNRESOLVED_COLUMN" in (e.getCondition() or "") and not re.search(r"\bdistinct\b", shadow(sql), re.I) else None
             if held is None:
                 raise
-            return made(held)
+            df = made(held)
+            if gate.computes_over_rows(df, HELD):
+                raise
+            return df
 
     def query(self, sql: str | None = None, text: str | None = None, table: str | None = None, column: str | None = None, limit: int = DEFAULT_ROWS, after: str | None = None, seconds: float = SECONDS) -> dict:
         """A page of rows, whether it was cut, and the cursor of the next page."""
@@ -271,9 +281,9 @@ class Tenant:
 
     @staticmethod
     def _timed(df: DataFrame, seconds: float) -> list:
-        """The rows, unless it takes too long: then the job group is cancelled."""
+        """The rows, unless it takes too long: then its jobs are cancelled, those too that Spark has yet to submit."""
         context = df.sparkSession.sparkContext
-        group, out = f"query-{threading.get_ident()}-{id(df)}", {}
+        group, out = f"query-{uuid.uuid4().hex}", {}
 
         def work() -> None:
             context.setJobGroup(group, "query", True)
@@ -286,8 +296,10 @@ class Tenant:
         t.start()
         t.join(seconds)
         if t.is_alive():
-            context.cancelJobGroup(group)
-            raise TimeoutError(f"the query took more than {seconds} s")
+            # a query in planning, or between its jobs, has none to cancel yet; Spark keeps the group's name for those to come
+            context._jsc.sc().cancelJobGroupAndFutureJobs(group)
+            t.join(LAST_SECONDS)
+            raise TimeoutError(f"the query took more than {seconds} s") from out.get("error")
         if "error" in out:
             raise out["error"]
         return out["rows"]

@@ -1,8 +1,10 @@
 """The gate, tenant queries, search, vectors and paging."""
 
 import math
+import time
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tablewell import gate, query
@@ -125,9 +127,35 @@ def test_pages_show_each_row_once(tenant):
             tenant.query(other, after=wrong)
 
 
-def test_slow_queries_are_cancelled(tenant):
+@pytest.mark.parametrize("seconds", [0.02, 0.3, 2])
+def test_slow_queries_are_cancelled_for_good(spark, tenant, seconds):
+    # a join whose small side is a job of its own, so there are gaps between jobs in which nothing runs
+    slow = "SELECT count(*) AS n FROM range(2000000000) a JOIN (SELECT n % 3 AS k FROM notes) b ON a.id % 7 = b.k WHERE a.id * a.id % 11 = 3"
     with pytest.raises(TimeoutError):
-        tenant.query("SELECT count(*) AS n FROM range(100000000) a CROSS JOIN range(1000000) b WHERE a.id * b.id % 7 = 3", seconds=2)
+        tenant.query(slow, seconds=seconds)
+    quiet = 0
+    for _ in range(100):
+        quiet = quiet + 1 if not spark.sparkContext.statusTracker().getActiveJobsIds() else 0
+        time.sleep(0.1)
+        if quiet == 30:
+            break
+    assert quiet == 30
+    assert tenant.query("SELECT count(*) AS n FROM notes")["rows"] == [{"n": "25"}]
+
+
+def test_aggregates_stay_out_of_where(tenant):
+    for wrong in ("SELECT count(*) AS c FROM notes WHERE c > 1", "SELECT author, count(*) + 1 AS c FROM notes WHERE c > 1", "SELECT sum(n) AS c, 1 AS d FROM notes WHERE d = 1"):
+        with pytest.raises(AnalysisException):
+            tenant.query(wrong)
+    inner = "SELECT c + 1 AS d FROM (SELECT author, count(*) AS c FROM notes GROUP BY author) t WHERE d > 1 ORDER BY d"
+    assert tenant.query(inner)["rows"] == [{"d": "13"}, {"d": "14"}]
+
+
+def test_scores_show_where_they_are_asked_for(tenant):
+    score = "fts_main_notes.match_bm25(_row_id, 'run')"
+    assert set(tenant.query(f"SELECT * FROM notes WHERE {score} IS NOT NULL LIMIT 1")["rows"][0]) == {"n", "body", "author", "_row_id", "_batch", "_ingested_at"}
+    assert set(tenant.query(f"SELECT n, {score} FROM notes WHERE {score} > 0 LIMIT 1")["rows"][0]) == {"n", "match_bm25"}
+    assert len(tenant.query(f"SELECT *, {score} AS s FROM (SELECT * FROM notes) notes ORDER BY s DESC LIMIT 1")["rows"][0]) == 7
 
 
 @pytest.mark.parametrize("predicate", ["n = 1); DROP", "n = 1 -- x", "(n = 1", "n IN (SELECT 1)", "reflect('a','b') = 1", "'", "", "n = 1)) OR ((1 = 1"])
