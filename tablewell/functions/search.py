@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..manifest import FullText
-from .porter import stem
+from .snowball import stemmer
 
 K1, B = 1.2, 0.75
 # English words that an index leaves out.
@@ -24,13 +24,19 @@ STOPWORDS = (
 ).split()
 
 
-def _stems(words: pd.Series) -> pd.Series:
-    kinds = {w: stem(w) for w in words.dropna().unique()}
-    return words.map(kinds, na_action="ignore")
+# Letters with marks, and the first letter of what a stemmer may make of them.
+_MARKED, _UNMARKED = "äöüßáéíóúâàëêèïîôûùç", "aousaeiouaaeeeiiouuc"
 
 
-def porter_stem(words: Column | str) -> Column:
-    return F.pandas_udf(_stems, T.StringType())(words)
+def stemmed(words: Column | str, language: str) -> Column:
+    """The stems of a column of words; each is stemmed once per batch."""
+    stemmer(language)  # refuses unknown names before any job runs
+
+    def stems(words: pd.Series) -> pd.Series:
+        of = stemmer(language)
+        return words.map({w: of(w) for w in words.dropna().unique()}, na_action="ignore")
+
+    return words if language == "none" else F.pandas_udf(stems, T.StringType())(words)
 
 
 def tokens(text: Column, settings: FullText) -> Column:
@@ -67,7 +73,7 @@ def index(df: DataFrame, row_id: str, columns: list[str], settings: FullText) ->
     whole = F.concat(*(tokens(F.col(c), settings) for c in columns))
     terms = df.select(row_id, F.size(whole).alias("length"), F.explode(counted_words(whole)).alias("w")).select(row_id, F.col("w.word").alias("term"), F.col("w.n").cast("long").alias("tf"), "length")
     if settings.stemmer != "none":
-        terms = terms.withColumn("term", porter_stem("term")).groupBy(row_id, "term").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
+        terms = terms.withColumn("term", stemmed("term", settings.stemmer)).groupBy(row_id, "term").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
     return terms
 
 
@@ -83,7 +89,7 @@ def query_terms(words: str, settings: FullText) -> list[str]:
     found = [w for w in re.split(f"(?:{settings.ignore})".replace("(\\.|", "(?:\\.|"), text) if w]
     if settings.stopwords == "english":
         found = [w for w in found if w not in STOPWORDS]
-    return sorted({stem(w) if settings.stemmer != "none" else w for w in found})
+    return sorted(set(map(stemmer(settings.stemmer), found)))
 
 
 def bm25(df: DataFrame, row_id: str, columns: list[str], words: str, settings: FullText) -> DataFrame:
@@ -99,9 +105,9 @@ def bm25(df: DataFrame, row_id: str, columns: list[str], words: str, settings: F
         return df.sparkSession.createDataFrame([], "row string, score double").select(F.col("row").alias(row_id), "score")
     found = texts.select(row_id, F.size("words").alias("length"), F.explode("words").alias("term"))
     if settings.stemmer != "none":
-        # a stem shares the first two letters of its words, or is the word
-        heads = sorted({t[:2] for t in terms})
-        found = found.where(F.substring("term", 1, 2).isin(*heads)).withColumn("term", porter_stem("term"))
+        # a stem begins as its words do, but for marks; so most words needn't be stemmed
+        heads = sorted({t[:1] for t in terms})
+        found = found.where(F.translate(F.substring("term", 1, 1), _MARKED, _UNMARKED).isin(*heads)).withColumn("term", stemmed("term", settings.stemmer))
     hits = found.where(F.col("term").isin(*terms)).groupBy(row_id, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     return _scores(hits, corpus, row_id)
 
@@ -193,4 +199,4 @@ def register(spark: SparkSession) -> None:
 
 
 def _stems_by_language(words: pd.Series, language: pd.Series) -> pd.Series:
-    return pd.Series([w if w is None or lang == "none" else stem(w) for w, lang in zip(words, language, strict=True)], dtype=object)
+    return pd.Series([None if w is None or lang is None else stemmer(lang)(w) for w, lang in zip(words, language, strict=True)], dtype=object)

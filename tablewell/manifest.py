@@ -6,6 +6,7 @@ import json
 from dataclasses import asdict, dataclass, field, replace
 
 from . import names
+from .functions.snowball import stemmer
 from .types import spark_type
 
 
@@ -39,6 +40,11 @@ class FullText:
     lowercase: bool = True
     columns: tuple[str, ...] = ()
 
+    def __post_init__(self) -> None:
+        stemmer(self.stemmer)
+        if self.stopwords not in ("english", "none"):
+            raise ValueError(f"no stop words are named {self.stopwords!r}; there are english, none")
+
     def patched(self, **changes: object) -> FullText:
         return replace(self, **{k: v for k, v in changes.items() if v is not None})
 

@@ -191,6 +191,15 @@ def bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", F.round("score", 6).alias("score"))
 
 
+GERMAN = FullText(True, "german", "none", "[^a-zäöüß]+", False, True)
+GERMAN_WORDS = "Einheiten, ungen und erlichkeiten der Berger"
+
+
+def bm25_german(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = search.bm25(table(spark, sf_dir, "documents"), "doc_id", ["text"], GERMAN_WORDS, GERMAN)
+    return scores.select("doc_id", F.round("score", 6).alias("score"))
+
+
 def rare_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = search.rarest_words(table(spark, sf_dir, "documents"), "doc_id", "text")
     return out.select("doc_id", F.array_join("words", " ").alias("words"))
@@ -259,7 +268,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         two_tier_group, tombstone_anti, json_path_project, fanout_mapping, coercion_types, roll_up_equivalence, gated_query, pending_page, change_events,
-        vector_topk, vector_measures, hybrid, bm25_topk, bm25_stemmed, rare_terms, fuzzy_names, csv_infer, chunk_documents, chunk_pages, hash_embed,
+        vector_topk, vector_measures, hybrid, bm25_topk, bm25_stemmed, bm25_german, rare_terms, fuzzy_names, csv_infer, chunk_documents, chunk_pages, hash_embed,
         page_two, concurrent_append, rewritten_select, csv_chunks, neighbour_expand, content_digests, window_tumbling, window_sliding, window_session,
     )
 }
@@ -281,6 +290,32 @@ _STEMMED = _BM25.replace("string_split_regex(lower(text), '[^a-z0-9]+')", "strin
     where="", terms=", ".join(f"('{w}', '{s}')" for s, words in (("licens", "license licenses licensed licensing"), ("releas", "release releases released releasing")) for w in words.split())
 ) + "SELECT doc_id, round(score, 6) AS score FROM scores"
 
+# the German stemmer in SQL: marked vowels, where the regions begin, three steps, marks taken off
+_V = "aeiouyäöü"
+_GERMAN = f"""WITH words AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-zäöüß]+')) AS w FROM documents), kept AS (SELECT doc_id, w FROM words WHERE w <> ''),
+ asked AS (SELECT unnest(string_split_regex(lower('{GERMAN_WORDS}'), '[^a-zäöüß]+')) AS w),
+ a AS (SELECT w AS word, replace(w, 'ß', 'ss') AS w FROM (SELECT w FROM kept UNION SELECT w FROM asked) q),
+ b AS (SELECT word, {"regexp_replace(" * 4}w{"".join(f", '([{_V}]){x}([{_V}])', '{chr(92)}1{x.upper()}{chr(92)}2', 'g')" for x in "uuyy")} AS w FROM a),
+ c AS (SELECT word, w, regexp_extract(w, '^.*?[{_V}][^{_V}]') AS x FROM b), d AS (SELECT word, w, CASE WHEN x = '' THEN length(w) ELSE length(x) END AS p FROM c),
+ e AS (SELECT word, w, p, regexp_extract(substr(w, p + 1), '^.*?[{_V}][^{_V}]') AS x FROM d), f AS (SELECT word, w, greatest(3, p) AS r1, CASE WHEN x = '' THEN length(w) ELSE p + length(x) END AS r2 FROM e),
+ g AS (SELECT *, regexp_extract(w, '(em|ern|er|e|en|es|s)$') AS s FROM f), h AS (SELECT *, left(w, length(w) - length(s)) AS cut FROM g),
+ i AS (SELECT word, r1, r2, CASE WHEN s = '' OR length(cut) < r1 OR (s = 's' AND NOT regexp_matches(w, '[bdfghklmnrt]s$')) THEN w WHEN s IN ('e', 'en', 'es') AND suffix(cut, 'niss') THEN left(cut, length(cut) - 1) ELSE cut END AS w FROM h),
+ j AS (SELECT *, regexp_extract(w, '(en|er|est|st)$') AS s FROM i), k AS (SELECT *, left(w, length(w) - length(s)) AS cut FROM j),
+ l AS (SELECT word, r1, r2, CASE WHEN s = '' OR length(cut) < r1 OR (s = 'st' AND NOT regexp_matches(w, '...[bdfghklmnt]st$')) THEN w ELSE cut END AS w FROM k),
+ m AS (SELECT *, regexp_extract(w, '(end|ung|ig|ik|isch|lich|heit|keit)$') AS s FROM l), n AS (SELECT *, left(w, length(w) - length(s)) AS cut FROM m),
+ o AS (SELECT word, CASE WHEN s = '' OR length(cut) < r2 THEN w
+  WHEN s IN ('end', 'ung') AND regexp_matches(cut, '[^e]ig$') AND length(cut) - 2 >= r2 THEN left(cut, length(cut) - 2)
+  WHEN s IN ('ig', 'ik', 'isch') AND suffix(cut, 'e') THEN w
+  WHEN s IN ('lich', 'heit') AND regexp_matches(cut, '(er|en)$') AND length(cut) - 2 >= r1 THEN left(cut, length(cut) - 2)
+  WHEN s = 'keit' AND suffix(cut, 'lich') AND length(cut) - 4 >= r2 THEN left(cut, length(cut) - 4)
+  WHEN s = 'keit' AND suffix(cut, 'ig') AND length(cut) - 2 >= r2 THEN left(cut, length(cut) - 2) ELSE cut END AS w FROM n),
+ stems AS (SELECT word, translate(w, 'UYäöü', 'uyaou') AS stem FROM o),
+ len AS (SELECT d.doc_id, count(k.w) AS n FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id GROUP BY d.doc_id), corpus AS (SELECT count(*) AS n, avg(n) AS mean FROM len),
+ tf AS (SELECT doc_id, stem AS w, count(*) AS tf FROM kept JOIN stems ON w = word WHERE stem IN (SELECT stem FROM asked JOIN stems ON w = word) GROUP BY doc_id, stem),
+ df AS (SELECT w, count(*) AS df FROM tf GROUP BY w)
+SELECT tf.doc_id AS doc_id, round(sum(ln(1 + (corpus.n - df.df + 0.5) / (df.df + 0.5)) * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * len.n / corpus.mean))), 6) AS score
+ FROM tf JOIN df ON tf.w = df.w JOIN len ON tf.doc_id = len.doc_id CROSS JOIN corpus GROUP BY tf.doc_id"""
+
 _FNV = """WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS words FROM documents),
  t AS (SELECT doc_id, unnest(words) AS token FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(words)), lambda k: words[k] || ' ' || words[k + 1])) FROM w),
  h AS (SELECT token, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(token, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: (xor(a, b) * 16777619) % 4294967296) % 256 AS slot FROM (SELECT DISTINCT token FROM t)),
@@ -302,6 +337,7 @@ ORACLES: dict[str, str] = {
     "hybrid": _BM25.format(where="", terms="'the', 'license'")
     + "SELECT s.doc_id AS doc_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) AS DOUBLE[])), 6) AS cosine, round(s.score, 6) AS bm25 FROM scores s JOIN documents d ON s.doc_id = d.doc_id AND d.n_chars < 2000 JOIN embeddings e ON s.doc_id = e.vec_id",
     "bm25_stemmed": _STEMMED,
+    "bm25_german": _GERMAN,
     "hash_embed": _FNV,
     "page_two": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 100",
     "concurrent_append": "SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT event_id) AS BIGINT) AS ids, CAST(sum(event_id) AS BIGINT) AS total FROM events WHERE event_id % 10 <> 0 GROUP BY event_type",

@@ -24,7 +24,7 @@ from .store import Store
 
 DEFAULT_ROWS, MOST_ROWS, MOST_OFFSET, SECONDS = 1000, 10_000, 100_000, 15
 MOST_SQL, MOST_TEXT = 20_000, 4_000
-LAST_SECONDS = 10
+LAST_SECONDS = 2
 """How long a cancelled query may take to end before its caller hears of it."""
 QUERY_VECTOR = "CAST(:q AS ARRAY<FLOAT>)"
 _MATCH = re.compile(r"fts_main_(\w+)\.match_bm25\(\s*(?:\w+\.)?_row_id\s*,\s*('(?:[^']|'')*')\s*\)", re.I)

@@ -1,6 +1,7 @@
 """The gate, tenant queries, search, vectors and paging."""
 
 import math
+import random
 import time
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tablewell import gate, query
 from tablewell.functions import search, vectors
 from tablewell.functions.porter import stem
+from tablewell.functions.snowball import STEMMERS, stemmer
 from tablewell.manifest import ColumnSpec, FullText
 from tablewell.query import Tenant
 from tablewell.store import Store
@@ -169,6 +171,48 @@ def test_stems(word, want):
     assert stem(word) == want
 
 
+# Words and stems of the published samples, one after the other.
+SAMPLES = {
+    "german": "aufeinander aufeinand aufeinanderfolge aufeinanderfolg aufeinanderfolgenden aufeinanderfolg aufeinanderschlügen aufeinanderschlug aufenthaltes aufenthalt auferlegt auferlegt auferlegten auferlegt auferstehung aufersteh auferstünde auferstund auffallend auffall auffälliges auffall auffassung auffass auffaßt auffasst kategorie kategori kategorien kategori kategorisch kategor kater kat katers kat",
+    "french": "continu continu continua continu continuait continu continuant continu continuation continu continue continu continué continu continuel continuel continuelle continuel continuellement continuel continuels continuel continuer continu continuerait continu continueront continu continuité continu continuons continuon contorsions contors contournait contourn contracter contract contractés contract contractions contract contradictoirement contradictoir contradictoires contradictoir contraindre contraindr contraintes contraint contraria contrari mains main maintenaient mainten maintenait mainten maintenant mainten maintenir mainten maintenue maintenu maintien maintien maire mair mairie mair mais mais maisons maison maîtresses maîtress majesté majest majestueuse majestu majestueusement majestu majestueux majestu majeure majeur majordomes majordom majorité major majorités major malacca malacc maladie malad maladies malad maladive malad",
+    "spanish": "chequeo cheque cheques chequ checar chec checoslovaquia checoslovaqui chester chest chetumaleños chetumaleñ cheyenne cheyenn chía chi chiapaneca chiapanec chicharrones chicharron torá tor tórax torax torcer torc toreado tor toreados tor toreándolo tor torear tor toreara tor torearlo tor toreó tore torero torer torio tori tormentas torment tornado torn tornen torn torneos torne tornillos tornill torniquete torniquet torpedearon torped torpeza torpez torrenciales torrencial torreón torreon torrescano torrescan",
+    "english": "consigned consign consignment consign consistency consist consistently consist consolations consol consolatory consolatori console consol consolidated consolid consolingly consol consonant conson conspicuously conspicu conspiracy conspiraci conspirators conspir constables constabl constance constanc constancy constanc knackeries knackeri knaves knave knavish knavish kneading knead knee knee knees knee knightly knight knitted knit knives knive knocker knocker running run",
+}
+
+
+@pytest.mark.parametrize("language", SAMPLES)
+def test_stems_of_the_published_samples(language):
+    both = SAMPLES[language].split()
+    assert [STEMMERS[language](w) for w in both[::2]] == both[1::2]
+
+
+@pytest.mark.parametrize("language", STEMMERS)
+def test_stemmers_take_any_word(language):
+    rng = random.Random(1)
+    for _ in range(3000):
+        word = "".join(rng.choices("aeiouybdgklmnqrstuvhcfäöüéèîïçñßáíó'", k=rng.randrange(0, 12)))
+        stem_ = stemmer(language)(word)
+        assert len(stem_) <= len(word.replace("ß", "ss")) + 1 and stem_ == stem_.lower()
+
+
+def test_unknown_stemmers_are_refused(spark, tenant):
+    with pytest.raises(ValueError, match="klingon"):
+        FullText(True, "klingon")
+    with pytest.raises(ValueError, match="latin"):
+        FullText(True, stopwords="latin")
+    with pytest.raises(Exception, match="klingon"):
+        tenant.query("SELECT stem(author, 'klingon') AS s FROM notes")
+    got = tenant.query("SELECT stem('running', 'english') AS a, stem('Häuser', 'none') AS b, stem('kategorien', 'german') AS c, stem('tornados', 'spanish') AS d, stem('maisons', 'french') AS e")["rows"]
+    assert got == [{"a": "run", "b": "Häuser", "c": "kategori", "d": "torn", "e": "maison"}]
+
+
+def test_a_german_index_finds_german_forms(spark):
+    df = spark.createDataFrame([(1, "die Häuser der Auffassung"), (2, "ein Haus"), (3, "runs running"), (4, "Auffassungen äpfel"), (5, "Apfel")], "id long, t string")
+    found = lambda q, kind: {r.id for r in search.bm25(df, "id", ["t"], q, FullText(True, kind, "none", "[^a-zäöüß]+", False)).collect()}
+    assert found("Auffassungen", "german") == {1, 4} and found("run", "german") == {3} and found("Apfel", "german") == {4, 5}
+    assert found("run", "porter") == {3}
+
+
 def test_hash_embedding_has_length_one():
     v = vectors.hash_embedding_of("One two, TWO three")
     assert len(v) == 256 and math.isclose(sum(x * x for x in v), 1.0)
