@@ -1,4 +1,4 @@
-"""Keyword search: tokens, stems and BM25 over DataFrames; string likeness."""
+"""Keyword search: tokens, stems and BM25 over DataFrames."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..manifest import FullText
+from .likeness import pandas_jaro_winkler
 from .snowball import stemmer
 
 K1, B = 1.2, 0.75
@@ -154,47 +155,9 @@ def rarest_words(df: DataFrame, row_id: str, text: str, k: int = 8) -> DataFrame
     return df.select(row_id, F.transform(rarest, lambda x: x["word"]).alias("words")).where(F.size("words") > 0)
 
 
-def jaro(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    used, own = [False] * len(b), []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == c:
-                used[j] = True
-                own.append(c)
-                break
-    if not own:
-        return 0.0
-    other = [c for c, u in zip(b, used, strict=True) if u]
-    swaps = sum(x != y for x, y in zip(own, other, strict=True)) // 2
-    m = len(own)
-    return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-
-
-def jaro_winkler_of(a: str | None, b: str | None) -> float | None:
-    """Jaro similarity, raised by a common beginning of up to 4 letters where it is above 0.7."""
-    if a is None or b is None:
-        return None
-    s = jaro(a, b)
-    same = next((k for k, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
-    return s + same * 0.1 * (1 - s) if s > 0.7 else s
-
-
-def _jaro_winklers(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
-def jaro_winkler(a: Column | str, b: Column | str) -> Column:
-    return F.pandas_udf(_jaro_winklers, T.DoubleType())(a, b)
-
-
 def register(spark: SparkSession) -> None:
     """The Python functions of tenant SQL."""
-    spark.udf.register("jaro_winkler_similarity", F.pandas_udf(_jaro_winklers, T.DoubleType()))
+    spark.udf.register("jaro_winkler_similarity", F.pandas_udf(pandas_jaro_winkler, T.DoubleType()))
     spark.udf.register("stem", F.pandas_udf(_stems_by_language, T.StringType()))
 
 

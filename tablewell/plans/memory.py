@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import search, vectors
 from ..manifest import ColumnSpec, FullText, Manifest
-from ..operators import chunk, feed, two_tier
+from ..operators import chunk, feed, similar, two_tier
 from ..operators.mapping import Field, rows_of
 from ..query import Tenant
 from ..session import shared_folder, table
@@ -206,10 +206,14 @@ def rare_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Likeness of the names within each region; the region is the key that keeps this from being a cross join."""
-    n = table(spark, sf_dir, "nation")
-    pairs = n.select("n_regionkey", F.col("n_name").alias("a")).join(n.select("n_regionkey", F.col("n_name").alias("b")), "n_regionkey")
-    return pairs.where("a < b").select("a", "b", F.round(search.jaro_winkler("a", "b"), 6).alias("likeness"))
+    """All pairs of part names that are alike."""
+    return similar.jaro_winkler_pairs(table(spark, sf_dir, "part"), "p_name", 0.9).withColumn("likeness", F.round("likeness", 6))
+
+
+def near_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of words of the documents, of 7 letters or more, that one change tells apart."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
+    return similar.edit_pairs(words.where(F.length("word") >= 7), "word", 1).select("a", "b")
 
 
 def csv_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,7 +272,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         two_tier_group, tombstone_anti, json_path_project, fanout_mapping, coercion_types, roll_up_equivalence, gated_query, pending_page, change_events,
-        vector_topk, vector_measures, hybrid, bm25_topk, bm25_stemmed, bm25_german, rare_terms, fuzzy_names, csv_infer, chunk_documents, chunk_pages, hash_embed,
+        vector_topk, vector_measures, hybrid, bm25_topk, bm25_stemmed, bm25_german, rare_terms, fuzzy_names, near_spellings, csv_infer, chunk_documents, chunk_pages, hash_embed,
         page_two, concurrent_append, rewritten_select, csv_chunks, neighbour_expand, content_digests, window_tumbling, window_sliding, window_session,
     )
 }
@@ -345,7 +349,9 @@ ORACLES: dict[str, str] = {
     "csv_chunks": "SELECT n_regionkey, CAST(0 AS BIGINT) AS ordinal, string_agg('key: ' || n_nationkey || chr(10) || 'name: ' || n_name, chr(10) || chr(10) ORDER BY n_nationkey) AS text, 'table' AS kind FROM nation GROUP BY n_regionkey",
     "bm25_topk": _BM25.format(where="", terms="'license', 'apache'") + "SELECT doc_id, round(score, 6) AS score FROM scores ORDER BY round(score, 6) DESC, doc_id LIMIT 20",
     "rare_terms": "WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS n FROM w WHERE length(word) >= 4 AND NOT regexp_full_match(word, '[0-9]+') GROUP BY doc_id, word), r AS (SELECT doc_id, word, n, row_number() OVER (PARTITION BY doc_id ORDER BY n, word) AS k FROM c) SELECT doc_id, string_agg(word, ' ' ORDER BY n, word) AS words FROM r WHERE k <= 8 GROUP BY doc_id",
-    "fuzzy_names": "SELECT a.n_name AS a, b.n_name AS b, round(jaro_winkler_similarity(a.n_name, b.n_name), 6) AS likeness FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name",
+    "fuzzy_names": "WITH n AS (SELECT DISTINCT p_name AS s FROM part) SELECT x.s AS a, y.s AS b, round(jaro_winkler_similarity(x.s, y.s), 6) AS likeness FROM n x JOIN n y ON x.s < y.s AND jaro_winkler_similarity(x.s, y.s) >= 0.9",
+    # words that one change tells apart are equal, or become so when each loses one letter or the longer one does
+    "near_spellings": "WITH w AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS s FROM documents), k AS (SELECT s FROM w WHERE length(s) >= 7), v AS (SELECT s, s AS rest FROM k UNION SELECT s, left(s, i - 1) || substr(s, i + 1) FROM k, LATERAL (SELECT unnest(range(1, length(s) + 1)) AS i) r) SELECT DISTINCT x.s AS a, y.s AS b FROM v x JOIN v y ON x.rest = y.rest AND x.s < y.s WHERE levenshtein(x.s, y.s) <= 1",
     "csv_infer": "SELECT CAST(p_partkey AS INTEGER) AS p_partkey, p_name, CAST(p_size AS INTEGER) AS p_size, lpad(CAST(p_partkey % 1000 AS VARCHAR), 4, '0') AS zip, p_size > 25 AS large FROM part",
     "neighbour_expand": "SELECT c.conv_id AS conv_id, CAST(c.turn AS BIGINT) AS turn, c.role AS role FROM conversations c WHERE EXISTS (SELECT 1 FROM conversations h WHERE h.conv_id = c.conv_id AND h.turn = 2 AND abs(h.turn - c.turn) <= 1)",
     "content_digests": "SELECT page_id, sha256(html) AS sha256 FROM pages",
