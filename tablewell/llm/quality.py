@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import free_name, materialise, read_table, shuffle_width, slices, text_bytes
@@ -179,14 +179,19 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 def sampled(docs: DataFrame, known: DataFrame, sample: int, most_bytes: int) -> DataFrame:
     """doc_id, text and label of at most `sample` of the rows of `known` (doc_id, label), those of least hash of doc_id, whose
-    texts have at most `most_bytes` together. Of a doc_id with several texts it's the least one."""
+    texts have at most `most_bytes` together: in this order each text is taken that still fits. Of a doc_id with several texts it's the least one."""
     chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     width = shuffle_width(docs.sparkSession)
     met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(width, "doc_id")
     rows = materialise(met.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("label").alias("label")))
-    # a row each for at most `sample` ids, no texts
-    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fits = rows.select("doc_id", F.sum(F.octet_length("text").cast("long")).over(order).alias("total")).where(F.col("total") <= most_bytes).select("doc_id")
+    # ids and sizes of at most `sample` rows; a text that no longer fits is left out by itself
+    sizes = rows.select("doc_id", F.octet_length("text").cast("long").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    total, taken = 0, []
+    for r in sizes:
+        if total + r["size"] <= most_bytes:
+            total += r["size"]
+            taken.append((r.doc_id,))
+    fits = docs.sparkSession.createDataFrame(taken, rows.select("doc_id").schema)
     return rows.join(F.broadcast(fits), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
 
 
