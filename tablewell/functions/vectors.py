@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..session import shared_folder
 
 DIMS = 256
 _WORDS = re.compile(r"[a-z0-9]+")
@@ -106,3 +112,95 @@ def missing_vectors(rows: DataFrame, vectors: DataFrame, row_id: str, columns: l
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("text")) for c in columns)))
     queue = rows.select(row_id, each.alias("e")).select(row_id, "e.column", "e.text").where("trim(text) <> ''")
     return queue.join(vectors.select(row_id, "column"), [row_id, "column"], "left_anti")
+
+
+BLOCK_BYTES = 4 << 20
+HELD_BYTES = 64 << 20
+
+
+def _blocks(df: DataFrame, row_id: str, vector: str, dims: int) -> DataFrame:
+    """(ids, vectors) of many rows each: vectors of length one, end to end. Nulls, zeros and vectors of another length are left out."""
+    kind = df.schema[row_id].dataType
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        per_block = max(1, BLOCK_BYTES // (8 * dims))
+        for batch in batches:
+            column = batch.column(1)
+            fit = pc.fill_null(pc.equal(pc.list_value_length(column), dims), False)
+            ids, kept = batch.column(0).filter(fit), column.filter(fit)
+            flat = kept.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                unit = flat / np.sqrt((flat * flat).sum(1))[:, None]
+            good = np.isfinite(unit).all(1)
+            ids, unit = ids.filter(pa.array(good)), unit[good]
+            for at in range(0, len(unit), per_block):
+                own = ids.slice(at, per_block)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(own)], own), pa.array([unit[at : at + per_block].tobytes()], pa.binary())], names=["ids", "vectors"])
+
+    return df.select(row_id, vector).where(F.col(row_id).isNotNull()).mapInArrow(pack, f"ids array<{kind.simpleString()}>, vectors binary")
+
+
+def nearest_of_many(df: DataFrame, vector: str, row_id: str, queries: DataFrame, query_vector: str, query_id: str, k: int, dims: int) -> DataFrame:
+    """(query, row, score, rank): the k rows most like each query's vector, by cosine similarity to 9 places, ties by row id.
+
+    Rows and queries are packed into blocks. Every block of rows meets every block of queries in one matrix product, and a
+    task keeps the k best rows of each query that it has seen, so what leaves it doesn't grow with its rows. Spark broadcasts
+    the blocks of queries if they are small, and else shuffles the blocks of both.
+    """
+    rows = _blocks(df, row_id, vector, dims)
+    asked = _blocks(queries, query_id, query_vector, dims).select(F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
+    asked = asked.withColumn("block", F.monotonically_increasing_id()).transform(_fixed)
+    names = asked.agg(F.collect_list("block").alias("blocks"))  # a number for each block of queries, one row
+    met = rows.join(names).select("ids", "vectors", F.explode("blocks").alias("block")).join(asked, "block")
+    id_kind, query_kind = (f.schema[c].dataType.simpleString() for f, c in ((df, row_id), (queries, query_id)))
+    kinds = to_arrow_type(queries.schema[query_id].dataType), to_arrow_type(df.schema[row_id].dataType)
+    best = met.select("block", "ids", "vectors", "query_ids", "query_vectors").mapInArrow(_best(k, dims, kinds), f"query {query_kind}, row {id_kind}, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "row")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _fixed(df: DataFrame) -> DataFrame:
+    """The rows as they are now, numbers of rows included, in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
+def _best(k: int, dims: int, kinds: tuple[pa.DataType, pa.DataType]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, np.ndarray, np.ndarray]] = {}
+        size = 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for asked, scores, ids in held.values():
+                queries = [q for q in asked for _ in range(scores.shape[1])]
+                yield pa.RecordBatch.from_arrays([pa.array(queries, kinds[0]), pa.array(ids.ravel().tolist(), kinds[1]), pa.array(scores.ravel(), pa.float64())], names=["query", "row", "score"])
+
+        for batch in batches:
+            for n in range(batch.num_rows):
+                block, ids, vectors, asked, wanted = (c[n] for c in batch.columns)
+                ids = np.array(ids.as_py(), object)
+                score = np.round(np.frombuffer(wanted.as_py(), np.float64).reshape(-1, dims) @ np.frombuffer(vectors.as_py(), np.float64).reshape(-1, dims).T, 9)
+                if block.as_py() not in held:
+                    own = asked.as_py()
+                    held[block.as_py()] = own, np.full((len(own), 0), -np.inf), np.empty((len(own), 0), object)
+                    size += 64 * k * len(own)
+                own, scores, rows = held[block.as_py()]
+                # of the new rows only those that reach a query's k-th best score can matter, ties with it included
+                if score.shape[1] > k:
+                    floor = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+                    use = np.flatnonzero((score >= floor[:, None]).any(0))
+                    score, ids = score[:, use], ids[use]
+                scores = np.concatenate([scores, score], 1)
+                rows = np.concatenate([rows, np.broadcast_to(ids, score.shape)], 1)
+                by_id = np.argsort(rows, axis=1, kind="stable")
+                scores, rows = np.take_along_axis(scores, by_id, 1), np.take_along_axis(rows, by_id, 1)
+                first = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                held[block.as_py()] = own, np.take_along_axis(scores, first, 1), np.take_along_axis(rows, first, 1)
+                if size > HELD_BYTES:
+                    yield from flushed()
+                    held, size = {}, 0
+        yield from flushed()
+
+    return run

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import search, vectors
 from ..manifest import ColumnSpec, FullText, Manifest
-from ..operators import chunk, feed, similar, two_tier
+from ..operators import chunk, feed, ranked, similar, two_tier
 from ..operators.mapping import Field, rows_of
 from ..query import Tenant
 from ..session import shared_folder, table
@@ -158,6 +158,13 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(e, "embedding", q, "vec_id", 10).select("vec_id", F.round("score", 6).alias("score"))
 
 
+def vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all vectors to each vector of one label."""
+    e = table(spark, sf_dir, "embeddings")
+    out = vectors.nearest_of_many(e, "embedding", "vec_id", e.where("label = 3"), "embedding", "vec_id", 10, 64)
+    return out.select(F.col("query").alias("query_id"), F.col("row").alias("vec_id"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 def vector_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector against the first one of its label, by three measures."""
     e = table(spark, sf_dir, "embeddings")
@@ -186,6 +193,15 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
+def bm25_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best rows of a keyword query over stored postings, of which only blocks that can hold one are read."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index, sizes = search.index(docs, "doc_id", ["text"], PLAIN), search.lengths(docs, "doc_id", ["text"], PLAIN)
+    made = ranked.RankedIndex.build(index, sizes, "doc_id", PLAIN, _shared_folder(spark), block_rows=64)
+    best, _ = made.top("license apache", 20)
+    return best.select(F.col("row").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 def bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = search.bm25(table(spark, sf_dir, "documents"), "doc_id", ["text"], "licenses released", FullText(True))
     return scores.select("doc_id", F.round("score", 6).alias("score"))
@@ -272,7 +288,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         two_tier_group, tombstone_anti, json_path_project, fanout_mapping, coercion_types, roll_up_equivalence, gated_query, pending_page, change_events,
-        vector_topk, vector_measures, hybrid, bm25_topk, bm25_stemmed, bm25_german, rare_terms, fuzzy_names, near_spellings, csv_infer, chunk_documents, chunk_pages, hash_embed,
+        vector_topk, vector_neighbours, vector_measures, hybrid, bm25_topk, bm25_blocks, bm25_stemmed, bm25_german, rare_terms, fuzzy_names, near_spellings, csv_infer, chunk_documents, chunk_pages, hash_embed,
         page_two, concurrent_append, rewritten_select, csv_chunks, neighbour_expand, content_digests, window_tumbling, window_sliding, window_session,
     )
 }
@@ -337,6 +353,7 @@ ORACLES: dict[str, str] = {
     "pending_page": "SELECT event_id, event_type FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 51",
     "change_events": """SELECT CASE WHEN event_type = 'error' THEN 'table.rolled_up' ELSE 'operations.appended' END AS event, event_type AS "table", CAST(count(*) AS BIGINT) AS "rows", CAST(sum(event_id % 2) AS BIGINT) AS tombstones, CAST(max(event_id) AS BIGINT) AS seq, CAST(min(event_id % 5) AS BIGINT) AS previous_generation FROM events GROUP BY 1, 2""",
     "vector_topk": "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) AS DOUBLE[])), 6) AS score FROM embeddings ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) AS DOUBLE[])) DESC, vec_id LIMIT 10",
+    "vector_neighbours": "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS s FROM embeddings q JOIN embeddings e ON q.label = 3), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(s, 6) AS score, rank FROM r WHERE rank <= 10",
     "vector_measures": "SELECT e.vec_id AS vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), f.v), 5) AS cosine, round(list_distance(CAST(e.embedding AS DOUBLE[]), f.v), 4) AS distance, round(list_inner_product(CAST(e.embedding AS DOUBLE[]), f.v), 4) AS product FROM embeddings e JOIN (SELECT label, CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS v FROM embeddings GROUP BY label) f ON e.label = f.label",
     "hybrid": _BM25.format(where="", terms="'the', 'license'")
     + "SELECT s.doc_id AS doc_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) AS DOUBLE[])), 6) AS cosine, round(s.score, 6) AS bm25 FROM scores s JOIN documents d ON s.doc_id = d.doc_id AND d.n_chars < 2000 JOIN embeddings e ON s.doc_id = e.vec_id",
@@ -348,6 +365,7 @@ ORACLES: dict[str, str] = {
     "rewritten_select": "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey % 10 AS BIGINT) AS digit FROM orders WHERE o_custkey % 10 = 3 AND o_totalprice > 1000 UNION ALL SELECT CAST(o_orderkey AS BIGINT), CAST(o_custkey AS BIGINT) FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1",
     "csv_chunks": "SELECT n_regionkey, CAST(0 AS BIGINT) AS ordinal, string_agg('key: ' || n_nationkey || chr(10) || 'name: ' || n_name, chr(10) || chr(10) ORDER BY n_nationkey) AS text, 'table' AS kind FROM nation GROUP BY n_regionkey",
     "bm25_topk": _BM25.format(where="", terms="'license', 'apache'") + "SELECT doc_id, round(score, 6) AS score FROM scores ORDER BY round(score, 6) DESC, doc_id LIMIT 20",
+    "bm25_blocks": _BM25.format(where="", terms="'license', 'apache'") + "SELECT doc_id, round(score, 6) AS score FROM scores ORDER BY round(score, 9) DESC, doc_id LIMIT 20",
     "rare_terms": "WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS n FROM w WHERE length(word) >= 4 AND NOT regexp_full_match(word, '[0-9]+') GROUP BY doc_id, word), r AS (SELECT doc_id, word, n, row_number() OVER (PARTITION BY doc_id ORDER BY n, word) AS k FROM c) SELECT doc_id, string_agg(word, ' ' ORDER BY n, word) AS words FROM r WHERE k <= 8 GROUP BY doc_id",
     "fuzzy_names": "WITH n AS (SELECT DISTINCT p_name AS s FROM part) SELECT x.s AS a, y.s AS b, round(jaro_winkler_similarity(x.s, y.s), 6) AS likeness FROM n x JOIN n y ON x.s < y.s AND jaro_winkler_similarity(x.s, y.s) >= 0.9",
     # words that one change tells apart are equal, or become so when each loses one letter or the longer one does

@@ -4,6 +4,7 @@ import math
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from tablewell.functions import search, vectors
 from tablewell.functions.porter import stem
 from tablewell.functions.snowball import STEMMERS, stemmer
 from tablewell.manifest import ColumnSpec, FullText
+from tablewell.operators import ranked
 from tablewell.query import Tenant
 from tablewell.store import Store
 
@@ -266,3 +268,40 @@ def test_stored_terms_give_the_scores_of_the_texts(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(term)" not in plan()
     store.configure("notes", settings)
     assert "PushedFilters: [IsNotNull(term)" in plan()
+
+
+def test_blocks_that_cannot_hold_a_best_row_are_not_read(spark, tmp_path):
+    rng = random.Random(4)
+    texts = [(k, " ".join(rng.choices(["red", "blue", "x1", "x2", "x3", "x4"], [1, 2, 90, 90, 90, 90], k=rng.choice([5, 20, 80, 300])))) for k in range(600)] + [(600, None), (601, "")]
+    df = spark.createDataFrame(texts, "id long, t string")
+    plain = FullText(True, "none", "none", "[^a-z0-9]+", False)
+    made = ranked.RankedIndex.build(search.index(df, "id", ["t"], plain), search.lengths(df, "id", ["t"], plain), "id", plain, str(tmp_path / "index"), block_rows=20)
+    read = 0
+    for words in ("red", "red blue", "blue x1", "nothing", ""):
+        scores = sorted(((-round(r.score, 9), r.id) for r in search.bm25(df, "id", ["t"], words, plain).collect()))
+        for k in (1, 5, 1000):
+            best, figures = made.top(words, k)
+            assert [(-r.score, r["row"]) for r in best.collect()] == scores[:k]
+            read += figures["blocks"] - figures["read"] if k < 1000 else 0
+    assert read > 30
+    best, figures = made.top("red", 5)
+    assert figures["read"] < figures["blocks"] / 2
+    assert "PushedFilters: [IsNotNull(term)" in best._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_nearest_of_many_queries_are_those_of_each(spark, monkeypatch, small):
+    rng = np.random.default_rng(5)
+    if small:
+        monkeypatch.setattr(vectors, "BLOCK_BYTES", 8 * 4 * 7)
+        monkeypatch.setattr(vectors, "HELD_BYTES", 100)
+    rows = [(k, [float(x) for x in rng.integers(-2, 3, 4)]) for k in range(300)] + [(300, None), (301, [1.0]), (302, []), (None, [1.0, 0.0, 0.0, 0.0]), (303, [0.0] * 4)]
+    asked = [(f"q{k}", v) for k, (_, v) in enumerate(rows[::9])] + [("none", None)]
+    got = vectors.nearest_of_many(spark.createDataFrame(rows, "id int, v array<float>").repartition(4), "v", "id", spark.createDataFrame(asked, "q string, w array<double>"), "w", "q", 5, 4).collect()
+    unit = lambda v: np.array(v) / np.linalg.norm(v) if v and len(v) == 4 and any(v) else None
+    want = {}
+    for q, w in asked:
+        if unit(w) is not None:
+            scores = sorted((-round(float(unit(w) @ unit(v)), 9), k) for k, v in rows if k is not None and unit(v) is not None)[:5]
+            want |= {(q, r): (k, -s) for r, (s, k) in enumerate(scores, 1)}
+    assert {(r.query, r.rank): (r.row, r.score) for r in got} == want
