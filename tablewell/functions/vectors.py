@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import shared_folder
+from ..session import fixed
 
 DIMS = 256
 _WORDS = re.compile(r"[a-z0-9]+")
@@ -149,7 +149,7 @@ def nearest_of_many(df: DataFrame, vector: str, row_id: str, queries: DataFrame,
     """
     rows = _blocks(df, row_id, vector, dims)
     asked = _blocks(queries, query_id, query_vector, dims).select(F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
-    asked = asked.withColumn("block", F.monotonically_increasing_id()).transform(_fixed)
+    asked = asked.withColumn("block", F.monotonically_increasing_id()).transform(fixed)
     names = asked.agg(F.collect_list("block").alias("blocks"))  # a number for each block of queries, one row
     met = rows.join(names).select("ids", "vectors", F.explode("blocks").alias("block")).join(asked, "block")
     id_kind, query_kind = (f.schema[c].dataType.simpleString() for f, c in ((df, row_id), (queries, query_id)))
@@ -159,14 +159,6 @@ def nearest_of_many(df: DataFrame, vector: str, row_id: str, queries: DataFrame,
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _fixed(df: DataFrame) -> DataFrame:
-    """The rows as they are now, numbers of rows included, in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def _best(k: int, dims: int, kinds: tuple[pa.DataType, pa.DataType]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, np.ndarray, np.ndarray]] = {}

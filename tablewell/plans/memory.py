@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import search, vectors
 from ..manifest import ColumnSpec, FullText, Manifest
-from ..operators import chunk, feed, ranked, similar, two_tier
+from ..operators import chunk, feed, positions, ranked, similar, sketches, two_tier
 from ..operators.mapping import Field, rows_of
 from ..query import Tenant
 from ..session import shared_folder, table
@@ -232,6 +232,30 @@ def near_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.edit_pairs(words.where(F.length("word") >= 7), "word", 1).select("a", "b")
 
 
+def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders by key beside the lines by key, first beside first."""
+    o, li = table(spark, sf_dir, "orders").select("o_orderkey"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return positions.positional_join(o, li, ["o_orderkey"], ["l_orderkey", "l_linenumber", "l_partkey"])
+
+
+REQUEST_TOKENS = 8000
+
+
+def embed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request that each document's text is embedded in: in order of ids, filled up to a budget of tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.ceil(F.octet_length("text") / 4).alias("tokens"))
+    return positions.in_requests(docs, ["doc_id"], "tokens", REQUEST_TOKENS).select("doc_id", "tokens", "request")
+
+
+def sketch_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users, quantiles of the value, and the count of the busiest user, of each kind of event: from states kept by hour."""
+    at = _shared_folder(spark)
+    e = table(spark, sf_dir, "events").withColumn("hour", F.date_trunc("hour", "ts"))
+    sketches.states(e, ["event_type", "hour"], "user_id", "value", "user_id").write.parquet(at)
+    whole = sketches.merged(spark.read.parquet(at), ["event_type"])
+    return whole.select("event_type", sketches.distinct_count().alias("users"), sketches.quantile(0.5).alias("median"), sketches.quantile(0.9).alias("p90"), sketches.frequent(1)[0]["count"].alias("busiest"))
+
+
 def csv_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part table written as delimited text and read again."""
     at = _shared_folder(spark)
@@ -288,7 +312,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         two_tier_group, tombstone_anti, json_path_project, fanout_mapping, coercion_types, roll_up_equivalence, gated_query, pending_page, change_events,
-        vector_topk, vector_neighbours, vector_measures, hybrid, bm25_topk, bm25_blocks, bm25_stemmed, bm25_german, rare_terms, fuzzy_names, near_spellings, csv_infer, chunk_documents, chunk_pages, hash_embed,
+        vector_topk, vector_neighbours, vector_measures, hybrid, bm25_topk, bm25_blocks, bm25_stemmed, bm25_german, rare_terms, fuzzy_names, near_spellings, positional_join, embed_requests, sketch_windows, csv_infer, chunk_documents, chunk_pages, hash_embed,
         page_two, concurrent_append, rewritten_select, csv_chunks, neighbour_expand, content_digests, window_tumbling, window_sliding, window_session,
     )
 }
@@ -370,6 +394,12 @@ ORACLES: dict[str, str] = {
     "fuzzy_names": "WITH n AS (SELECT DISTINCT p_name AS s FROM part) SELECT x.s AS a, y.s AS b, round(jaro_winkler_similarity(x.s, y.s), 6) AS likeness FROM n x JOIN n y ON x.s < y.s AND jaro_winkler_similarity(x.s, y.s) >= 0.9",
     # words that one change tells apart are equal, or become so when each loses one letter or the longer one does
     "near_spellings": "WITH w AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS s FROM documents), k AS (SELECT s FROM w WHERE length(s) >= 7), v AS (SELECT s, s AS rest FROM k UNION SELECT s, left(s, i - 1) || substr(s, i + 1) FROM k, LATERAL (SELECT unnest(range(1, length(s) + 1)) AS i) r) SELECT DISTINCT x.s AS a, y.s AS b FROM v x JOIN v y ON x.rest = y.rest AND x.s < y.s WHERE levenshtein(x.s, y.s) <= 1",
+    "positional_join": "WITH a AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders), b AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS position FROM lineitem) SELECT coalesce(a.position, b.position) AS position, o_orderkey, l_orderkey, l_linenumber, l_partkey FROM a FULL JOIN b ON a.position = b.position",
+    "embed_requests": f"""WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id, CAST(ceil(octet_length(encode(text)) / 4) AS BIGINT) AS n FROM documents),
+ t(k, request, fill) AS (SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT) UNION ALL SELECT d.k, CASE WHEN fill < 0 OR fill + n > {REQUEST_TOKENS} THEN request + 1 ELSE request END,
+  CASE WHEN n > {REQUEST_TOKENS} THEN -1 WHEN fill < 0 OR fill + n > {REQUEST_TOKENS} THEN n ELSE fill + n END FROM t JOIN d ON d.k = t.k + 1)
+SELECT doc_id, n AS tokens, request FROM t JOIN d ON t.k = d.k""",
+    "sketch_windows": "SELECT event_type, count(DISTINCT user_id) AS users, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.9) AS p90, (SELECT max(n) FROM (SELECT count(*) AS n FROM events x WHERE x.event_type = e.event_type GROUP BY user_id) q) AS busiest FROM events e GROUP BY event_type",
     "csv_infer": "SELECT CAST(p_partkey AS INTEGER) AS p_partkey, p_name, CAST(p_size AS INTEGER) AS p_size, lpad(CAST(p_partkey % 1000 AS VARCHAR), 4, '0') AS zip, p_size > 25 AS large FROM part",
     "neighbour_expand": "SELECT c.conv_id AS conv_id, CAST(c.turn AS BIGINT) AS turn, c.role AS role FROM conversations c WHERE EXISTS (SELECT 1 FROM conversations h WHERE h.conv_id = c.conv_id AND h.turn = 2 AND abs(h.turn - c.turn) <= 1)",
     "content_digests": "SELECT page_id, sha256(html) AS sha256 FROM pages",

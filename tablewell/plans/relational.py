@@ -81,7 +81,7 @@ SHARED: dict[str, tuple[tuple[str, ...], str]] = {
     "set_except_all": (("customer", "supplier"), "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier"),
     "set_except": (("part", "lineitem"), "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45"),
     "cte": (("orders",), "WITH spent AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey) SELECT CAST(count(*) AS BIGINT) AS n FROM spent WHERE total > 1000000"),
-    "cte_recursive": ((), "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n FROM t"),
+    "cte_recursive": (("conversations",), "WITH RECURSIVE t(conv_id, turn, depth) AS (SELECT conv_id, turn, CAST(0 AS BIGINT) FROM conversations WHERE turn = 0 UNION ALL SELECT c.conv_id, c.turn, t.depth + 1 FROM conversations c JOIN t ON c.conv_id = t.conv_id AND c.turn = t.turn + 1) SELECT conv_id, turn, depth FROM t"),
     "subquery_scalar": (("orders",), "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)"),
     "subquery_in": (("orders", "customer"), "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)"),
     # scalars
@@ -182,7 +182,8 @@ def date_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(0, 100).select(F.explode(F.sequence(F.lit(0), F.col("id") % 3)).alias("k"), "id")
+    """A row for each of the numbers up to one that a column holds."""
+    return table(spark, sf_dir, "orders").select(F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("o_orderkey") % 3).cast("bigint"))).alias("k"), F.col("o_orderkey").alias("id"))
 
 
 def distinct_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,6 +223,6 @@ ORACLES: dict[str, str] = {
     "agg_pivot": "SELECT user_id, CAST(count(*) FILTER (WHERE event_type = 'click') AS BIGINT) AS click, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS error, CAST(count(*) FILTER (WHERE event_type = 'view') AS BIGINT) AS view FROM events WHERE event_type IN ('click', 'error', 'view') GROUP BY user_id",
     "set_union_by_name": "SELECT event_id, event_type, CASE WHEN event_id % 2 = 0 THEN NULL ELSE round(value, 4) END AS value FROM events",
     "date_functions": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, CAST(count(*) AS BIGINT) AS n, CAST(max(hour(ts)) AS BIGINT) AS last_hour FROM events GROUP BY 1",
-    "generated_rows": "SELECT CAST(unnest(generate_series(0, id % 3)) AS BIGINT) AS k, CAST(id AS BIGINT) AS id FROM range(0, 100) t(id)",
+    "generated_rows": "SELECT CAST(unnest(generate_series(0, o_orderkey % 3)) AS BIGINT) AS k, o_orderkey AS id FROM orders",
     "win_distinct": "SELECT e.event_id AS event_id, k.kinds AS kinds FROM events e JOIN (SELECT user_id, CAST(count(DISTINCT event_type) AS BIGINT) AS kinds FROM events GROUP BY user_id) k ON e.user_id = k.user_id",
 }
