@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import search, vectors
 from ..manifest import ColumnSpec, FullText, Manifest
-from ..operators import chunk, feed, positions, ranked, similar, sketches, two_tier
+from ..operators import chunk, extract, feed, positions, ranked, similar, sketches, two_tier
 from ..operators.mapping import Field, rows_of
 from ..query import Tenant
 from ..session import shared_folder, table
@@ -256,6 +256,21 @@ def sketch_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("event_type", sketches.distinct_count().alias("users"), sketches.quantile(0.5).alias("median"), sketches.quantile(0.9).alias("p90"), sketches.frequent(1)[0]["count"].alias("busiest"))
 
 
+def tabular_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of many files, a score of records each, with headers in other orders, headings missing and values that don't fit."""
+    files = lambda df, key, head, line: df.groupBy(F.floor(F.col(key) / 20).alias("f")).agg(F.concat(head, F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, line.alias("line")))), lambda r: r["line"]), "\n")).alias("content"))
+    s, p = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
+    odd = F.floor(F.col("s_suppkey") / 20) % 2 == 1
+    amount = F.when(F.col("s_suppkey") % 100 == 85, "n/a").otherwise(F.col("s_acctbal").cast("string"))
+    line = F.when(odd, F.concat_ws(",", amount, "s_suppkey")).otherwise(F.concat_ws(";", "s_suppkey", "s_name", amount))
+    suppliers = files(s, "s_suppkey", F.when(F.col("f") % 2 == 1, "Amount,No\n").otherwise("No;Name;Amount\n"), line)
+    parts = files(p, "p_partkey", F.lit("Name|Size|No\n"), F.concat_ws("|", "p_name", "p_size", "p_partkey"))
+    named = lambda df, kind: df.select(F.concat(F.lit(kind), F.col("f").cast("string")).alias("path"), "content")
+    wanted = [extract.Wanted("no", "No", type="BIGINT"), extract.Wanted("label", "Name"), extract.Wanted("amount", "Amount", type="DOUBLE"), extract.Wanted("size", "Size"), extract.Wanted("origin", value="files")]
+    rows, errors = extract.extracted(named(suppliers, "supplier-").unionByName(named(parts, "part-")), wanted)
+    return rows.drop("_row").unionByName(errors, allowMissingColumns=True).withColumnRenamed("_path", "path")
+
+
 def csv_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part table written as delimited text and read again."""
     at = _shared_folder(spark)
@@ -312,7 +327,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         two_tier_group, tombstone_anti, json_path_project, fanout_mapping, coercion_types, roll_up_equivalence, gated_query, pending_page, change_events,
-        vector_topk, vector_neighbours, vector_measures, hybrid, bm25_topk, bm25_blocks, bm25_stemmed, bm25_german, rare_terms, fuzzy_names, near_spellings, positional_join, embed_requests, sketch_windows, csv_infer, chunk_documents, chunk_pages, hash_embed,
+        vector_topk, vector_neighbours, vector_measures, hybrid, bm25_topk, bm25_blocks, bm25_stemmed, bm25_german, rare_terms, fuzzy_names, near_spellings, positional_join, embed_requests, sketch_windows, tabular_extract, csv_infer, chunk_documents, chunk_pages, hash_embed,
         page_two, concurrent_append, rewritten_select, csv_chunks, neighbour_expand, content_digests, window_tumbling, window_sliding, window_session,
     )
 }
@@ -394,6 +409,10 @@ ORACLES: dict[str, str] = {
     "fuzzy_names": "WITH n AS (SELECT DISTINCT p_name AS s FROM part) SELECT x.s AS a, y.s AS b, round(jaro_winkler_similarity(x.s, y.s), 6) AS likeness FROM n x JOIN n y ON x.s < y.s AND jaro_winkler_similarity(x.s, y.s) >= 0.9",
     # words that one change tells apart are equal, or become so when each loses one letter or the longer one does
     "near_spellings": "WITH w AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS s FROM documents), k AS (SELECT s FROM w WHERE length(s) >= 7), v AS (SELECT s, s AS rest FROM k UNION SELECT s, left(s, i - 1) || substr(s, i + 1) FROM k, LATERAL (SELECT unnest(range(1, length(s) + 1)) AS i) r) SELECT DISTINCT x.s AS a, y.s AS b FROM v x JOIN v y ON x.rest = y.rest AND x.s < y.s WHERE levenshtein(x.s, y.s) <= 1",
+    "tabular_extract": """WITH s AS (SELECT s_suppkey // 20 AS f, * FROM supplier), bad AS (SELECT DISTINCT f FROM s WHERE s_suppkey % 100 = 85)
+SELECT 'supplier-' || f AS path, CAST(s_suppkey AS BIGINT) AS no, CASE WHEN f % 2 = 0 THEN s_name END AS label, CAST(s_acctbal AS DOUBLE) AS amount, CAST(NULL AS INTEGER) AS size, 'files' AS origin, CAST(NULL AS VARCHAR) AS error FROM s WHERE f NOT IN (SELECT f FROM bad)
+UNION ALL SELECT 'supplier-' || f, NULL, NULL, NULL, NULL, NULL, 'column amount: n/a is no DOUBLE' FROM bad
+UNION ALL SELECT 'part-' || (p_partkey // 20), p_partkey, p_name, NULL, CAST(p_size AS INTEGER), 'files', NULL FROM part""",
     "positional_join": "WITH a AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders), b AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS position FROM lineitem) SELECT coalesce(a.position, b.position) AS position, o_orderkey, l_orderkey, l_linenumber, l_partkey FROM a FULL JOIN b ON a.position = b.position",
     "embed_requests": f"""WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id, CAST(ceil(octet_length(encode(text)) / 4) AS BIGINT) AS n FROM documents),
  t(k, request, fill) AS (SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT) UNION ALL SELECT d.k, CASE WHEN fill < 0 OR fill + n > {REQUEST_TOKENS} THEN request + 1 ELSE request END,
