@@ -36,8 +36,9 @@ ROOM = 1024
 END = 2
 SHARD = 4000
 ISLANDS = 3
-POPULATION = 4
-GENERATIONS = 8
+POPULATION = 12
+CORE = 80
+WORK = 24_000
 WELL_FILLED = 0.99
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -183,23 +184,62 @@ def crossover(lengths: list[int], giver: list[list[int]], taker: list[list[int]]
     return best_fit(lengths, lost, [list(b) for b in chosen] + stay[n_open:], room)
 
 
-def evolve(lengths: list[int], room: int, seed: int, migrants: list[list[list[int]]], population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
-    """The elite of one island after some generations; it ends early at the lower bound."""
+def least_bins(lengths: list[int], room: int) -> int:
+    """A number of bins that no packing can go below: items over half a bin share none, and of items of at least k only those
+    fit beside a larger one that leaves k."""
+    count = np.bincount(np.asarray(lengths, np.int64), minlength=room + 1)
+    items, total = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(count * np.arange(room + 1))])
+    half = room // 2
+    k = np.arange(half + 1)
+    large = items[-1] - items[half + 1]
+    beside = (items[room - k + 1] - items[half + 1]) * room - (total[room - k + 1] - total[half + 1])
+    small = total[half + 1] - total[k]
+    return int((large + np.maximum(0, -((beside - small) // room))).max())
+
+
+def evolve(lengths: list[int], room: int, seed: int, migrants: list[list[list[int]]], population: int = POPULATION, work: int = WORK) -> list[list[int]]:
+    """The elite of one island after some generations; it ends early where no packing can have fewer bins.
+
+    What evolves is the core of the best packing so far: its emptiest bins and as many of the others. Its other bins stay as
+    they are. Small shards evolve whole. Generations are as many as let crossovers place about `work` items.
+    """
     rng = random.Random(seed)
-    least = -(-sum(lengths) // room)
     better = lambda bins: (len(bins), -fitness(lengths, bins, room))
-    everyone = [[list(b) for b in m] for m in migrants]
-    while len(everyone) < population and not (everyone and min(map(len, everyone)) <= least):
-        shake = 0.0 if not everyone else 0.08 * len(everyone)
-        order = sorted(range(len(lengths)), key=lambda i: -lengths[i] * (1 + shake * rng.random()))
-        everyone.append(best_fit(lengths, order, [], room))
-    everyone.sort(key=better)
-    for _ in range(generations):
-        if len(everyone[0]) <= least or len(everyone) < 2:
+    start = min(migrants, key=better) if migrants else best_fit(lengths, sorted(range(len(lengths)), key=lambda i: -lengths[i]), [], room)
+    above = len(start) - least_bins(lengths, room)
+    if above <= 0:
+        return start
+    rest: list[list[int]] = []
+    core = start
+    if len(start) > CORE:
+        core = sorted(start, key=lambda b: sum(lengths[i] for i in b))
+        others = core[CORE // 2 :]
+        rng.shuffle(others)
+        core, rest = core[: CORE // 2] + others[: CORE // 2], others[CORE // 2 :]
+    items = [i for b in core for i in b]
+    inside = set(items)
+    least = max(len(core) - above, least_bins([lengths[i] for i in items], room))
+    everyone = [core]
+    for m in migrants:
+        # what a migrant has of the core, with the items of its other bins placed anew
+        whole = [list(b) for b in m if inside.issuperset(b)]
+        placed = {i for b in whole for i in b}
+        everyone.append(best_fit(lengths, sorted(inside - placed, key=lambda i: -lengths[i]), whole, room))
+    while len(everyone) < population:
+        shake = 0.1 + 0.9 * len(everyone) / population
+        everyone.append(best_fit(lengths, sorted(items, key=lambda i: -lengths[i] * (1 + shake * rng.random())), [], room))
+    scored = sorted(((better(bins), bins) for bins in everyone), key=lambda x: x[0])
+    for _ in range(work // len(items)):
+        if scored[0][0][0] <= least:
             break
-        giver, taker = rng.sample(everyone[: max(2, len(everyone) // 2)], 2)
-        everyone = sorted([*everyone, crossover(lengths, giver, taker, room, rng), crossover(lengths, taker, giver, room, rng)], key=better)[:population]
-    return everyone[0]
+        # better packings give more often
+        giver, taker = int(len(scored) * rng.random() ** 2), int(len(scored) * rng.random())
+        if giver != taker:
+            child = crossover(lengths, scored[giver][1], scored[taker][1], room, rng)
+            # a packing as good as another one is most likely the same
+            if all(better(child) != s for s, _ in scored):
+                scored = sorted([*scored, (better(child), child)], key=lambda x: x[0])[:population]
+    return rest + scored[0][1]
 
 
 def _as_labels(bins: list[list[int]], n: int) -> np.ndarray:

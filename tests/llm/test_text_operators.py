@@ -1,6 +1,7 @@
 """Operators 1 to 10 against brute force on small tables with every odd case."""
 
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -198,6 +199,47 @@ def test_op1_crossover_keeps_every_item_once():
     assert len(packing.evolve(lengths, 1024, 3, [b])) <= len(b)
 
 
+def triplets(n, room, rng):
+    """Items that fill n bins exactly, three in each."""
+    out = []
+    for _ in range(n):
+        a = rng.randrange(room * 38 // 100, room * 49 // 100)
+        b = min(rng.randrange((room - a) // 2, room // 2), room - a - room // 4)
+        out += [a, b, room - a - b]
+    rng.shuffle(out)
+    return out
+
+
+def test_op1_crossover_finds_what_best_fit_does_not():
+    won = 0
+    for seed in range(6):
+        lengths = triplets(30 + 10 * (seed % 3), 1024, random.Random(seed))
+        decreasing = packing.best_fit(lengths, sorted(range(len(lengths)), key=lambda i: -lengths[i]), [], 1024)
+        best = packing.evolve(lengths, 1024, seed, [])
+        without = packing.evolve(lengths, 1024, seed, [], work=0)
+        assert sorted(i for b in best for i in b) == list(range(len(lengths)))
+        assert all(sum(lengths[i] for i in b) <= 1024 for b in best)
+        assert len(best) <= len(without) <= len(decreasing)
+        again = packing.evolve(lengths, 1024, seed + 100, [best, decreasing])
+        assert len(again) <= len(best)
+        won += len(best) < min(len(without), len(decreasing))
+    assert won >= 5
+
+
+def test_op1_bound_is_below_every_packing():
+    rng = random.Random(2)
+    for _ in range(200):
+        room = rng.randrange(4, 40)
+        lengths = [rng.randrange(1, room + 1) for _ in range(rng.randrange(1, 9))]
+        best = min(len(packing.best_fit(lengths, order, [], room)) for order in itertools.permutations(range(len(lengths)))) if len(lengths) < 7 else None
+        least = packing.least_bins(lengths, room)
+        assert -(-sum(lengths) // room) <= least
+        if best is not None:
+            assert least <= best
+    assert packing.least_bins([600] * 5, 1024) == 5 and packing.least_bins([], 10) == 0
+
+
+
 # 3: fingerprints
 
 
