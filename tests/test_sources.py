@@ -16,10 +16,18 @@ from tablewell.streaming import ingest
 
 
 def test_csv_types_are_strict(spark, tmp_path):
-    (tmp_path / "a.csv").write_text('Invoice #,Amount,Rate,Paid,Zip,2024 Total,amount,Big\nA1,10,1.5,true,02134,1,x,9007199254740993\n"B,2",,2,false,10001,2,y,1\n')
-    got = delimited.inferred(delimited.read(spark, str(tmp_path / "a.csv")))
-    assert got.dtypes == [("invoice", "string"), ("amount", "int"), ("rate", "double"), ("paid", "boolean"), ("zip", "string"), ("c_2024_total", "int"), ("amount_2", "string"), ("big", "string")]
-    assert [tuple(r)[:5] for r in got.orderBy("invoice").collect()] == [("A1", 10, 1.5, True, "02134"), ("B,2", None, 2.0, False, "10001")]
+    lines = [
+        "Ship (No.);Crew;crew;Draught;Moored;Berth;1st Port;Cargo id",
+        "Ville;12;cook;7.25;false;003;40;-9007199254740992",
+        '"Alma; II";;mate;8;true;117;-7;15',
+        "Zora;3000;;-1e2;true;20;0;16",
+    ]
+    (tmp_path / "ships.csv").write_text("\n".join(lines) + "\n")
+    got = delimited.inferred(delimited.read(spark, str(tmp_path / "ships.csv")))
+    kinds = dict(ship_no="string", crew="int", crew_2="string", draught="double", moored="boolean", berth="string", c_1st_port="int", cargo_id="string")
+    assert got.dtypes == list(kinds.items())
+    want = [("Alma; II", None, "mate", 8.0, True, "117", -7, "15"), ("Ville", 12, "cook", 7.25, False, "003", 40, "-9007199254740992"), ("Zora", 3000, None, -100.0, True, "20", 0, "16")]
+    assert [tuple(r) for r in got.orderBy("ship_no").collect()] == want
 
 
 @pytest.mark.parametrize("header, want", [("a,b;c", ","), ("a;b;c", ";"), ("a\tb", "\t"), ("a", ","), ("a|b|c,d", "|")])
