@@ -8,9 +8,10 @@ import html as entities
 import io
 import re
 import zipfile
-from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
+from .blocks import Block
+from .braces import brace_code
 from .delimited import MOST_FIELDS, separator_of
 
 # Extensions and media types.
@@ -18,20 +19,16 @@ EXTENSIONS = {
     "txt": "text/plain", "md": "text/markdown", "html": "text/html", "htm": "text/html", "csv": "text/csv", "tsv": "text/tab-separated-values",
     "pdf": "application/pdf", "py": "text/x-python", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
     "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    "js": "text/javascript", "jsx": "text/javascript", "mjs": "text/javascript", "cjs": "text/javascript",
+    "ts": "text/typescript", "tsx": "text/typescript", "mts": "text/typescript", "cts": "text/typescript",
+    "kt": "text/x-kotlin", "kts": "text/x-kotlin", "cs": "text/x-csharp",
 }
+# The lexer of each media type of code with braces.
+BRACES = {"text/javascript": "script", "text/typescript": "script", "text/x-kotlin": "kotlin", "text/x-csharp": "csharp"}
 MOST_UNPACKED = 200 << 20
 MOST_RECORDS = 10_000
 
 
-@dataclass
-class Block:
-    text: str
-    headings: list[str] = field(default_factory=list)
-    page: int | None = None
-    hard: bool = False
-    kind: str = "text"
-
-
 def media_type(filename: str, content: bytes, declared: str | None = None, override: str | None = None) -> str:
     """Override, declared type or extension, in this order; ValueError if the bytes look otherwise."""
     own = declared if declared not in (None, "", "application/octet-stream") else None
@@ -236,5 +233,7 @@ def blocks(content: bytes, kind: str) -> list[Block]:
     if kind == "application/pdf":
         raise ValueError("this library reads no PDF")
     text = content.decode("utf-8", "replace").replace("\r\n", "\n")
+    if kind in BRACES:
+        return brace_code(text, BRACES[kind])
     readers = {"text/html": page, "text/markdown": markdown, "text/x-python": python_code, "text/csv": table_rows, "text/tab-separated-values": table_rows}
     return readers.get(kind, paragraphs)(text)
