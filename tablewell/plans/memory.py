@@ -6,10 +6,11 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import search, vectors
+from ..functions import search, tokens, vectors
 from ..manifest import ColumnSpec, FullText, Manifest
 from ..operators import chunk, extract, feed, positions, ranked, similar, sketches, two_tier
 from ..operators.mapping import Field, rows_of
@@ -17,6 +18,7 @@ from ..query import Tenant
 from ..session import shared_folder, table
 from ..sources import delimited
 from ..store import Store
+from ..streaming import deliveries
 from ..streaming.ingest import windowed_counts
 
 EVENT_COLUMNS = [ColumnSpec("event_id", "BIGINT"), ColumnSpec("ts", "TIMESTAMP"), ColumnSpec("user_id", "BIGINT"), ColumnSpec("event_type", "VARCHAR"), ColumnSpec("value", "DOUBLE"), ColumnSpec("props", "JSON")]
@@ -145,11 +147,33 @@ def csv_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.chunked(text, "text", _kind("text/csv")).select("n_regionkey", F.col("ordinal").cast("bigint").alias("ordinal"), "text", "kind")
 
 
-def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "error", "table.rolled_up").otherwise("operations.appended")
-    feed_ = e.select(kind.alias("event"), F.col("event_type").alias("table"), F.lit(1).cast("bigint").alias("rows"), (F.col("event_id") % 2).cast("bigint").alias("tombstones"), F.col("event_id").alias("seq"), (F.col("event_id") % 5).cast("bigint").alias("previous_generation"))
-    return feed.coalesced(feed_)
+    return e.select(kind.alias("event"), F.col("event_type").alias("table"), F.col("ts").cast("timestamp").alias("at"), F.lit(1).cast("bigint").alias("rows"), (F.col("event_id") % 2).cast("bigint").alias("tombstones"), F.col("event_id").alias("seq"), (F.col("event_id") % 5).cast("bigint").alias("previous_generation"))
+
+
+def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed.coalesced(_change_feed(spark, sf_dir))
+
+
+def event_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as a stream that is stopped and started again; the second start brings the row that closes what waits."""
+    root = f"{shared_folder(spark)}/deliveries-{uuid.uuid4().hex}"
+    feed_ = _change_feed(spark, sf_dir)
+    at = F.unix_seconds(F.coalesce("at", F.timestamp_seconds(F.lit(0))))
+    low, high = feed_.agg(F.min(at), F.max(at)).first()
+    late, wait = (high or 0) - (low or 0) + 1, 6 * 3600
+    feed_.write.parquet(f"{root}/in")
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", deliveries.PROVIDER)
+    last = own.range(1).select(F.timestamp_seconds(F.lit((high or 0) + late + wait + 1)).alias("at"), F.lit("last").alias("event"))
+    for rows in (None, last):
+        if rows is not None:
+            rows.write.mode("append").parquet(f"{root}/in")
+        made = deliveries.deliveries(own.readStream.schema(feed_.schema).parquet(f"{root}/in"), wait * 1000, f"{late} seconds")
+        made.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{root}/out").withColumn("first", F.unix_millis("first"))
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,8 +307,17 @@ def _kind(name: str) -> Column:
     return F.lit(name)
 
 
+def _vocabulary() -> tuple[str, str]:
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def payload_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of every document, its tokens counted over windows where it is long."""
+    return tokens.payload_sizes(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", *_vocabulary()).drop("text")
+
+
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk.chunked(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", _kind("text/plain")).select("doc_id", "ordinal", "tokens", F.md5("text").alias("digest"))
+    return chunk.chunked(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", _kind("text/plain"), _vocabulary()).select("doc_id", "ordinal", "tokens", F.md5("text").alias("digest"))
 
 
 def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,8 +359,8 @@ def window_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        two_tier_group, tombstone_anti, json_path_project, fanout_mapping, coercion_types, roll_up_equivalence, gated_query, pending_page, change_events,
-        vector_topk, vector_neighbours, vector_measures, hybrid, bm25_topk, bm25_blocks, bm25_stemmed, bm25_german, rare_terms, fuzzy_names, near_spellings, positional_join, embed_requests, sketch_windows, tabular_extract, csv_infer, chunk_documents, chunk_pages, hash_embed,
+        two_tier_group, tombstone_anti, json_path_project, fanout_mapping, coercion_types, roll_up_equivalence, gated_query, pending_page, change_events, event_deliveries,
+        vector_topk, vector_neighbours, vector_measures, hybrid, bm25_topk, bm25_blocks, bm25_stemmed, bm25_german, rare_terms, fuzzy_names, near_spellings, positional_join, embed_requests, sketch_windows, tabular_extract, csv_infer, payload_sizes, chunk_documents, chunk_pages, hash_embed,
         page_two, concurrent_append, rewritten_select, csv_chunks, neighbour_expand, content_digests, window_tumbling, window_sliding, window_session,
     )
 }
@@ -390,6 +423,12 @@ ORACLES: dict[str, str] = {
     "roll_up_equivalence": "SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE event_id % 3 <> 0) AS BIGINT) AS with_props, CAST(min(event_id) AS BIGINT) AS first_id FROM events WHERE event_id % 3 = 2 OR event_id % 7 <> 0 GROUP BY event_type",
     "gated_query": "SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT o_custkey) AS BIGINT) AS customers FROM orders GROUP BY o_orderstatus",
     "pending_page": "SELECT event_id, event_type FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 51",
+    # the first event that comes after a wait opens the next delivery of its table
+    "event_deliveries": """WITH RECURSIVE e AS (SELECT CASE WHEN event_type = 'error' THEN 'table.rolled_up' ELSE 'operations.appended' END AS event, event_type AS t, coalesce(epoch_us(ts) // 1000, 0) AS ms, event_id FROM events),
+d AS (SELECT DISTINCT event, t, ms FROM e), later AS (SELECT event, t, ms, min(ms) OVER (PARTITION BY event, t ORDER BY ms RANGE BETWEEN 21600000 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM d),
+opened AS (SELECT event, t, min(ms) AS ms FROM d GROUP BY 1, 2 UNION ALL SELECT l.event, l.t, l.next FROM opened o JOIN later l ON o.event = l.event AND o.t = l.t AND o.ms = l.ms WHERE l.next IS NOT NULL)
+SELECT o.event, o.t AS "table", CAST(o.ms AS BIGINT) AS first, CAST(count(*) AS BIGINT) AS "rows", CAST(sum(event_id % 2) AS BIGINT) AS tombstones, CAST(max(event_id) AS BIGINT) AS seq, CAST(min(event_id % 5) AS BIGINT) AS previous_generation
+FROM e ASOF JOIN opened o ON e.event = o.event AND e.t = o.t AND e.ms >= o.ms GROUP BY o.event, o.t, o.ms""",
     "change_events": """SELECT CASE WHEN event_type = 'error' THEN 'table.rolled_up' ELSE 'operations.appended' END AS event, event_type AS "table", CAST(count(*) AS BIGINT) AS "rows", CAST(sum(event_id % 2) AS BIGINT) AS tombstones, CAST(max(event_id) AS BIGINT) AS seq, CAST(min(event_id % 5) AS BIGINT) AS previous_generation FROM events GROUP BY 1, 2""",
     "vector_topk": "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) AS DOUBLE[])), 6) AS score FROM embeddings ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) AS DOUBLE[])) DESC, vec_id LIMIT 10",
     "vector_neighbours": "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS s FROM embeddings q JOIN embeddings e ON q.label = 3), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(s, 6) AS score, rank FROM r WHERE rank <= 10",

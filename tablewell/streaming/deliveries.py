@@ -13,7 +13,8 @@ exists; events later than `late` are dropped, as by every watermark. At the end
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -26,7 +27,7 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 # How each figure of two events is folded into one.
 FOLDS = {"rows": "sum", "tombstones": "sum", "seq": "max", "previous_generation": "min"}
 _COMBINE = {"sum": lambda a, b: a + b, "max": max, "min": min}
-_FIGURES = T.StructType([T.StructField(n, T.LongType()) for n in FOLDS])
+_HELD = T.StructType([T.StructField(n, T.LongType()) for n in ("at", *FOLDS)])
 _KEYED = "`event` string, `table` string"
 OUT = f"{_KEYED}, first_ms long, {', '.join(f'`{n}` long' for n in FOLDS)}"
 
@@ -43,6 +44,13 @@ def _fold(a: tuple, b: tuple) -> tuple:
     return tuple(y if x is None else x if y is None else _COMBINE[how](x, y) for x, y, how in zip(a, b, FOLDS.values(), strict=True))
 
 
+def _by_time(rows: Iterable[tuple]) -> dict[int, tuple]:
+    out: dict[int, tuple] = {}
+    for at, *figures in rows:
+        out[at] = _fold(out[at], tuple(figures)) if at in out else tuple(figures)
+    return out
+
+
 class Deliveries(StatefulProcessor):
     """Holds the events of a key by their times, until the delivery that the earliest one opens is due."""
 
@@ -51,34 +59,31 @@ class Deliveries(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", T.StructType([T.StructField("at", T.LongType())]), _FIGURES)
+        self.held = handle.getListState("held", _HELD)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        new: dict[int, tuple] = {}
-        for r in rows:
-            own = tuple(r[n] for n in FOLDS)
-            new[r["at_ms"]] = _fold(new[r["at_ms"]], own) if r["at_ms"] in new else own
-        for at, figures in new.items():
-            self.held.updateValue((at,), _fold(tuple(self.held.getValue((at,))), figures) if self.held.containsKey((at,)) else figures)
+        new = _by_time((r["at_ms"], *(r[n] for n in FOLDS)) for r in rows)
+        self.held.appendList([(at, *figures) for at, figures in new.items()])
         # an earlier event than those held opens the delivery instead; the timer of the other then finds what is left
         self.handle.registerTimer(min(new) + self.wait)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         past = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        times = sorted((k[0], tuple(v)) for k, v in self.held.iterator())
+        times = deque(sorted(_by_time(self.held.get()).items()))
+        made = []
         while times and times[0][0] + self.wait <= past:
-            first = times[0][0]
-            due = [x for x in times if x[0] < first + self.wait]
-            times = times[len(due) :]
-            figures = due[0][1]
-            for _, more in due[1:]:
-                figures = _fold(figures, more)
-            for at, _ in due:
-                self.held.removeKey((at,))
-            yield Row(event=key[0], table=key[1], first_ms=first, **dict(zip(FOLDS, figures, strict=True)))
+            first, figures = times.popleft()
+            while times and times[0][0] < first + self.wait:
+                figures = _fold(figures, times.popleft()[1])
+            made.append(Row(event=key[0], table=key[1], first_ms=first, **dict(zip(FOLDS, figures, strict=True))))
         if times:
+            if made:
+                self.held.put([(at, *figures) for at, figures in times])
             self.handle.registerTimer(times[0][0] + self.wait)
+        elif made:
+            self.held.clear()
+        return iter(made)
 
     def close(self) -> None:
         pass
