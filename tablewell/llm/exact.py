@@ -18,6 +18,8 @@ order of their texts; a single row is its own next document; an empty table give
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,12 +54,24 @@ def _ranges(ids: DataFrame, n: int) -> list:
     return sorted(set(got or []))
 
 
+def _range_of(value: Column, bounds: list) -> Column:
+    """How many of the sorted bounds aren't over the value: first which stretch of bounds, then where in it."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds) - 1) + 1
+    stretches = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    most = lambda within: F.size(F.filter(within, lambda b: b <= value))
+    coarse = most(F.array(*(F.lit(s[0]) for s in stretches)))
+    fine = F.element_at(F.array(*(F.array(*map(F.lit, s)) for s in stretches)), F.greatest(coarse, F.lit(1)))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + most(fine))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text and the text of the next document in descending order of doc_id, null ones last."""
     width = shuffle_width(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     bounds = _ranges(texts.select("doc_id"), 4 * width)
-    number = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
+    number = _range_of(F.col("doc_id"), bounds)
     # rows without an id have no order of their own, so they get one that can be cut: by a hash of their text, then by text
     last = -1 - F.pmod(F.xxhash64("text"), F.lit(NULL_RANGES)).cast("int")
     dealt = texts.select("doc_id", "text", F.when(F.col("doc_id").isNull(), last).otherwise(number).alias("range"))
@@ -108,7 +122,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     apart = shared.where("low <> high").select("digest").unionByName(_differing(docs, shared.select("digest"))).distinct()
     numbered = every.join(apart, "digest", "left_semi").distinct().withColumn("number", F.row_number().over(Window.partitionBy("digest").orderBy("sha")))
     more = materialise(numbered)
+    none = more.isEmpty()
     for k in range(3):
+        if none:  # no bucket holds different texts, so no digest needs a number
+            rows = rows.withColumn(f"f{k}", F.lower(F.hex(f"d{k}")))
+            continue
         named = more.select(F.col("digest").alias(f"d{k}"), F.col("sha").alias(f"s{k}"), F.concat(F.lit("-"), "number").alias(f"m{k}"))
         rows = rows.join(named, [f"d{k}", f"s{k}"], "left").withColumn(f"f{k}", F.concat(F.lower(F.hex(f"d{k}")), F.coalesce(f"m{k}", F.lit(""))))
     like = lambda k: (F.col("f0") == F.col(f"f{k}")).cast("double")

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise, read_table, slices
+from .common import free_name, join_skewed, materialise, read_table, slices
 
 SENT = 20_000
 TRIES = 64
@@ -394,8 +394,12 @@ def with_surrogates(docs: DataFrame, count: str, key: bytes, sent: int = SENT) -
         return docs.mapInArrow(_texts(key, at, {(r.kind, r.form): (r.attempt, r.gender) for r in few}, False), schema)
     mark, table = free_name(docs.columns, "text_hash"), free_name(docs.columns, "told")
     digest = F.sha2(F.col("text").cast("binary"), 256)
-    mentions = docs.select(digest.alias("text_hash"), "text").mapInArrow(_mentions, "text_hash string, kind string, form string").distinct()
-    tables = mentions.join(told, ["kind", "form"]).groupBy("text_hash").agg(F.collect_list(F.struct("kind", "form", "attempt", "gender")).alias(table)).withColumnRenamed("text_hash", mark)
+    found = docs.select(digest.alias("text_hash"), "text").mapInArrow(_mentions, "text_hash string, kind string, form string").distinct()
+    # an entity can be in a third of all texts, so its mentions aren't dealt by entity alone
+    mentions = materialise(found.select("text_hash", F.struct("kind", "form").alias("entity")))
+    figures = told.select(F.struct("kind", "form").alias("entity"), "attempt", "gender").join(mentions.groupBy("entity").agg(F.count("*").alias("n")), "entity")
+    named = join_skewed(mentions, materialise(figures), "entity", "n").select("text_hash", "entity.*", "attempt", "gender")
+    tables = named.groupBy("text_hash").agg(F.collect_list(F.struct("kind", "form", "attempt", "gender")).alias(table)).withColumnRenamed("text_hash", mark)
     joined = docs.withColumn(mark, digest).join(tables, mark, "left").select(*(F.col(f"`{c}`") for c in docs.columns), F.col(table))
     return joined.mapInArrow(_texts(key, at, {}, True), schema)
 
