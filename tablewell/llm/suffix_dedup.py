@@ -18,7 +18,8 @@ How it works, all of it as Spark shuffles of packed suffix arrays:
    few prefixes at a time, and equal ones compared byte by byte.
    A prefix with over `HOT` entries in one batch, or `HOTTEST` in its share, is hot: its entries' strings are dealt out one
    by one by their own 128-bit hash, so that it spreads over all tasks. A batch tells the prefix's share so, and its own
-   entries of a prefix hot there skip step 2. Hot strings alone are compared by their hash only.
+   entries of a prefix hot there skip step 2. The bytes of each string travel along, once for all places that a packet
+   has of it, so hot strings are compared byte by byte too.
 4. The matched windows go back to their batch, which cuts them out.
 
 `SuffixFamily` keeps levels of all sampled suffixes in a folder, for batches that come later. Each `add` scans the new arrays against all levels
@@ -413,6 +414,49 @@ def _arrays(parts: int, id_at: int, text_at: int, only_shared: bool = False) ->
     return run
 
 
+def _strings_at(text: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """The 50-byte string at each place, as rows of bytes."""
+    return text[pos[:, None] + np.arange(WINDOW)]
+
+
+def _string_runs(two: np.ndarray, one: np.ndarray, strings: Callable, *ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, number of the string of each row in it): equal strings together, by their digests, and within these by `ties`.
+
+    `strings(rows)` gives the bytes of rows. Every row is compared with the first of its digest; where these differ, the rows
+    of that digest are put in order by their bytes instead.
+    """
+    order = np.lexsort((*ties[::-1], one, two))
+    lead = _leads(two[order], one[order])
+    size = np.diff(np.append(lead, len(order)))
+    group = np.repeat(np.arange(len(lead)), size)
+    equal = np.ones(len(order), bool)
+    for lo in range(0, len(order), CHUNK_WINDOWS):
+        some = np.arange(lo, min(len(order), lo + CHUNK_WINDOWS))
+        some = some[lead[group[some]] != some]
+        equal[some] = (strings(order[some]) == strings(order[lead[group[some]]])).all(1)
+    if equal.all():
+        return order, group
+    odd = np.flatnonzero(np.isin(group, group[~equal]))
+    kind = np.zeros(len(order), np.int64)
+    kind[odd] = np.unique(np.ascontiguousarray(strings(order[odd])).view(f"V{WINDOW}")[:, 0], return_inverse=True)[1]
+    again = np.lexsort((np.arange(len(order)), kind, group))
+    order, group, kind = order[again], group[again], kind[again]
+    return order, np.repeat(np.arange(len(lead := _leads(group, kind))), np.diff(np.append(lead, len(order))))
+
+
+def _string_rows(kind: str, part: int, bid: int, strings: Callable, string: np.ndarray, *columns: np.ndarray) -> dict:
+    """Rows of hot strings in the order of their strings, the bytes of each string once."""
+    new = np.zeros(len(string), np.uint8)
+    new[lead := _leads(string)] = 1
+    return _row(part, kind, bid, None, squeeze(*columns, new), squeeze(strings(lead).reshape(-1)))
+
+
+def _string_rows_of(row: dict) -> tuple[list[np.ndarray], np.ndarray]:
+    """(digests, document, place and batch of each row, with the number of its string; the strings)."""
+    *columns, new = unsqueeze(row["body"], "u8", "u8", "i8", "u4", "i8", "u1")
+    return [*columns, np.cumsum(new, dtype=np.int64) - 1], unsqueeze(row["text"], "u1")[0].reshape(-1, WINDOW)
+
+
 def _hot_windows(parts: int, text: np.ndarray, level: Level) -> Iterator[pa.RecordBatch]:
     """The strings of hot prefixes, dealt out by their own hash; of equal ones those of the least document."""
     for lo in range(0, len(level), 4096):
@@ -423,18 +467,17 @@ def _hot_windows(parts: int, text: np.ndarray, level: Level) -> Iterator[pa.Reco
         doc, origin = some.doc[run], some.origin[run]
         one = _window_hash(text, pos, np.full(len(pos), WINDOW))
         two = _mix(_window_hash(text, pos + 1, np.full(len(pos), WINDOW - 1)) ^ (text[pos].astype(np.uint64) + np.uint64(1)))
-        part = (two % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((doc, one, two, part))
-        one, two, doc, part, place, origin = (x[order] for x in (one, two, doc, part, place, origin))
-        lead = _leads(two, one)
-        late = doc > np.repeat(doc[lead], np.diff(np.append(lead, len(doc))))
+        order, string = _string_runs(two, one, lambda rows, pos=pos: _strings_at(text, pos[rows]), doc)
+        one, two, doc, pos, place, origin = (x[order] for x in (one, two, doc, pos, place, origin))
+        late = doc > doc[np.searchsorted(string, string)]
         if late.any():
             yield from _replies("F", origin[late], place[late], np.ones(int(late.sum()), np.uint8))
-        one, two, doc, part, place, origin = (x[~late] for x in (one, two, doc, part, place, origin))
-        cuts = np.searchsorted(part, np.arange(parts + 1))
-        for p in np.flatnonzero(np.diff(cuts)):
-            own = slice(int(cuts[p]), int(cuts[p + 1]))
-            yield _emit([_row(p, "W", -1, None, squeeze(two[own], one[own], doc[own], place[own].astype(np.uint32), origin[own]))])
+        one, two, doc, pos, place, origin, string = (x[~late] for x in (one, two, doc, pos, place, origin, string))
+        part = (two % np.uint64(parts)).astype(np.int64)
+        for p in np.unique(part):
+            own = np.flatnonzero(part == p)
+            columns = (two[own], one[own], doc[own], place[own].astype(np.uint32), origin[own])
+            yield _emit([_string_rows("W", p, -1, lambda rows, at=pos[own]: _strings_at(text, at[rows]), string[own], *columns)])
 
 
 def _ends(text: np.ndarray, level: Level, group: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -523,29 +566,32 @@ def _scan(parts: int, keep: bool = False) -> Callable:
 
 
 def _scan_hot(keep: bool = False) -> Callable:
-    """Equal strings of hot prefixes by their hash; with `keep`, those of the least document come out too (kind V), unless they
-    are stored already."""
+    """Equal strings of hot prefixes, found by their hash and compared byte by byte; with `keep`, those of the least document
+    come out too (kind V), unless they are stored already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, part = [], None
+        got, shown, part, many = [], [], None, 0
         for row in (r for b in batches for r in b.to_pylist()):
             part = row["part"]
-            columns = unsqueeze(row["body"], "u8", "u8", "i8", "u4", "i8")
-            got.append([*columns, np.full(len(columns[0]), row["bid"] != STORED)])
+            (*columns, number), strings = _string_rows_of(row)
+            got.append([*columns, np.full(len(number), row["bid"] != STORED), number + many])
+            shown.append(strings)
+            many += len(strings)
         if not got:
             return
-        two, one, doc, place, origin, fresh = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((fresh, place, origin, doc, one, two))
-        two, one, doc, place, origin, fresh = (x[order] for x in (two, one, doc, place, origin, fresh))
-        lead = _leads(two, one)
-        late = doc > np.repeat(doc[lead], np.diff(np.append(lead, len(doc))))
+        two, one, doc, place, origin, fresh, number = (np.concatenate(x) for x in zip(*got, strict=True))
+        every = np.concatenate(shown)
+        order, string = _string_runs(two, one, lambda rows: every[number[rows]], doc, origin, place, fresh)
+        two, one, doc, place, origin, fresh, number = (x[order] for x in (two, one, doc, place, origin, fresh, number))
+        late = doc > doc[np.searchsorted(string, string)]
         if late.any():
             yield from _replies("F", origin[late], place[late], np.ones(int(late.sum()), np.uint8))
         if keep:
             new = fresh & ~late
-            new[np.setdiff1d(np.arange(len(new)), _leads(two, one, doc, origin, place))] = False
+            new[np.setdiff1d(np.arange(len(new)), _leads(string, doc, origin, place))] = False
             if new.any():
-                yield _emit([_row(part, "V", -1, None, squeeze(two[new], one[new], doc[new], place[new], origin[new]))])
+                rows = (x[new] for x in (two, one, doc, place, origin))
+                yield _emit([_string_rows("V", part, -1, lambda k, at=number[new]: every[at[k]], string[new], *rows)])
 
     return run
 
@@ -556,10 +602,11 @@ def _redealt(parts: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in b.to_pylist()):
             if row["kind"] == "V":
-                two, *rest = unsqueeze(row["body"], "u8", "u8", "i8", "u4", "i8")
+                (two, *rest, number), strings = _string_rows_of(row)
                 part = (two % np.uint64(parts)).astype(np.int64)
                 for p in np.unique(part):
-                    yield _emit([_row(p, "W", STORED, None, squeeze(two[part == p], *(x[part == p] for x in rest)))])
+                    own = part == p
+                    yield _emit([_string_rows("W", p, STORED, lambda k, at=number[own]: strings[at[k]], number[own], two[own], *(x[own] for x in rest))])
                 continue
             if row["kind"] == "K":
                 k1, k2 = unsqueeze(row["body"], "u8", "u8")

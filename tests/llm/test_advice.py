@@ -108,7 +108,7 @@ def test_op8_hot_prefixes_spread():
     load = np.zeros(parts)
     for r in found:
         if r["kind"] == "W":
-            load[r["part"]] += len(suffix_dedup.unsqueeze(r["body"], "u8", "u8", "i8", "u4", "i8")[0])
+            load[r["part"]] += len(suffix_dedup._string_rows_of(r)[0][0])
     assert load.sum() > 1000 and load.max() < 0.1 * load.sum()
     assert all(len(r["body"]) < 60_000 for r in dealt if r["kind"] == "A")
 
@@ -137,6 +137,29 @@ def test_op8_different_strings_of_one_digest_are_told_apart(monkeypatch):
     assert told == {0, 3}
 
 
+@pytest.mark.parametrize("digest", [lambda data, at, length: np.zeros(len(at), np.uint64), lambda data, at, length: data[at].astype(np.uint64) % 3, suffix_dedup._window_hash])
+def test_op8_hot_strings_of_one_digest_are_told_apart(monkeypatch, digest):
+    """Whatever the digest, places go whose string has a smaller document, in their own batch or in another one."""
+    monkeypatch.setattr(suffix_dedup, "_window_hash", digest)
+    rng, dealt, gone, every = random.Random(4), [], set(), []
+    for origin in range(6):
+        kinds = [rng.randrange(9) for _ in range(40)]
+        doc = np.array([rng.randrange(30) for _ in kinds])
+        text = np.frombuffer(b"".join(bytes([65 + k]) * 49 + bytes([k % 2]) for k in kinds), np.uint8)
+        z = np.zeros(40, np.int64)
+        level = suffix_dedup.Level(k1=z, k2=z, check=z, doc=doc, origin=z + origin, at=50 * np.arange(40), n=z + 1, inside=z, pos=50 * np.arange(40))
+        every += [(k, d, origin, 50 * i) for i, (k, d) in enumerate(zip(kinds, doc.tolist(), strict=True))]
+        dealt += [r for b in suffix_dedup._hot_windows(4, text, level) for r in b.to_pylist()]
+    dealt += [r for p in range(4) for b in suffix_dedup._scan_hot()(iter([suffix_dedup._emit([r for r in dealt if r["kind"] == "W" and r["part"] == p])])) for r in b.to_pylist()]
+    for r in dealt:
+        if r["kind"] == "F":
+            gone |= {(r["bid"], at) for at in suffix_dedup._windows([r["body"]])[0].tolist()}
+    least = {}
+    for k, d, _, _ in every:
+        least[k] = min(least.get(k, d), d)
+    assert gone == {(o, at) for k, d, o, at in every if d > least[k]} and len(gone) > 100
+
+
 @pytest.mark.parametrize("most_bytes", [suffix_dedup.BATCH_BYTES, 3000])
 def test_op8_batches_added_later_give_the_same(spark, rows, tmp_path, most_bytes):
     """Each add is scanned against the stored levels; levels merge geometrically; an add that failed is done again."""
