@@ -40,8 +40,7 @@ def _read(names: pd.Series, contents: pd.Series) -> pd.DataFrame:
         try:
             kind = documents.media_type(name, raw)
             blocks = documents.blocks(raw, kind)
-            title = next((b.headings[0] for b in blocks if b.headings), None)
-            rows.append((kind, "ready", None, title, max((b.page or 0 for b in blocks), default=0) or None, chunk.chunks(blocks, chunk.PLANS.get(kind, chunk.Plan()))))
+            rows.append((kind, "ready", None, documents.title(raw, kind, blocks), max((b.page or 0 for b in blocks), default=0) or None, chunk.chunks(blocks, chunk.PLANS.get(kind, chunk.Plan()))))
         except Exception as e:  # a file that can't be read is a row that says so
             rows.append((None, "failed", str(e)[:500], None, None, []))
     return pd.DataFrame(rows, columns=[f.name for f in _READ])

@@ -13,7 +13,7 @@ import threading
 import uuid
 
 from pyspark.errors import AnalysisException, ArithmeticException, NumberFormatException, ParseException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gate
@@ -191,13 +191,24 @@ class Tenant:
         return _in_code(_COLUMNS, sql, listed)
 
     def _summary(self, spark: SparkSession, table: str) -> DataFrame:
-        """A row for each column of a table: its type, its count of values, nulls, and least and greatest value."""
+        """A row for each column of a table: its type, values and nulls, distinct values (approximately), and least and greatest
+        value; of numbers also mean, spread (of a sample) and quartiles (approximate). All are one aggregation."""
         if table not in self.store.tables():
             raise gate.Refused(f"there is no table {table[:80]}")
         view = Store(spark, self.store.root, self.store.now).view(table)
-        own = [c for c, kind in view.dtypes if not c.startswith("_")]
-        of = lambda c: F.struct(F.lit(c).alias("column_name"), F.lit(dict(view.dtypes)[c]).alias("column_type"), F.count(c).alias("count"), F.count_if(F.col(c).isNull()).alias("nulls"), F.approx_count_distinct(c).alias("approx_unique"), F.min(c).cast("string").alias("min"), F.max(c).cast("string").alias("max"))
-        return view.agg(F.array(*map(of, own)).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+        nothing = F.lit(None).cast("string")
+
+        def of(name: str, kind: str) -> Column:
+            c = F.col(f"`{name}`")
+            figures = dict.fromkeys(("avg", "std", "q25", "q50", "q75"), nothing)
+            if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+                figures = {"avg": F.avg(c), "std": F.stddev_samp(c), **{f"q{n}": F.percentile_approx(c, n / 100) for n in (25, 50, 75)}}
+            figures = {"min": F.min(c), "max": F.max(c), "approx_unique": F.approx_count_distinct(c), **figures, "count": F.count(c), "nulls": F.count_if(c.isNull())}
+            whole = ("approx_unique", "count", "nulls")
+            return F.struct(F.lit(name).alias("column_name"), F.lit(kind).alias("column_type"), *((v if k in whole else v.cast("string")).alias(k) for k, v in figures.items()))
+
+        own = [of(c, kind) for c, kind in view.dtypes if not c.startswith("_")]
+        return view.agg(F.array(*own).alias("s")).select(F.explode("s").alias("s")).select("s.*")
 
     def ranking(self, text_table: str | None, text_column: str | None) -> tuple[str, str]:
         """The table and column that a text is compared with: those named, else the only embedded one."""

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import ast
 import csv
-import html as entities
 import io
 import re
-import zipfile
 from html.parser import HTMLParser
 
 from .blocks import Block
 from .braces import brace_code
 from .delimited import MOST_FIELDS, separator_of
+from .office import declared_title, docx, pptx
 
 # Extensions and media types.
 EXTENSIONS = {
@@ -25,7 +24,6 @@ EXTENSIONS = {
 }
 # The lexer of each media type of code with braces.
 BRACES = {"text/javascript": "script", "text/typescript": "script", "text/x-kotlin": "kotlin", "text/x-csharp": "csharp"}
-MOST_UNPACKED = 200 << 20
 MOST_RECORDS = 10_000
 
 
@@ -156,46 +154,6 @@ def table_rows(text: str) -> list[Block]:
     return [Block(body, kind="table") for body in shown if body]
 
 
-def _parts(content: bytes) -> zipfile.ZipFile:
-    z = zipfile.ZipFile(io.BytesIO(content))
-    if sum(i.file_size for i in z.infolist()) > MOST_UNPACKED:
-        raise ValueError("the document unpacks to too much")
-    return z
-
-
-def _runs(xml: str, tag: str) -> str:
-    return entities.unescape("".join(re.findall(rf"<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", xml, re.S)))
-
-
-def docx(content: bytes) -> list[Block]:
-    out: list[Block] = []
-    path: list[tuple[int, str]] = []
-    for p in re.findall(r"<w:p[ >].*?</w:p>", _parts(content).read("word/document.xml").decode(), re.S):
-        text = _runs(p, "w:t").strip()
-        level = re.search(r'<w:pStyle w:val="[Hh]eading(\d)"', p)
-        if text and level:
-            path = [x for x in path if x[0] < int(level[1])] + [(int(level[1]), text)]
-        elif text:
-            out.append(Block(text, [h for _, h in path]))
-    return out
-
-
-def pptx(content: bytes) -> list[Block]:
-    """A hard block for each slide in numeric order, its notes appended."""
-    z = _parts(content)
-    names = set(z.namelist())
-    out = []
-    for n in sorted(int(m[1]) for m in (re.fullmatch(r"ppt/slides/slide(\d+)\.xml", x) for x in names) if m):
-        lines = [_runs(p, "a:t") for p in re.findall(r"<a:p>.*?</a:p>", z.read(f"ppt/slides/slide{n}.xml").decode(), re.S)]
-        text = "\n".join(x for x in lines if x.strip())
-        notes = f"ppt/notesSlides/notesSlide{n}.xml"
-        if notes in names and (said := _runs(z.read(notes).decode(), "a:t").strip()):
-            text += f"\n\nSpeaker notes: {said}"
-        if text.strip():
-            out.append(Block(text.strip(), page=n, hard=True))
-    return out
-
-
 def python_code(text: str) -> list[Block]:
     """A block for each function and method, and what stands before, between and after them."""
     lines = text.split("\n")
@@ -237,3 +195,9 @@ def blocks(content: bytes, kind: str) -> list[Block]:
         return brace_code(text, BRACES[kind])
     readers = {"text/html": page, "text/markdown": markdown, "text/x-python": python_code, "text/csv": table_rows, "text/tab-separated-values": table_rows}
     return readers.get(kind, paragraphs)(text)
+
+
+def title(content: bytes, kind: str, found: list[Block]) -> str | None:
+    """The title that an office document declares, else the first heading of a document's blocks."""
+    declared = declared_title(content) if "openxmlformats" in kind else None
+    return declared or next((b.headings[0] for b in found if b.headings), None)

@@ -80,7 +80,9 @@ def test_idioms_that_spark_spells_otherwise(tenant):
     assert one("SELECT n, author FROM notes QUALIFY row_number() OVER (PARTITION BY author ORDER BY n DESC) = 1 ORDER BY n") == [{"n": "23", "author": "ann"}, {"n": "24", "author": "bob"}]
     assert one("SELECT n, 'a QUALIFY b' AS t FROM notes WHERE n IN (SELECT max(n) FROM notes) LIMIT 1") == [{"n": "24", "t": "a QUALIFY b"}]
     assert set(one("SELECT COLUMNS('^(n|auth.*)$') FROM notes LIMIT 1")[0]) == {"n", "author"}
-    assert {r["column_name"]: (r["count"], r["max"]) for r in one("SUMMARIZE notes")}["n"] == ("25", "24")
+    told = {r["column_name"]: r for r in one("SUMMARIZE notes")}
+    assert [told["n"][k] for k in ("column_type", "count", "nulls", "min", "max", "avg", "q25", "q50", "q75")] == ["bigint", "25", "0", "0", "24", "12.0", "6", "12", "18"]
+    assert told["n"]["std"].startswith("7.359") and told["author"]["avg"] is None and told["author"]["min"] == "ann" and told["author"]["approx_unique"] == "2"
     assert one("SELECT n, 'fts_main_notes.match_bm25(_row_id, ''run'')' AS t FROM notes ORDER BY n LIMIT 1")[0]["t"].startswith("fts_main")
     for wrong in ("SELECT nothing AS x FROM notes WHERE y = 1", "SUMMARIZE nowhere", "SELECT COLUMNS('zzz') FROM notes"):
         with pytest.raises(Exception):  # noqa: B017

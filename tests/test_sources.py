@@ -87,6 +87,65 @@ def test_office_documents():
     assert [(b.text, b.page, b.hard) for b in documents.pptx(slides)] == [("two\n\nSpeaker notes: say it", 2, True), ("ten", 10, True)]
 
 
+def test_word_documents_keep_tables_lists_and_headings_of_any_style():
+    style = lambda n: f'<w:pPr><w:pStyle w:val="{n}"/></w:pPr>'
+    p = lambda text, pr="": f"<w:p>{pr}<w:r><w:t>{text}</w:t></w:r></w:p>"
+    item = lambda depth: f'<w:pPr><w:numPr><w:ilvl w:val="{depth}"/><w:numId w:val="4"/></w:numPr></w:pPr>'
+    cell = lambda *inner: f"<w:tc><w:tcPr/>{''.join(inner)}</w:tc>"
+    nested = f"<w:tbl><w:tr>{cell(p('x'))}{cell(p('y'))}</w:tr></w:tbl>"
+    body = [
+        p("Boats", style("Kop1")), p("Old", style("Kop2")), p("first", item(0)), p("inner", item(1)), p("none", '<w:pPr><w:numPr><w:numId w:val="0"/></w:numPr></w:pPr>'),
+        f"<w:tbl><w:tr>{cell(p('Name'))}{cell(p('Built'), p('in'))}</w:tr><w:tr>{cell(p('Ria'))}{cell(nested)}</w:tr><w:tr>{cell('<w:p/>')}{cell()}</w:tr></w:tbl>",
+        p("Sums", '<w:pPr><w:tabs><w:tab w:val="left"/></w:tabs><w:outlineLvl w:val="0"/></w:pPr>'),
+        "<w:p><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t><w:br/><w:t>c &amp; d</w:t></w:r><w:del><w:r><w:delText>gone</w:delText></w:r></w:del><w:moveFrom><w:r><w:t>away</w:t></w:r></w:moveFrom></w:p>",
+        f"<w:p><mc:AlternateContent><mc:Choice><w:txbxContent>{p('boxed')}</w:txbxContent></mc:Choice><mc:Fallback><w:txbxContent>{p('boxed')}</w:txbxContent></mc:Fallback></mc:AlternateContent><w:r><w:t>around</w:t></w:r></w:p>",
+    ]
+    styles = '<w:styles><w:style w:styleId="Kop1"><w:name w:val="heading 1"/></w:style><w:style w:styleId="Kop2"><w:name w:val="Kop"/><w:pPr><w:outlineLvl w:val="1"/></w:pPr></w:style></w:styles>'
+    whole = archive(word__document=f'<?xml version="1.0"?><w:document><w:body>{"".join(body)}</w:body></w:document>', word__styles=styles, docProps__core="<cp:coreProperties><dc:title>The &lt;fleet&gt;</dc:title><dc:creator>n</dc:creator></cp:coreProperties>")
+    got = documents.docx(whole)
+    old = ["Boats", "Old"]
+    assert got == [Block("- first", old), Block("  - inner", old), Block("none", old), Block("Name | Built in\nRia | x | y", old, kind="table"), Block("a\tb\nc & d", ["Sums"]), Block("boxed", ["Sums"]), Block("around", ["Sums"])]
+    assert documents.title(whole, documents.EXTENSIONS["docx"], got) == "The <fleet>"
+    plain = archive(word__document=p("Only", style("Heading3")) + p("text"))
+    assert documents.title(plain, documents.EXTENSIONS["docx"], documents.docx(plain)) == "Only"
+    for reader in (documents.docx, documents.pptx):
+        with pytest.raises(ValueError):
+            reader(archive(other="<x/>"))
+
+
+def slide(*shapes):
+    made = "".join(f'<p:sp><p:nvPr><p:ph type="{kind}"/></p:nvPr><p:txBody>{"".join(f"<a:p><a:r><a:t>{t}</a:t></a:r></a:p>" for t in texts)}</p:txBody></p:sp>' for kind, *texts in shapes)
+    return f"<p:sld><p:spTree>{made}</p:spTree></p:sld>"
+
+
+def test_slides_have_their_titles_tables_and_own_notes():
+    link = lambda k: f'<Relationships><Relationship Id="rId1" Type="http://x/slideLayout" Target="../slideLayouts/slideLayout1.xml"/><Relationship Id="rId2" Type="http://x/notesSlide" Target="../notesSlides/notesSlide{k}.xml"/></Relationships>'
+    cells = "<a:tbl><a:tr><a:tc><a:p><a:r><a:t>Q1</a:t></a:r></a:p></a:tc><a:tc><a:p><a:r><a:t>7</a:t></a:r></a:p></a:tc></a:tr></a:tbl>"
+    parts = {
+        "ppt__slides__slide1": slide(("title", "Plan"), ("body", "one", "two"), ("sldNum", "1"), ("body", "aside")),
+        "ppt__slides__slide2": slide(("ctrTitle", "Figures", "of the year")).replace("</p:spTree>", f"<p:graphicFrame>{cells}</p:graphicFrame></p:spTree>"),
+        "ppt__slides__slide3": slide(("title", "Thanks")),
+        "ppt__slides__slide4": slide(("body", "")),
+        "ppt__slides__slide5": slide(("body", "last")),
+        "ppt__notesSlides__notesSlide1": slide(("sldImg",), ("body", "say the figures"), ("sldNum", "2")),
+        "ppt__notesSlides__notesSlide5": slide(("body", "by number")),
+    }
+    deck = io.BytesIO(archive(**parts))
+    with zipfile.ZipFile(deck, "a") as z:
+        z.writestr("ppt/slides/_rels/slide2.xml.rels", link(1))
+        for k in (1, 3):
+            z.writestr(f"ppt/slides/_rels/slide{k}.xml.rels", "<Relationships/>")
+    got = documents.pptx(deck.getvalue())
+    assert [(b.text, b.headings, b.page) for b in got] == [
+        ("one\ntwo\n\naside", ["Plan"], 1),
+        ("Q1 | 7\n\nSpeaker notes: say the figures", ["Figures of the year"], 2),
+        ("Thanks", [], 3),
+        ("last\n\nSpeaker notes: by number", [], 5),
+    ]
+    made = chunk.chunks(got, chunk.PLANS[documents.EXTENSIONS["pptx"]])
+    assert [c["text"].split("\n")[0] for c in made] == ["Plan", "Figures of the year", "Thanks", "last"]
+
+
 def test_code_is_cut_at_functions():
     got = documents.python_code("import a\n\nclass C:\n    x = 1\n    def m(self):\n        return 1\n\ndef f():\n    pass\nprint(1)\n")
     assert [b.headings for b in got] == [["preamble"], ["C", "m"], ["f"], ["epilogue"]]
