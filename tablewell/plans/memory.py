@@ -20,6 +20,7 @@ from ..sources import delimited
 from ..store import Store
 from ..streaming import deliveries
 from ..streaming.ingest import windowed_counts
+from .office import OFFICE_CHUNKS, office_chunks
 
 EVENT_COLUMNS = [ColumnSpec("event_id", "BIGINT"), ColumnSpec("ts", "TIMESTAMP"), ColumnSpec("user_id", "BIGINT"), ColumnSpec("event_type", "VARCHAR"), ColumnSpec("value", "DOUBLE"), ColumnSpec("props", "JSON")]
 
@@ -99,19 +100,19 @@ def gated_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pending_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two pages of a table's change feed, by keyset; rows were written in order, so they have their seq in order."""
     store = Store(spark, _shared_folder(spark))
-    store.add_rows("events", table(spark, sf_dir, "events").where("event_id > 100").select("event_id", "event_type").orderBy("event_id"), [EVENT_COLUMNS[0], EVENT_COLUMNS[3]])
-    first = store.changes("events", limit=30)
-    second = store.changes("events", after=first["next"], limit=21)
-    return spark.createDataFrame([(r.event_id, r.event_type) for r in first["rows"] + second["rows"]], "event_id bigint, event_type string")
+    store.add_rows("events", table(spark, sf_dir, "events").select("event_id", "event_type").orderBy("event_id"), [EVENT_COLUMNS[0], EVENT_COLUMNS[3]])
+    after = store.changes("events", limit=30)["next"]
+    pages = store.pending("events", limit=30).unionByName(store.pending("events", after, 21))
+    return pages.select("event_id", "event_type")
 
 
 def page_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of a tenant's query, by the cursor of the first."""
     store = Store(spark, _shared_folder(spark))
     store.add_rows("orders", table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), [ColumnSpec("o_orderkey", "BIGINT"), ColumnSpec("o_custkey", "BIGINT")])
-    ask = lambda after: Tenant(store).query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey", limit=100, after=after, seconds=300)
-    page = ask(ask(None)["cursor"])
-    return spark.createDataFrame([(int(r["o_orderkey"]), int(r["o_custkey"])) for r in page["rows"]], "o_orderkey bigint, o_custkey bigint")
+    sql = "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey"
+    after = Tenant(store).query(sql, limit=100, seconds=300)["cursor"]
+    return Tenant(store).page(sql, limit=100, after=after)
 
 
 def concurrent_append(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,7 +361,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         two_tier_group, tombstone_anti, json_path_project, fanout_mapping, coercion_types, roll_up_equivalence, gated_query, pending_page, change_events, event_deliveries,
-        vector_topk, vector_neighbours, vector_measures, hybrid, bm25_topk, bm25_blocks, bm25_stemmed, bm25_german, rare_terms, fuzzy_names, near_spellings, positional_join, embed_requests, sketch_windows, tabular_extract, csv_infer, payload_sizes, chunk_documents, chunk_pages, hash_embed,
+        vector_topk, vector_neighbours, vector_measures, hybrid, bm25_topk, bm25_blocks, bm25_stemmed, bm25_german, rare_terms, fuzzy_names, near_spellings, positional_join, embed_requests, sketch_windows, tabular_extract, csv_infer, payload_sizes, chunk_documents, chunk_pages, office_chunks, hash_embed,
         page_two, concurrent_append, rewritten_select, csv_chunks, neighbour_expand, content_digests, window_tumbling, window_sliding, window_session,
     )
 }
@@ -422,7 +423,7 @@ ORACLES: dict[str, str] = {
     "coercion_types": "SELECT CAST(o_orderkey AS BIGINT) AS a, CAST(o_totalprice AS DOUBLE) AS b, o_orderkey % 2 = 0 AS c, CAST(o_orderdate AS DATE) AS d FROM orders",
     "roll_up_equivalence": "SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE event_id % 3 <> 0) AS BIGINT) AS with_props, CAST(min(event_id) AS BIGINT) AS first_id FROM events WHERE event_id % 3 = 2 OR event_id % 7 <> 0 GROUP BY event_type",
     "gated_query": "SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT o_custkey) AS BIGINT) AS customers FROM orders GROUP BY o_orderstatus",
-    "pending_page": "SELECT event_id, event_type FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 51",
+    "pending_page": "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 51",
     # the first event that comes after a wait opens the next delivery of its table
     "event_deliveries": """WITH RECURSIVE e AS (SELECT CASE WHEN event_type = 'error' THEN 'table.rolled_up' ELSE 'operations.appended' END AS event, event_type AS t, coalesce(epoch_us(ts) // 1000, 0) AS ms, event_id FROM events),
 d AS (SELECT DISTINCT event, t, ms FROM e), later AS (SELECT event, t, ms, min(ms) OVER (PARTITION BY event, t ORDER BY ms RANGE BETWEEN 21600000 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM d),
@@ -438,6 +439,7 @@ FROM e ASOF JOIN opened o ON e.event = o.event AND e.t = o.t AND e.ms >= o.ms GR
     "bm25_stemmed": _STEMMED,
     "bm25_german": _GERMAN,
     "hash_embed": _FNV,
+    "office_chunks": OFFICE_CHUNKS,
     "page_two": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 100",
     "concurrent_append": "SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT event_id) AS BIGINT) AS ids, CAST(sum(event_id) AS BIGINT) AS total FROM events WHERE event_id % 10 <> 0 GROUP BY event_type",
     "rewritten_select": "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey % 10 AS BIGINT) AS digit FROM orders WHERE o_custkey % 10 = 3 AND o_totalprice > 1000 UNION ALL SELECT CAST(o_orderkey AS BIGINT), CAST(o_custkey AS BIGINT) FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1",

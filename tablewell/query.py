@@ -279,6 +279,11 @@ class Tenant:
                 raise
             return df
 
+    def page(self, sql: str | None = None, text: str | None = None, table: str | None = None, column: str | None = None, limit: int = DEFAULT_ROWS, after: str | None = None) -> DataFrame:
+        """The rows of a page as a lazy frame, with their types."""
+        offset, cap = offset_of(after, fingerprint(sql, text, table, column)), max(1, min(limit, MOST_ROWS))
+        return self.frame(sql, text, table, column, min(MOST_ROWS, offset + cap)).offset(offset).limit(cap)
+
     def query(self, sql: str | None = None, text: str | None = None, table: str | None = None, column: str | None = None, limit: int = DEFAULT_ROWS, after: str | None = None, seconds: float = SECONDS) -> dict:
         """A page of rows, whether it was cut, and the cursor of the next page."""
         whose = fingerprint(sql, text, table, column)

@@ -277,6 +277,11 @@ class Store:
     def info(self) -> list[dict]:
         return [{"table": m.name, "rows": m.rows, "generation": m.generation, "columns": [c.name for c in m.columns]} for m in map(self.manifest, self.tables())]
 
+    def pending(self, table: str, after: int = 0, limit: int = 1000) -> DataFrame | None:
+        """The first `limit` pending rows whose seq is over `after`, in its order; None if nothing is pending."""
+        rows = self._pending(self.manifest(table))
+        return None if rows is None else rows.where(F.col(SEQ) > after).orderBy(SEQ).limit(limit)
+
     def changes(self, table: str, after: int = 0, limit: int = 1000) -> dict:
         """A page of pending rows by seq, and all tombstones, at one generation."""
         m = self.manifest(table)
