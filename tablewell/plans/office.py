@@ -55,7 +55,9 @@ def _files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def office_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks of both files of each order; one file holds the lines of one order."""
     line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("long").alias("quantity"), F.col("l_returnflag").alias("flag"))
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    # a number of its own, so that few bytes of lines, which are much work, aren't brought together in one task
+    dealt = table(spark, sf_dir, "lineitem").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+    lines = dealt.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     files, parts = files_and_chunks(lines.mapInPandas(_files, "path string, length long, content binary"))
     return parts.join(files.select("file_id", "filename", "title", "status"), "file_id").select("filename", "title", "status", "ordinal", "page", "text")
 
