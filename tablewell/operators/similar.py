@@ -7,8 +7,9 @@ split over tasks.
 
 Edit distance k: a change touches at most q pieces of q characters, so of the k * q + 1 rarest pieces of a string at least
 one is in the other, within k places, and among its rarest too (pieces equal to the last one are kept with it). A string of
-too few pieces for that is found through the strings that up to k deletions leave of it, which it shares with all others
-that are within k.
+too few pieces for that, or that is short enough (`MOST_REMAINS`), is found through the strings that up to k deletions leave
+of it, which it shares with all others that are within k, and with hardly any others. Keys are shuffled as hashes, once, and
+strings of one key are compared where they meet, so what goes on are the pairs that are alike.
 
 Jaro-Winkler similarity t, with l letters of common beginning: Jaro is at least (t - l / 10) / (1 - l / 10) = j, so lengths
 are in proportion of at least 3 j - 2, and at least (3 j - 1) n m / (n + m) letters, a, are in both. Strings that agree in l
@@ -30,13 +31,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from ..functions.likeness import edit_distances, jaro_winklers
+from ..session import fixed
 
 SLOTS = 1 << 16
 CROWD = 1000
 """Strings of one key that a task compares with the others of the key."""
-KEYED = "s string, n int, key string, place int"
+MOST_REMAINS = 48
+"""Strings of which up to so many are left by deletions are found through these alone: they are rarer than any piece."""
+KEYED = "s string, n int, key long, place int"
+MET = "key long, a string, n_a int, place_a int, b string, figure double"
 
 Keys = Callable[[str, np.ndarray], Iterator[tuple[str, int]]]
 
@@ -72,11 +78,13 @@ def _remains(s: str, k: int) -> set[str]:
 
 def edit_keys(most: int, q: int) -> Keys:
     few = most * q - q + 1
-    """Strings of at most so many characters may have no piece left after `most` changes."""
+    """Strings of at most so many characters may have no piece left after `most` changes, or are as well found by deletions."""
+    while most and sum(math.comb(few + 1, r) for r in range(most + 1)) <= MOST_REMAINS:
+        few += 1
 
     def keys(s: str, counts: np.ndarray) -> Iterator[tuple[str, int]]:
         if len(s) <= few + most:
-            yield from (("d" + rest, 0) for rest in _remains(s, most))
+            yield from (("d" + rest, -1) for rest in _remains(s, most))
         if len(s) > few:
             pieces = _sorted_by_rarity(grams(s, q), counts)
             last = pieces[min(most * q, len(pieces) - 1)][0]
@@ -129,13 +137,83 @@ def _keyed(strings: DataFrame, pieces: Callable[[str], list[tuple[str, int]]], k
         for batch in batches:
             own = batch.column(0).to_pylist()
             for at in range(0, len(own), 1000):
-                rows = [(s, len(s), key, place) for s in own[at : at + 1000] for key, place in sorted(set(keys(s, counts)))]
+                rows = [(s, len(s), xxh64_intdigest(key.encode("utf-8", "surrogatepass")) - (1 << 63), place) for s in own[at : at + 1000] for key, place in sorted(set(keys(s, counts)))]
                 columns = list(zip(*rows, strict=True)) or [()] * 4  # an empty string has no letters
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int32()), strict=True)], names=["s", "n", "key", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["s", "n", "key", "place"])
 
     return strings.mapInArrow(emit, KEYED)
 
 
+Compare = Callable[[list[str], list[str]], np.ndarray]
+Bound = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+PAIRS_AT_ONCE = 1 << 17
+
+
+def _alike(a: np.ndarray, b: np.ndarray, compare: Compare, good: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
+    """The pairs of strings that are alike, the lesser first, as rows of `MET`."""
+    swap = a > b
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    figure = np.asarray(compare(a.tolist(), b.tolist()), np.float64)
+    some = np.flatnonzero(good(figure))
+    none = lambda kind: pa.nulls(len(some), kind)
+    return pa.RecordBatch.from_arrays([none(pa.int64()), pa.array(a[some], pa.string()), none(pa.int32()), none(pa.int32()), pa.array(b[some], pa.string()), pa.array(figure[some])], names=["key", "a", "n_a", "place_a", "b", "figure"])
+
+
+def _meet(bound: Bound, compare: Compare, good: Callable[[np.ndarray], np.ndarray]) -> Callable:
+    """From (s, n, key, place) sorted by key: the alike pairs of each key; a key of over `CROWD` rows passes as its rows (no b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        many = 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            if waiting:
+                yield _alike(np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]), compare, good)
+
+        def passed(key: int, s: np.ndarray, n: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(s), key)), pa.array(s, pa.string()), pa.array(n, pa.int32()), pa.array(place, pa.int32()), pa.nulls(len(s), pa.string()), pa.nulls(len(s), pa.float64())], names=["key", "a", "n_a", "place_a", "b", "figure"])
+
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size, name, crowded = 0, None, False
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            nonlocal many, waiting
+            if crowded or size < 2:
+                return
+            s, n, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            for first in range(0, len(s), 256):
+                i, j = np.nonzero(np.arange(first, min(len(s), first + 256))[:, None] < np.arange(len(s))[None, :])
+                i += first
+                met = bound(n[i], n[j], place[i], place[j]) & (s[i] != s[j])
+                if met.any():
+                    waiting.append((s[i[met]], s[j[met]]))
+                    many += int(met.sum())
+                if many >= PAIRS_AT_ONCE:
+                    yield from flushed()
+                    waiting, many = [], 0
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s, n, key, place = batch.column(0).to_numpy(zero_copy_only=False), *(batch.column(k).to_numpy() for k in (1, 2, 3))
+            cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            single = (np.diff(cuts) == 1) & (np.arange(len(cuts) - 1) > 0) & (np.arange(len(cuts) - 1) < len(cuts) - 2)  # whole keys of one string
+            for lo, hi in zip(cuts[:-1][~single].tolist(), cuts[1:][~single].tolist(), strict=True):
+                if key[lo] != name:
+                    yield from closed()
+                    held, size, name, crowded = [], 0, key[lo], False
+                held.append((s[lo:hi], n[lo:hi], place[lo:hi]))
+                size += hi - lo
+                if size > CROWD:
+                    for h in held:
+                        yield passed(name, *h)
+                    held, crowded = [], True
+        yield from closed()
+        yield from flushed()
+
+    return run
+
+
 def _candidates(keyed: DataFrame, bound: str) -> DataFrame:
     """(a, b) with a < b of the strings that share a key and pass the bound on lengths and places.
 
@@ -149,8 +227,23 @@ def _candidates(keyed: DataFrame, bound: str) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
+def _pairs(keyed: DataFrame, bound: Bound, sql_bound: str, compare: Compare, good: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(a, b, figure) with a < b of the alike strings that share a key and pass the bound on lengths and places: those of most
+    keys come from the task that holds the key, those of crowded keys from a join."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _alike(*(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)), compare, good)
+
+    width = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = fixed(keyed.repartition(width, "key").sortWithinPartitions("key").mapInArrow(_meet(bound, compare, good), MET))
+    crowd = met.where("b IS NULL").select(F.col("a").alias("s"), F.col("n_a").alias("n"), "key", F.col("place_a").alias("place"))
+    both = met.where("b IS NOT NULL").unionByName(_candidates(crowd, sql_bound).mapInArrow(compared, MET))
+    return both.select("a", "b", "figure").distinct()
+
+
 def _strings(df: DataFrame, column: str) -> DataFrame:
-    return df.select(F.col(column).alias("s")).where("s IS NOT NULL").distinct()
+    return fixed(df.select(F.col(column).alias("s")).where("s IS NOT NULL").distinct())
 
 
 def edit_pairs(df: DataFrame, column: str, most: int, q: int | None = None) -> DataFrame:
@@ -160,14 +253,10 @@ def edit_pairs(df: DataFrame, column: str, most: int, q: int | None = None) -> D
     """
     q = q or max(2, 5 - most)
     keyed = _keyed(_strings(df, column), partial(grams, q=q), edit_keys(most, q))
-    bound = f"abs(n_a - n_b) <= {most} AND (key LIKE 'd%' OR abs(place_a - place_b) <= {most})"
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = edit_distances(batch.column(0).to_pylist(), batch.column(1).to_pylist(), most)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.int32())], names=["a", "b", "distance"])
-
-    return _candidates(keyed, bound).mapInArrow(compare, "a string, b string, distance int").where(f"distance <= {most}")
+    bound = lambda n_a, n_b, place_a, place_b: (abs(n_a - n_b) <= most) & ((place_a < 0) | (place_b < 0) | (abs(place_a - place_b) <= most))
+    sql_bound = f"abs(n_a - n_b) <= {most} AND (place_a < 0 OR place_b < 0 OR abs(place_a - place_b) <= {most})"
+    found = _pairs(keyed, bound, sql_bound, partial(edit_distances, most=most), lambda d: d <= most)
+    return found.select("a", "b", F.col("figure").cast("int").alias("distance"))
 
 
 def jaro_winkler_pairs(df: DataFrame, column: str, least: float) -> DataFrame:
@@ -176,10 +265,6 @@ def jaro_winkler_pairs(df: DataFrame, column: str, least: float) -> DataFrame:
         raise ValueError("the least similarity is over 0.7, below which common beginnings don't count, and at most 1")
     keyed = _keyed(_strings(df, column), letters, jaro_winkler_keys(least))
     ratio = 3 * _least_jaro(least, 4) - 2 - 1e-9
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = jaro_winklers(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.float64())], names=["a", "b", "likeness"])
-
-    return _candidates(keyed, f"least(n_a, n_b) >= {ratio} * greatest(n_a, n_b)").mapInArrow(compare, "a string, b string, likeness double").where(F.col("likeness") >= least)
+    bound = lambda n_a, n_b, place_a, place_b: np.minimum(n_a, n_b) >= ratio * np.maximum(n_a, n_b)
+    found = _pairs(keyed, bound, f"least(n_a, n_b) >= {ratio} * greatest(n_a, n_b)", jaro_winklers, lambda x: x >= least)
+    return found.select("a", "b", F.col("figure").alias("likeness"))

@@ -106,3 +106,16 @@ def test_only_candidates_are_compared(spark):
 def test_no_strings(spark):
     df = spark.createDataFrame([], "word string")
     assert similar.edit_pairs(df, "word", 2).count() == similar.jaro_winkler_pairs(df, "word", 0.9).count() == 0
+
+
+def test_crowded_keys_and_few_remains(spark, monkeypatch):
+    """Keys of over CROWD strings go to a join; words are found by deletions, so hardly a pair is compared in vain."""
+    texts = words(9, n=300)
+    df = spark.createDataFrame([(w,) for w in texts], "s string")
+    wanted = {(a, b, distance(a, b)) for a, b in itertools.combinations(sorted(set(texts)), 2) if distance(a, b) <= 1}
+    for crowd in (similar.CROWD, 2):
+        monkeypatch.setattr(similar, "CROWD", crowd)
+        assert {tuple(r) for r in similar.edit_pairs(df, "s", 1).collect()} == wanted
+    keyed = similar._keyed(similar._strings(df, "s"), partial(similar.grams, q=4), similar.edit_keys(1, 4))
+    assert dict(keyed.dtypes)["key"] == "bigint"
+    assert similar._candidates(keyed, "abs(n_a - n_b) <= 1").count() <= 1.5 * len(wanted)
