@@ -72,12 +72,22 @@ def index(df: DataFrame, row_id: str, columns: list[str], settings: FullText) ->
     Terms are counted within the row and stemmed after that, so each is stemmed once per document.
     """
     whole = F.concat(*(tokens(F.col(c), settings) for c in columns))
-    terms = df.select(row_id, F.size(whole).alias("length"), F.explode(counted_words(whole)).alias("w")).select(row_id, F.col("w.word").alias("term"), F.col("w.n").cast("long").alias("tf"), "length")
+    terms = _counted_terms(df.select(row_id, whole.alias("words")), row_id)
     if settings.stemmer != "none":
         terms = terms.withColumn("term", stemmed("term", settings.stemmer)).groupBy(row_id, "term").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
     return terms
 
 
+def _counted_terms(texts: DataFrame, row_id: str, heads: list[str] | None = None) -> DataFrame:
+    """(row id, term, tf, length) from (row id, words), where `heads` are given of words that begin so.
+
+    The length and the counts are made before anything is exploded, so no word's row carries its text along.
+    """
+    own = F.col("words") if heads is None else F.filter("words", lambda w: F.translate(F.substring(w, 1, 1), _MARKED, _UNMARKED).isin(*heads))
+    counts = texts.select(row_id, F.size("words").alias("length"), counted_words(own).alias("counts"))
+    return counts.select(row_id, "length", F.explode("counts").alias("w")).select(row_id, F.col("w.word").alias("term"), F.col("w.n").cast("long").alias("tf"), "length")
+
+
 def query_terms(words: str, settings: FullText) -> list[str]:
     """Distinct terms of a query, as the index has them."""
     import re
@@ -104,12 +114,16 @@ def bm25(df: DataFrame, row_id: str, columns: list[str], words: str, settings: F
     corpus = texts.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
     if not terms:
         return df.sparkSession.createDataFrame([], "row string, score double").select(F.col("row").alias(row_id), "score")
-    found = texts.select(row_id, F.size("words").alias("length"), F.explode("words").alias("term"))
-    if settings.stemmer != "none":
+    if settings.stemmer == "none":
+        tf = lambda t: F.size(F.filter("words", lambda w: w == t)).cast("long")
+        each = F.array(*(F.struct(F.lit(t).alias("term"), tf(t).alias("tf")) for t in terms))
+        own = texts.select(row_id, F.size("words").alias("length"), F.filter(each, lambda x: x["tf"] > 0).alias("own"))
+        hits = own.select(row_id, "length", F.explode("own").alias("w")).select(row_id, "w.term", "w.tf", "length")
+    else:
         # a stem begins as its words do, but for marks; so most words needn't be stemmed
         heads = sorted({t[:1] for t in terms})
-        found = found.where(F.translate(F.substring("term", 1, 1), _MARKED, _UNMARKED).isin(*heads)).withColumn("term", stemmed("term", settings.stemmer))
-    hits = found.where(F.col("term").isin(*terms)).groupBy(row_id, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+        found = _counted_terms(texts, row_id, heads).withColumn("term", stemmed("term", settings.stemmer)).where(F.col("term").isin(*terms))
+        hits = found.groupBy(row_id, "term").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
     return _scores(hits, corpus, row_id)
 
 
