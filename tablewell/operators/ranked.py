@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.search import B, K1, query_terms
 from ..manifest import FullText
+from .positions import numbered
 
 MARGIN = 1e-9
 """Bounds are raised by this share, so that sums in another order don't lose a row."""
@@ -37,16 +38,18 @@ class RankedIndex:
         spark = terms.sparkSession
         rows = sizes.count()
         blocks = max(1, -(-rows // block_rows))
-        # range partitions by length, numbered: a table of (row, block) without a window over all rows
-        dealt = sizes.select(F.col(row_id).alias("row"), "length").repartitionByRange(blocks, "length", "row")
-        dealt.select("row", F.spark_partition_id().alias("block"), "length").write.parquet(f"{at}/rows")
+        # places from one range sort, so that blocks, of which there are many, are neither tasks nor files
+        dealt = numbered(sizes.select(F.col(row_id).alias("row"), "length"), ["length", "row"], "place")
+        dealt.select("row", F.floor(F.col("place") / block_rows).cast("int").alias("block"), "length").write.parquet(f"{at}/rows")
         placed = spark.read.parquet(f"{at}/rows")
         postings = terms.select("term", F.col(row_id).alias("row"), "tf").join(placed, "row")
-        postings.repartitionByRange("term", "block").sortWithinPartitions("term", "block", "row").select("term", "block", "row", "tf", "length").write.parquet(f"{at}/postings")
+        # by hash, because the samples of a range sort would make all postings once more
+        width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        postings.repartition(width, "term", "block").sortWithinPartitions("term", "block", "row").select("term", "block", "row", "tf", "length").write.parquet(f"{at}/postings")
         mean = placed.agg(F.avg("length")).first()[0] or 1.0
         stored = spark.read.parquet(f"{at}/postings")
         bounds = stored.groupBy("term", "block").agg(F.count("*").alias("n"), F.max(weight(mean)).alias("top"))
-        bounds.repartitionByRange("term").sortWithinPartitions("term", "block").write.parquet(f"{at}/bounds")
+        bounds.sortWithinPartitions("term", "block").write.parquet(f"{at}/bounds")
         spark.createDataFrame([(rows, float(mean), blocks)], "n long, mean double, blocks int").write.parquet(f"{at}/corpus")
         return RankedIndex(spark, at, settings)
 
@@ -73,12 +76,15 @@ class RankedIndex:
         scored = self._scores(first, list(df_of), idf, corpus.mean)
         best = [r.score for r in scored.orderBy(F.desc("score")).limit(k).collect()]
         floor = best[-1] if len(best) == k else 0.0
-        rest = [r.block for r in most.where((F.col("bound") >= floor) & ~F.col("block").isin(*first)).select("block").collect()]  # numbers of blocks only
-        out = self._scores(first + rest, list(df_of), idf, corpus.mean).orderBy(F.desc("score"), "row").limit(k)
-        return out, {"blocks": most.count(), "read": len(first) + len(rest)}
-
-    def _scores(self, blocks: list[int], terms: list[str], idf: Column, mean: float) -> DataFrame:
-        mine = self._read("postings").where(F.col("term").isin(*terms) & F.col("block").isin(*blocks))
+        # numbers of blocks only; they can be very many, so they are joined and no list in the plan
+        read = most.where((F.col("bound") >= floor) | F.col("block").isin(*first)).select("block")
+        out = self._scores(read, list(df_of), idf, corpus.mean).orderBy(F.desc("score"), "row").limit(k)
+        counts = most.agg(F.count("*").alias("all"), F.count_if((F.col("bound") >= floor) | F.col("block").isin(*first)).alias("read")).first()
+        return out, {"blocks": counts["all"], "read": counts["read"]}
+
+    def _scores(self, blocks: DataFrame | list[int], terms: list[str], idf: Column, mean: float) -> DataFrame:
+        mine = self._read("postings").where(F.col("term").isin(*terms))
+        mine = mine.where(F.col("block").isin(*blocks)) if isinstance(blocks, list) else mine.join(blocks, "block", "left_semi")
         return mine.groupBy("row").agg(F.round(F.sum(idf * weight(mean)), 9).alias("score"))
 
 
