@@ -98,13 +98,48 @@ def hash_embedding_of(text: str | None) -> list[float]:
     return _vectors_of([text])[0].tolist()
 
 
-def _hash_embeddings(texts: pd.Series) -> pd.Series:
-    return pd.Series(_vectors_of(texts.tolist()), dtype=object)
+TEXTS_CHARS, TEXTS = 1 << 20, 256
+
+
+def _few_at_once(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in runs of at most `TEXTS` and of about `TEXTS_CHARS` characters, or one text."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and to - at < TEXTS and (to == at or size + len(texts[to] or "") <= TEXTS_CHARS):
+            size += len(texts[to] or "")
+            to += 1
+        yield texts[at:to]
+        at = to
+
+
+def _hash_embeddings(kind: pa.DataType) -> Callable[[pa.Array], pa.Array]:
+    """Vectors of a few texts at a time; what is held for a batch is its texts and its vectors end to end."""
+    numbers = kind.to_pandas_dtype()
+
+    def run(texts: pa.Array) -> pa.Array:
+        out, at = np.empty((len(texts), DIMS), numbers), 0
+        for own in _few_at_once_of(texts):
+            out[at : at + len(own)] = _vectors_of(own)
+            at += len(own)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * DIMS, pa.int32()), pa.array(out.ravel(), kind))
+
+    return run
+
+
+def _few_at_once_of(texts: pa.Array) -> Iterator[list[str | None]]:
+    for at in range(0, len(texts), TEXTS):
+        yield from _few_at_once(texts.slice(at, TEXTS).to_pylist())
 
 
 def hash_embedding(text: Column | str, exact: bool = False) -> Column:
     """The vector as floats, or as doubles with `exact`."""
-    return F.pandas_udf(_hash_embeddings, T.ArrayType(T.DoubleType() if exact else T.FloatType()))(text)
+    run = _hash_embeddings(pa.float64() if exact else pa.float32())
+
+    def embedded(texts: pa.Array) -> pa.Array:
+        return run(texts)
+
+    return F.arrow_udf(embedded, T.ArrayType(T.DoubleType() if exact else T.FloatType()))(text)
 
 
 def missing_vectors(rows: DataFrame, vectors: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
@@ -116,6 +151,8 @@ def missing_vectors(rows: DataFrame, vectors: DataFrame, row_id: str, columns: l
 
 BLOCK_BYTES = 4 << 20
 HELD_BYTES = 64 << 20
+TILE = 512
+"""Queries, and rows, of a product that is made at once."""
 
 
 def _blocks(df: DataFrame, row_id: str, vector: str, dims: int) -> DataFrame:
@@ -161,35 +198,46 @@ def nearest_of_many(df: DataFrame, vector: str, row_id: str, queries: DataFrame,
 
 def _best(k: int, dims: int, kinds: tuple[pa.DataType, pa.DataType]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, np.ndarray, np.ndarray]] = {}
+        held: dict[int, list[tuple[list, np.ndarray, np.ndarray]]] = {}
         size = 0
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            for asked, scores, ids in held.values():
+            for asked, scores, ids in (tile for tiles in held.values() for tile in tiles):
                 queries = [q for q in asked for _ in range(scores.shape[1])]
                 yield pa.RecordBatch.from_arrays([pa.array(queries, kinds[0]), pa.array(ids.ravel().tolist(), kinds[1]), pa.array(scores.ravel(), pa.float64())], names=["query", "row", "score"])
 
+        def kept(own: list, scores: np.ndarray, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+            # of the new rows only those that reach a query's k-th best score can matter, ties with it included
+            if score.shape[1] > k:
+                floor = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+                if scores.shape[1] == k:
+                    floor = np.maximum(floor, scores[:, -1])
+                use = np.flatnonzero((score >= floor[:, None]).any(0))
+                score, ids = score[:, use], ids[use]
+            scores = np.concatenate([scores, score], 1)
+            rows = np.concatenate([rows, np.broadcast_to(ids, score.shape)], 1)
+            by_id = np.argsort(rows, axis=1, kind="stable")
+            scores, rows = np.take_along_axis(scores, by_id, 1), np.take_along_axis(rows, by_id, 1)
+            first = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            return own, np.take_along_axis(scores, first, 1), np.take_along_axis(rows, first, 1)
+
         for batch in batches:
             for n in range(batch.num_rows):
                 block, ids, vectors, asked, wanted = (c[n] for c in batch.columns)
                 ids = np.array(ids.as_py(), object)
-                score = np.round(np.frombuffer(wanted.as_py(), np.float64).reshape(-1, dims) @ np.frombuffer(vectors.as_py(), np.float64).reshape(-1, dims).T, 9)
+                theirs = np.frombuffer(vectors.as_buffer(), np.float64).reshape(-1, dims)
+                mine = np.frombuffer(wanted.as_buffer(), np.float64).reshape(-1, dims)
                 if block.as_py() not in held:
                     own = asked.as_py()
-                    held[block.as_py()] = own, np.full((len(own), 0), -np.inf), np.empty((len(own), 0), object)
+                    held[block.as_py()] = [(own[at : at + TILE], np.full((len(own[at : at + TILE]), 0), -np.inf), np.empty((len(own[at : at + TILE]), 0), object)) for at in range(0, len(own), TILE)]
                     size += 64 * k * len(own)
-                own, scores, rows = held[block.as_py()]
-                # of the new rows only those that reach a query's k-th best score can matter, ties with it included
-                if score.shape[1] > k:
-                    floor = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
-                    use = np.flatnonzero((score >= floor[:, None]).any(0))
-                    score, ids = score[:, use], ids[use]
-                scores = np.concatenate([scores, score], 1)
-                rows = np.concatenate([rows, np.broadcast_to(ids, score.shape)], 1)
-                by_id = np.argsort(rows, axis=1, kind="stable")
-                scores, rows = np.take_along_axis(scores, by_id, 1), np.take_along_axis(rows, by_id, 1)
-                first = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                held[block.as_py()] = own, np.take_along_axis(scores, first, 1), np.take_along_axis(rows, first, 1)
+                # a product of two whole blocks has millions of figures, so it is made and used in tiles
+                tiles = held[block.as_py()]
+                for t, tile in enumerate(tiles):
+                    for at in range(0, len(ids), TILE):
+                        score = np.round(mine[t * TILE : (t + 1) * TILE] @ theirs[at : at + TILE].T, 9)
+                        tile = kept(*tile, score, ids[at : at + TILE])
+                    tiles[t] = tile
                 if size > HELD_BYTES:
                     yield from flushed()
                     held, size = {}, 0
