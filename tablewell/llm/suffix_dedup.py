@@ -190,18 +190,21 @@ class IndexFamily:
     def __init__(self) -> None:
         self.levels: list[Level] = []
         self.repeats: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.texts: list[np.ndarray] = []
+        self.held = np.zeros(0, np.uint8)
         self.length = 0
 
     def put_text(self, text: np.ndarray) -> int:
-        self.texts.append(text)
+        """Room is doubled as it runs out, so a text that comes in many parts is copied a few times in all."""
+        if self.length + len(text) > len(self.held):
+            more = np.empty(max(self.length + len(text), 2 * self.length), np.uint8)
+            more[: self.length] = self.text()
+            self.held = more
+        self.held[self.length : self.length + len(text)] = text
         self.length += len(text)
         return self.length - len(text)
 
     def text(self) -> np.ndarray:
-        if len(self.texts) > 1:
-            self.texts = [np.concatenate(self.texts)]
-        return self.texts[0] if self.texts else np.zeros(0, np.uint8)
+        return self.held[: self.length]
 
     def _merge(self, a: Level, b: Level) -> Level:
         """Both are in the order of k1, so each entry's place is its own plus that in the other."""

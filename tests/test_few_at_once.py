@@ -38,3 +38,15 @@ def test_documents_are_cut_a_few_at_a_time():
     assert len(out) == 3
     got = [(r["id"], r["ordinal"], r["text"]) for b in out for r in b.to_pylist()]
     assert got == [(k, c["ordinal"], c["text"]) for k, t in enumerate(texts) for c in chunk._parts(t, "text/plain", None)]
+
+
+def test_the_text_of_a_family_is_copied_a_few_times(monkeypatch):
+    """Many small parts with a look at the whole after each: room is doubled, not made anew each time."""
+    from tablewell.llm import suffix_dedup
+
+    family, rooms, parts = suffix_dedup.IndexFamily(), set(), [np.full(100, k % 256, np.uint8) for k in range(500)]
+    for k, part in enumerate(parts):
+        assert family.put_text(part) == 100 * k
+        rooms.add(family.text().__array_interface__["data"][0])
+        assert len(family.text()) == 100 * (k + 1)
+    assert len(rooms) <= 10 and (family.text() == np.concatenate(parts)).all()
