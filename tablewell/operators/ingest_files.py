@@ -46,13 +46,25 @@ def _read(names: pd.Series, contents: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[f.name for f in _READ])
 
 
-def files_and_chunks(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of the two system tables from files as Spark's binaryFile source reads them (path, length, content)."""
+def _opened(files: DataFrame) -> DataFrame:
+    """Each file with what was read from it, under `r`."""
+    read = F.pandas_udf(_read, _READ).asNondeterministic()  # else Spark reads each file again, to filter by its number of chunks
     name = F.element_at(F.split("path", "/"), -1)
-    read = files.select(
+    return files.select(
         F.sha2(F.concat(F.col("path").cast("binary"), "content"), 256).alias("file_id"), F.col("path").alias("external_id"), name.alias("filename"),
-        F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.pandas_udf(_read, _READ)(name, F.col("content")).alias("r"),
+        F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), read(name, F.col("content")).alias("r"),
     )
+
+
+def chunks_of_files(files: DataFrame) -> DataFrame:
+    """The chunks of files, each beside filename, title and status of its own file: every file is read once, and nothing is joined."""
+    read = _opened(files).select("filename", F.col("r.title").alias("title"), F.col("r.status").alias("status"), F.explode("r.chunks").alias("c"))
+    return read.select("filename", "title", "status", "c.ordinal", "c.page", "c.text")
+
+
+def files_and_chunks(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the two system tables from files as Spark's binaryFile source reads them (path, length, content)."""
+    read = _opened(files)
     table = read.select(
         "file_id", "external_id", "filename", "r.media_type", "bytes", "sha256", "r.status", "r.pages", F.size("r.chunks").alias("chunk_count"), "r.error", "r.title",
         F.substring(F.try_element_at("r.chunks", F.lit(1))["text"], 1, 400).alias("summary"),

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ingest_files import files_and_chunks
+from ..operators.ingest_files import chunks_of_files
 from ..session import table
 
 
@@ -58,8 +58,7 @@ def office_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a number of its own, so that few bytes of lines, which are much work, aren't brought together in one task
     dealt = table(spark, sf_dir, "lineitem").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
     lines = dealt.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    files, parts = files_and_chunks(lines.mapInPandas(_files, "path string, length long, content binary"))
-    return parts.join(files.select("file_id", "filename", "title", "status"), "file_id").select("filename", "title", "status", "ordinal", "page", "text")
+    return chunks_of_files(lines.mapInPandas(_files, "path string, length long, content binary"))
 
 
 OFFICE_CHUNKS = """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, CAST(l_quantity AS BIGINT) AS q, l_returnflag AS f FROM lineitem),

@@ -50,3 +50,13 @@ def test_the_text_of_a_family_is_copied_a_few_times(monkeypatch):
         rooms.add(family.text().__array_interface__["data"][0])
         assert len(family.text()) == 100 * (k + 1)
     assert len(rooms) <= 10 and (family.text() == np.concatenate(parts)).all()
+
+
+def test_office_files_are_made_and_read_once(spark, tmp_path):
+    from tablewell.plans import office
+
+    spark.createDataFrame([(1, 1, 5, "A"), (1, 2, 6, "N")], "l_orderkey long, l_linenumber int, l_quantity int, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = office.office_chunks(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and plan.count("ArrowEvalPython") == 1 and "Join" not in plan
+    assert sorted((r.filename, r.ordinal) for r in out.collect()) == [("1.docx", 0), ("1.pptx", 0), ("1.pptx", 1)]
