@@ -67,3 +67,25 @@ def test_states_of_nulls(spark):
     got = sketches.merged(sketches.states(none, ["g"], "u", "v", "i"), ["g"]).orderBy("g").select(sketches.distinct_count().alias("n"), sketches.quantile(0.5).alias("m"))
     assert [tuple(r) for r in got.collect()] == [(0, None), (1, 1.5)]
     assert sketches.states(none.limit(0), ["g"], "u", "v", "i").count() == 0
+
+
+def test_sketch_windows_has_no_error_over_more_users_than_a_state_holds(spark, tmp_path):
+    """Users of about equal counts, of whom none stands out from the error of a state, and more values than it holds."""
+    duckdb = pytest.importorskip("duckdb")
+    from tablewell.plans import memory
+
+    at = "timestamp'2024-05-01 00:00:00' + make_dt_interval(0, id % 5)"
+    kind = "case when id % 1000 = 3 then null when id % 1000 = 4 then 'none' when id % 3 = 0 then 'a' else 'b' end"
+    rows = spark.range(60_000).selectExpr("id as event_id", f"cast({at} as timestamp_ntz) as ts", "if(id % 100 = 7, null, id % 20011) as user_id", f"{kind} as event_type", "if(id % 1000 = 4 or id % 50 = 1, null, cast(xxhash64(id) % 30000 as double) / 7) as value")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(map(tuple, memory.sketch_windows(spark, str(tmp_path)).collect()), key=str)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(con.execute(memory.ORACLES["sketch_windows"]).fetchall(), key=str)
+
+
+def test_ranges_that_miss_their_quantile_are_opened(spark):
+    rows = spark.range(1000).selectExpr("id % 2 as g", "cast(id as double) as v")
+    other = sketches.states(rows.withColumn("v", F.col("v") + 5000).withColumn("i", F.lit(1)), ["g"], "i", "v", "i")
+    got = sketches.exact_quantiles(rows, other, ["g"], "v", {"m": "0.5", "all": "1", "least": "0"}).orderBy("g").collect()
+    assert [tuple(r) for r in got] == [(0, 498.0, 998.0, 0.0), (1, 499.0, 999.0, 1.0)]
