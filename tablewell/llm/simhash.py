@@ -16,10 +16,12 @@ Defined results: null and blank texts have fingerprint zero and link like any ot
 smallest unless all are null; repeated rows each get their row; empty tables give empty results.
 
 The pipeline's stage asks for more: texts whose sets of five-word shingles have a Jaccard similarity of `SIMILAR` or more.
-Their SimHashes differ in about 10 of 64 bits, where no key is selective, so `one_of_each_similar` finds candidates by
-min-wise hashes: `BANDS` keys of `ROWS` values each, of which a pair at 0.8 shares one with probability 0.9998. Groups of
+It takes a SimHash of the set of each text's word pairs, and searches all links of `DISTANCE` bits among these by the same
+chains; of a text's links the one whose sketch agrees most is a candidate. Not all texts that are so similar have SimHashes
+that near, and where they differ in more bits no key is selective, so `one_of_each_similar` adds those that only
+min-wise hashes find: `BANDS` keys of `ROWS` values each, of which a pair at 0.8 shares one with probability 0.9998. Groups of
 one key of up to `FEW` texts give all pairs, larger ones a spanning tree of greatest estimated similarity, and each link
-is verified by the shingle sets themselves before it counts. Where a larger group stays in several components, all texts
+is verified by the shingle sets themselves before it counts, whichever way it came. Where a larger group stays in several components, all texts
 outside its largest one are compared with the whole group by their shingle sets, so no link among its texts is missed.
 """
 
@@ -29,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -43,6 +45,7 @@ MOST = 16384
 PAIRS = "kind string, key long, a long, b long"
 SIMILAR_WORDS = 5
 SIMILAR = 0.8
+PRINT_WORDS = 2
 BANDS, ROWS = 16, 4
 FEW = 16
 BLOCK = 2048
@@ -67,7 +70,10 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     parts = _tokens(text)
     if not parts:
         return 0
-    hashes = _hashes(parts, words)
+    return _bits(_hashes(parts, words))
+
+
+def _bits(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 65536):
         ones += np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -319,17 +325,20 @@ def _marks(text_at: int, name: str) -> Callable:
     return run
 
 
-def _sketches(words: int) -> Callable:
-    """From (doc_id, text): doc_id, mark, the keys of the bands (none for blank texts) and a byte of each min-wise hash."""
+def _sketches(words: int, print_words: int | None = None) -> Callable:
+    """From (doc_id, text): doc_id, mark, the keys of the bands (none for blank texts), a byte of each min-wise hash and, with
+    `print_words`, the SimHash of the set of shingles of so many words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factor, shift = _factors()
         band = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         for batch in slices(batches, 8 << 20):
-            marks, keys, sketches = [], [], []
+            marks, keys, sketches, prints = [], [], [], []
             for text in batch.column(1).to_pylist():
                 parts = _tokens(text)
                 marks.append(_mark(parts))
+                if print_words is not None:
+                    prints.append(_bits(np.unique(_hashes(parts, print_words))) if parts else 0)
                 if not parts:
                     keys.append([])
                     sketches.append(b"")
@@ -343,7 +352,10 @@ def _sketches(words: int) -> Callable:
                 keys.append(mixed.view(np.int64))
                 sketches.append(((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes())
             columns = [batch.column(0), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "keys", "sketch"])
+            names = ["doc_id", "mark", "keys", "sketch"]
+            if print_words is not None:
+                columns, names = [*columns, pa.array(np.array(prints, np.uint64).view(np.int64))], [*names, "print"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -484,15 +496,49 @@ def _shingle_sets(words: int) -> Callable:
     return run
 
 
-def similar_links(docs: DataFrame, classes: DataFrame, words: int, similar: float, few: int = FEW, block: int = BLOCK) -> DataFrame:
+def _agreeing(least: int) -> Callable:
+    """From (a, b, sketch of a, sketch of b): the pairs, smaller mark first, whose sketches agree in `least` bytes, and in how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(k).to_numpy() for k in (0, 1))
+            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(len(a), -1) if len(a) else np.zeros((0, 1), np.uint8) for k in (2, 3))
+            agree = (one == two).sum(1)
+            good = agree >= least
+            columns = [np.minimum(a, b)[good], np.maximum(a, b)[good], agree[good].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["a", "b", "agree"])
+
+    return run
+
+
+def simhash_candidates(classes: DataFrame, similar: float, distance: int = DISTANCE, most: int = MOST) -> DataFrame:
+    """Pairs (a, b) of marks of `classes` (mark, keys, sketch, print) whose SimHashes link and whose sketches are as like as
+    those of similar texts: for each mark at most one, with a smaller mark."""
+    some = classes.where("size(keys) > 0").select("print", "mark", "sketch")
+    prints = materialise(some.groupBy("print").agg(F.min(F.struct("mark", "sketch")).alias("first"), F.count("*").alias("n")))
+    equal = join_skewed(some, prints, "print", "n").where("mark <> first.mark")
+    pairs = equal.select(F.col("first.mark").alias("a"), F.col("mark").alias("b"), F.col("first.sketch").alias("one"), F.col("sketch").alias("two"))
+    met = materialise(links(prints.select(F.col("print").alias("mark")), distance, most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    for side, name in (("a", "one"), ("b", "two")):
+        degree = met.groupBy(side).agg(F.count("*").alias("n"))
+        met = join_skewed(met, materialise(prints.select(F.col("print").alias(side), F.col("first").alias(name)).join(degree, side)), side, "n")
+    both = pairs.unionByName(met.select(F.col("one.mark").alias("a"), F.col("two.mark").alias("b"), F.col("one.sketch").alias("one"), F.col("two.sketch").alias("two")))
+    near = both.mapInArrow(_agreeing(_likely(similar)), "a long, b long, agree long")
+    return near.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+
+
+def similar_links(docs: DataFrame, classes: DataFrame, words: int, similar: float, few: int = FEW, block: int = BLOCK, near: DataFrame | None = None) -> DataFrame:
     """Verified links (a, b) that span the components of the marks of `classes` (mark, keys, sketch); `docs` (mark, text)
-    has their texts."""
+    has their texts. `near` has further candidates (a, b)."""
     width, least = shuffle_width(docs.sparkSession), _likely(similar)
-    keyed = classes.select(F.explode("keys").alias("key"), "mark", "sketch")
+    # most keys have one text; sketches go only with the others
+    shared = classes.select(F.explode("keys").alias("key"), "mark").withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    keyed = shared.select("key", "mark").join(classes.select("mark", "sketch"), "mark").select("key", "mark", "sketch")
     found = materialise(keyed.repartition(width, "key").sortWithinPartitions("key", "mark").mapInArrow(_near(least, 1, few, 2 * block), NEAR))
     big = found.where(f"b > {2 * block} and length(sketch) > 0").select("key", F.pmod(F.xxhash64("a", "key"), F.ceil(F.col("b") / block)).alias("own"), "a", "sketch")
     blocks = big.repartition(width, "key", "own").sortWithinPartitions("key", "own", "a").mapInArrow(_near(least, 2, few, 2**62, keep=False), NEAR)
-    tried = materialise(found.where("sketch is null").select("a", "b").unionByName(blocks.select("a", "b")).distinct())
+    candidates = found.where("sketch is null").select("a", "b").unionByName(blocks.select("a", "b"))
+    tried = materialise((candidates if near is None else near.unionByName(candidates)).distinct())
     large = found.where("sketch is not null").select("key", F.col("a").alias("mark"))
     wanted = tried.select(F.col("a").alias("mark")).unionByName(tried.select(F.col("b").alias("mark"))).unionByName(large.select("mark")).distinct()
     # copies are reduced to one before the shuffle, so a class of very many of them is no hot key
@@ -520,10 +566,10 @@ def one_of_each_similar(docs: DataFrame, words: int = SIMILAR_WORDS, similar: fl
     """`docs` with all columns, one row of each component of texts whose shingles are as similar: that with the smallest
     doc_id (of equal ones that whose columns have the least digest). Blank texts are similar to each other only."""
     mark = free_name(docs.columns, "mark__")
-    sketched = docs.select("doc_id", "text").mapInArrow(_sketches(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, keys array<long>, sketch binary")
-    classes = materialise(sketched.groupBy("mark").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    sketched = docs.select("doc_id", "text").mapInArrow(_sketches(words, PRINT_WORDS), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, keys array<long>, sketch binary, print long")
+    classes = materialise(sketched.groupBy("mark").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("keys", "sketch", "print"))))
     marked = docs.mapInArrow(_marks(docs.columns.index("text"), mark), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{mark}` long"]))
-    links_ = similar_links(marked.select(F.col(mark).alias("mark"), "text"), classes, words, similar)
+    links_ = similar_links(marked.select(F.col(mark).alias("mark"), "text"), classes, words, similar, near=simhash_candidates(classes, similar))
     return _survivors(docs, marked, mark, classes, components(links_).toDF("mark", "root"))
 
 

@@ -208,3 +208,20 @@ def test_hot_keys_are_joined_apart_from_the_others(spark):
     got = join_skewed(big, small, "k", "n")
     assert got.columns == ["id", "k", "v"] and got.count() == 20_000 and got.where("v <> k * 2 or v is null").count() == 0
     assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+
+
+def test_near_dedup_takes_candidates_from_simhashes(spark, monkeypatch):
+    """Without any key of min-wise hashes the links of SimHashes that are near, or equal, are still found."""
+    rng = random.Random(8)
+    base = [[rng.choice("abcdefghij") + str(rng.randint(0, 400)) for _ in range(400)] for _ in range(12)]
+    rows = [(k, " ".join(b)) for k, b in enumerate(base)]
+    rows += [(100 + k, " ".join(["x", *b[1:]])) for k, b in enumerate(base)] + [(500, base[0][0] + "  " + " ".join(base[0][1:])), (501, " "), (502, "")]
+    near = [(r[0], s[0]) for r in rows[:12] for s in rows[12:24] if r[0] + 100 == s[0] and (simhash._bits(np.unique(simhash._hashes(simhash._tokens(r[1]), 2))) ^ simhash._bits(np.unique(simhash._hashes(simhash._tokens(s[1]), 2)))).bit_count() <= simhash.DISTANCE]
+    assert len(near) > 8
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = []
+    monkeypatch.setattr(simhash, "similar_links", lambda docs, classes, *a, near, **k: seen.append((classes, near)) or near)
+    simhash.one_of_each_similar(docs)
+    least = {r.mark: r.least for r in seen[0][0].collect()}
+    got = [tuple(sorted((least[r.a], least[r.b]))) for r in seen[0][1].collect()]
+    assert len(got) == len(set(got)) and set(got) == set(near)
