@@ -97,3 +97,39 @@ def test_chunks_count_tokens_by_a_vocabulary(spark):
     assert len(first) > 1 and all(r.tokens == len(tokenizer.encode_ordinary(r.text)) and r.error is None for r in first)
     failed = [r for r in got if r.id == 2]
     assert len(failed) == 1 and failed[0].ordinal is None and "10000" in failed[0].error.replace(" ", "")
+
+
+def test_deliveries_hold_one_slot_and_one_block_at_a_time(monkeypatch):
+    """Events in any order, with times before the epoch and missing figures, fed in small blocks and due in three steps."""
+    import pandas as pd
+
+    class State(dict):
+        getValue, updateValue, removeKey = dict.get, dict.__setitem__, dict.pop
+
+    class Handle:
+        def getMapState(self, *a):
+            return State()
+
+        def registerTimer(self, at):
+            self.at = at
+
+    class At:
+        def __init__(self, at):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: at
+
+    monkeypatch.setattr(deliveries, "BLOCK_ROWS", 50)
+    held = deliveries.Deliveries(1000)
+    held.init(Handle())
+    sizes, by_time = [], deliveries._by_time
+    monkeypatch.setattr(deliveries, "_by_time", lambda rows: sizes.append(len(rows)) or by_time(rows))
+    rnd = random.Random(9)
+    events = [(rnd.randint(-20_000, 200_000), 1, None if k % 3 else 2, k, rnd.choice([None, 7])) for k in range(3000)]
+    neutral = list(deliveries._NEUTRAL[how] for how in deliveries.FOLDS.values())
+    rows = [(at, *(n if f is None else f for f, n in zip(fs, neutral, strict=True)), sum(1 << k for k, f in enumerate(fs) if f is not None)) for at, *fs in events]
+    frames = [pd.DataFrame(rows[k : k + 20], columns=list(deliveries._COLUMNS)) for k in range(0, 3000, 20)]
+    assert list(held.handleInputRows(("e", None), iter(frames), None)) == []
+    got = [f for at in (50_000, 50_500, 10**9) for f in held.handleExpiredTimer(("e", None), At(at), At(at))]
+    got = [tuple(None if pd.isna(x) else x for x in r) for r in pd.concat(got).itertuples(index=False)]
+    want = expected([("e", None, timedelta(milliseconds=at), *fs) for at, *fs in events], timedelta(seconds=1))
+    assert sorted(got, key=lambda r: r[2]) == sorted(((e, t, at // timedelta(milliseconds=1), *fs) for e, t, at, *fs in want), key=lambda r: r[2])
+    assert not held.held and max(sizes) < 120
