@@ -18,6 +18,8 @@ SPARK_TYPES = {
 }
 PREVIEW = 60
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+# Texts of plain values, of which the type says all: of these no shape is asked for.
+_PLAIN = {"INTEGER": r"^-?\d{1,9}\z", "BIGINT": r"^-?\d{1,18}\z", "DOUBLE": r"^-?\d{1,15}(\.\d{1,15})?([eE]-?\d{1,2})?\z", "BOOLEAN": r"^(true|false)\z", "VARCHAR": r"^[^\[{]"}
 _NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -61,4 +63,7 @@ def coerced(value: Column, kind: str, name: str) -> Column:
         if kind == "DATE":
             made = made.cast("date")
     wrong = F.raise_error(F.concat(F.lit(f"column {name}: "), F.substring(F.to_json(value), 1, PREVIEW), F.lit(f" is no {kind}")))
-    return F.when(absent, F.lit(None)).when(F.coalesce(fits, F.lit(False)), made).otherwise(wrong).cast(SPARK_TYPES[kind])
+    out = F.when(absent, F.lit(None)).when(F.coalesce(fits, F.lit(False)), made).otherwise(wrong).cast(SPARK_TYPES[kind])
+    if kind in _PLAIN:
+        return F.when(text.rlike(_PLAIN[kind]), text if kind == "VARCHAR" else text.try_cast(SPARK_TYPES[kind])).otherwise(out)
+    return out

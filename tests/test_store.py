@@ -340,3 +340,19 @@ def test_retention(text, seconds):
 def test_bad_retention(text):
     with pytest.raises(ValueError):
         retention_seconds(text)
+
+
+def test_plain_values_are_coerced_without_their_shape(spark):
+    """What the text alone tells is decided first; every other value gets what it got before."""
+    kinds = ["INTEGER", "BIGINT", "DOUBLE", "BOOLEAN", "VARCHAR"]
+    for kind in kinds:
+        plan = rows_of(docs(spark, {"v": 1}), "json", [field("v", kind, "$.v")])._jdf.queryExecution().analyzed().toString()
+        assert plan.index("RLIKE") < plan.index("schema_of_variant")
+    cases = [("VARCHAR", "", ""), ("VARCHAR", "[x", "[x"), ("VARCHAR", "{", "{"), ("VARCHAR", True, "true"), ("VARCHAR", 12, "12"), ("BIGINT", "007", 7), ("BIGINT", "-0", 0), ("BIGINT", 3.0, 3), ("BIGINT", 2**63 - 1, 2**63 - 1), ("INTEGER", 2**31 - 1, 2**31 - 1), ("BIGINT", None, None), ("DOUBLE", "1e3", 1000.0), ("DOUBLE", -0.1, -0.1), ("DOUBLE", 7, 7.0), ("BOOLEAN", "false", False), ("BOOLEAN", 1, True), ("BOOLEAN", True, True)]
+    for kind in kinds:
+        own = [c for c in cases if c[0] == kind]
+        got = rows_of(docs(spark, *({"k": k, "v": v} for k, (_, v, _) in enumerate(own))), "json", [field("k", "INTEGER", "$.k"), field("v", kind, "$.v")]).collect()
+        assert [r.v for r in sorted(got)] == [c[2] for c in own]
+    for kind, value in [("DOUBLE", "1d"), ("DOUBLE", True), ("BIGINT", 3.5), ("BIGINT", True), ("INTEGER", 2**31), ("VARCHAR", {"a": 1}), ("VARCHAR", ["a"]), ("BOOLEAN", "TRUE")]:
+        with pytest.raises(Exception, match="is no"):
+            rows_of(docs(spark, {"v": value}), "json", [field("v", kind, "$.v")]).collect()
