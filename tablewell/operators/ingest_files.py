@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.search import rarest_words
 from ..manifest import ColumnSpec, FullText
@@ -31,24 +32,27 @@ RECEIPT_COLUMNS = [
 CHUNK_SEARCH = FullText(True, ignore="[^a-z0-9]+", columns=("text",))
 MOST_BODY = 8000
 _READ = T.StructType([T.StructField(n, T.StringType()) for n in ("media_type", "status", "error", "title")] + [T.StructField("pages", T.IntegerType()), T.StructField("chunks", T.ArrayType(chunk.CHUNK))])
+_ARROW = to_arrow_schema(_READ)
 
 
-def _read(names: pd.Series, contents: pd.Series) -> pd.DataFrame:
+def _read(names: pa.Array, contents: pa.Array) -> pa.Array:
     rows = []
-    for name, content in zip(names, contents, strict=True):
-        raw = bytes(content or b"")
+    for name, content in zip(names.to_pylist(), contents, strict=True):
+        raw = content.as_py() or b""
         try:
             kind = documents.media_type(name, raw)
-            blocks = documents.blocks(raw, kind)
-            rows.append((kind, "ready", None, documents.title(raw, kind, blocks), max((b.page or 0 for b in blocks), default=0) or None, chunk.chunks(blocks, chunk.PLANS.get(kind, chunk.Plan()))))
+            own = documents.opened(raw, kind)
+            blocks = documents.blocks(own, kind)
+            rows.append((kind, "ready", None, documents.title(own, kind, blocks), max((b.page or 0 for b in blocks), default=0) or None, chunk.chunks(blocks, chunk.PLANS.get(kind, chunk.Plan()))))
         except Exception as e:  # a file that can't be read is a row that says so
             rows.append((None, "failed", str(e)[:500], None, None, []))
-    return pd.DataFrame(rows, columns=[f.name for f in _READ])
+    columns = list(zip(*rows, strict=True)) or [()] * len(_READ)
+    return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], fields=list(_ARROW))
 
 
 def _opened(files: DataFrame) -> DataFrame:
     """Each file with what was read from it, under `r`."""
-    read = F.pandas_udf(_read, _READ).asNondeterministic()  # else Spark reads each file again, to filter by its number of chunks
+    read = F.arrow_udf(_read, _READ).asNondeterministic()  # else Spark reads each file again, to filter by its number of chunks
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(
         F.sha2(F.concat(F.col("path").cast("binary"), "content"), 256).alias("file_id"), F.col("path").alias("external_id"), name.alias("filename"),
